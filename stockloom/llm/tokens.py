@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points with the Unicode property White_Space, as the tokenizer's \s has them.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\\t-\\r \\x85" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: A run of white space before other text gives its last character to what follows.
 RUN_END = re.compile(f"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
 #: Longer pre-tokens go to the tokenizer's own merge, whose time doesn't grow with the square of the length.
