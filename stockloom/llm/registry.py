@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, oracles, packing, quality_rules, spotsigs, tokens
+from . import mixing, near_dedup, oracles, packing, pii, quality_rules, spotsigs, tokens
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_near_dedup, op6_quality_rules, op7_spot_signatures, op9_token_counts, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_near_dedup, op5_private_data, op6_quality_rules, op7_spot_signatures, op9_token_counts, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
