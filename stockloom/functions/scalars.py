@@ -107,4 +107,4 @@ def clip(text: Column, most: int) -> Column:
 
 
 def z_score(level: Column) -> Column:
-    return F.when(level >= 0.99, 2.33).when(level >= 0.975, 1.96).when(level >= 0.95, 1.65).when(level >= 0.9, 1.28).otherwise(0.84)
+    return F.when(level >= 0.97, 1.88).when(level >= 0.95, 1.65).when(level >= 0.9, 1.28).when(level >= 0.85, 1.04).otherwise(0.84)
