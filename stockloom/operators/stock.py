@@ -120,3 +120,40 @@ def sanitation_score(ratings: Column) -> Column:
 
 def temperature_issues(fridge: Column, freezer: Column) -> Column:
     return F.array_compact(F.array(F.when(fridge > 5, "FRIDGE_ABOVE_5"), F.when(freezer > -18, "FREEZER_ABOVE_-18")))
+
+
+def document_checks(lines: DataFrame, doc: str) -> DataFrame:
+    """Validation of each document from its lines (quantity, unit_price, amount, confidence, known) and its total.
+
+    Score: a quarter each for reading confidence and arithmetic, a fifth for the table, 15 hundredths each
+    for required fields and known names, all of 100.
+    """
+    right = F.abs(F.col("quantity") * F.col("unit_price") - F.col("amount")) <= 1
+    share = lambda x: F.avg(F.when(x, 100.0).otherwise(0.0))
+    s = lines.groupBy(doc).agg(
+        F.count("*").alias("lines"), F.avg("confidence").alias("ocr"), share(F.coalesce(right, F.lit(False))).alias("arithmetic"),
+        share(F.col("quantity").isNotNull() & F.col("amount").isNotNull()).alias("required"), share("known").alias("alias"), F.sum("amount").alias("sum"), F.max("total").alias("total"),
+    )
+    score = F.round(F.col("ocr") * 0.25 + 100 * 0.20 + F.col("arithmetic") * 0.25 + F.col("required") * 0.15 + F.col("alias") * 0.15, 2)
+    return s.select(doc, "lines", score.alias("score"), (F.abs(F.col("sum") - F.col("total")) <= 1).alias("sum_ok"), grade(score).alias("grade"))
+
+
+def grade(score: Column) -> Column:
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("E")
+
+
+def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Intersection over the smaller box; boxes have x, y, w and h."""
+    side = lambda p, s: F.greatest(F.lit(0.0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
+    least = F.least(a["w"] * a["h"], b["w"] * b["h"])
+    return F.when(least > 0, side("x", "w") * side("y", "h") / least).otherwise(0.0)
+
+
+def token_cost(calls: Column, tokens_in: float, tokens_out: float, rate_in: float, rate_out: float) -> Column:
+    return calls * (tokens_in * rate_in + tokens_out * rate_out) / 1_000_000
+
+
+def queue_metrics(rows: DataFrame) -> DataFrame:
+    """Success, review and failure rates in percent, mean duration and confidence of a day's documents."""
+    rate = lambda s: F.round(100 * F.count_if(F.col("status") == s) / F.count("*"), 1)
+    return rows.agg(F.count("*").alias("n"), rate("SUCCESS").alias("success"), rate("REVIEW").alias("review"), rate("FAILED").alias("failed"), F.round(F.avg("value"), 2).alias("mean_value"))

@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load() -> None:
-    from . import ledger_queries, scalar_queries, stock_queries  # noqa: F401
+    from . import ledger_queries, resolution_queries, scalar_queries, stock_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
