@@ -14,3 +14,18 @@ r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT u.b, r.c FROM r JOIN u ON u
 SELECT s.doc_id, CAST(max(len(g)) AS BIGINT) AS n_shingles, min(c) AS component_id, min(c) = s.doc_id AS kept
 FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id
 """
+
+CHAT_FORMAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, CASE WHEN contains(text, '[/INST]') OR contains(text, '</s>') OR contains(text, '\\') OR contains(text, '[\INST]') OR contains(text, '[\/INST]') OR contains(text, '<\/s>')
+    THEN replace(replace(replace(replace(text, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>') ELSE text END AS x FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('[INST]') + length(role) + 1 + length(x) + CASE WHEN role = 'assistant' THEN length('</s>') ELSE length('[/INST]') END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
