@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, text_or_empty
+from .quality_rules import let
 
 #: Frequent function words of English, French, German and Spanish.
 ANCHORS = (
@@ -20,7 +21,7 @@ CHAIN = 2
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> Column:
-    """Sorted distinct hashes of a text's spot signatures, as array<bigint>.
+    """Sorted distinct hashes of a text's spot signatures, as array<int>.
 
     A signature is an anchor and the next chain words that aren't anchors. Letter case and everything
     but letters and digits don't count. In a text without any, every word counts as an anchor, and a
@@ -29,15 +30,16 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CH
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     anchor = "(?:" + "|".join(anchors) + ")"
     found = F.regexp_extract_all(plain, F.lit(f" (?=({anchor}(?: (?:{anchor} )*+[^ ]++){{{chain}}}) )"), F.lit(1))
-    chains = F.transform(found, lambda x: F.xxhash64(F.regexp_replace(x, f" {anchor}(?= )", "")))
-    every = F.transform(F.regexp_extract_all(plain, F.lit(f" (?=([^ ]++(?: [^ ]++){{{chain}}}) )"), F.lit(1)), lambda x: F.xxhash64(x))
-    whole = F.array(F.xxhash64(F.regexp_replace(plain, " +", " ")))
-    return F.array_sort(F.array_distinct(F.when(F.size(chains) > 0, chains).when(F.size(every) > 0, every).otherwise(whole)))
+    chains = F.transform(found, lambda x: F.hash(F.regexp_replace(x, f" {anchor}(?= )", "")))
+    every = F.transform(F.regexp_extract_all(plain, F.lit(f" (?=([^ ]++(?: [^ ]++){{{chain}}}) )"), F.lit(1)), lambda x: F.hash(x))
+    whole = F.array(F.hash(F.regexp_replace(plain, " +", " ")))
+    fallback = let(every, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
+    return F.array_sort(F.array_distinct(let(chains, lambda x: F.when(F.size(x) > 0, x).otherwise(fallback))))
 
 
 def fingerprint(items: Column) -> Column:
-    """The signature set as text: 16 hex digits for each signature, in order."""
-    return F.array_join(F.transform(items, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """The signature set as text: 8 hex digits for each signature, in order."""
+    return F.array_join(F.transform(items, lambda x: F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(8))), "")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -74,19 +76,28 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("s"), F.col("t"), least).alias("likeness")).where(F.col("likeness") >= least), member
 
 
-def predecessors(keys: DataFrame) -> DataFrame:
-    """(k, need) -> (k, previous, previous_need): the row before in the order of k; before the first comes the last.
+def first_keys(keys: DataFrame) -> list[int]:
+    """The least k of each of as many ranges as there are shuffle partitions."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = keys.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("part")).agg(F.min("k").alias("k")).collect()
+    return sorted({r["k"] for r in found}) or [0]
+
 
-    The keys are dealt out by range, so that only each range's ends, one row a range, meet in one task.
+def with_next(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """rows (with a k) and, as struct next, the columns of the row after in the order of k and order; after the last comes the first.
+
+    The rows are dealt out by ranges of k in one shuffle. The first rows of a range also go to the range
+    before, behind its own rows, so that each range can be finished alone.
     """
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = durable(keys.repartitionByRange(n, "k").withColumn("part", F.spark_partition_id()))
-    ends = ranges.groupBy("part").agg(F.max(F.struct("k", "need")).alias("last"))
-    order = Window.orderBy("part")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("part", F.coalesce(F.lag("last").over(order), F.last("last").over(whole)).alias("before"))
-    inside = F.lag(F.struct("k", "need")).over(Window.partitionBy("part").orderBy("k"))
-    return ranges.withColumn("p", inside).join(ends, "part").withColumn("p", F.coalesce("p", "before")).select("k", F.col("p.k").alias("previous"), F.col("p.need").alias("previous_need"))
+    firsts = first_keys(rows.select("k"))
+    edges = F.array(*map(F.lit, firsts))
+    steps = [1 << i for i in range(len(firsts).bit_length() - 1, -1, -1)]
+    part = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when(F.get(edges, i + s) <= F.col("k"), i + s).otherwise(i))
+    dealt = rows.withColumn("part", part)
+    to = F.when(F.get(edges, F.col("part")) == F.col("k"), F.array(F.col("part"), F.pmod(F.col("part") - 1, F.lit(len(firsts))))).otherwise(F.array("part"))
+    dealt = dealt.select(*rows.columns, F.posexplode(to).alias("copy", "part"))
+    span = Window.partitionBy("part").orderBy("copy", "k", *order)
+    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(span)).where("copy = 0").drop("copy", "part")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75) -> DataFrame:
@@ -94,18 +105,14 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text has its last quarter replaced by as much of the start of the next row's text, in
     ascending order of id; after the last comes the first. Null texts count as empty. Null ids come
-    first and share one place, as rows that repeat an id do; the next text of a place with several rows is
-    the least of them. A table of one place is its own next. An empty table gives an empty result.
-    Other columns aren't carried. length_part is the fingerprint's length partition.
+    first; rows that repeat an id follow each other in the order of their texts. A single row is its own
+    next. An empty table gives an empty result. Other columns aren't carried. length_part is the
+    fingerprint's length partition.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    docs = df.select(key.alias("k"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    need = F.floor(F.length("text") / 4)
-    before = durable(predecessors(docs.groupBy("k").agg(F.max(need).alias("need"))))
-    placed = docs.withColumn("items", signatures(F.col("text"))).join(before, "k")
-    heads = placed.select(F.col("previous").alias("k"), F.struct(F.expr("left(text, int(previous_need))").alias("head"), F.col("items").alias("next_items")).alias("next"))
-    both = placed.join(heads.groupBy("k").agg(F.min("next").alias("next")), "k").select("id", "text", "items", "next.*")
-    edited = F.expr("concat(left(text, int(length(text) - floor(length(text) / 4))), left(head, int(floor(length(text) / 4))))")
+    docs = df.select(key.alias("k"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("items", signatures(F.col("text")))
+    both = with_next(docs, ["text"], ["text", "items"])
+    edited = F.expr("concat(left(text, int(length(text) - floor(length(text) / 4))), left(next.text, int(floor(length(text) / 4))))")
     both = both.withColumn("edited", edited).withColumn("edited_items", signatures(F.col("edited")))
     return both.select(
         F.col("id").alias(id_col),
@@ -114,6 +121,6 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         fingerprint(F.col("items")).alias("fingerprint"),
         fingerprint(F.col("edited_items")).alias("edited_fingerprint"),
         likeness(F.col("items"), F.col("edited_items")).alias("near_edited"),
-        likeness(F.col("items"), F.col("next_items")).alias("near_next"),
+        likeness(F.col("items"), F.col("next.items")).alias("near_next"),
         length_part(F.size("items"), least).alias("length_part"),
     )
