@@ -29,3 +29,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length('[INST]') + length(role) + 1 + length(x) + CASE WHEN role = 'assistant' THEN length('</s>') ELSE length('[/INST]') END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+QUALITY_RULES = r"""
+WITH names(lang, n) AS (VALUES ('en', ['the', 'of', 'and', 'to', 'in', 'that', 'is', 'was', 'for', 'it']), ('fr', ['le', 'la', 'les', 'de', 'des', 'et', 'un', 'une', 'que', 'en']),
+  ('de', ['der', 'die', 'das', 'den', 'und', 'in', 'ein', 'eine', 'ist', 'von']), ('es', ['el', 'la', 'los', 'de', 'y', 'en', 'que', 'un', 'una', 'del'])),
+d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g WHERE n > 1) GROUP BY 1),
+c AS (SELECT d.doc_id, d.lang, length(t) AS chars, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^\p{Ll}]+', '', 'g')) AS lo, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS up,
+  length(regexp_replace(t, '[^0-9]+', '', 'g')) AS di, length(regexp_replace(t, '[^.,;:!?''"()-]+', '', 'g')) AS st, names.n AS own, list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}]+', '', 'g')) AS plain
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN names ON names.lang = d.lang),
+h AS (SELECT *, [lo, up, di, st, n_symbols, chars - word_chars, word_chars - lo - up - di - st - n_symbols] AS a, list_transform(own, lambda x: len(list_filter(plain, lambda y: y = x))) AS b0 FROM c),
+k AS (SELECT *, list_append(b0, n_words - coalesce(list_sum(b0), 0)) AS b FROM h),
+e AS (SELECT lang, 'a' AS kind, i, avg(a[i] / chars) FILTER (chars > 0) AS q FROM k, range(1, 8) s(i) GROUP BY lang, i UNION ALL SELECT lang, 'b', i, avg(b[i] / n_words) FILTER (n_words > 0) FROM k, range(1, 12) s(i) GROUP BY lang, i),
+p AS (SELECT doc_id, 'a' AS kind, lang, i, a[i] / list_sum(a) AS p FROM k, range(1, 8) s(i) WHERE list_sum(a) > 0 UNION ALL SELECT doc_id, 'b', lang, i, b[i] / list_sum(b) FROM k, range(1, 12) s(i) WHERE list_sum(b) > 0),
+j AS (SELECT doc_id, kind, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2))), 9) AS s
+  FROM (SELECT p.doc_id, p.kind, p.p, e.q / sum(e.q) OVER (PARTITION BY p.doc_id, p.kind) AS q FROM p JOIN e ON e.lang IS NOT DISTINCT FROM p.lang AND e.kind = p.kind AND e.i = p.i) GROUP BY 1, 2),
+f AS (SELECT k.*, coalesce(x.s, 0) AS cd, coalesce(y.s, 0) AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM k LEFT JOIN j x ON x.doc_id = k.doc_id AND x.kind = 'a' LEFT JOIN j y ON y.doc_id = k.doc_id AND y.kind = 'b')
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  failed AS base_failed, NOT failed AND NOT (n_words >= 40 AND (cd > 0.25 OR cd > 0.15 AND wd > 0.23)) AS kept, cd AS class_distance, wd AS common_distance FROM f
+"""

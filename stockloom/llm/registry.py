@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": oracles.NEAR_DUPLICATES, "op4_chat_format": oracles.CHAT_FORMAT}
+    return {"op3_near_dedup": oracles.NEAR_DUPLICATES, "op4_chat_format": oracles.CHAT_FORMAT, "op6_quality_rules": oracles.QUALITY_RULES}
