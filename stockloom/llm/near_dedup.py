@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from .common import durable
 #: Coordinates of a sketch, in BANDS bands of ROWS. A pair of similarity s meets in some band but for (1 - s^4)^32: 5e-6 at 0.75.
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
-#: Up to so many members, a bucket compares all that are still apart; larger ones compare with more and more centres.
+#: Up to so many members, a bucket compares all that are still apart; larger ones compare with a few hubs first.
 SMALL = 48
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -71,22 +72,37 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return keys
 
 
+def short(bins: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, 32 coordinates to a word."""
+    return ((bins & np.uint64(3)).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def alike(percent: int) -> str:
+    """Whether the short sketches p0.. and q0.. differ in no more coordinates than those of a pair of that similarity do, but for one in ten millions."""
+    odd = SIZE * (1 - percent / 100) * 3 / 4
+    most = math.ceil(odd + 5.3 * math.sqrt(odd * (1 - odd / SIZE)))
+    differ = [f"bit_count(((p{i} ^ q{i}) | shiftrightunsigned(p{i} ^ q{i}, 1)) & {0x5555555555555555}L)" for i in range(SIZE // 32)]
+    return f"{' + '.join(differ)} <= {most}"
+
+
 def sketches(df: DataFrame, width: int) -> DataFrame:
     """id, n_shingles, digest of the set, and the band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digests, keys = [], [], []
+            n, digests, keys, bits = [], [], [], []
             for text in b.column(1).to_pylist():
                 items = shingles(text or "", width)
                 n.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                keys.append(band_keys(sketch(items)).view(np.int64) if len(items) else np.zeros(0, np.int64))
+                bins = sketch(items) if len(items) else None
+                keys.append(np.zeros(0, np.int64) if bins is None else band_keys(bins).view(np.int64))
+                bits.append(None if bins is None else short(bins))
             edges = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "keys", "bits"])
 
-    return df.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
+    return df.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>, bits array<long>")
 
 
 def shingle_sets(df: DataFrame, width: int) -> DataFrame:
@@ -132,39 +148,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingle sets of at least percent / 100. Rows without words link with nothing. Null texts have no words. Rows with a null id stay, alone
     and kept. Rows that repeat an id are one document to the links. Other columns aren't carried.
 
-    Equal sets are one node. The nodes of a band bucket are compared with the bucket's least node first,
-    which joins groups of copies by as many pairs as members. Then, until every bucket lies in one
-    component or all its pairs across components are compared, small buckets compare all such pairs and
-    large ones compare every member with 4, 16, 64 and at last all members as centres. So no link that a
-    band found is lost, and no pair within a component is made for its own sake.
+    Equal sets are one node. A shingle that no other node of the buckets has can't be common to two, so
+    a node of which such shingles are more than a quarter links with none and leaves the buckets: texts
+    that only share passages do. The nodes of a band bucket are compared with the bucket's hub first, the
+    node that meets most others over all its buckets: the original of a group of copies, as a rule. That
+    joins such groups by as many pairs as members. Then small buckets compare all their pairs across
+    components, and large ones do so after one more round with 16 hubs. Pairs whose numbers of shareable shingles
+    rule the similarity out, or whose short sketches do, aren't made; all others are verified on their full sets.
+    So no link that a band found is lost (but for one in ten millions), and no pair within a component
+    is made for its own sake.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = durable(sketches(source, width))
     named = docs.where("id IS NOT NULL AND digest IS NOT NULL")
-    nodes = named.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.max("n_shingles").alias("n"))
+    nodes = named.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.max("n_shingles").alias("n"))
     nodes = durable(nodes)
     member = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
-    buckets = durable(member.join(shared, "key").select("key", "node", "n"))
+    met = durable(member.join(shared, "key").select("key", "node", "n"))
+    sets = durable(shingle_sets(source.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), width))
+    alone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("node"), F.count("*").alias("df")).where("df = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("own"))
+    held = met.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("c") * 100 >= F.col("n") * percent)
+    held = durable(held.select("key", "node", "n", "c"))
+    size = held.groupBy("key").agg(F.count("*").alias("met"))
+    hub = held.join(size, "key").groupBy("node").agg(F.sum("met").alias("score"))
+    buckets = durable(held.join(hub, "node").select("key", "node", "n", "c", "score"))
     wanted = durable(buckets.select(F.col("node").alias("id")).distinct())
-    sets = durable(shingle_sets(source.join(wanted, "id", "left_semi"), width))
 
     label = wanted.select("id", F.col("id").alias("comp"))
-    links, tried = None, None
-    for centres in (1, 4, 16, 64, None):
+    links, tried, words = None, None, [f"p{i}" for i in range(SIZE // 32)]
+    for centres in (1, 16, None):
         active = buckets.join(label.withColumnRenamed("id", "node"), "node")
         state = active.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-        open_ = durable(active.join(state.select("key", "members"), "key"))
+        open_ = active.join(state.select("key", "members"), "key")
+        if centres == 1:  # a linear number of pairs, taken as they are
+            open_ = durable(open_.select("*", *(F.lit(None).cast("long").alias(b) for b in words)))
+        else:
+            open_ = durable(open_.join(nodes.select("node", *(F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(words))), "node"))
         if open_.isEmpty():
             break
-        right = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("y"))
-        own = F.struct("node", "n", "comp").alias("c")
+        right = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("comp").alias("y"), *(F.col(b).alias(b.replace("p", "q")) for b in words))
+        own = F.struct("score", "node", "n", "c", "comp", *words).alias("own")
         least = {1: 0, None: 1 << 62}.get(centres, SMALL)  # from more members on, only some are centres
         few, many = open_.where(F.col("members") <= least), open_.where(F.col("members") > least)
-        some = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(centres or 1)).alias("part")).agg(F.min(own).alias("c"))
-        left = few.select("key", own).unionByName(some.select("key", "c"))
-        left = left.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("x"))
-        near = left.join(right, "key").where("x != y").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        some = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(centres or 1)).alias("part")).agg(F.max(own).alias("own"))
+        left = few.select("key", own).unionByName(some.select("key", "own"))
+        left = left.select("key", F.col("own.node").alias("a"), F.col("own.n").alias("na"), F.col("own.c").alias("ca"), F.col("own.comp").alias("x"), *(F.col(f"own.{b}") for b in words))
+        near = left.join(right, "key").where("x != y").where(F.least("ca", "cb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+        near = near if centres == 1 else near.where(alike(percent))
         pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = durable(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
         found = durable(verified(pairs, sets, percent))
@@ -172,7 +204,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = found if links is None else links.unionByName(found)
         label = components(wanted, links)
         if centres != 1:  # small buckets are done
-            buckets = open_.where(f"members > {SMALL}").select("key", "node", "n")
+            buckets = open_.where(f"members > {SMALL}").select("key", "node", "n", "c", "score")
 
     copies = nodes.where("copies > 1").select("digest", "node")
     out = docs.join(copies, "digest", "left").select("id", "n_shingles", F.coalesce("node", "id").alias("node"))
