@@ -173,3 +173,41 @@ def test_pipeline_decisions(spark):
     mixed = P.mix(spark, clean, SF)
     assert max(Counter(r.doc_id for r in mixed.collect()).values()) == 2
     assert P.pack(spark, mixed, SF).where("piece = 0").count() == mixed.count()
+
+
+GPL_HEADER = """/*
+ * prog - does things
+ * Copyright (C) 2019 Ann Example
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+"""
+MPL_HEADER = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+CODE = "int main(void) { return many + names * of_values; }\n" * 12
+
+
+def test_real_licence_notices(spark):
+    full = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    changed = lambda name: full[name].replace("The Regents of the University of California", "Foo Widgets 2021").replace("the University", "Foo").replace("<year> <copyright holders>", "2020 Bar").replace("npm, Inc.", "2018 Baz")
+    rows = [
+        (1, GPL_HEADER + CODE, "a/main.c", "GPL-3.0"), (2, GPL_HEADER.replace("version 3", "version 2").replace("software: you", "software; you") + CODE, "b/main.c", "GPL-2.0"), (3, MPL_HEADER + CODE, "c/x.py", "MPL-2.0"),
+        (4, "// SPDX-License-Identifier: (MIT OR Apache-2.0)\n" + CODE, "d/x.rs", "(MIT OR Apache-2.0)"), (5, "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\n" + CODE, "e/x.h", "GPL-2.0-only WITH Linux-syscall-note"),
+        (6, "Files have SPDX-License-Identifier: lines at the top\n" + CODE, "f/x.md", None), (7, changed("ISC"), "g/LICENSE.md", "ISC"), (8, CODE, "g/src/x.js", "ISC"), (9, changed("BSD-2-Clause"), "h/COPYING", "BSD-2-Clause"),
+        (10, changed("BSD-3-Clause"), "i/COPYING", "BSD-3-Clause"), (11, full["GPL-2.0"], "j/COPYING", "GPL-2.0"), (12, full["GPL-3.0"], "k/gpl.txt", "GPL-3.0"), (13, CODE, "k/lib/y.c", "GPL-3.0"), (14, full["LGPL-2.1"], "l/COPYING", "LGPL-2.1"),
+        (15, "/*\n" + "".join(f" * {x}\n" for x in changed("BSD-3-Clause").split("\n")) + " */\n" + CODE * 4, "m/z.c", "BSD-3-Clause"), (16, changed("MIT") + CODE * 4, "n/z.c", "MIT"), (17, "<!-- SPDX-License-Identifier: MIT-->" + CODE, "o/z.html", "MIT"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, p string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, path=F.col("p")).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {r[0]: r[3] for r in rows}
+    assert [got[i][1] for i in (1, 4, 7, 8, 12, 13)] == ["header", "header", "file", "inherited", "file", "inherited"]
