@@ -20,8 +20,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 TERM = r"[\p{L}\p{N}]+"
-#: Characters on either side of a span that count as its context.
-CONTEXT = 80
 NO_SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
 #: So many candidate terms at most are sent to every executor; more of them are joined by a shuffle.
 SENT = 200_000
@@ -85,52 +83,57 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def facts(text: Column, base: Column) -> Column:
-    """For each span, its two entities (the value; and its group: the e-mail's domain, the first half of an address or number), its context and the context's terms."""
+def facts(base: Column) -> Column:
+    """The entities of all spans: each span's value and its group (the e-mail's domain, the first half of an address or number)."""
 
     def of(x: Column) -> Column:
         half = F.when(x["kind"] == 0, F.substring_index(x["match"], "@", -1)).when(x["kind"] == 1, F.substring_index(x["match"], ".", 2)).otherwise(F.substring(digits(x["match"]), 1, 4))
-        before = F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - CONTEXT), F.least(x["start"], F.lit(CONTEXT)))
-        around = F.concat_ws(" ", F.regexp_replace(before, r"^[\p{L}\p{N}]+", ""), F.regexp_replace(F.substring(text, x["end"] + 1, F.lit(CONTEXT)), r"[\p{L}\p{N}]+$", ""))
         entity = lambda *v: F.xxhash64(x["kind"], *v)
-        return F.struct(F.array(entity(F.lit("value"), x["match"]), entity(F.lit("group"), half)).alias("entities"), F.xxhash64(around).alias("context"), terms(around).alias("terms"))
+        return F.array(entity(F.lit("value"), x["match"]), entity(F.lit("group"), half))
 
-    return F.transform(base, of)
+    return F.array_distinct(F.flatten(F.transform(base, of)))
+
+
+def holding(source: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """The named columns of source for each term of wanted that the text holds, with wanted's columns."""
+    few = wanted.count() <= SENT
+    return source.select(*names, F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
 
 
 def revealing(found: DataFrame, source: DataFrame, least: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, kind): terms whose pointwise mutual information with an entity comes near the entity's whole information.
+    """(term, kind): terms whose pointwise mutual information with an entity comes near the entity's whole information.
 
-    An entity's information is that of being in one of its contexts among all rows. Equal contexts
-    count once, so copies of a text make no term telling; entities and pairs of under `least` contexts
-    are no evidence. How common a term is, is counted over all rows.
+    A term and an entity meet in each text that holds both, the term outside of all spans. An entity's
+    information is that of being in one of its texts among all rows. Equal texts count once, so exact
+    copies make no term telling; entities and pairs of under `least` texts are no evidence. How common a
+    term is, is counted over all rows. The strictest entity decides about a term.
     """
-    fact = found.select(F.explode("facts").alias("f")).select(F.explode("f.entities").alias("entity"), "f.context", "f.terms")
-    fact = durable(fact.groupBy("entity", "context").agg(F.first("terms").alias("terms")))
-    entity = fact.groupBy("entity").agg(F.count("*").alias("nc")).where(F.col("nc") >= least)
-    pair = fact.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("nct")).where(F.col("nct") >= least)
-    pair = durable(pair.join(entity, "entity"))
-    wanted = durable(pair.select("term").distinct())
-    spread = source.select(F.explode(terms(F.col("text"))).alias("term"))
-    few = wanted.count() <= SENT
-    spread = spread.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    told = found.where("size(facts) > 0")
+    fact = told.select("context", F.explode("facts").alias("entity")).distinct()
+    entity = durable(fact.groupBy("entity").agg(F.count("*").alias("nc")).where(F.col("nc") >= least))
+    text = told.groupBy("context").agg(F.first("terms").alias("terms"))
+    pair = fact.join(entity, "entity", "left_semi").join(text, "context").select("entity", F.explode("terms").alias("term"))
+    pair = durable(pair.groupBy("entity", "term").agg(F.count("*").alias("nct")).where(F.col("nct") >= least).join(entity, "entity"))
+    spread = holding(source, durable(pair.select("term").distinct())).groupBy("term").agg(F.count("*").alias("nt"))
     rows = found.agg(F.count("*").alias("rows"))
-    told = pair.join(spread, "term").crossJoin(F.broadcast(rows))
+    met = pair.join(spread, "term").crossJoin(F.broadcast(rows))
     known = F.log2(F.col("rows") * F.col("nct") / (F.col("nc") * F.col("nt"))) / F.log2(F.col("rows") / F.col("nc"))
-    told = told.where("rows > nc").withColumn("share", F.round(known, 9)).where(F.col("share") >= generalise)
-    return told.select("entity", "term", F.when(F.col("share") >= remove, KINDS.index("removed")).otherwise(KINDS.index("generalised")).alias("kind"))
+    met = met.where("rows > nc").withColumn("share", F.round(known, 9)).where(F.col("share") >= generalise)
+    return met.groupBy("term").agg(F.max(F.when(F.col("share") >= remove, KINDS.index("removed")).otherwise(KINDS.index("generalised"))).alias("kind"))
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(key, id, base, all): each row's base spans and all its spans; key is a hash of id and text.
 
+    Revealing terms are spans in every row that holds them, whether or not it holds the entity.
     Other columns aren't carried. Equal rows have equal spans and stay repeated.
     """
     source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     found = source.withColumn("base", base_spans(F.col("text")))
-    found = durable(found.select("key", "id", bare(F.col("base")).alias("base"), facts(F.col("text"), F.col("base")).alias("facts")))
+    outside = F.when(F.size("base") > 0, terms(masked(F.col("text"), F.col("base"), (" ",) * len(KINDS))))
+    found = durable(found.select("key", "id", bare(F.col("base")).alias("base"), facts(F.col("base")).alias("facts"), F.xxhash64("text").alias("context"), outside.alias("terms")))
     told = durable(revealing(found, source, least, generalise, remove))
-    exposed = found.where("size(facts) > 0").select("key", F.explode(F.flatten("facts.entities")).alias("entity")).distinct().join(told, "entity")
+    exposed = holding(source, told, "key")
     lists = exposed.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == 4, F.col("term")))).alias("g"), F.array_sort(F.collect_set(F.when(F.col("kind") == 5, F.col("term")))).alias("r"))
     lists = durable(lists)
     named = source.select("key", "text").join(lists, "key").dropDuplicates(["key"])
@@ -156,12 +159,12 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return a.select(F.col("id").alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
-def masked(text: Column, items: Column) -> Column:
+def masked(text: Column, items: Column, masks: tuple[str, ...] = MASKS) -> Column:
     """The text with each span replaced by its kind's mask; overlapping spans share the first one's."""
 
     def add(acc: Column, x: Column) -> Column:
         new = x["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(F.array(*map(F.lit, MASKS)), x["kind"]))
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(F.array(*map(F.lit, masks)), x["kind"]))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, out).otherwise(acc["out"]).alias("out"))
 
     def end(acc: Column) -> Column:

@@ -211,3 +211,12 @@ def test_real_licence_notices(spark):
     got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, path=F.col("p")).collect()}
     assert {i: x for i, (x, _) in got.items()} == {r[0]: r[3] for r in rows}
     assert [got[i][1] for i in (1, 4, 7, 8, 12, 13)] == ["header", "header", "file", "inherited", "file", "inherited"]
+
+
+def test_revealing_terms_in_whole_texts(spark):
+    far = " ".join(["and the rest is"] * 30)
+    rows = [(i, f"Zorblatt: z@x.org item{i}") for i in range(4)] + [(10 + i, f"Quuxley note{i} {far} q@y.net") for i in range(4)]
+    rows += [(20, "Zorblatt was seen alone"), (21, "no address of Quuxley here")] + [(100 + i, f"item note and the rest is text{i}") for i in range(900)]
+    got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert not [i for i, t in got.items() if "Zorblatt" in t or "Quuxley" in t]
+    assert got[100] == dict(rows)[100] and got[20].endswith(" was seen alone") and "item2" in got[2]
