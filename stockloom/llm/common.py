@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor reaches; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which every executor reaches. Where it is unset, local mode takes one of its own; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back.
+#: The folders of written tables that are still there, by table.
+WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def durable(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder and reads it back; then deletes `over`, the written table that this one follows.
 
     A lost executor then costs a reread and no recomputation. The files go when the session ends.
     """
@@ -35,7 +42,19 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = path
+    if over is not None:
+        dropped(over)
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that durable() wrote and nothing reads any more."""
+    if path := WRITTEN.pop(df, None):
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -16,8 +15,6 @@ from .common import durable
 #: Coordinates of a sketch, in BANDS bands of ROWS. A pair of similarity s meets in some band but for (1 - s^4)^32: 5e-6 at 0.75.
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
-#: Up to so many members, a bucket compares all that are still apart; larger ones compare with a few hubs first.
-SMALL = 48
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,37 +69,22 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return keys
 
 
-def short(bins: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 coordinates to a word."""
-    return ((bins & np.uint64(3)).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def alike(percent: int) -> str:
-    """Whether the short sketches p0.. and q0.. differ in no more coordinates than those of a pair of that similarity do, but for one in ten millions."""
-    odd = SIZE * (1 - percent / 100) * 3 / 4
-    most = math.ceil(odd + 5.3 * math.sqrt(odd * (1 - odd / SIZE)))
-    differ = [f"bit_count(((p{i} ^ q{i}) | shiftrightunsigned(p{i} ^ q{i}, 1)) & {0x5555555555555555}L)" for i in range(SIZE // 32)]
-    return f"{' + '.join(differ)} <= {most}"
-
-
 def sketches(df: DataFrame, width: int) -> DataFrame:
     """id, n_shingles, digest of the set, and the band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digests, keys, bits = [], [], [], []
+            n, digests, keys = [], [], []
             for text in b.column(1).to_pylist():
                 items = shingles(text or "", width)
                 n.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                bins = sketch(items) if len(items) else None
-                keys.append(np.zeros(0, np.int64) if bins is None else band_keys(bins).view(np.int64))
-                bits.append(None if bins is None else short(bins))
+                keys.append(band_keys(sketch(items)).view(np.int64) if len(items) else np.zeros(0, np.int64))
             edges = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["id", "n_shingles", "digest", "keys"])
 
-    return df.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>, bits array<long>")
+    return df.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
 
 
 def shingle_sets(df: DataFrame, width: int) -> DataFrame:
@@ -122,23 +104,93 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     links inside a component drop out. The number of rounds is logarithmic in the length of the chains.
     """
     label = nodes.select("id", F.col("id").alias("comp"))
+    before, kept = None, None
     while True:
         ends = links.join(label.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
-        links = durable(ends.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        hooks = links.groupBy("a").agg(F.min("b").alias("b"))
+        links = before = durable(ends.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), over=before)
         if links.isEmpty():
             return label
+        hooks = links.groupBy("a").agg(F.min("b").alias("b"))
         up = hooks.select(F.col("a").alias("b"), F.col("b").alias("c"))
         for _ in range(2):
             hooks = hooks.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
-        label = durable(label.join(hooks.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("b", "comp").alias("comp")))
+        label = kept = durable(label.join(hooks.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("b", "comp").alias("comp")), over=kept)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with percent * union <= 100 * intersection, on the full sets."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes i and u of the intersection and union of their full sets."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
-    return both.select("a", "b", common.alias("i"), (F.size("s") + F.size("t") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
+    return both.select("a", "b", common.alias("i"), (F.size("s") + F.size("t") - common).alias("u"))
+
+
+def linked(percent: int) -> Column:
+    return F.col("i") * 100 >= F.col("u") * percent
+
+
+def offered(rows: DataFrame, groups: list[str], size: Column, need: Column) -> DataFrame:
+    """The prefixes of sets given as rows (m, item, df, ...): a set's rarest `size - need + 1` items, with their place and size.
+
+    Two sets that have `need` items in common, and items ordered alike, share one of these.
+    """
+    order = Window.partitionBy("m").orderBy("df", "item")
+    return rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= size - need + 1).select(*groups, "item", "node", "comp", "at", size.alias("size"), "n", "e")
+
+
+def family_pairs(apart: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sure links and candidate pairs (a, b) between components of one family, from (m, node, comp, fam, n, items), a row for each set.
+
+    A family's centre holds the items of most of its members, and each member is told by its difference D
+    from the centre. As |A xor B| = |D(A) xor D(B)|, a link means 2q |D(A) and D(B)| >= e(A) + e(B), where
+    e = q |D| - r n, q = 100 + percent and r = 100 - percent. A pair with e(A) + e(B) <= 0 links for sure, and
+    the family's member of the least e links with both. Any other pair has items of D in common, so it
+    shares one of each one's rarest, of so many as the least e among the other components asks for.
+    """
+    q, r = 100 + percent, 100 - percent
+    sizes = apart.groupBy("fam").agg(F.count("*").alias("members")).where("members > 1")
+    rows = apart.join(sizes, "fam")
+    centre = rows.select("fam", "members", F.explode("items").alias("item")).groupBy("fam", "item").agg(F.count("*").alias("df"), F.first("members").alias("members"))
+    centre = centre.where("2 * df > members").groupBy("fam").agg(F.collect_list("item").alias("centre"))  # at most twice as many as a member has on average
+    held = F.coalesce("centre", F.array().cast("array<bigint>"))
+    told = rows.join(centre, "fam", "left").withColumn("d", F.concat(F.array_except("items", held), F.array_except(held, "items"))).withColumn("e", q * F.size("d") - r * F.col("n"))
+    told = durable(told.select("m", "node", "comp", "fam", "n", "d", "e"))
+    by_comp = told.groupBy("fam", "comp").agg(F.min(F.struct("e", "node")).alias("least"))
+    first = by_comp.groupBy("fam").agg(F.min(F.struct("least", "comp")).alias("f"))
+    both = by_comp.join(first, "fam")
+    second = both.where("comp != f.comp").groupBy("fam").agg(F.min("least.e").alias("second"))
+    ends = durable(first.join(second, "fam").select("fam", F.col("f.least.node").alias("a"), F.col("f.least.e").alias("low"), F.col("f.comp").alias("x"), "second"))
+    rows = told.join(ends, "fam")
+    sure = rows.where("comp != x AND e + low <= 0").select("a", F.col("node").alias("b"))
+
+    rows = rows.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("e") + F.when(F.col("comp") == F.col("x"), F.col("second")).otherwise(F.col("low"))) / (2 * q))).cast("int"))
+    item = rows.where(F.size("d") >= F.col("need")).select("fam", "m", "node", "comp", "n", "e", "need", F.explode("d").alias("item"))
+    df = item.groupBy("fam", "item").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").drop("low", "high")
+    item = item.join(df, ["fam", "item"]).withColumn("size", F.count("*").over(Window.partitionBy("m"))).where("size >= need")
+    prefix = durable(offered(item, ["fam"], F.col("size"), F.col("need")))
+    left, right = (prefix.select("fam", "item", *(F.col(c).alias(f"{side}{c}") for c in ("node", "comp", "at", "size", "e"))) for side in "ab")
+    met = left.join(right, ["fam", "item"]).where("anode < bnode AND acomp != bcomp AND ae + be > 0")
+    met = met.where(2 * q * (1 + F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat"))) >= F.col("ae") + F.col("be"))
+    return sure.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), met.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+
+
+def foreign_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) between components of different families: sets that share one of each one's rarest items.
+
+    Items within one family don't count. A link needs percent / 100 of either set, so of a set's items known to several
+    families, all but so many are its prefix; most sets have too few of them for any link.
+    """
+    item = apart.select("m", "node", "comp", "fam", "n", F.explode("items").alias("item"))
+    df = item.groupBy("item").agg(F.count("*").alias("df"), F.min("fam").alias("low"), F.max("fam").alias("high")).where("low != high").drop("low", "high")
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    item = item.join(df, "item").withColumn("size", F.count("*").over(Window.partitionBy("m"))).where(F.col("size") >= need).withColumn("e", F.lit(0))
+    prefix = durable(offered(item, ["fam"], F.col("size"), need))
+    fams = prefix.select("item", "fam").distinct()
+    across = fams.select("item", F.col("fam").alias("afam")).join(fams.select("item", F.col("fam").alias("bfam")), "item").where("afam < bfam")
+    left, right = (prefix.select("item", *(F.col(c).alias(f"{side}{c}") for c in ("fam", "node", "comp", "at", "size", "n"))) for side in "ab")
+    met = across.join(left, ["item", "afam"]).join(right, ["item", "bfam"]).where("acomp != bcomp")
+    most = 1 + F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat"))
+    met = met.where(most * (100 + percent) >= (F.col("an") + F.col("bn")) * percent)
+    return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -152,59 +204,46 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a node of which such shingles are more than a quarter links with none and leaves the buckets: texts
     that only share passages do. The nodes of a band bucket are compared with the bucket's hub first, the
     node that meets most others over all its buckets: the original of a group of copies, as a rule. That
-    joins such groups by as many pairs as members. Then small buckets compare all their pairs across
-    components, and large ones do so after one more round with 16 hubs. Pairs whose numbers of shareable shingles
-    rule the similarity out, or whose short sketches do, aren't made; all others are verified on their full sets.
-    So no link that a band found is lost (but for one in ten millions), and no pair within a component
-    is made for its own sake.
+    joins such groups by as many pairs as members. Nodes of buckets that still hold several components
+    form families, by hubs that they share a quarter with; what links between them is then found by
+    prefixes of their sets, or of their differences from the family's centre, which lose no pair. All
+    candidates are verified on their full sets. So no link that a band found is lost, and no pair within
+    a component is made for its own sake.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = durable(sketches(source, width))
     named = docs.where("id IS NOT NULL AND digest IS NOT NULL")
-    nodes = named.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.max("n_shingles").alias("n"))
-    nodes = durable(nodes)
+    nodes = durable(named.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.max("n_shingles").alias("n")))
     member = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
     met = durable(member.join(shared, "key").select("key", "node", "n"))
-    sets = durable(shingle_sets(source.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), width))
+    sets = durable(shingle_sets(source.join(met.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), width))
     alone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("node"), F.count("*").alias("df")).where("df = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("own"))
-    held = met.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("c") * 100 >= F.col("n") * percent)
-    held = durable(held.select("key", "node", "n", "c"))
+    held = met.join(alone, "node", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * 100 >= F.col("n") * percent)
+    held = durable(held.select("key", "node").distinct())
     size = held.groupBy("key").agg(F.count("*").alias("met"))
-    hub = held.join(size, "key").groupBy("node").agg(F.sum("met").alias("score"))
-    buckets = durable(held.join(hub, "node").select("key", "node", "n", "c", "score"))
+    score = held.join(size, "key").groupBy("node").agg(F.sum("met").alias("score"))
+    buckets = durable(held.join(score, "node").select("key", "node", "score"), over=held)
     wanted = durable(buckets.select(F.col("node").alias("id")).distinct())
 
-    label = wanted.select("id", F.col("id").alias("comp"))
-    links, tried, words = None, None, [f"p{i}" for i in range(SIZE // 32)]
-    for centres in (1, 16, None):
-        active = buckets.join(label.withColumnRenamed("id", "node"), "node")
-        state = active.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-        open_ = active.join(state.select("key", "members"), "key")
-        if centres == 1:  # a linear number of pairs, taken as they are
-            open_ = durable(open_.select("*", *(F.lit(None).cast("long").alias(b) for b in words)))
-        else:
-            open_ = durable(open_.join(nodes.select("node", *(F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(words))), "node"))
-        if open_.isEmpty():
-            break
-        right = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("comp").alias("y"), *(F.col(b).alias(b.replace("p", "q")) for b in words))
-        own = F.struct("score", "node", "n", "c", "comp", *words).alias("own")
-        least = {1: 0, None: 1 << 62}.get(centres, SMALL)  # from more members on, only some are centres
-        few, many = open_.where(F.col("members") <= least), open_.where(F.col("members") > least)
-        some = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(centres or 1)).alias("part")).agg(F.max(own).alias("own"))
-        left = few.select("key", own).unionByName(some.select("key", "own"))
-        left = left.select("key", F.col("own.node").alias("a"), F.col("own.n").alias("na"), F.col("own.c").alias("ca"), F.col("own.comp").alias("x"), *(F.col(f"own.{b}") for b in words))
-        near = left.join(right, "key").where("x != y").where(F.least("ca", "cb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-        near = near if centres == 1 else near.where(alike(percent))
-        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        found = durable(verified(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        label = components(wanted, links)
-        if centres != 1:  # small buckets are done
-            buckets = open_.where(f"members > {SMALL}").select("key", "node", "n", "c", "score")
+    hubs = buckets.groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    pairs = buckets.join(hubs, "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    tried = durable(compared(pairs, sets))
+    links = tried.where(linked(percent)).select("a", "b")
+    label = components(wanted, links)
+
+    active = buckets.join(label.withColumnRenamed("id", "node"), "node")
+    state = active.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    open_ = durable(active.join(state, "key").select("node", "comp").distinct())
+    if not open_.isEmpty():
+        family = components(wanted, tried.where("4 * i >= u").select("a", "b"))
+        apart = open_.join(family.select(F.col("id").alias("node"), F.col("comp").alias("fam")), "node").join(sets.withColumnRenamed("id", "node"), "node")
+        apart = durable(apart.select(F.monotonically_increasing_id().alias("m"), "node", "comp", "fam", F.size("items").alias("n"), "items"))
+        sure, near = family_pairs(apart, percent)
+        pairs = near.unionByName(foreign_pairs(apart, percent)).distinct()
+        found = durable(compared(pairs, sets).where(linked(percent)).select("a", "b").unionByName(sure))
+        label = components(wanted, links.unionByName(found))
 
     copies = nodes.where("copies > 1").select("digest", "node")
     out = docs.join(copies, "digest", "left").select("id", "n_shingles", F.coalesce("node", "id").alias("node"))
