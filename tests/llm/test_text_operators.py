@@ -1,8 +1,10 @@
 """Personal data, chat, quality rules, fingerprints, classifier, licences and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -220,3 +222,71 @@ def test_revealing_terms_in_whole_texts(spark):
     got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
     assert not [i for i, t in got.items() if "Zorblatt" in t or "Quuxley" in t]
     assert got[100] == dict(rows)[100] and got[20].endswith(" was seen alone") and "item2" in got[2]
+
+
+def disclosed(rows, least=2, disclose=0.8):
+    """All spans of each row by brute force: base spans, and terms by pointwise mutual information over distinct texts."""
+    texts = {t or "" for _, t in rows}
+    found, facts, inside, held = {}, {}, {}, {}
+    for t in texts:
+        spans = [(int(a), k, int(b)) for k, a, b in (s.split(":") for s in base(t))]
+        found[t] = spans
+        holes = list(t)
+        for a, _, b in spans:
+            holes[a:b] = " " * (b - a)
+        word = lambda s: {m.group().lower() for m in re.finditer(r"[^\W_]+", s)}
+        inside[t], held[t] = word("".join(holes)) if spans else set(), word(t)
+        facts[t] = set()
+        for a, k, b in spans:
+            m = t[a:b]
+            half = m.split("@")[-1] if k == "email" else ".".join(m.split(".")[:2]) if k == "ip" else re.sub("[^0-9]", "", m)[:4]
+            facts[t] |= {(k, m), (k, "half", half)}
+    n = len(texts)
+
+    def share(e, holds):
+        nc = sum(e in facts[t] for t in texts)
+        nct, nt = sum(e in facts[t] and holds(inside[t]) for t in texts), sum(holds(held[t]) for t in texts)
+        return (nc, nct, math.log2(n * nct / (nc * nt)) / math.log2(n / nc) if nct and nc < n else 0)
+
+    entities, terms, masks = set().union(*facts.values()), set().union(*inside.values()), {}
+    for x in terms:
+        by = [e for e in entities for nc, nct, s in [share(e, lambda w: x in w)] if nc >= least and nct >= least and round(s, 9) >= disclose]  # noqa: B023
+        if by:
+            safe = [k for k in range(2, len(x)) if all(round(share(e, lambda w: any(y.startswith(x[:k]) for y in w))[2], 9) < disclose for e in by)]  # noqa: B023
+            masks[x] = x[: max(safe)] + "*" if safe else ""
+    out = {}
+    for i, t in rows:
+        t = t or ""
+        more = [(m.start(), "generalised" if masks[m.group().lower()] else "removed", m.end()) for m in re.finditer(r"[^\W_]+", t) if m.group().lower() in masks]
+        more = [x for x in more if all(b <= x[0] or x[2] <= a for a, _, b in found[t])]
+        order = ("email", "ip", "card", "phone", "generalised", "removed")
+        out[i] = ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(found[t] + more, key=lambda x: (x[0], order.index(x[1]))))
+    return out
+
+
+def test_disclosed_terms_equal_brute_force(spark):
+    rnd, words = random.Random(8), [a + b for a in ("mar", "mart", "ber", "lo") for b in ("", "en", "ens", "lin", "tus", "9", "97")]
+    rows = []
+    for i in range(220):
+        who = rnd.choice([None] * 6 + [0, 1, 2, 3])
+        text = " ".join(rnd.choice(words) for _ in range(6))
+        if who is not None:
+            text += f" Zed{who}x u{who}@h{who % 2}.org from kilo{who}{rnd.randint(0, 1)}" + " Wolfram" * (who == 3)
+        if rnd.random() < 0.1:
+            text = "Kilo" + rnd.choice("0123") + rnd.choice("01") + " " + text + " 10.0.0." + str(rnd.randint(1, 3))
+        rows.append((i, text))
+    rows += [(500, rows[0][1]), (501, None), (502, "")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs(spark, rows)).collect()}
+    want = disclosed(rows)
+    assert got == want and any("generalised" in s for s in want.values()) and any("removed" in s for s in want.values())
+
+
+def test_many_spans_of_one_text(spark):
+    text = " ".join(f"a{i}@b{i}.org" for i in range(60000))  # over 1 MB
+    rows = [(1, text), (2, "x " + text), (3, "x")]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert [got[i].n_email for i in (1, 2, 3)] == [60000, 60000, 0] and got[1].spans.endswith(f"email:{len(text) - len('a59999@b59999.org')}:{len(text)}")
+    out = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert out[1] == " ".join(["[EMAIL]"] * 60000) and out[3] in ("x", "")
+    assert time.time() - began < 240
