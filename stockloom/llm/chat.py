@@ -11,12 +11,15 @@ from .quality_rules import let
 OPEN, LINE, CLOSE, END = "[INST]", "\n", "[/INST]", "</s>"
 #: Escapes. "\" stands before what would read as markup; the parser takes it away again.
 ESCAPES = (("\\", "\\\\"), (OPEN, "[\\INST]"), (CLOSE, "[\\/INST]"), (END, "<\\/s>"))
-TURN = r"\[INST\]([^\n]*)\n((?s:.*?))(?:\[/INST\]|</s>)"
+#: A role holds no "[", so that a match starts nowhere but at a turn's own mark and no text is read twice.
+TURN = r"\[INST\]([^\n\[]*+)\n((?s:.*?))(?:\[/INST\]|</s>)"
+#: In roles, "%", line ends and "[" are escaped by their code.
+ROLE_ESCAPES = (("%", "%25"), ("\n", "%0A"), ("[", "%5B"))
 TURNS = "array<struct<turn:bigint,role:string,text:string,level:int>>"
 
 
 def escaped(text: Column, level: Column) -> Column:
-    """Level 0: as it is. Level 1: escape characters and markup are escaped. In roles, line ends are, too."""
+    """Level 0: as it is. Level 1: escape characters and markup are escaped."""
     full = text
     for plain, safe in ESCAPES:
         full = F.replace(full, F.lit(plain), F.lit(safe))
@@ -29,23 +32,26 @@ def unescaped(text: Column) -> Column:
 
 
 def role_mark(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
+    for plain, safe in ROLE_ESCAPES:
+        role = F.replace(role, F.lit(plain), F.lit(safe))
+    return role
 
 
 def role_of(mark: Column) -> Column:
-    return F.replace(F.replace(mark, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+    for plain, safe in reversed(ROLE_ESCAPES):
+        mark = F.replace(mark, F.lit(safe), F.lit(plain))
+    return mark
 
 
 def rendered(role: Column, text: Column, level: Column) -> Column:
-    mark = escaped(role_mark(role), F.lit(1))
-    return F.concat(F.lit(OPEN), mark, F.lit(LINE), escaped(text, level), F.when(role == "assistant", END).otherwise(CLOSE))
+    return F.concat(F.lit(OPEN), role_mark(role), F.lit(LINE), escaped(text, level), F.when(role == "assistant", END).otherwise(CLOSE))
 
 
 def parsed(formatted: Column) -> Column:
     """The turns (role, text) that a formatted string holds."""
     roles = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(1))
     texts = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(2))
-    return F.zip_with(roles, texts, lambda r, t: F.struct(role_of(unescaped(r)).alias("role"), unescaped(t).alias("text")))
+    return F.zip_with(roles, texts, lambda r, t: F.struct(role_of(r).alias("role"), unescaped(t).alias("text")))
 
 
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

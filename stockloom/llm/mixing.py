@@ -10,8 +10,8 @@ from .common import count_words, durable, text_or_empty
 #: Newton stops once every source is this near its target, relative to it; rounding makes good the rest.
 NEAR = 1e-5
 ROUNDS = 60
-#: So many of a source's largest distinct sizes are rounded with an exact carry, the smaller ones by their running sum.
-CARRIED = 1024
+#: After the running sums are rounded, each source changes one document's copies so many times at most, as long as that brings it nearer to its target.
+REPAIRS = 6
 #: Documents of one source and size are ranked in groups of about so many.
 GROUP = 4096
 
@@ -46,6 +46,7 @@ def balance(hist: DataFrame, goal: DataFrame, cap: float) -> DataFrame:
     halves that interval instead. Sums are decimals, so that they don't depend on the order of rows.
     """
     state = goal.select("sid", "target", "mean", F.lit(0.0).alias("theta"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    kept = None
     for _ in range(ROUNDS):
         rate = tilted(F.col("theta"), F.col("size"), F.col("mean"), cap)
         mass = F.col("n") * F.col("size")
@@ -61,34 +62,39 @@ def balance(hist: DataFrame, goal: DataFrame, cap: float) -> DataFrame:
         new = F.when((new > low) & (new < high), new).when((low > float("-inf")) & (high < float("inf")), (low + high) / 2).otherwise(F.col("theta") - F.signum(over) * far)
         miss = F.abs(over) / F.col("target")
         state = state.join(sums, "sid").select("sid", "target", "mean", F.when(miss <= NEAR, F.col("theta")).otherwise(new).alias("theta"), low.alias("low"), high.alias("high"), miss.alias("miss"))
-        state = durable(state)
+        state = kept = durable(state, over=kept)
         if not (state.agg(F.max("miss")).first()[0] or 0) > NEAR:
             break
     return state.select("sid", "theta")
 
 
-def rounded(rates: DataFrame) -> DataFrame:
+def rounded(rates: DataFrame, cap: int) -> DataFrame:
     """(sid, size, n, copies): whole copies for all n documents of a size, from (sid, size, n, rate).
 
-    From the largest size down, each size takes the whole number beside n * rate that brings the words so
-    far nearest to their target. Beyond CARRIED sizes the running sum of n * rate is rounded, which is
-    out by less than one document of those sizes.
+    From the largest size down, the running sum of n * rate is rounded: since sizes fall, a source's words are
+    out by half of its largest document at most. Then each source makes good what it is out: it takes one
+    copy more or less of the size that brings it nearest, as long as any does; one rule at any number of sizes.
     """
     down = Window.partitionBy("sid").orderBy(F.col("size").desc())
-    r = rates.withColumn("k", F.row_number().over(down)).withColumn("want", F.col("n") * F.col("rate"))
-    top = r.where(F.col("k") <= CARRIED).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("k", "size", "n", "want"))).alias("items"))
-
-    def carry(acc: Column, x: Column) -> Column:
-        size = F.greatest(x["size"], F.lit(1))
-        n = F.greatest(F.floor(x["want"]), F.least(F.ceil(x["want"]), F.floor(x["want"] + acc["owed"] / size + 0.5)))
-        return F.struct((acc["owed"] + (x["want"] - n) * x["size"]).alias("owed"), F.concat(acc["out"], F.array(F.struct(x["size"].alias("size"), x["n"].alias("n"), n.cast("long").alias("copies")))).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("out"))
-    folded = top.select("sid", F.explode(F.aggregate("items", start, carry)["out"]).alias("x")).select("sid", "x.*")
-    rest = r.where(F.col("k") > CARRIED)
+    r = rates.withColumn("want", F.col("n") * F.col("rate"))
     run = F.floor(F.sum(F.col("want").cast("decimal(30,9)")).over(down.rowsBetween(Window.unboundedPreceding, 0)) + F.lit(0.5).cast("decimal(3,1)"))
-    rest = rest.withColumn("run", run.cast("long")).withColumn("copies", F.col("run") - F.coalesce(F.lag("run").over(down), F.lit(0)))
-    return folded.unionByName(rest.select("sid", "size", "n", F.greatest(F.lit(0), "copies").cast("long").alias("copies")))
+    r = r.withColumn("run", run.cast("long")).withColumn("copies", F.col("run") - F.coalesce(F.lag("run").over(down), F.lit(0)))
+    r = r.select("sid", "size", "n", F.least(F.greatest(F.lit(0), "copies"), cap * F.col("n")).cast("long").alias("copies"), (F.col("want") * F.col("size")).alias("words"))
+    r = durable(r)
+    owed = r.groupBy("sid").agg((F.sum(F.col("words").cast("decimal(30,6)")) - F.sum(F.col("copies") * F.col("size"))).cast("double").alias("owed"))
+    r = r.drop("words")
+    state = durable(owed)
+    for _ in range(REPAIRS):
+        sign = F.signum("owed")
+        left = F.abs(F.abs("owed") - F.col("size"))
+        able = F.when(sign > 0, F.col("copies") < cap * F.col("n")).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (left < F.abs("owed"))
+        best = r.join(state, "sid").where(able).groupBy("sid").agg(F.min(F.struct(left.alias("left"), "size", sign.cast("long").alias("by"))).alias("best"))
+        step = durable(best.select("sid", F.col("best.size").alias("at"), F.col("best.by").alias("by")))
+        if step.isEmpty():
+            break
+        r = durable(r.join(step, "sid", "left").select("sid", "size", "n", (F.col("copies") + F.when(F.col("size") == F.col("at"), F.col("by")).otherwise(0)).alias("copies")), over=r)
+        state = durable(state.join(step, "sid", "left").select("sid", (F.col("owed") - F.coalesce(F.col("by") * F.col("at"), F.lit(0))).alias("owed")), over=state)
+    return r
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -102,7 +108,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     Scale: Newton and the rounding work on the counts of (source, size), whose number the longest text
     bounds; a document is touched when its words are counted and when copies are dealt out, in groups of
-    about GROUP documents of one source and size. One task orders the sources, a row each.
+    about GROUP documents of one source and size. Skewed sizes are left to the adaptive join. One task orders the sources, a row each.
     """
     docs = durable(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(text_or_empty(text_col)).alias("size")))
     pairs = durable(docs.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -114,7 +120,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     theta = balance(hist, goal.where(~full & (F.col("target") > 0)).join(mean, "sid"), cap)
     rate = F.when(F.col("size") == 0, 1.0).when(full, F.lit(float(cap))).when(F.col("theta").isNull(), 0.0).otherwise(F.round(tilted(F.col("theta"), F.col("size"), F.col("mean"), cap), 9))
     rates = hist.join(goal, "sid").join(mean, "sid").join(theta, "sid", "left").select("sid", "size", "n", rate.alias("rate"))
-    plan = rounded(rates).join(goal.select("sid", F.col("source").alias("s"), "source_size", "target"), "sid")
+    plan = rounded(rates, cap).join(goal.select("sid", F.col("source").alias("s"), "source_size", "target"), "sid")
     plan = durable(plan.select("sid", "s", "source_size", "target", F.col("size").alias("z"), "n", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("extra")))
 
     dealt = docs.join(plan, docs["source"].eqNullSafe(plan["s"]) & (docs["size"] == plan["z"]))

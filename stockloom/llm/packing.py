@@ -117,7 +117,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     Scale: only the histogram of lengths (at most capacity rows) reaches the driver, and the runs made
     from it go back. A piece's rank among those of its length is its place in its input partition plus
-    the counts of the partitions before, which a window over (partition, length) counts gives.
+    the counts of the partitions before, which a window over (partition, length) counts gives; these counts
+    grow with the input, so they meet the pieces (some 50 bytes each) by a shuffle.
     """
     spark = df.sparkSession
     pieces = durable(token_pieces(df, id_col, text_col, capacity, end_id, path or default_path()))
@@ -128,7 +129,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     plan = np.array(runs, np.int64).reshape(-1, 5)
     sent = spark.sparkContext.broadcast((plan, np.searchsorted(plan[:, 0], np.arange(capacity + 2))))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    ranked = pieces.join(counts.select("length", "part", before.alias("before")), ["length", "part"])
+    ranked = pieces.join(counts.select("length", "part", before.alias("before")).hint("merge"), ["length", "part"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, edge = sent.value

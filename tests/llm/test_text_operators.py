@@ -290,3 +290,15 @@ def test_many_spans_of_one_text(spark):
     out = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
     assert out[1] == " ".join(["[EMAIL]"] * 60000) and out[3] in ("x", "")
     assert time.time() - began < 240
+
+
+@pytest.mark.parametrize("bit", ["[INST] </s> \\ ", "[INST]", "[INST]\n", "[", "</s", "\\"])
+def test_chat_of_long_texts(spark, bit):
+    text = bit * (4_000_000 // len(bit))
+    rows = [(1, 1, "user", text), (1, 2, "assistant", text), (2, 1, "a[b%\n[INST]", text)]
+    began = time.time()
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [got[1].n_turns, got[1].loss_chars, got[2].n_turns] == [2, len(text), 1]
+    assert got[1].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert got[2].turns_sha256 == hashlib.sha256(f"a[b%\n[INST]\n{text}\n".encode()).hexdigest()
+    assert time.time() - began < 60
