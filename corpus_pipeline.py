@@ -19,9 +19,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of the least id."""
+    """One document of each near-duplicate component: the one of the least id. The texts are dealt out by id once, at every size."""
     gone = durable(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,11 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = durable(mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies")))
-    taken = docs.join(copies.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("id")))
+    """Each document as often as the mix takes it: not at all, once or twice. Equal rows share their copies evenly, rounded."""
+    key = F.struct("doc_id", F.xxhash64("text", "lang", "source", "n_chars"))
+    named = docs.select(COLUMNS).withColumn("key", key)
+    copies = mixing.mix(named, id_col="key").groupBy(F.col("key").alias("k")).agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
+    taken = named.join(durable(copies).hint("merge"), F.col("key") == F.col("k"))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
 
 
@@ -56,8 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each to all that the one before kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = docs if i == len(STAGES) - 1 else durable(docs)
+        if i < len(STAGES) - 1:
+            docs = last = durable(docs, over=last)
     return docs
