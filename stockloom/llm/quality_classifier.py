@@ -12,12 +12,15 @@ from .common import durable, text_or_empty, words
 from .quality_rules import COMMON, SPACES, kept_chars, let
 
 BINS = 16
-SOURCES = 32
-#: A view's log odds from which its guess counts as a label for the other view, and the weight of such labels.
-SURE, PSEUDO = 4.0, 0.2
+#: Of all rows without a label, a view labels this share for the other one: its surest ones, of either class in proportion to the labels.
+SURE = 0.25
+#: The weight of such a label, times how far the view beats chance on the held-out labels of the same scores.
+PSEUDO = 0.5
 ROUNDS = 2
 #: One labelled row in so many is held out to calibrate and combine the views.
 HELD = 4
+#: Stands for a null language or source.
+NONE = "\u0000"
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -58,34 +61,103 @@ def text_view(text: Column) -> Column:
     return let(parts, bins)
 
 
-def page_view(text: Column, lang: Column, source: Column) -> Column:
-    """Bins of the page's metadata: language, source, size, number and length of lines."""
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return F.array(F.pmod(F.xxhash64(lang), F.lit(SOURCES)).cast("int"), F.pmod(F.xxhash64(source), F.lit(SOURCES)).cast("int"), size(F.length(text)), size(lines), size(F.length(text) / lines))
+def odds_of(n: np.ndarray, values: int) -> np.ndarray:
+    """Log odds of good from counts (..., 2) of bad and good, smoothed over so many values."""
+    smooth = (n + 0.5) / (n.sum(axis=-2, keepdims=True) + 0.5 * values)
+    return np.log(smooth[..., 1] / smooth[..., 0])
 
 
-def fitted(rows: DataFrame, view: str, target: Column, weight: Column) -> tuple[float, list[list[float]]]:
-    """Log odds of good for each feature and bin, from one pass of counts: at most features x bins x 2 of them reach the driver."""
-    told = rows.withColumn("y", target).withColumn("w", weight).where("y IS NOT NULL")
-    counts = told.select("y", "w", F.posexplode(view).alias("f", "bin")).groupBy("f", "bin", "y").agg(F.sum(F.col("w").cast("decimal(20,4)")).cast("double").alias("n")).collect()
-    n = np.zeros((max((r["f"] for r in counts), default=0) + 1, SOURCES, 2))
+def binned(told: DataFrame, bins: str) -> tuple[float, list[list[float]]]:
+    """The prior and the log odds of good for each feature and bin, from (y, w, bins): at most features x BINS x 2 counts reach the driver."""
+    counts = told.select("y", "w", F.posexplode(bins).alias("f", "bin")).groupBy("f", "bin", "y").agg(F.sum(F.col("w").cast("decimal(20,4)")).cast("double").alias("n")).collect()
+    n = np.zeros((max((r["f"] for r in counts), default=0) + 1, BINS, 2))
     for r in counts:
         n[r["f"], r["bin"], r["y"]] = r["n"]
     totals = n[0].sum(axis=0)
     if not totals.all():
         return 0.0, np.zeros(n.shape[:2]).tolist()
-    smooth = (n + 0.5) / (totals + 0.5 * SOURCES)
-    return math.log(totals[1] / totals[0]), np.log(smooth[:, :, 1] / smooth[:, :, 0]).tolist()
+    return math.log(totals[1] / totals[0]), odds_of(n, BINS).tolist()
 
 
-def scored(view: str | Column, model: tuple[float, list[list[float]]]) -> Column:
-    prior, table = model
+def valued(told: DataFrame, name: str) -> DataFrame:
+    """(name, name_odds): log odds of good for each exact value that the told rows have; other values are neutral."""
+    weight = lambda y: F.sum(F.when(F.col("y") == y, F.col("w")).otherwise(0).cast("decimal(20,4)")).cast("double")
+    n = durable(told.groupBy(name).agg(weight(0).alias("n0"), weight(1).alias("n1")))
+    total = n.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("*").alias("k")).first()
+    if not total["t0"] or not total["t1"]:
+        return n.select(name, F.lit(0.0).alias(f"{name}_odds"))
+    part = lambda y: (F.col(f"n{y}") + 0.5) / (total[f"t{y}"] + 0.5 * total["k"])
+    return n.select(name, F.round(F.log(part(1) / part(0)), 6).alias(f"{name}_odds"))
+
+
+def fitted(told: DataFrame) -> tuple[tuple, tuple]:
+    """The text model and the page model from told rows (y and w of either view)."""
+    text = told.select(F.col("text_y").alias("y"), F.col("text_w").alias("w"), "text_bins").where("y IS NOT NULL")
+    page = told.select(F.col("page_y").alias("y"), F.col("page_w").alias("w"), "page_bins", "lang", "source").where("y IS NOT NULL")
+    return binned(text, "text_bins"), (*binned(page, "page_bins"), valued(page, "lang"), valued(page, "source"))
+
+
+def scored(bins: str, prior: float, table: list[list[float]]) -> Column:
     odds = F.lit(prior)
     for f, row in enumerate(table):
-        odds = odds + F.coalesce(F.get(F.array(*map(F.lit, row)), F.get(view, F.lit(f))), F.lit(0.0))
+        odds = odds + F.coalesce(F.get(F.array(*map(F.lit, row)), F.get(bins, F.lit(f))), F.lit(0.0))
     return F.round(odds, 6)
 
 
+def with_odds(rows: DataFrame, models: tuple[tuple, tuple]) -> DataFrame:
+    """rows with t and p, the log odds of good that the text and the page give."""
+    text, (prior, table, langs, sources) = models
+    both = rows.join(langs, "lang", "left").join(sources, "source", "left")
+    page = scored("page_bins", prior, table) + F.coalesce("lang_odds", F.lit(0.0)) + F.coalesce("source_odds", F.lit(0.0))
+    return both.withColumn("t", scored("text_bins", *text)).withColumn("p", F.round(page, 6)).drop("lang_odds", "source_odds")
+
+
+def surest(scores: DataFrame, view: str, good: float) -> dict:
+    """From which score on a view is sure of good, up to which of bad, and the weight of either label, from (label, held, t, p).
+
+    Scores are counted in steps of a tenth, so the driver gets a bounded number of them.
+    """
+    counts = scores.select(F.round(F.col(view) * 10).cast("int").alias("s"), F.when(F.col("held"), F.col("label")).alias("y"), F.col("label").isNull().alias("open"))
+    counts = counts.groupBy("s", "y", "open").agg(F.count("*").alias("n")).collect()
+    steps = sorted({r["s"] for r in counts})
+    free, told = ({s: 0 for s in steps} for _ in range(2))
+    hit = dict(told)
+    for r in counts:
+        free[r["s"]] += r["n"] * r["open"]
+        if r["y"] is not None:
+            told[r["s"]] += r["n"]
+            hit[r["s"]] += r["n"] * r["y"]
+
+    def edge(order: list[int], share: float) -> int | None:
+        left = SURE * share * sum(free.values())
+        for s in order[:-1]:
+            left -= free[s]
+            if left <= 0:
+                return s
+        return None
+
+    high, low = edge(steps[::-1], good), edge(steps, 1 - good)
+    if high is None or low is None or low >= high:
+        return {"high": None, "low": None, "weights": (0.0, 0.0)}
+
+    def beats(y: int, inside: list[int]) -> float:
+        n, k, chance = sum(told[s] for s in inside), sum(hit[s] for s in inside), good if y else 1 - good
+        right = ((k if y else n - k) + chance) / (n + 1)
+        return max(0.0, (right - chance) / (1 - chance)) if chance < 1 else 0.0
+
+    weights = (beats(0, [s for s in steps if s <= low]), beats(1, [s for s in steps if s >= high]))
+    return {"high": high, "low": low, "weights": weights}
+
+
+def pseudo(view: str, sure: dict) -> tuple[Column, Column]:
+    """The labels that a view gives to rows without one, and their weights."""
+    if sure["high"] is None:
+        return F.lit(None).cast("int"), F.lit(0.0)
+    step, (bad, good) = F.round(F.col(view) * 10).cast("int"), sure["weights"]
+    label = F.when(F.col("label").isNull(), F.when((step >= sure["high"]) & F.lit(good > 0), 1).when((step <= sure["low"]) & F.lit(bad > 0), 0))
+    return label, F.when(label == 1, PSEUDO * good).otherwise(PSEUDO * bad)
+
+
 def combined(held: DataFrame) -> tuple[float, float, float]:
     """Weights of the two views' log odds and a constant: logistic regression on held-out labels, by their counts over a grid of scores."""
     grid = lambda c: F.least(F.lit(40), F.greatest(F.lit(-40), F.round(F.col(c) * 2))).cast("int").alias(c)
@@ -106,60 +178,63 @@ def combined(held: DataFrame) -> tuple[float, float, float]:
     return tuple(float(b) for b in beta)
 
 
-def learn(rows: DataFrame) -> tuple[dict[str, tuple], tuple[float, float, float]]:
-    """The two views' models and the weights that combine them, from (id, label or null, text_bins, page_bins)."""
+def learn(rows: DataFrame, rounds: int = ROUNDS, report: list | None = None) -> tuple[tuple, DataFrame]:
+    """The two views' models with the weights that combine them, and the rows with both scores; report gets the numbers of labels that each round exchanges."""
     held = F.pmod(F.xxhash64("id"), F.lit(HELD)) == 0
     known = F.when(F.col("label").isNotNull() & ~held, F.col("label"))
-    models = {v: fitted(rows, v, known, F.lit(1.0)) for v in ("text_bins", "page_bins")}
-    for _ in range(ROUNDS):
-        guess = {v: scored(v, models[v]) for v in models}
-
-        def target(other: str) -> Column:
-            sure = F.when(F.col("label").isNull() & (F.abs(guess[other]) >= SURE), (guess[other] > 0).cast("int"))  # noqa: B023
-            return F.coalesce(known, sure)
-
-        weight = F.when(F.col("label").isNull(), PSEUDO).otherwise(1.0)
-        models = {"text_bins": fitted(rows, "text_bins", target("page_bins"), weight), "page_bins": fitted(rows, "page_bins", target("text_bins"), weight)}
-    odds = rows.where(F.col("label").isNotNull() & held).select("label", scored("text_bins", models["text_bins"]).alias("t"), scored("page_bins", models["page_bins"]).alias("p"))
-    return models, combined(odds)
-
-
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+    share = rows.select(known.alias("y")).agg(F.avg("y"), F.count("y")).first()
+    models = fitted(rows.select("*", *(x.alias(n) for n, x in (("text_y", known), ("page_y", known), ("text_w", F.lit(1.0)), ("page_w", F.lit(1.0))))))
+    scores = durable(with_odds(rows, models))
+    for _ in range(rounds if share[1] and 0 < share[0] < 1 else 0):
+        told = {v: surest(scores.withColumn("held", held), v, share[0]) for v in "tp"}
+        (by_text, text_sure), (by_page, page_sure) = (pseudo(v, told[v]) for v in "tp")
+        if report is not None:
+            report.append({f"{v}_{y}": n for v, x in (("text", by_text), ("page", by_page)) for y, n in zip(("bad", "good"), scores.agg(F.count_if(x == 0), F.count_if(x == 1)).first(), strict=True)})
+        weight = lambda w: F.when(known.isNotNull(), 1.0).otherwise(w)
+        models = fitted(scores.select("*", F.coalesce(known, by_page).alias("text_y"), weight(page_sure).alias("text_w"), F.coalesce(known, by_text).alias("page_y"), weight(text_sure).alias("page_w")))
+        scores = durable(with_odds(rows, models), over=scores)
+    return (models, combined(scores.where(F.col("label").isNotNull() & held))), scores
+
+
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", size_col: str = "n_chars", least: float = 0.5, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
     """One row for each row of df: id, text_odds, page_odds (log odds of good), quality (probability) and kept.
 
-    Each view is a naive Bayes classifier over binned features. Both start from the labelled rows; in each
-    of ROUNDS rounds, all rows without a label of which one view is sure are labels for the other. The
-    held-out labelled rows calibrate and combine the two. A row is kept if its quality is at least `least`.
+    Each view is a naive Bayes classifier: of the text by binned features of its content, of the page by
+    its metadata alone: language and source by their exact values, the given size, and how many pages of
+    what mean size the source has. Both start from the labelled rows; in each round, each view labels the
+    rows without a label of which it is surest for the other view. The held-out labelled rows weigh such
+    labels, and calibrate and combine the two views in the end. A row is kept if its quality is at least `least`.
     Several labels of one id count as the worst of them; labels other than 0 and 1 don't count. Null texts
-    count as empty, null languages and sources as values of their own. Without labels of both kinds all
-    odds are 0 and all rows kept. Repeated rows stay; an empty table gives an empty result. Other columns
-    aren't carried.
+    count as empty, null languages and sources as values of their own, a missing size as 0. Without labels of
+    both kinds all odds are 0 and all rows kept. Repeated rows stay; an empty table gives an empty result.
+    Other columns aren't carried.
     """
-    rows = viewed(df, labels, id_col, text_col, lang_col, source_col, label_col)
-    models, (a, b, c) = learn(rows)
-    t, p = (scored(v, models[v]) for v in ("text_bins", "page_bins"))
-    out = rows.select(F.col("id").alias(id_col), t.alias("text_odds"), p.alias("page_odds"))
-    quality = F.round(1 / (1 + F.exp(-(F.col("text_odds") * a + F.col("page_odds") * b + c))), 6)
-    return out.withColumn("quality", quality).withColumn("kept", F.col("quality") >= least)
-
-
-def viewed(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, label_col: str) -> DataFrame:
-    seen = df.select(F.col(id_col).alias("id"), *views(text_col, lang_col, source_col))
-    gold = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    return durable(durable(seen).join(gold, "id", "left"))
+    out = judged(df, labels, id_col, text_col, lang_col, source_col, label_col, size_col, least, rounds, report)
+    return out.select(F.col("id").alias(id_col), F.col("t").alias("text_odds"), F.col("p").alias("page_odds"), "quality", "kept")
 
 
-def views(text_col: str, lang_col: str, source_col: str) -> list[Column]:
-    text = text_or_empty(text_col)
-    return [text_view(text).alias("text_bins"), page_view(text, F.col(lang_col).cast("string"), F.col(source_col).cast("string")).alias("page_bins")]
+def judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, label_col: str, size_col: str, least: float, rounds: int, report: list | None = None) -> DataFrame:
+    rows = viewed(df, labels, id_col, text_col, lang_col, source_col, label_col, size_col)
+    (_, (a, b, c)), scores = learn(rows, rounds, report)
+    quality = F.round(1 / (1 + F.exp(-(F.col("t") * a + F.col("p") * b + c))), 6)
+    return scores.select("id", "key", "t", "p", quality.alias("quality")).withColumn("kept", F.col("quality") >= least)
 
 
-def good_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows of df that classify() keeps, with all their columns. They are scored where they stand, without a shuffle."""
-    models, (a, b, c) = learn(viewed(df, labels, id_col, text_col, lang_col, source_col, label_col))
+def viewed(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, label_col: str, size_col: str) -> DataFrame:
+    """(id, key, label, text_bins, page_bins, lang, source): narrow rows, made in one pass over the texts; key is a hash of the text."""
+    text, given = text_or_empty(text_col), F.col(size_col).cast("double") if size_col in df.columns else F.lit(0.0)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    seen = durable(df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text_view(text).alias("text_bins"), name(lang_col).alias("lang"), name(source_col).alias("source"), F.greatest(F.lit(0.0), F.coalesce(given, F.lit(0.0))).alias("chars")))
+    site = seen.groupBy("source").agg(F.count("*").alias("pages"), F.avg("chars").alias("mean"))
+    gold = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    page = F.array(size(F.col("chars")), size(F.col("pages")), size(F.col("mean")))
+    both = seen.join(site, "source").withColumn("page_bins", page).join(gold, "id", "left")
+    return durable(both.select("id", "key", "label", "text_bins", "page_bins", "lang", "source"), over=seen)
 
-    def kept(v: Column) -> Column:
-        t, p = (scored(v[name], models[name]) for name in ("text_bins", "page_bins"))
-        return F.round(1 / (1 + F.exp(-(t * a + p * b + c))), 6) >= least
 
-    return df.where(let(F.struct(*views(text_col, lang_col, source_col)), kept))
+def good_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", size_col: str = "n_chars", least: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of df that classify() keeps, with all their columns: the texts are scored once and dealt out by id once, at every size."""
+    good = judged(df, labels, id_col, text_col, lang_col, source_col, label_col, size_col, least, rounds).where("kept")
+    good = durable(good.select(F.col("id").alias("_good_id"), F.col("key").alias("_good_key")).distinct())
+    same = F.col(id_col).eqNullSafe(F.col("_good_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_good_key"))
+    return df.join(good.hint("merge"), same, "left_semi")
