@@ -43,11 +43,17 @@ c AS (SELECT d.doc_id, d.lang, length(t) AS chars, len(w) AS n_words, length(reg
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN names ON names.lang = d.lang),
 h AS (SELECT *, [lo, up, di, st, n_symbols, chars - word_chars, word_chars - lo - up - di - st - n_symbols] AS a, list_transform(own, lambda x: len(list_filter(plain, lambda y: y = x))) AS b0 FROM c),
 k AS (SELECT *, list_append(b0, n_words - coalesce(list_sum(b0), 0)) AS b FROM h),
-e AS (SELECT lang, 'a' AS kind, i, avg(a[i] / chars) FILTER (chars > 0) AS q FROM k, range(1, 8) s(i) GROUP BY lang, i UNION ALL SELECT lang, 'b', i, avg(b[i] / n_words) FILTER (n_words > 0) FROM k, range(1, 12) s(i) GROUP BY lang, i),
-p AS (SELECT doc_id, 'a' AS kind, lang, i, a[i] / list_sum(a) AS p FROM k, range(1, 8) s(i) WHERE list_sum(a) > 0 UNION ALL SELECT doc_id, 'b', lang, i, b[i] / list_sum(b) FROM k, range(1, 12) s(i) WHERE list_sum(b) > 0),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM k),
+p AS (SELECT doc_id, 'a' AS kind, lang, i, a[i] / list_sum(a) AS p FROM m, range(1, 8) s(i) WHERE list_sum(a) > 0 UNION ALL SELECT doc_id, 'b', lang, i, b[i] / list_sum(b) FROM m, range(1, 12) s(i) WHERE list_sum(b) > 0),
+c1 AS (SELECT * FROM m WHERE n_words >= 40 AND NOT failed),
+e1 AS (SELECT lang, 'a' AS kind, i, avg(a[i] / chars) FILTER (chars > 0) AS q FROM c1, range(1, 8) s(i) GROUP BY lang, i HAVING count(*) >= 20 UNION ALL SELECT lang, 'b', i, avg(b[i] / n_words) FILTER (n_words > 0) FROM c1, range(1, 12) s(i) GROUP BY lang, i HAVING count(*) >= 20),
+j1 AS (SELECT doc_id, kind, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2))), 9) AS s
+  FROM (SELECT p.doc_id, p.kind, p.p, e.q / sum(e.q) OVER (PARTITION BY p.doc_id, p.kind) AS q FROM p JOIN e1 e ON e.lang IS NOT DISTINCT FROM p.lang AND e.kind = p.kind AND e.i = p.i) GROUP BY 1, 2),
+c2 AS (SELECT c1.* FROM c1 WHERE doc_id NOT IN (SELECT doc_id FROM j1 WHERE s > 0.25)),
+e2 AS (SELECT lang, 'a' AS kind, i, avg(a[i] / chars) FILTER (chars > 0) AS q FROM c2, range(1, 8) s(i) GROUP BY lang, i HAVING count(*) >= 20 UNION ALL SELECT lang, 'b', i, avg(b[i] / n_words) FILTER (n_words > 0) FROM c2, range(1, 12) s(i) GROUP BY lang, i HAVING count(*) >= 20),
 j AS (SELECT doc_id, kind, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2))), 9) AS s
-  FROM (SELECT p.doc_id, p.kind, p.p, e.q / sum(e.q) OVER (PARTITION BY p.doc_id, p.kind) AS q FROM p JOIN e ON e.lang IS NOT DISTINCT FROM p.lang AND e.kind = p.kind AND e.i = p.i) GROUP BY 1, 2),
-f AS (SELECT k.*, coalesce(x.s, 0) AS cd, coalesce(y.s, 0) AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM k LEFT JOIN j x ON x.doc_id = k.doc_id AND x.kind = 'a' LEFT JOIN j y ON y.doc_id = k.doc_id AND y.kind = 'b')
+  FROM (SELECT p.doc_id, p.kind, p.p, e.q / sum(e.q) OVER (PARTITION BY p.doc_id, p.kind) AS q FROM p JOIN e2 e ON e.lang IS NOT DISTINCT FROM p.lang AND e.kind = p.kind AND e.i = p.i) GROUP BY 1, 2),
+f AS (SELECT m.*, coalesce(x.s, 0) AS cd, coalesce(y.s, 0) AS wd FROM m LEFT JOIN j x ON x.doc_id = m.doc_id AND x.kind = 'a' LEFT JOIN j y ON y.doc_id = m.doc_id AND y.kind = 'b')
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  failed AS base_failed, NOT failed AND NOT (n_words >= 40 AND (cd > 0.25 OR cd > 0.15 AND wd > 0.23)) AS kept, cd AS class_distance, wd AS common_distance FROM f
+  failed AS base_failed, NOT failed AND NOT (n_words >= 40 AND (cd > 0.25 OR wd > 0.25)) AS kept, cd AS class_distance, wd AS common_distance FROM f
 """

@@ -89,12 +89,14 @@ def divergence(p: Column, q: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x)))).otherwise(0.0)
 
 
-def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", far_class: float = 0.25, max_class: float = 0.15, max_common: float = 0.23, least_words: int = 40) -> DataFrame:
+def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class: float = 0.25, max_common: float = 0.25, least_words: int = 40, least_rows: int = 20) -> DataFrame:
     """One row for each row of df: the base counts, base_failed, the two distances and kept.
 
-    A language's reference is the mean of its rows' histograms: of character classes, and of its
-    common words. A row is dropped if it failed the base rules, or if its class distance exceeds
-    far_class, or if both distances exceed max_class and max_common; texts under least_words words are
+    A language's reference is a trimmed mean of its rows' histograms, of character classes and of its
+    common words. Rows of at least least_words words that pass the base rules count; those beyond either
+    greatest distance from their mean are left out, and the mean of the others is the reference. A language of
+    fewer than least_rows counting rows has none, and its rows are at distance 0. A row is dropped if it
+    failed the base rules, or if either distance exceeds its limit; texts under least_words words are
     not judged by their distances. Null texts have no words and fail the base rules. A null language is a
     language of its own. Repeated rows count and stay; an empty table gives an empty result. Other
     columns aren't carried.
@@ -121,10 +123,21 @@ def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return F.array(*(F.coalesce(F.avg(F.when(over > 0, F.get(name, F.lit(i)) / over)), F.lit(0.0)) for i in range(size))).alias(f"{name}_of")
 
     most = max(len({x for v in COMMON.values() for x in v}), *map(len, COMMON.values())) + 1
-    reference = counted.groupBy("lang").agg(mean("classes", 7, F.col("n_chars")), mean("common", most, F.col("n_words"))).withColumnRenamed("lang", "of")
-    judged = counted.join(reference, F.col("lang").eqNullSafe(F.col("of")))
-    judged = judged.withColumn("class_distance", F.round(divergence(F.col("classes"), F.col("classes_of")), 9)).withColumn("common_distance", F.round(divergence(F.col("common"), F.slice("common_of", F.lit(1), F.size("common"))), 9))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    odd = (F.col("n_words") >= least_words) & ((F.col("class_distance") > far_class) | (F.col("class_distance") > max_class) & (F.col("common_distance") > max_common))
+    long_enough = F.col("n_words") >= least_words
+    near = (F.col("class_distance") <= max_class) & (F.col("common_distance") <= max_common)
+
+    def reference(rows: DataFrame) -> DataFrame:
+        means = rows.groupBy("lang").agg(F.count("*").alias("rows"), mean("classes", 7, F.col("n_chars")), mean("common", most, F.col("n_words")))
+        return means.where(F.col("rows") >= least_rows).drop("rows").withColumnRenamed("lang", "of")
+
+    def judged(rows: DataFrame, means: DataFrame) -> DataFrame:
+        far = lambda name: F.round(F.coalesce(divergence(F.col(name), F.slice(f"{name}_of", F.lit(1), F.size(name))), F.lit(0.0)), 9)
+        both = rows.join(means, F.col("lang").eqNullSafe(F.col("of")), "left")
+        return both.withColumn("class_distance", far("classes")).withColumn("common_distance", far("common")).drop("of", "classes_of", "common_of")
+
+    counting = counted.where(long_enough & ~failed)
+    first = durable(reference(counting))
+    trimmed = durable(reference(judged(counting, first).where(near)))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged.select(F.col("id").alias(id_col), *counts, failed.alias("base_failed"), (~failed & ~odd).alias("kept"), "class_distance", "common_distance")
+    return judged(counted, trimmed).select(F.col("id").alias(id_col), *counts, failed.alias("base_failed"), (~failed & (near | ~long_enough)).alias("kept"), "class_distance", "common_distance")
