@@ -42,11 +42,12 @@ def fingerprint(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(8))), "")
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two signature sets; 0 without a comparison if their sizes alone keep it under least."""
+def likeness(a: Column, b: Column, least: float) -> Column:
+    """Jaccard similarity of two signature sets; 0 without a comparison if their length partitions or sizes alone keep it under least."""
     common = F.size(F.array_intersect(a, b))
+    near = F.abs(length_part(F.size(a), least) - length_part(F.size(b), least)) <= 1
     bound = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))
-    return F.when(bound < least, 0.0).otherwise(common / (F.size(a) + F.size(b) - common)).cast("double")
+    return F.when(near & (bound >= least), common / (F.size(a) + F.size(b) - common)).otherwise(0.0).cast("double")
 
 
 def length_part(size: Column, least: float) -> Column:
@@ -100,14 +101,15 @@ def with_next(rows: DataFrame, order: list[str], columns: list[str]) -> DataFram
     return dealt.withColumn("next", F.lead(F.struct(*columns)).over(span)).where("copy = 0").drop("copy", "part")
 
 
-def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75) -> DataFrame:
+def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.1) -> DataFrame:
     """One row for each row of df: its fingerprint, that of its edited text, and two likenesses.
 
     The edited text has its last quarter replaced by as much of the start of the next row's text, in
     ascending order of id; after the last comes the first. Null texts count as empty. Null ids come
     first; rows that repeat an id follow each other in the order of their texts. A single row is its own
     next. An empty table gives an empty result. Other columns aren't carried. length_part is the
-    fingerprint's length partition.
+    fingerprint's length partition: sets in partitions apart, and in sizes that rule out a likeness of
+    `least`, aren't compared and have likeness 0.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     docs = df.select(key.alias("k"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("items", signatures(F.col("text")))
@@ -120,7 +122,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("items")).alias("fingerprint"),
         fingerprint(F.col("edited_items")).alias("edited_fingerprint"),
-        likeness(F.col("items"), F.col("edited_items")).alias("near_edited"),
-        likeness(F.col("items"), F.col("next.items")).alias("near_next"),
+        likeness(F.col("items"), F.col("edited_items"), least).alias("near_edited"),
+        likeness(F.col("items"), F.col("next.items"), least).alias("near_next"),
         length_part(F.size("items"), least).alias("length_part"),
     )
