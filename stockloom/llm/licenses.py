@@ -60,6 +60,7 @@ COMMENT = r"(?m)^([ \t]*(?://|#|\*|/\*|--|;|%|<!--)[^\n]*\n)(?=[ \t]*[^\s/#*;%<-
 ONE = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+:]|-(?=[A-Za-z0-9]))*\)*"
 SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*({ONE}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{ONE})*)"
 SENTENCE = r"\n|(?<=[.!?])[ \t]+(?=\p{Lu})"
+SALTS = 16
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
 
@@ -130,7 +131,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Co
     passage = rows.select("row", F.explode("passages").alias("p")).select("row", "p.level", "p.text").withColumn("k", F.xxhash64("text"))
     distinct = durable(passage.groupBy("k").agg(F.min("text").alias("text")))
     fixed_texts = [(name, text, False) for name, text in TEMPLATES] + [(f.stem, f.read_text(), True) for f in sorted(TEXTS.glob("*.txt"))]
-    templates = spark.createDataFrame([(-i, *x) for i, x in enumerate(fixed_texts, 1)], "k long, license string, text string, full boolean")
+    rows_of = [F.struct(F.lit(-i).cast("long").alias("k"), F.lit(name).alias("license"), F.lit(text).alias("text"), F.lit(full).alias("full")) for i, (name, text, full) in enumerate(fixed_texts, 1)]
+    templates = spark.range(1).select(F.inline(F.array(*rows_of)))
     shown = templates.select("k", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).where("term IS NOT NULL")
     seen = distinct.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
     number = distinct.agg((F.count("*") + len(fixed_texts)).alias("all"))
@@ -154,7 +156,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Co
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above"))
     near = up.join(of_dir.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "given")).alias("near"))
-    out = rows.join(near, "dir", "left")
+    # A directory may hold a large part of all rows: they are dealt out over SALTS parts, and what it inherits goes to each.
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(near, ["dir", "salt"], "left")
     final = F.coalesce("best", "near.given")
     origin = F.when(F.col("best").isNotNull(), F.when(F.col("file"), "file").otherwise("header")).when(F.col("near").isNotNull(), "inherited")
     return out.select(F.col("id").alias(id_col), "path", final["license"].alias("license"), final["similarity"].alias("similarity"), origin.alias("origin"))
