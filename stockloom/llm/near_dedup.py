@@ -15,6 +15,7 @@ from .common import durable
 #: Coordinates of a sketch, in BANDS bands of ROWS. A pair of similarity s meets in some band but for (1 - s^4)^32: 5e-6 at 0.75.
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
+SALTS = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,6 +129,12 @@ def linked(percent: int) -> Column:
     return F.col("i") * 100 >= F.col("u") * percent
 
 
+def of_family(rows: DataFrame, told: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with what is told about their family. A family may hold a large part of all rows, so these are dealt out over SALTS parts."""
+    parts = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("m", F.lit(SALTS)).cast("int")).join(parts, ["fam", "salt"], how).drop("salt")
+
+
 def offered(rows: DataFrame, groups: list[str], size: Column, need: Column) -> DataFrame:
     """The prefixes of sets given as rows (m, item, df, ...): a set's rarest `size - need + 1` items, with their place and size.
 
@@ -148,18 +155,18 @@ def family_pairs(apart: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     q, r = 100 + percent, 100 - percent
     sizes = apart.groupBy("fam").agg(F.count("*").alias("members")).where("members > 1")
-    rows = apart.join(sizes, "fam")
+    rows = of_family(apart, sizes)
     centre = rows.select("fam", "members", F.explode("items").alias("item")).groupBy("fam", "item").agg(F.count("*").alias("df"), F.first("members").alias("members"))
     centre = centre.where("2 * df > members").groupBy("fam").agg(F.collect_list("item").alias("centre"))  # at most twice as many as a member has on average
     held = F.coalesce("centre", F.array().cast("array<bigint>"))
-    told = rows.join(centre, "fam", "left").withColumn("d", F.concat(F.array_except("items", held), F.array_except(held, "items"))).withColumn("e", q * F.size("d") - r * F.col("n"))
+    told = of_family(rows, centre, "left").withColumn("d", F.concat(F.array_except("items", held), F.array_except(held, "items"))).withColumn("e", q * F.size("d") - r * F.col("n"))
     told = durable(told.select("m", "node", "comp", "fam", "n", "d", "e"))
     by_comp = told.groupBy("fam", "comp").agg(F.min(F.struct("e", "node")).alias("least"))
     first = by_comp.groupBy("fam").agg(F.min(F.struct("least", "comp")).alias("f"))
     both = by_comp.join(first, "fam")
     second = both.where("comp != f.comp").groupBy("fam").agg(F.min("least.e").alias("second"))
     ends = durable(first.join(second, "fam").select("fam", F.col("f.least.node").alias("a"), F.col("f.least.e").alias("low"), F.col("f.comp").alias("x"), "second"))
-    rows = told.join(ends, "fam")
+    rows = of_family(told, ends)
     sure = rows.where("comp != x AND e + low <= 0").select("a", F.col("node").alias("b"))
 
     rows = rows.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("e") + F.when(F.col("comp") == F.col("x"), F.col("second")).otherwise(F.col("low"))) / (2 * q))).cast("int"))
