@@ -113,8 +113,9 @@ def test_fingerprints(spark):
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
-        a, b = ({f[j : j + 8] for j in range(0, len(f), 8)} for f in (r.fingerprint, r.edited_fingerprint))
-        assert r.near_edited == pytest.approx(len(a & b) / len(a | b))
+        own, edited, later = ({f[j : j + 8] for j in range(0, len(f), 8)} for f in (r.fingerprint, r.edited_fingerprint, got[order[(n + 1) % len(order)][0]].fingerprint))
+        for b, found in ((edited, r.near_edited), (later, r.near_next)):
+            assert found == pytest.approx(len(own & b) / len(own | b) if min(len(own), len(b)) >= 0.1 * max(len(own), len(b)) else 0.0)
     assert spotsigs.edited_fingerprints(docs(spark, [])).count() == 0
     assert spotsigs.edited_fingerprints(docs(spark, [(1, "a"), (1, "b"), (None, None), (None, None)])).count() == 4
 
@@ -302,3 +303,75 @@ def test_chat_of_long_texts(spark, bit):
     assert got[1].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert got[2].turns_sha256 == hashlib.sha256(f"a[b%\n[INST]\n{text}\n".encode()).hexdigest()
     assert time.time() - began < 60
+
+
+def test_quality_rules_reject_other_languages(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents").join(table(spark, "/root/testdata/sf0.01", "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "text", "lang")
+    wrong = d.where("lang <> 'en'").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", F.lit("en").alias("lang"))
+    bare = d.where("lang = 'en'").limit(40).select((F.col("doc_id") + 2_000_000).alias("doc_id"), F.regexp_replace("text", "(?i)\\b(the|of|and|to|in|that|is|was|for|it)\\b", "zonk").alias("text"), "lang")
+    got = quality_rules.rules(d.unionByName(wrong.limit(60)).unionByName(bare)).where("NOT base_failed AND n_words >= 40").select("doc_id", "kept").collect()
+    share = lambda low, high: sum(r.kept for r in got if low <= r.doc_id < high) / max(1, sum(low <= r.doc_id < high for r in got))
+    assert share(0, 1_000_000) > 0.99 and share(1_000_000, 2_000_000) < 0.1 and share(2_000_000, 3_000_000) < 0.2
+
+
+def test_quality_rules_without_reference(spark):
+    rows = [(i, "the of and to in that is was for it " + " ".join(f"w{i}x{j}" for j in range(60)), lang, "s", "x", "x", 1) for i, lang in enumerate(["en"] * 19 + [None] * 3)]
+    got = quality_rules.rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 22 and all(r.class_distance == r.common_distance == 0 for r in got)
+
+
+def test_cotraining_beats_labels_alone(spark):
+    """Half of the texts tell nothing; labels cover two of ten sources, so only pseudo-labels teach the others."""
+    rnd = random.Random(4)
+    clean = lambda: " ".join(rnd.choice(["the", "house", "of", "and", "river", "to", "is", "green"]) for _ in range(60))
+    junk = lambda: " ".join(rnd.choice(["the###", "HOUSE$$$", "of&&&", "RIVER%%%"]) for _ in range(60))
+    blank = lambda: "x" * 40
+    rows, y = [], {}
+    for i in range(3000):
+        source, told = rnd.randrange(10), rnd.random() < 0.5
+        y[i] = int(source < 5)
+        rows.append((i, (clean() if y[i] else junk()) if told else blank(), "en", f"s{source}", 100))
+    known = [(i, y[i]) for i in range(600) if rows[i][3] in ("s0", "s9")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame(known, "doc_id long, quality int")
+    right, report = {}, []
+    for rounds in (0, 3):
+        got = quality_classifier.classify(d, labels, rounds=rounds, report=report).collect()
+        hard = [r for r in got if rows[r.doc_id][1] == blank() and rows[r.doc_id][3] not in ("s0", "s9")]
+        right[rounds] = sum(int(r.kept) == y[r.doc_id] for r in hard) / len(hard)
+    assert right[3] > 0.95 and right[3] > right[0] + 0.2
+    assert len(report) == 3 and all(report[-1][k] > 0 for k in ("text_bad", "text_good", "page_bad", "page_good"))
+
+
+def test_exchange_runs_both_ways(spark):
+    report, sf = [], "/root/testdata/sf0.1"
+    quality_classifier.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), report=report)
+    assert len(report) == 2 and all(sum(r[f"text_{y}"] for y in ("bad", "good")) > 0 and sum(r[f"page_{y}"] for y in ("bad", "good")) > 0 for r in report)
+
+
+def test_license_similarity_equals_brute_force(spark):
+    rnd, words = random.Random(6), "licensed under the mit apache license version 2.0 gnu general public copyright of this program may not use file terms cc by 4.0".split()
+    texts = ["license " + " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 14))) for _ in range(150)]
+    fixed = [(n, t, False) for n, t in licenses.TEMPLATES] + [(f.stem, f.read_text(), True) for f in sorted(licenses.TEXTS.glob("*.txt"))]
+
+    def terms(t):
+        w = re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower())
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+
+    passages = set(texts)
+    df = Counter(x for t in [*passages, *(t for _, t, _ in fixed)] for x in terms(t))
+    n = len(passages) + len(fixed)
+
+    def vector(t):
+        v = {x: k * (math.log((1 + n) / (1 + df[x])) + 1) for x, k in terms(t).items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    df = Counter(x for t in [*passages, *(t for _, t, _ in fixed)] for x in set(terms(t)))
+    told = [(name, full, vector(t)) for name, t, full in fixed]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, list(enumerate(texts))), path=F.concat(F.col("doc_id").cast("string"), F.lit("/x"))).collect()}
+    for i, t in enumerate(texts):
+        v = vector(t)
+        best = max(((full, round(sum(w * u.get(x, 0) for x, w in v.items()), 6), name) for name, full, u in told), key=lambda b: (b[1] >= (licenses.ALIKE if b[0] else 0.6), b))
+        want = best if best[1] >= (licenses.ALIKE if best[0] else 0.6) else (None, None, None)
+        assert got[i].license == want[2] and (want[1] is None or got[i].similarity == pytest.approx(want[1], abs=2e-6)), t
