@@ -24,8 +24,9 @@ def ean13_valid(code: Column) -> Column:
 
 
 def plu_key(prefix: Column, plu: Column) -> Column:
-    """The prefix and the PLU, padded together to six digits."""
-    return F.concat(prefix, F.lpad(plu, F.lit(6) - F.length(prefix), F.lit("0")))
+    """The prefix and the PLU, padded together to six digits; a longer number stays whole."""
+    room = F.lit(6) - F.length(prefix)
+    return F.concat(prefix, F.when(F.length(plu) < room, F.lpad(plu, room, F.lit("0"))).otherwise(plu))
 
 
 def per_kilogram(price: Column, basis: Column) -> Column:
@@ -57,19 +58,14 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Lower case, without white space and punctuation."""
-    return F.lower(F.regexp_replace(text, r"[\s\p{P}]+", ""))
+    """Lower case, without white space and ASCII punctuation and symbols."""
+    return F.lower(F.regexp_replace(text, r"[\s\p{Punct}]+", ""))
 
 
-def fingerprint(text: Column) -> Column:
+def compact(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[\s\p{P}\p{S}]+", ""))
 
 
-def supplier_fingerprint(text: Column) -> Column:
-    """Without the forms of a company's name, at its start or end."""
-    return fingerprint(F.regexp_replace(text, r"^(주식회사|\(주\)|㈜|유한회사)\s*|\s*(주식회사|\(주\)|㈜|유한회사)$", ""))
-
-
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 1 for two empty strings."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -84,15 +80,6 @@ def letters_shared(a: Column, b: Column) -> Column:
     return F.when(longer > 0, js_round(shared * 100 / longer)).otherwise(0).cast("long")
 
 
-def multiset_dice(a: Column, b: Column) -> Column:
-    """Letters in common, with repeats, over the longer length."""
-    letters = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
-    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-    common = F.aggregate(F.transform(letters, lambda c: F.least(count(a, c), count(b, c))), F.lit(0), lambda x, y: x + y)
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer > 0, common / longer).otherwise(1.0)
-
-
 def hash31(text: Column) -> Column:
     """h = h * 31 + letter, from 7, in 32 bits."""
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(7).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % 4294967296)

@@ -46,13 +46,13 @@ def purchase_summary(invoices: DataFrame, pattern: str) -> DataFrame:
 
 
 def money_brief(sales: DataFrame, moves: DataFrame, cards: DataFrame, day: str) -> DataFrame:
-    """One row: today, yesterday, its weekday a week earlier (day - 8), the month, unmapped codes, deposits, expiring rows.
+    """One row: today, yesterday, its weekday a week earlier (day - 8), the month's sales and purchases, unmapped codes, deposits, expiring rows.
 
-    The unmapped totals are those of the top 20 codes only and aren't bounded by date.
+    The unmapped codes are the top 20 and aren't bounded by date.
     """
     d = F.lit(day).cast("date")
-    s = active(sales)
     month = F.trunc(d, "month")
+    s = active(sales).where(F.col("sale_date").between(F.least(month, F.date_sub(d, 8)), d))
 
     def on(x: Column, of: str = "amount") -> Column:
         return amount(F.when(x, F.col(of)))
@@ -61,10 +61,19 @@ def money_brief(sales: DataFrame, moves: DataFrame, cards: DataFrame, day: str)
         on(F.col("sale_date") == d).alias("today"), on(F.col("sale_date") == F.date_sub(d, 1)).alias("yesterday"), on(F.col("sale_date") == F.date_sub(d, 8)).alias("last_week_same_day"),
         on(F.col("sale_date").between(month, d)).alias("month_sales"), F.count_if(F.col("sale_date") == d).alias("today_n"),
     )
-    top = unmapped_codes(sales, 20).agg(F.count("*").alias("unmapped_codes"), F.coalesce(F.sum("n"), F.lit(0)).alias("unmapped_n"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("unmapped_amount"))
+    codes = F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "code"))).getField("code")).alias("codes")
+    top = unmapped_codes(sales, 20).agg(F.count("*").alias("unmapped_codes"), codes, F.coalesce(F.sum("n"), F.lit(0)).alias("unmapped_n"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("unmapped_amount"))
     due = cards.where((F.col("status") == "SCHEDULED") & F.col("deposit_date").between(d, F.date_add(d, 6))).agg(F.count("*").alias("deposits_n"), amount(F.col("amount") - F.col("fee")).alias("deposits"))
     old = moves.where(F.col("is_active") & F.col("expiry").between(d, F.date_add(d, 3))).agg(F.count("*").alias("expiring_n"))
-    return sold.crossJoin(top).crossJoin(due).crossJoin(old).withColumn("day", d)
+    bought = month_purchases(moves, day).select(F.col("amount").alias("month_purchases"))
+    return sold.crossJoin(top).crossJoin(due).crossJoin(old).crossJoin(bought).withColumn("day", d)
+
+
+def month_purchases(moves: DataFrame, day: str) -> DataFrame:
+    """Goods received from the month's first day to the day, but for those that a cancelled sale put back."""
+    d = F.lit(day).cast("date")
+    rows = moves.where(F.col("is_active") & (F.col("kind") == "IN") & F.col("day").between(F.trunc(d, "month"), d) & ~F.coalesce(F.col("memo").startswith("판매취소 재고원복"), F.lit(False)))
+    return rows.agg(F.count("*").alias("n"), amount(F.col("amount")).alias("amount"))
 
 
 def unmapped_codes(sales: DataFrame, top: int) -> DataFrame:
@@ -117,13 +126,19 @@ def allocate(lines: DataFrame, group: str, order: list[str], weight: str, total:
     return out.withColumn("allocated", F.when(last, F.col(total) - before).otherwise(F.col("share")).cast("decimal(18,2)")).drop("share")
 
 
+def repeated(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """Keys that more than one row has, with their number of rows."""
+    return rows.groupBy(key.alias(name)).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def override_lookup(events: DataFrame, mapping: DataFrame) -> DataFrame:
-    """The mapping row of the event's store if there is one, else the one for all stores."""
+    """The mapping row of the event's store if there is one, else the one for all stores; of several the last updated, so that events don't multiply."""
+    mapping = latest_per_key(mapping, ["key", "store"], [F.desc("updated"), F.desc("price"), F.asc("product")])
     own = mapping.where("store IS NOT NULL").select(F.col("key").alias("k1"), F.col("store").alias("s1"), F.struct("product", "price", "weigh").alias("own"))
     any_ = mapping.where("store IS NULL").select(F.col("key").alias("k2"), F.struct("product", "price", "weigh").alias("any"))
     e = events.join(own, (F.col("code") == F.col("k1")) & (F.col("store") == F.col("s1")), "left").join(any_, F.col("code") == F.col("k2"), "left")
@@ -147,14 +162,33 @@ def scan_sale(scans: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select("id", "company", "store", "txn", "status", F.col("map.product").alias("product"), F.col("quantity").cast("double").alias("quantity"), F.col("value").cast("double").alias("value"), kind.isNull().alias("needs_mapping"))
 
 
+def time_slot(at: Column, seconds: int) -> Column:
+    return F.floor(F.unix_micros(at.cast("timestamp")) / (seconds * 1_000_000))
+
+
 def recent_duplicates(web: DataFrame, pos: DataFrame, seconds: int = 7200) -> DataFrame:
-    """Web scans with a POS scan of the same barcode within so many seconds on either side, and the earliest such time."""
-    p = pos.select(F.col("company").alias("pc"), F.col("barcode").alias("pb"), F.col("sold_at").alias("pt"))
+    """Web scans with a POS scan of the same barcode within so many seconds on either side, and the earliest such time.
+
+    Scans meet by barcode and slot of time, a web scan in its own slot and both neighbours, so a hot barcode is
+    joined slot by slot.
+    """
+    p = pos.select(F.col("company").alias("pc"), F.col("barcode").alias("pb"), F.col("sold_at").alias("pt"), time_slot(F.col("sold_at"), seconds).alias("ps"))
     apart = F.abs(F.unix_micros(F.col("sold_at").cast("timestamp")) - F.unix_micros(F.col("pt").cast("timestamp")))
-    near = web.join(p, (F.col("barcode") == F.col("pb")) & (F.col("company") == F.col("pc")) & (apart <= seconds * 1_000_000))
+    slot = time_slot(F.col("sold_at"), seconds)
+    w = web.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+    near = w.join(p, (F.col("barcode") == F.col("pb")) & (F.col("company") == F.col("pc")) & (F.col("slot") == F.col("ps")) & (apart <= seconds * 1_000_000))
     return near.groupBy("id", "barcode").agg(F.min("pt").alias("pos_at"), F.count("*").alias("n"))
 
 
+def seen_before(web: DataFrame, pos: DataFrame, seconds: int = 7200) -> DataFrame:
+    """Web scans whose code a POS scan recorded within so many seconds before, with the latest such time."""
+    p = pos.select(F.col("code").alias("pc"), F.col("sold_at").alias("pt"), time_slot(F.col("sold_at"), seconds).alias("ps"))
+    slot, since = time_slot(F.col("sold_at"), seconds), F.unix_micros(F.col("sold_at").cast("timestamp")) - F.unix_micros(F.col("pt").cast("timestamp"))
+    w = web.withColumn("slot", F.explode(F.array(slot - 1, slot)))
+    near = w.join(p, (F.col("code") == F.col("pc")) & (F.col("slot") == F.col("ps")) & since.between(0, seconds * 1_000_000))
+    return near.groupBy("id").agg(F.max("pt").alias("pos_at"))
+
+
 def rejecting_stock(events: DataFrame, keys: list[str], order: list[str], qty: str, opening: str) -> DataFrame:
     """Running stock that rejects an event it cannot serve; a rejected event consumes nothing.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import override_lookup
 from .stock import YIELDS
 
 #: The legal transitions of a document's status.
@@ -13,12 +14,12 @@ TRANSITIONS = (("QUEUED", "PROCESSING"), ("PROCESSING", "REVIEW"), ("PROCESSING"
 
 def apply_mapping(pending: DataFrame, mapping: DataFrame) -> DataFrame:
     """Pending sales whose code is now mapped, priced again: WEIGHT_EMBED overwrites the amount, others keep it and derive the quantity."""
-    m = mapping.select(F.col("key").alias("code"), "product", "price", "weigh")
+    held = override_lookup(pending, mapping).where("map IS NOT NULL").select("id", "code", "barcode", "amount", F.col("map.product").alias("product"), F.col("map.price").alias("price"), F.col("map.weigh").alias("weigh"))
     grams = F.substring("barcode", 8, 5).cast("decimal(18,3)")
     heavy = F.col("weigh") == "WEIGHT_EMBED"
     quantity = F.when(heavy, F.round(grams / 1000, 3)).when(F.col("price") > 0, F.round(F.col("amount") / F.col("price"), 3))
     value = F.when(heavy, F.round(grams / 1000 * F.col("price"), 2)).otherwise(F.col("amount"))
-    return pending.join(m, "code").select("id", "code", "product", quantity.cast("double").alias("quantity"), value.cast("double").alias("value"))
+    return held.select("id", "code", "product", quantity.cast("double").alias("quantity"), value.cast("double").alias("value"))
 
 
 def cancel(sales: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.functions.scalars import fingerprint, similarity
+from stockloom.functions.names import classified, fingerprint, supplier_fingerprint
+from stockloom.functions.scalars import similarity
 
 
 def merge_rules(rules: DataFrame) -> DataFrame:
@@ -70,3 +71,15 @@ def rule_conflicts(rules: DataFrame) -> DataFrame:
 
 def mapping_decision(first: Column, second: Column) -> Column:
     return F.when((first >= 0.9) & (first - F.coalesce(second, F.lit(0.0)) >= 0.1), "AUTO").when(first >= 0.75, "SUGGESTED").otherwise("NONE")
+
+
+def suppliers_of(asked: DataFrame, known: DataFrame, printed: str) -> DataFrame:
+    """asked with the supplier (least id) whose name has the same fingerprint as the printed one; null without one."""
+    keys = known.groupBy(supplier_fingerprint(F.col("name")).alias("_key")).agg(F.min("id").alias("supplier"))
+    return asked.withColumn("_key", supplier_fingerprint(F.col(printed))).join(keys, "_key", "left").drop("_key")
+
+
+def by_resolved_name(rows: DataFrame, name: str, amount: str) -> DataFrame:
+    """Rows by the product that their name means: number, sum, and the canonical names in order (a product has few)."""
+    x = rows.select(classified(F.col(name)).alias("x"), amount)
+    return x.groupBy("x.key").agg(F.count("*").alias("n"), F.sum(amount).cast("double").alias("amount"), F.array_sort(F.collect_set("x.name")).alias("names"))

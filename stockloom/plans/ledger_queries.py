@@ -51,14 +51,15 @@ def agg_monthly_purchase(spark: SparkSession, d: str) -> DataFrame:
     return L.purchase_summary(invoices(spark, d), "yyyy-MM")
 
 
-@query(f"""SELECT s.*, u.*, c.*, m.*, DATE '{DAY}' AS day FROM
+@query(f"""SELECT s.*, u.*, c.*, m.*, b.*, DATE '{DAY}' AS day FROM
  (SELECT CAST(coalesce(sum(amount) FILTER (sale_date = DATE '{DAY}'), 0) AS DOUBLE) AS today, CAST(coalesce(sum(amount) FILTER (sale_date = DATE '{DAY}' - 1), 0) AS DOUBLE) AS yesterday,
   CAST(coalesce(sum(amount) FILTER (sale_date = DATE '{DAY}' - 8), 0) AS DOUBLE) AS last_week_same_day, CAST(coalesce(sum(amount) FILTER (sale_date BETWEEN DATE '{MONTH}' AND DATE '{DAY}'), 0) AS DOUBLE) AS month_sales,
   count(*) FILTER (sale_date = DATE '{DAY}') AS today_n FROM sales WHERE NOT is_cancelled) s,
- (SELECT count(*) AS unmapped_codes, CAST(coalesce(sum(n), 0) AS BIGINT) AS unmapped_n, CAST(coalesce(sum(a), 0) AS DOUBLE) AS unmapped_amount FROM
+ (SELECT count(*) AS unmapped_codes, CAST(coalesce(sum(n), 0) AS BIGINT) AS unmapped_n, CAST(coalesce(sum(a), 0) AS DOUBLE) AS unmapped_amount, CAST(to_json(coalesce(list(code ORDER BY n DESC, code), [])) AS VARCHAR) AS codes FROM
   (SELECT code, count(*) AS n, sum(amount) AS a FROM sales WHERE needs_mapping AND NOT is_cancelled GROUP BY 1 ORDER BY n DESC, code LIMIT 20)) u,
  (SELECT count(*) AS deposits_n, CAST(coalesce(sum(amount - fee), 0) AS DOUBLE) AS deposits FROM cards WHERE status = 'SCHEDULED' AND deposit_date BETWEEN DATE '{DAY}' AND DATE '{DAY}' + 6) c,
- (SELECT count(*) AS expiring_n FROM movements WHERE is_active AND expiry BETWEEN DATE '{DAY}' AND DATE '{DAY}' + 3) m""")
+ (SELECT count(*) AS expiring_n FROM movements WHERE is_active AND expiry BETWEEN DATE '{DAY}' AND DATE '{DAY}' + 3) m,
+ (SELECT CAST(coalesce(sum(amount), 0) AS DOUBLE) AS month_purchases FROM movements WHERE is_active AND kind = 'IN' AND day BETWEEN DATE '{MONTH}' AND DATE '{DAY}' AND memo IS NULL) b""")
 def agg_money_brief(spark: SparkSession, d: str) -> DataFrame:
     return L.money_brief(sales(spark, d), movements(spark, d), cards(spark, d), DAY)
 
@@ -96,7 +97,7 @@ def agg_calendar(spark: SparkSession, d: str) -> DataFrame:
     return L.calendar(sales(spark, d), MONTH)
 
 
-@query("SELECT CAST(sum(amount) AS DOUBLE) AS raw, CAST(sum(amount) AS DOUBLE) AS summary, true AS equal FROM sales WHERE NOT is_cancelled")
+@query("SELECT CAST((SELECT sum(amount) FROM sales WHERE NOT is_cancelled) AS DOUBLE) AS raw, CAST(sum(s) AS DOUBLE) AS summary, (SELECT sum(amount) FROM sales WHERE NOT is_cancelled) = sum(s) AS equal FROM (SELECT sum(amount) AS s FROM sales WHERE NOT is_cancelled GROUP BY company, store, sale_date)")
 def agg_reconcile(spark: SparkSession, d: str) -> DataFrame:
     s = sales(spark, d)
     return L.reconcile(L.active(s), L.sales_summary(s, F.col("sale_date")))
@@ -127,9 +128,11 @@ def agg_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return movements(spark, d).groupBy("doc", "line").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT lower(trim(s_name)) AS name, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 0")
+@query("SELECT lower(trim(email)) AS email, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN ' User' || c_custkey % 997 || '@Shop.com' ELSE 'user' || c_custkey || '@shop.com ' END AS email FROM customer) GROUP BY 1 HAVING count(*) > 1")
 def agg_dup_emails(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "supplier").groupBy(F.lower(F.trim("s_name")).alias("name")).agg(F.count("*").alias("n")).where("n > 0")
+    k = F.col("c_custkey")
+    email = F.when(k % 2 == 0, F.concat(F.lit(" User"), k % 997, F.lit("@Shop.com"))).otherwise(F.concat(F.lit("user"), k, F.lit("@shop.com ")))
+    return L.repeated(read(spark, d, "customer").select(email.alias("email")), F.lower(F.trim("email")), "email")
 
 
 @query("SELECT channel, count(*) AS n FROM sales GROUP BY 1")
@@ -155,10 +158,10 @@ def flt_expiry_window(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc", "line", "product", "expiry", "days", F.when(F.col("days") < 0, "expired").when(F.col("days") <= 1, "danger").otherwise("warn").alias("bucket"))
 
 
-@query("SELECT s.id, coalesce(a.product, b.product) AS product, CAST(coalesce(a.price, b.price) AS DOUBLE) AS price, a.product IS NOT NULL AS own FROM sales s LEFT JOIN barcodes a ON a.key = s.code AND a.store = s.store LEFT JOIN barcodes b ON b.key = s.code AND b.store IS NULL")
+@query("SELECT s.id, coalesce(a.product, b.product) AS product, CAST(coalesce(a.price, b.price) AS DOUBLE) AS price, a.product IS NOT NULL AS own FROM sales s LEFT JOIN mapped a ON a.key = s.code AND a.store = s.store LEFT JOIN mapped b ON b.key = s.code AND b.store IS NULL")
 def jn_override_top1(spark: SparkSession, d: str) -> DataFrame:
     b = barcodes(spark, d)
-    own = b.where("store IS NOT NULL").select("key", "store").withColumn("own", F.lit(True))
+    own = b.where("store IS NOT NULL").select("key", "store").distinct().withColumn("own", F.lit(True))
     out = L.override_lookup(sales(spark, d), b).join(own, (F.col("code") == F.col("key")) & (sales_store() == own["store"]), "left")
     return out.select("id", F.col("map.product").alias("product"), F.col("map.price").cast("double").alias("price"), F.coalesce("own", F.lit(False)).alias("own"))
 
@@ -202,7 +205,7 @@ def stm_idempotent_txn(spark: SparkSession, d: str) -> DataFrame:
  SELECT *, CASE weigh WHEN 'WEIGHT_EMBED' THEN round(e / 1000.0, 3) WHEN 'PRICE_EMBED' THEN round(e / price, 3) WHEN 'FIXED' THEN 1 END AS q,
   CASE WHEN weigh = 'WEIGHT_EMBED' THEN round(e * price * 0.001, 2) WHEN weigh = 'PRICE_EMBED' THEN e WHEN weigh = 'FIXED' THEN price WHEN weigh IS NULL THEN e END AS v FROM (
  SELECT s.*, row_number() OVER (PARTITION BY company, txn ORDER BY sold_at, id) AS k, CAST(substr(barcode, 8, 5) AS INTEGER) AS e, coalesce(a.product, b.product) AS product, coalesce(a.price, b.price) AS price, coalesce(a.weigh, b.weigh) AS weigh
- FROM sales s LEFT JOIN barcodes a ON a.key = s.code AND a.store = s.store LEFT JOIN barcodes b ON b.key = s.code AND b.store IS NULL))""")
+ FROM sales s LEFT JOIN mapped a ON a.key = s.code AND a.store = s.store LEFT JOIN mapped b ON b.key = s.code AND b.store IS NULL))""")
 def pst_scan_sale(spark: SparkSession, d: str) -> DataFrame:
     return L.scan_sale(sales(spark, d), barcodes(spark, d))
 
@@ -245,11 +248,13 @@ def rls_client_filter(spark: SparkSession, d: str) -> DataFrame:
     return s.where((F.col("tenant") == 1) | F.col("tenant").isNull()).select("id")
 
 
-@query("SELECT key, product, CAST(CASE WHEN CAST(key AS INTEGER) % 2 = 0 THEN price + 1 ELSE price END AS DOUBLE) AS price FROM barcodes")
+@query("SELECT key, store, product, CAST(CASE WHEN CAST(key AS INTEGER) % 2 = 0 THEN price + 1 ELSE price END AS DOUBLE) AS price FROM mapped")
 def snk_upsert(spark: SparkSession, d: str) -> DataFrame:
-    b = barcodes(spark, d).select("key", "product", F.col("price").cast("double").alias("price")).withColumn("v", F.lit(1))
-    new = b.where(F.col("key").cast("int") % 2 == 0).withColumn("price", F.col("price") + 1).withColumn("v", F.lit(2))
-    return L.upsert(b, new, ["key"], "v").drop("v")
+    """Later versions of mappings over earlier ones, and over those new prices for every second key."""
+    b = barcodes(spark, d).select("key", "store", "product", F.col("price").cast("double").alias("price"), F.struct("updated", "price").alias("v"))
+    top = L.upsert(b.limit(0), b, ["key", "store"], "v")
+    new = top.where(F.col("key").cast("int") % 2 == 0).withColumn("price", F.col("price") + 1)
+    return L.upsert(top, new, ["key", "store"], "v").drop("v")
 
 
 @query("SELECT CAST(sum(CASE WHEN sale_date >= DATE '2024-01-01' AND NOT is_cancelled THEN amount END) AS DOUBLE) - (SELECT CAST(sum(amount) AS DOUBLE) FROM movements WHERE is_active AND kind = 'IN' AND day BETWEEN DATE '1996-01-01' AND DATE '1996-01-31') AS month_left FROM sales")

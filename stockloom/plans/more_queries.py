@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.operators import posting as P
-from stockloom.operators.ledger import amount, latest_per_key, signed
+from stockloom.operators.ledger import amount, latest_per_key, seen_before, signed
 from stockloom.sources.adapters import barcodes, cards, invoices, movements, read, sales
 
 from .registry import query
@@ -39,12 +39,10 @@ def jn_rule_default_override(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", "card", F.round(F.col("amount") * F.coalesce("rate", F.lit("0.020").cast("decimal(5,3)")), 2).cast("double").alias("fee"))
 
 
-@query("SELECT w.id FROM sales w WHERE w.source = 'web-scan' AND EXISTS (SELECT 1 FROM sales p WHERE p.source = 'local-agent' AND p.code = w.code AND p.sold_at <= w.sold_at AND epoch_us(w.sold_at) - epoch_us(p.sold_at) <= 7200000000)")
+@query("SELECT w.id, max(p.sold_at) AS pos_at FROM sales w JOIN sales p ON p.source = 'local-agent' AND p.code = w.code AND p.sold_at <= w.sold_at AND epoch_us(w.sold_at) - epoch_us(p.sold_at) <= 7200000000 WHERE w.source = 'web-scan' GROUP BY 1")
 def jn_recent_exists(spark: SparkSession, d: str) -> DataFrame:
-    s = sales(spark, d).withColumn("us", F.unix_micros(F.col("sold_at").cast("timestamp")))
-    p = s.where("source = 'local-agent'").select(F.col("code").alias("c"), F.col("us").alias("u"))
-    near = (F.col("code") == F.col("c")) & (F.col("u") <= F.col("us")) & (F.col("us") - F.col("u") <= 7_200_000_000)
-    return s.where("source = 'web-scan'").join(p, near, "left_semi").select("id")
+    s = sales(spark, d)
+    return seen_before(s.where("source = 'web-scan'"), s.where("source = 'local-agent'"))
 
 
 @query("SELECT a.r_name AS parent, n_name AS child FROM nation JOIN region a ON a.r_regionkey = n_regionkey")
@@ -170,7 +168,7 @@ def snk_backfill_from_parent(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT id, code, product, CAST(CASE WHEN weigh = 'WEIGHT_EMBED' THEN round(e * 0.001, 3) WHEN price > 0 THEN round(amount / price, 3) END AS DOUBLE) AS quantity, CAST(CASE WHEN weigh = 'WEIGHT_EMBED' THEN round(e * price * 0.001, 2) ELSE amount END AS DOUBLE) AS value
- FROM (SELECT s.*, b.product, b.price, b.weigh, CAST(substr(barcode, 8, 5) AS INTEGER) AS e FROM sales s JOIN barcodes b ON b.key = s.code WHERE needs_mapping AND NOT is_cancelled)""")
+ FROM (SELECT s.*, coalesce(a.product, b.product) AS product, coalesce(a.price, b.price) AS price, coalesce(a.weigh, b.weigh) AS weigh, CAST(substr(barcode, 8, 5) AS INTEGER) AS e FROM sales s LEFT JOIN mapped a ON a.key = s.code AND a.store = s.store LEFT JOIN mapped b ON b.key = s.code AND b.store IS NULL WHERE needs_mapping AND NOT is_cancelled) WHERE product IS NOT NULL""")
 def pst_apply_mapping(spark: SparkSession, d: str) -> DataFrame:
     return P.apply_mapping(sales(spark, d).where("needs_mapping AND NOT is_cancelled"), barcodes(spark, d))
 

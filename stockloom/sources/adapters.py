@@ -42,7 +42,7 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(
         F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 3).alias("company"), (F.col("l_suppkey") % 10).alias("store"), kind.alias("kind"),
         "product", "origin", "supplier", F.col("l_quantity").cast("decimal(18,3)").alias("qty"), money(money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("amount"), day.alias("day"),
-        (F.col("l_linestatus") == "O").alias("is_active"), F.date_add(day, F.col("p_size")).alias("expiry"),
+        (F.col("l_linestatus") == "O").alias("is_active"), F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 3), "판매취소 재고원복 T1").alias("memo"), F.date_add(day, F.col("p_size")).alias("expiry"),
     )
 
 
@@ -55,9 +55,15 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").where("p_partkey < 150")
+    """Mappings of item keys, for one store or (null) for all; some were made a second time, with another price."""
     kind = F.element_at(F.array(*map(F.lit, WEIGH)), F.col("p_size") % 4 + 1)
-    return p.select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("key"), F.col("p_name").alias("product"), money("p_retailprice").alias("price"), kind.alias("weigh"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") % 10).alias("store"))
+    code = F.col("p_partkey").cast("string")
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part"), F.when(F.length(code) < 6, F.lpad(code, 6, "0")).otherwise(code).alias("key"), F.col("p_name").alias("product"), money("p_retailprice").alias("price"),
+        kind.alias("weigh"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") % 10).alias("store"), F.col("p_size").cast("long").alias("updated"),
+    )
+    again = p.where("part % 4 = 1").withColumn("price", (F.col("price") + 1).cast("decimal(18,2)")).withColumn("updated", F.col("updated") + 10 * (F.col("part") % 3) - 10)
+    return p.unionByName(again).drop("part")
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,3 +72,19 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     lag = F.substring("o_orderpriority", 1, 1).cast("int")
     fee = money(F.col("o_totalprice") * 0.015)
     return o.select(F.col("o_orderkey").alias("id"), "card", F.to_date("o_orderdate").alias("sale_date"), lag.alias("lag"), F.date_add(F.to_date("o_orderdate"), lag).alias("deposit_date"), money("o_totalprice").alias("amount"), fee.alias("fee"), F.when(F.col("o_orderkey") % 3 == 0, "PAID").otherwise("SCHEDULED").alias("status"))
+
+
+#: Raw product names as suppliers print them; parts take them in turn.
+GOODS = (
+    "냉장 삼겸 국내산", "미박 삼겹살(국내)", "넥장 황창 [A]", "소목심 1++ 한우", "돼지갈비 냉동", "항정살　냉동", "등갈비 BOX", "우삼겹 미국산", "미빅 앞다리살", "박피 뒷다리", "채끝살 한우", "부체살",
+    "닭가슴살 ２kg", "가브릿살", "계육다리살", "오겹살 냉장", "목심", "다짐육", "특수 안심", "양념 갈비 소스", "frozen belly", "LA갈비 100g", "뽈살", "사골 5,000원",
+)
+
+
+def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product names as they were read: id, name, supplier, unit, price, size."""
+    p = read(spark, sf_dir, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"), F.get(F.array(*map(F.lit, GOODS)), (F.col("p_partkey") % len(GOODS)).cast("int")).alias("name"), F.col("p_brand").alias("supplier"),
+        F.when(F.col("p_size") % 3 == 0, "돈육").when(F.col("p_size") % 3 == 1, "우육").otherwise("box").alias("unit"), money("p_retailprice").alias("price"), F.col("p_size").alias("size"),
+    )

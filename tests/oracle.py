@@ -29,4 +29,4 @@ def same(spark, query, sql, sf_dir):
     assert sorted(found) == names
     want = sorted((tuple(plain(r[found.index(n)]) for n in names) for r in cur.fetchall()), key=repr)
     got = sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr)
-    assert got == want
+    assert got == want, f"{len(got)} rows, {len(want)} wanted; first that differ: {next(((g, w) for g, w in zip(got, want, strict=False) if g != w), None)}"
