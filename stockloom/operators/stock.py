@@ -157,3 +157,10 @@ def queue_metrics(rows: DataFrame) -> DataFrame:
     """Success, review and failure rates in percent, mean duration and confidence of a day's documents."""
     rate = lambda s: F.round(100 * F.count_if(F.col("status") == s) / F.count("*"), 1)
     return rows.agg(F.count("*").alias("n"), rate("SUCCESS").alias("success"), rate("REVIEW").alias("review"), rate("FAILED").alias("failed"), F.round(F.avg("value"), 2).alias("mean_value"))
+
+
+def repeated_rows(lines: DataFrame, doc: str, order: str, columns: list[str]) -> DataFrame:
+    """Rows equal to the one before in all of these columns, with the next row's amount."""
+    w = Window.partitionBy(doc).orderBy(order)
+    sign = F.struct(*columns)
+    return lines.withColumn("same", sign == F.lag(sign).over(w)).withColumn("next_amount", F.lead("amount").over(w)).where("same").drop("same")

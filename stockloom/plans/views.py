@@ -4,6 +4,12 @@ from stockloom.sources.adapters import GOODS
 
 NAMES = ", ".join(f"'{x}'" for x in GOODS)
 VIEWS = {
+    "invoice_lines": """invoice_lines AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line, part) AS row, part, CASE WHEN part % 23 <> 0 THEN part % 40 + 1 END AS quantity, part % 9000 + 1000 AS price,
+  (part % 40 + 1) * (part % 9000 + 1000) + CASE WHEN part % 11 = 0 THEN 5 ELSE 0 END AS amount, 60 + part % 41 AS confidence, CASE WHEN part % 4 > 0 THEN 'L' || lpad(CAST(part % 1000000 AS VARCHAR), 12, '7') ELSE '' END AS trace
+  FROM (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS line, CAST(l_partkey AS BIGINT) AS part FROM lineitem))""",
+    "invoice_heads": """invoice_heads AS (SELECT o_orderkey AS doc, CASE WHEN o_custkey % 9 > 0 THEN 'S' || o_custkey END AS supplier, CASE WHEN o_orderkey % 8 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y/%m/%d') END AS invoice_date,
+  CASE WHEN o_orderkey % 13 <> 0 THEN coalesce(s, 0) + CASE WHEN o_orderkey % 5 = 0 THEN 100 ELSE 0 END END AS supply, 0 AS tax, coalesce(CASE WHEN o_orderkey % 13 <> 0 THEN coalesce(s, 0) + CASE WHEN o_orderkey % 5 = 0 THEN 100 ELSE 0 END END, 0) + CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE 0 END AS total,
+  CASE WHEN o_orderkey % 6 > 0 THEN '123-45-67890' ELSE '1234567890' END AS business_no FROM orders LEFT JOIN (SELECT doc, sum(amount) AS s FROM invoice_lines GROUP BY 1) ON doc = o_orderkey)""",
     "goods": f"""goods AS (SELECT p_partkey AS id, [{NAMES}][p_partkey % {len(GOODS)} + 1] AS name, p_brand AS supplier, CASE p_size % 3 WHEN 0 THEN '돈육' WHEN 1 THEN '우육' ELSE 'box' END AS unit,
   CAST(round(p_retailprice, 2) AS DECIMAL(18,2)) AS price, p_size AS size FROM part)""",
     "sales": """sales AS (SELECT event_id AS id, user_id % 3 AS company, user_id % 10 AS store, ts AS sold_at, CAST(ts AS DATE) AS sale_date,
@@ -29,7 +35,7 @@ VIEWS = {
 
 def over(sql: str) -> str:
     """sql behind the views that it names."""
-    used = [v for k, v in VIEWS.items() if k in sql or k == "barcodes" and "mapped" in sql]
+    used = [v for k, v in VIEWS.items() if k in sql or k == "barcodes" and "mapped" in sql or k == "invoice_lines" and "invoice_heads" in sql]
     sql = sql.strip()
     if not used:
         return sql

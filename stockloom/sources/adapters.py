@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Event types and the sales channels they stand for.
@@ -88,3 +88,27 @@ def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), F.get(F.array(*map(F.lit, GOODS)), (F.col("p_partkey") % len(GOODS)).cast("int")).alias("name"), F.col("p_brand").alias("supplier"),
         F.when(F.col("p_size") % 3 == 0, "돈육").when(F.col("p_size") % 3 == 1, "우육").otherwise("box").alias("unit"), money("p_retailprice").alias("price"), F.col("p_size").alias("size"),
     )
+
+
+def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as they were read from documents: doc, row, part, quantity (some missing), price, amount (some wrong), confidence, trace."""
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("long").alias("part")).distinct()
+    part, number = F.col("part"), F.row_number().over(Window.partitionBy("doc").orderBy("line", "part"))
+    quantity, price = part % 40 + 1, part % 9000 + 1000
+    return l.select(
+        "doc", number.cast("long").alias("row"), "part", F.when(part % 23 != 0, quantity).alias("quantity"), price.alias("price"), (quantity * price + F.when(part % 11 == 0, 5).otherwise(0)).alias("amount"),
+        (60 + part % 41).alias("confidence"), F.when(part % 4 > 0, F.concat(F.lit("L"), F.lpad((part % 1000000).cast("string"), 12, "7"))).otherwise("").alias("trace"),
+    )
+
+
+def invoice_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents say about themselves: doc, supplier, invoice_date, supply, tax, total, business_no; some of it missing or wrong."""
+    sums = invoice_lines(spark, sf_dir).groupBy("doc").agg(F.sum("amount").alias("s"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("day")).join(sums, "doc", "left")
+    doc, s = F.col("doc"), F.coalesce("s", F.lit(0))
+    supply = F.when(doc % 13 != 0, s + F.when(doc % 5 == 0, 100).otherwise(0))
+    return o.select(
+        "doc", F.when(F.col("c") % 9 > 0, F.concat(F.lit("S"), "c")).alias("supplier"), F.when(doc % 8 > 0, F.date_format("day", "yyyy-MM-dd")).otherwise(F.date_format("day", "yyyy/MM/dd")).alias("invoice_date"),
+        supply.alias("supply"), F.lit(0).cast("long").alias("tax"), (F.coalesce(supply, F.lit(0)) + F.when(doc % 7 == 0, 9).otherwise(0)).alias("total"),
+        F.when(doc % 6 > 0, "123-45-67890").otherwise("1234567890").alias("business_no"),
+    )
