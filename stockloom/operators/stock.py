@@ -19,10 +19,14 @@ POLICIES = {
 YIELDS = {"DIRECT_RETAIL": (0.96, 0.90, 0.99, 30), "TRIM_STANDARD": (0.88, 0.78, 0.96, 50), "BONE_IN_COMPLEX": (0.75, 0.60, 0.88, 70), "MULTI_OUTPUT": (0.85, 0.68, 0.94, 80)}
 
 
-def policy_class(name: Column) -> Column:
-    """The first class whose words occur. The premium class needs a demand under 2 a day, which this path doesn't know, so it never applies."""
+def policy_class(name: Column, demand: Column | None = None) -> Column:
+    """The first class whose words occur in a product's name, storage and category; premium only under a demand of 2 a day, none given counting as 0."""
     t = F.lower(name)
-    return F.when(t.rlike("냉동|frozen"), "F4_FROZEN_BUFFER").when(t.rlike("다짐|세절|양념|해동|가공"), "F2_SHORT_LIFE_PROCESSED").when(t.rlike("원육|미박|전지|후지|앞다리|뒷다리"), "F5_TRANSFORMABLE_RAW").otherwise("F1_CORE_FRESH")
+    rare = F.coalesce(demand, F.lit(0)) < 2 if demand is not None else F.lit(True)
+    return (
+        F.when(t.rlike("냉동|frozen"), "F4_FROZEN_BUFFER").when(t.rlike("다짐|세절|양념|해동|가공"), "F2_SHORT_LIFE_PROCESSED").when(t.rlike("특수|한우|와규|안심|채끝") & rare, "F3_PREMIUM_INTERMITTENT")
+        .when(t.rlike("원육|미박|전지|후지|앞다리|뒷다리"), "F5_TRANSFORMABLE_RAW").otherwise("F1_CORE_FRESH")
+    )
 
 
 def demand_series(sales: DataFrame, keys: list[str], day: str, days: int = 56) -> DataFrame:
@@ -153,14 +157,13 @@ def token_cost(calls: Column, tokens_in: float, tokens_out: float, rate_in: floa
     return calls * (tokens_in * rate_in + tokens_out * rate_out) / 1_000_000
 
 
-def queue_metrics(rows: DataFrame) -> DataFrame:
-    """Success, review and failure rates in percent, mean duration and confidence of a day's documents."""
-    rate = lambda s: F.round(100 * F.count_if(F.col("status") == s) / F.count("*"), 1)
-    return rows.agg(F.count("*").alias("n"), rate("SUCCESS").alias("success"), rate("REVIEW").alias("review"), rate("FAILED").alias("failed"), F.round(F.avg("value"), 2).alias("mean_value"))
-
-
 def repeated_rows(lines: DataFrame, doc: str, order: str, columns: list[str]) -> DataFrame:
     """Rows equal to the one before in all of these columns, with the next row's amount."""
     w = Window.partitionBy(doc).orderBy(order)
     sign = F.struct(*columns)
     return lines.withColumn("same", sign == F.lag(sign).over(w)).withColumn("next_amount", F.lead("amount").over(w)).where("same").drop("same")
+
+
+def action_rank(action: Column) -> Column:
+    """Orders first, then what is to be reduced, reviewed and held."""
+    return F.when(action == "ORDER", 0).when(action == "REDUCE", 1).when(action == "REVIEW", 2).otherwise(3)

@@ -90,11 +90,6 @@ def agg_stratum_quota(spark: SparkSession, d: str) -> DataFrame:
     return want.join(have, "channel", "left").withColumn("actual", F.coalesce("actual", F.lit(0))).withColumn("met", F.col("actual") >= F.col("target"))
 
 
-@query("SELECT store, CAST(coalesce(sum(amount) FILTER (channel = 'STORE'), 0) AS DOUBLE) AS \"STORE\", CAST(coalesce(sum(amount) FILTER (channel = 'BAEMIN'), 0) AS DOUBLE) AS \"BAEMIN\", CAST(coalesce(sum(amount) FILTER (channel = 'ETC'), 0) AS DOUBLE) AS \"ETC\" FROM sales GROUP BY 1")
-def agg_month_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d).groupBy("store").pivot("channel", ["STORE", "BAEMIN", "ETC"]).agg(amount(F.col("amount"))).fillna(0.0)
-
-
 @query("SELECT company, sale_date, count(*) AS n, count(DISTINCT store) AS stores FROM sales GROUP BY 1, 2")
 def agg_tenant_usage(spark: SparkSession, d: str) -> DataFrame:
     return sales(spark, d).groupBy("company", "sale_date").agg(F.count("*").alias("n"), F.countDistinct("store").alias("stores"))

@@ -69,12 +69,6 @@ def doc_line_arith(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), (F.abs(F.col("l_quantity") * 1000 - F.col("l_extendedprice")) <= 1).alias("ok"))
 
 
-@query("SELECT count(*) AS n, round(100 * count(*) FILTER (event_type = 'purchase') / count(*), 1) AS success, round(100 * count(*) FILTER (event_type = 'view') / count(*), 1) AS review, round(100 * count(*) FILTER (event_type = 'error') / count(*), 1) AS failed, round(avg(CAST(value * 100 AS BIGINT)), 2) AS mean_value FROM events")
-def agg_queue_metrics(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("event_type") == "purchase", "SUCCESS").when(F.col("event_type") == "view", "REVIEW").when(F.col("event_type") == "error", "FAILED").otherwise("OPEN")
-    return S.queue_metrics(read(spark, d, "events").select(status.alias("status"), F.round(F.col("value") * 100).cast("long").alias("value")))
-
-
 @query("SELECT doc, supplier, expiry FROM movements WHERE is_active AND (product LIKE '%red%' OR supplier LIKE '%7') AND qty >= 10 AND qty < 40")
 def src_rest_predicates(spark: SparkSession, d: str) -> DataFrame:
     m = movements(spark, d).where("is_active").where(F.contains("product", F.lit("red")) | F.endswith("supplier", F.lit("7")))

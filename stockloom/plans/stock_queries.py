@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import ledger as L
 from stockloom.operators import stock as S
-from stockloom.sources.adapters import movements, read, sales
+from stockloom.sources.adapters import goods, movements, read, sales
 from stockloom.streaming import capture as C
 
 from .registry import query
@@ -73,9 +73,9 @@ def an_sanitation_score(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "day", S.sanitation_score(F.col("ratings")).cast("long").alias("score"), F.size("ratings").cast("long").alias("items"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'frozen') THEN 'F4_FROZEN_BUFFER' ELSE 'F1_CORE_FRESH' END AS class FROM part")
+@query("SELECT id, CASE WHEN contains(n, '냉동') OR contains(n, 'frozen') THEN 'F4_FROZEN_BUFFER' WHEN contains(n, '다짐') OR contains(n, '양념') THEN 'F2_SHORT_LIFE_PROCESSED' WHEN (contains(n, '특수') OR contains(n, '한우') OR contains(n, '안심') OR contains(n, '채끝')) AND size % 5 < 2 THEN 'F3_PREMIUM_INTERMITTENT' WHEN contains(n, '미박') OR contains(n, '앞다리') OR contains(n, '뒷다리') THEN 'F5_TRANSFORMABLE_RAW' ELSE 'F1_CORE_FRESH' END AS class FROM (SELECT id, lower(name) AS n, size FROM goods)")
 def an_policy_class(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", S.policy_class(F.col("p_name")).alias("class"))
+    return goods(spark, d).select("id", S.policy_class(F.col("name"), F.col("size") % 5).alias("class"))
 
 
 @query("""SELECT id, max(CASE WHEN kind = 'receipt' THEN id END) OVER (PARTITION BY user_id, s) AS order_id FROM (SELECT *, sum(CASE WHEN g OR kind = 'receipt' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM
