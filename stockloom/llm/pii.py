@@ -27,6 +27,8 @@ SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
 STEM = 2
 #: Arrays are scanned in blocks of so many items, so that the work grows in proportion to their length.
 BLOCK = 256
+#: Terms that no text need be joined for are sorted out by a table of 2^SIEVE bits, 2 MB at any size.
+SIEVE = 24
 #: Beyond any text's length.
 FAR = 2_000_000_000
 
@@ -125,9 +127,30 @@ def facts(base: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(base, of)))
 
 
+def sieve(wanted: DataFrame) -> Callable[[Column], Column]:
+    """Whether a term may be one of wanted's: a table of 2^SIEVE bits, whatever wanted's size, that has all of their hashes.
+
+    It spares the others the way to the join, which decides.
+    """
+    spark = wanted.sparkSession
+    place = lambda term: F.call_function("shiftrightunsigned", F.xxhash64(term), F.lit(64 - SIEVE))
+    own = wanted.select(place(F.col("term")).alias("p")).select(F.call_function("shiftright", "p", F.lit(6)).alias("id"), F.col("p").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = own.groupBy("id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("word"))
+    every = spark.range(1 << SIEVE - 6).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
+    bits = durable(every.agg(F.array_sort(F.collect_list(F.struct("id", "word"))).alias("x")).select(F.transform("x", lambda r: r["word"]).alias("bits"))).scalar()
+
+    def may(term: Column) -> Column:
+        p = place(term)
+        word = F.get(bits, F.call_function("shiftright", p, F.lit(6)).cast("int"))
+        return F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return may
+
+
 def holding(source: DataFrame, wanted: DataFrame, found: Column, *names: str) -> DataFrame:
     """The named columns of source for each term of wanted that `found` makes of its text, with wanted's columns."""
-    return source.select(*names, F.explode(found).alias("term")).join(wanted, "term")
+    may = sieve(wanted)
+    return source.select(*names, F.explode(found).alias("term")).where(may(F.col("term"))).join(wanted, "term")
 
 
 def told_share(pair: DataFrame, spread: DataFrame, texts: Column) -> DataFrame:
@@ -159,8 +182,8 @@ def revealing(found: DataFrame, source: DataFrame, least: int, disclose: float)
 
     short = durable(pair.select("entity", "nc", F.col("term").alias("full"), F.explode(stems(F.col("term"))).alias("term")))
     wanted = durable(short.select("term").distinct())
-    of_text = F.array_distinct(F.flatten(F.transform(terms(F.col("text")), stems)))
-    spread = durable(holding(source, wanted, F.concat(of_text, terms(F.col("text"))), "context").distinct().groupBy("term").agg(F.count("*").alias("nt")))
+    of_text = F.flatten(F.transform(terms(F.col("text")), lambda t: F.concat(stems(t), F.array(t))))
+    spread = durable(holding(source, wanted, of_text, "context").distinct().groupBy("term").agg(F.count("*").alias("nt")))
     inside = held.select("context", F.explode(F.concat(stems(F.col("term")), F.array("term"))).alias("term")).join(wanted, "term").distinct()
     both = fact.join(short.select("entity").distinct(), "entity").join(inside, "context").groupBy("entity", "term").agg(F.count("*").alias("nct"))
     safe = told_share(short.join(both, ["entity", "term"]), spread, texts).groupBy("full", "term").agg(F.max("share").alias("share")).where(F.col("share") < disclose)
