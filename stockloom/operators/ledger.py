@@ -189,20 +189,6 @@ def seen_before(web: DataFrame, pos: DataFrame, seconds: int = 7200) -> DataFram
     return near.groupBy("id").agg(F.max("pt").alias("pos_at"))
 
 
-def rejecting_stock(events: DataFrame, keys: list[str], order: list[str], qty: str, opening: str) -> DataFrame:
-    """Running stock that rejects an event it cannot serve; a rejected event consumes nothing.
-
-    An ordered fold for each key, which a window sum can't express: the keys' events are folded as arrays.
-    """
-    e = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, qty))).alias("events"), F.max(opening).cast("double").alias("stock"))
-    need = lambda x: x[qty].cast("double")
-    fold = F.aggregate(
-        "events", F.struct(F.col("stock").alias("left"), F.lit(0).alias("sold"), F.lit(0).alias("rejected")),
-        lambda a, x: F.struct(F.when(need(x) <= a["left"], a["left"] - need(x)).otherwise(a["left"]).alias("left"), (a["sold"] + (need(x) <= a["left"]).cast("int")).alias("sold"), (a["rejected"] + (need(x) > a["left"]).cast("int")).alias("rejected")),
-    )
-    return e.select(*keys, fold.alias("f")).select(*keys, "f.*")
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """new over old: for each key the row of the highest version, of new on ties. No table format is needed."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -85,7 +85,8 @@ def stm_order_session(spark: SparkSession, d: str) -> DataFrame:
     return C.order_sessions(e, ["user_id"], 172800)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS code, epoch_us(ts) / 3600000000 AS seconds FROM events), f AS (SELECT code, min(seconds) AS seconds, arg_min(id, (seconds, id)) AS id FROM e GROUP BY 1),
+ r AS (SELECT * FROM f UNION ALL SELECT e.code, min(e.seconds), arg_min(e.id, (e.seconds, e.id)) FROM r JOIN e ON e.code = r.code AND e.seconds - r.seconds >= 24 GROUP BY e.code) SELECT id, code, seconds FROM r""")
 def stm_debounce_2s(spark: SparkSession, d: str) -> DataFrame:
     """Hours stand for seconds: the events are that far apart."""
     e = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("code"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("seconds"))

@@ -41,4 +41,4 @@ def over(sql: str) -> str:
         return sql
     if sql.startswith(("WITH ", ",")):  # its own tables follow the views
         sql = "," + sql.removeprefix("WITH").removeprefix(",")
-    return "WITH " + ",\n".join(used) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(used) + "\n" + sql

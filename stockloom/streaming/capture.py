@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stockloom.operators.delivery import sorted_fold
+
 
 def first_of_txn(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """The first event of each transaction; later ones within the lateness are acknowledged and dropped."""
@@ -37,15 +39,14 @@ def debounce_stream(stream: DataFrame, gap: float = 2.0) -> DataFrame:
 
 
 def debounce(rows: DataFrame, gap: float = 2.0) -> DataFrame:
-    """The batch twin: a fold over each code's scans in order of time; a dropped scan doesn't move the window."""
-    events = rows.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("seconds", "id"))).alias("e"))
+    """The batch twin: each code's scans in order of time, as a sorted stream; a dropped scan doesn't move the window."""
 
-    def add(acc: Column, x: Column) -> Column:
-        ok = acc["last"].isNull() | (x["seconds"] - acc["last"] >= gap)
-        return F.struct(F.when(ok, x["seconds"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    def step(last: float | None, r: dict) -> tuple[float, tuple | None]:
+        if last is not None and r["seconds"] - last < gap:
+            return last, None
+        return r["seconds"], (r["id"], r["code"], r["seconds"])
 
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<seconds:double,id:bigint>>").alias("out"))
-    return events.select("code", F.explode(F.aggregate("e", start, add)["out"]).alias("x")).select("x.id", "code", "x.seconds")
+    return sorted_fold(rows.select("code", "seconds", "id"), ["code"], ["seconds", "id"], step, "id long, code string, seconds double")
 
 
 def order_sessions(events: DataFrame, keys: list[str], idle_seconds: int) -> DataFrame:
@@ -67,3 +68,60 @@ def refresh_buckets(batch: DataFrame, ledger: DataFrame, keys: list[str]) -> Dat
     """For foreachBatch: recomputes the summary of only those buckets that the batch touched."""
     touched = batch.select(*keys).distinct()
     return ledger.join(touched, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+def order_session_stream(stream: DataFrame, idle_seconds: int) -> DataFrame:
+    """order_sessions as a stream over (user, id, seconds, kind): the open order and the last event's time are each user's state."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["seconds", "id"])
+        order, last = state.get if state.exists else (None, None)
+        out = []
+        for i, at, kind in zip(rows["id"], rows["seconds"], rows["kind"], strict=True):
+            if last is None or at - last > idle_seconds:
+                order = None
+            order, last = (int(i) if kind == "receipt" else order), float(at)
+            out.append((int(i), order))
+        state.update((order, last))
+        yield pd.DataFrame({"id": [i for i, _ in out], "order_id": pd.array([o for _, o in out], dtype="Int64")})
+
+    return stream.groupBy("user").applyInPandasWithState(run, "id long, order_id long", "order_id long, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def summary_stream(stream: DataFrame, ledger_of, keys: list[str], path: str, checkpoint: str):
+    """Starts a stream whose batches recompute the summaries of the buckets they touch, each batch to its own folder under path."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        refresh_buckets(batch, ledger_of(batch.sparkSession), keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def idle_buffers(events: DataFrame, key: str, gap: str, most: int) -> DataFrame:
+    """Bytes gathered until an idle gap: each buffer's start, number of parts and size, and whether it went over the cap; for batches and streams."""
+    g = events.groupBy(key, F.session_window("at", gap).alias("w")).agg(F.count("*").alias("parts"), F.sum("size").alias("bytes"))
+    return g.select(key, F.col("w.start").alias("start"), "parts", "bytes", (F.col("bytes") > most).alias("over"))
+
+
+def key_bursts(events: DataFrame, key: str, gap: float, most: float) -> DataFrame:
+    """Keystrokes (key, id, seconds, char) as codes: a gap begins a new one, and so does a burst's greatest length in time.
+
+    Bursts typed too slowly for a scanner, over .08 seconds a character and half a second, are left out.
+    """
+
+    def step(state: tuple | None, r: dict) -> tuple[tuple, tuple]:
+        first, last, burst = state or (r["seconds"], r["seconds"], r["id"])
+        if r["seconds"] - last > gap or r["seconds"] - first > most:
+            first, burst = r["seconds"], r["id"]
+        return (first, r["seconds"], burst), (r[key], burst, r["id"], r["seconds"], r["char"])
+
+    rows = sorted_fold(events.select(key, "id", "seconds", "char"), [key], ["seconds", "id"], step, f"{key} long, burst long, id long, seconds double, char string")
+    g = rows.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.struct("seconds", "id", "char"))).alias("c"), F.min("seconds").alias("a"), F.max("seconds").alias("b"))
+    typed = F.array_join(F.transform("c", lambda x: x["char"]), "")
+    return g.where(F.col("b") - F.col("a") <= F.size("c") * 0.08 * gap / 0.5 + gap).select(key, "burst", typed.alias("code"))
+
+
+def retries(attempts: DataFrame) -> DataFrame:
+    """When a failed document is tried again: after 5 and then 30 seconds; a third failure goes to review."""
+    delay = F.when(F.col("attempt") == 1, 5).when(F.col("attempt") == 2, 30)
+    return attempts.withColumn("next_at", F.col("seconds") + delay).withColumn("status", F.when(delay.isNotNull(), "RETRY").otherwise("REVIEW"))
