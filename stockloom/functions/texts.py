@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,9 +129,24 @@ def label(barcode: Column, amount: Column, kilograms: Column, price: Column, bas
     return F.struct(F.when(scale, F.substring(code, 2, 6)).alias("item"), per.cast("double").alias("price_per_kg"), embeds.alias("embeds"), six.alias("six_digits"), ean13_valid(code).alias("check_digit"), review.alias("review"))
 
 
-def decoded(raw: Column) -> Column:
-    """Bytes as UTF-8 text if they are valid, else as EUC-KR."""
-    return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "EUC-KR"))
+@F.pandas_udf("string")
+def decoded(raw: pd.Series) -> pd.Series:
+    """Bytes as UTF-8 text if they are valid, else as Korean ones; SQL's decode doesn't know the latter."""
+
+    def one(x: bytes | None) -> str | None:
+        if x is None:
+            return None
+        try:
+            return bytes(x).decode("utf-8")
+        except UnicodeDecodeError:
+            return bytes(x).decode("cp949", "replace")
+
+    return raw.map(one)
+
+
+@F.pandas_udf("binary")
+def korean_bytes(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else x.encode("cp949", "replace"))
 
 
 def printed(text: Column) -> Column:

@@ -145,11 +145,6 @@ def flt_pii_phone(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("valid", F.col("phone").rlike("^01[016789][0-9]{7,8}$"))
 
 
-@query("SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM movements WHERE date_trunc('month', day) < DATE '1997-01-01'")
-def snk_partition_archive(spark: SparkSession, d: str) -> DataFrame:
-    return movements(spark, d).where(F.trunc("day", "month") < F.lit("1997-01-01").cast("date")).select(F.date_format("day", "yyyy-MM").alias("month")).distinct()
-
-
 @query("SELECT key, product, CAST(greatest(price, coalesce(m, 0)) AS DOUBLE) AS price FROM barcodes LEFT JOIN (SELECT p_name, max(CAST(round(p_retailprice, 2) AS DECIMAL(18,2))) AS m FROM part WHERE p_size > 40 GROUP BY 1) ON p_name = product")
 def snk_update_from(spark: SparkSession, d: str) -> DataFrame:
     top = read(spark, d, "part").where("p_size > 40").groupBy(F.col("p_name").alias("product")).agg(F.max(F.round("p_retailprice", 2).cast("decimal(18,2)")).alias("m"))

@@ -69,12 +69,6 @@ def doc_line_arith(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), (F.abs(F.col("l_quantity") * 1000 - F.col("l_extendedprice")) <= 1).alias("ok"))
 
 
-@query("SELECT doc, supplier, expiry FROM movements WHERE is_active AND (product LIKE '%red%' OR supplier LIKE '%7') AND qty >= 10 AND qty < 40")
-def src_rest_predicates(spark: SparkSession, d: str) -> DataFrame:
-    m = movements(spark, d).where("is_active").where(F.contains("product", F.lit("red")) | F.endswith("supplier", F.lit("7")))
-    return m.where((F.col("qty") >= 10) & (F.col("qty") < 40)).select("doc", "supplier", "expiry")
-
-
 @query("SELECT doc, total::DOUBLE AS total FROM invoices ORDER BY created_at DESC, doc LIMIT 50")
 def src_list_table(spark: SparkSession, d: str) -> DataFrame:
     return invoices(spark, d).orderBy(F.desc("created_at"), "doc").limit(50).select("doc", F.col("total").cast("double").alias("total"))
