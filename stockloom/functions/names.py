@@ -22,6 +22,16 @@ CUTS = (
     ("목살", "목살", "돼지고기", ""), ("항정", "항정", "돼지고기", ""), ("가브리살|가브릿살|가브리살살", "가브리살", "돼지고기", ""), ("갈매기살?", "갈매기살", "돼지고기", ""),
     ("앞다리", "앞다리", "돼지고기", ""), ("뒷다리", "뒷다리", "돼지고기", ""), ("볼살|뽈살", "볼살", "돼지고기", ""), ("닭가슴살|계육가슴살", "가슴살", "닭고기", ""), ("닭다리살|계육다리살", "다리살", "닭고기", ""),
 )
+#: Standard names and the patterns that stand for them between blanks or brackets, in the order in which they are replaced.
+ALIASES = (
+    ("오겹살", r"오겹살?|(?:미빅피|미박피|미밖피|미뱍피|미박|미빅|미밖|미백|미뱍|미)\s*(?:삼겹살?|삼겹쌀|삽겹살?)"),
+    ("미박 앞다리살", r"미전지|미젼지|미전쥐|미전디|이전지|(?:미박|미밖)\s*전지|미\s*(?:앞다리|압다리|앞다라)살|(?:미박|미밖)\s*(?:앞다리|압다리|앞다라)살?|(?:앞다리|압다리|앞다라)살?\s*(?:미박|미밖)"),
+    ("미박 뒷다리살", r"미후지|미\s*후지|미박\s*후지|미\s*뒷다리살?|미박\s*뒷다리살?"), ("이겹살", "이겹살?"), ("가브리살", "등심덧살|가브리|가브리살|가브릿살|가브리쌀|가브리삽|가브리샬|가브라살|가부리|가부리살|가비리살|까브리살"),
+    ("돼지 갈비", r"(?:돼지\s*갈비살?|돈\s*갈비살?)"), ("삼겹살", r"(?:박피|박펴|박파|박비|빅피|밖피)\s*(?:삼겹살?|삼겹쌀|삽겹살?)"),
+)
+#: Typing errors of skin-on cuts and what they mean, in the order in which they are replaced.
+CUT_WORDS = r"(?:삼겹|앞다리|압다리|앞다라|전지|뒷다리|후지)(?:살)?(?=$|[\s()])"
+TYPOS = ((r"(^|[\s(])(?:미박\s*후지|미\s*후지|미후지)(?=$|[\s()])", "$1미박 뒷다리살"), (rf"(^|[\s(])미(?:빅|밖|백|뱍)(?:피)?\s*(?={CUT_WORDS})", "$1미박 "), (rf"(^|[\s(])미\s*(?={CUT_WORDS})", "$1미박 "))
 #: The Hangul letters, in code order.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 MEDIALS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
@@ -152,3 +162,21 @@ def classified(text: Column) -> Column:
     qualifier = F.when((rule["category"] == "돼지고기") & (state == "skin_on"), "미박").otherwise(F.coalesce(rule["qualifier"], F.lit("")))
     key = F.concat_ws("|", F.coalesce(rule["category"], F.lit("미분류")), F.coalesce(rule["cut"], fingerprint(text)), qualifier, store)
     return F.struct(name.alias("name"), rule["category"].alias("category"), rule["cut"].alias("cut"), qualifier.alias("qualifier"), store.alias("storage"), state.alias("skin"), sure.alias("confidence"), review.alias("review"), key.alias("key"))
+
+
+def standard_aliases(text: Column) -> Column:
+    """A name with the variants of seven standard products replaced."""
+    for name, pattern in ALIASES:
+        text = F.regexp_replace(text, rf"(^|[\s(])(?:{pattern})(?=$|[\s()])", f"$1{name}")
+    return text
+
+
+def contextual_typos(text: Column) -> Column:
+    """A name with typing errors of skin-on cuts mended; a name that is nothing but a storage and belly with or without skin becomes that product's."""
+    name = replaced(clean(text), TYPOS)
+    bare = F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), r"\s+", "")
+    storage = F.regexp_extract(bare, "^(냉장|냉동)", 1)
+    rest = F.substring(bare, F.length(storage) + 1, F.length(bare))
+    whole = lambda n: F.when(storage != "", F.concat(storage, F.lit(f" {n}"))).otherwise(n)
+    skin_on, skinless = "^(?:미빅피|미박피|미밖피|미뱍피|미박|미빅|미밖|미백|미뱍|미)(?:삼겹|삼겸|삽겹)(?:살|쌀)?$", "^(?:박피|박펴|박파|박비|빅피|밖피)(?:삼겹|삼겸|삽겹)(?:살|쌀)?$"
+    return F.when(rest.rlike(skin_on), whole("오겹살")).when(rest.rlike(skinless), whole("삼겹살")).otherwise(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from .scalars import SCALE_LABEL, compact, ean13_valid, js_round
 
@@ -129,7 +130,7 @@ def label(barcode: Column, amount: Column, kilograms: Column, price: Column, bas
     return F.struct(F.when(scale, F.substring(code, 2, 6)).alias("item"), per.cast("double").alias("price_per_kg"), embeds.alias("embeds"), six.alias("six_digits"), ean13_valid(code).alias("check_digit"), review.alias("review"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(raw: pd.Series) -> pd.Series:
     """Bytes as UTF-8 text if they are valid, else as Korean ones; SQL's decode doesn't know the latter."""
 
@@ -144,7 +145,7 @@ def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def korean_bytes(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.encode("cp949", "replace"))
 

@@ -34,19 +34,119 @@ def least_similarity(size: Column) -> Column:
     return F.when(size <= 3, 0.95).when(size <= 5, 0.86).otherwise(0.82)
 
 
-def fuzzy(names: DataFrame, dictionary: DataFrame, margin: float = 0.06) -> DataFrame:
-    """(name, target, similarity, decision): the best dictionary name, if it is near enough and ahead of the next other target.
+def fuzzy(names: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(name, target, category, similarity, margin, decision): the best entry of a dictionary for each name, from .5 on.
 
-    Distinct names meet the dictionary, a small fixed table, by broadcast; the two best targets decide.
+    dictionary: (target, category, alias), a fixed table of some hundred rows at most, as a product has few cuts. It is applied by itself
+    only with at most 0, 1 or 2 edits by length, a similarity of .65, a lead over the next other target of .2 for names
+    of up to three letters and else .12, and no unknown letters around the alias; a name's category hint must agree.
     """
+    n = names.select("name", "hint").distinct().withColumn("k", fingerprint(F.col("name"))).where("k <> ''")
+    d = dictionary.select("target", "category", fingerprint(F.col("alias")).alias("dk")).distinct()
+    both = n.join(d, F.coalesce(F.col("hint"), F.col("category")) == F.col("category")).withColumn("similarity", F.round(similarity(F.col("k"), F.col("dk")), 9)).withColumn("distance", F.levenshtein("k", "dk"))
+    best = both.groupBy("name", "hint", "k", "target", "category").agg(F.max(F.struct("similarity", (-F.col("distance")).alias("near"), "dk")).alias("b"))
+    w = Window.partitionBy("name", "hint").orderBy(F.desc("b.similarity"), F.desc("b.near"), "target", "category")
+    top = best.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("b.similarity").over(w)).where("rn = 1").select("name", "hint", "k", "target", "category", "next", "b.*")
+    size, margin = F.greatest(F.length("k"), F.length("dk")), F.round(F.col("similarity") - F.coalesce("next", F.col("similarity") - 1), 9)
+    most = F.when(size <= 2, 0).when(size <= 5, 1).otherwise(2)
+    affix = (F.col("k") != F.col("dk")) & F.contains("k", F.col("dk")) & ~F.col("k").rlike("^.*(살|쌀|삽|삭)$")
+    risky = ((F.col("target") == "가브리살") & ((F.length("k") <= 2) | (F.col("k").startswith("갈") & (F.col("k") != "갈비")))) | ((F.col("target") == "갈비") & F.col("k").startswith("가브"))
+    sure = ~affix & ~risky & (-F.col("near") <= most) & (F.col("similarity") >= 0.65) & (margin >= F.when(size <= 3, 0.2).otherwise(0.12))
+    decision = F.when(F.col("similarity") < 0.5, "NONE").when(sure, "AUTO").otherwise("REVIEW")
+    return top.select("name", "hint", F.when(decision != "NONE", F.col("target")).alias("target"), "similarity", margin.alias("margin"), decision.alias("decision"))
+
+
+def ranked(names: DataFrame, dictionary: DataFrame, most: int = 5) -> DataFrame:
+    """The best entries for each name by the similarity of its best part, one for each category and target, ties by the longer target."""
+    from stockloom.functions.names import term_similarity
+
     n = names.select("name").distinct().withColumn("k", fingerprint(F.col("name")))
-    d = dictionary.select("target", "alias").distinct().withColumn("dk", fingerprint(F.col("alias")))
-    best = n.crossJoin(F.broadcast(d)).groupBy("name", "k", "target").agg(F.max(similarity(F.col("k"), F.col("dk"))).alias("similarity"))
-    w = Window.partitionBy("name").orderBy(F.desc("similarity"), "target")
-    top = best.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("similarity").over(w)).where("rn = 1")
-    sure = (F.col("similarity") >= least_similarity(F.length("k"))) & ((F.col("similarity") == 1) | (F.col("similarity") - F.coalesce("next", F.lit(0.0)) >= margin))
-    decision = F.when(sure, "AUTO").when(F.col("similarity") >= 0.5, "REVIEW").otherwise("NONE")
-    return top.select("name", F.when(decision != "NONE", F.col("target")).alias("target"), "similarity", decision.alias("decision"))
+    d = dictionary.select("target", "category", fingerprint(F.col("alias")).alias("dk")).distinct()
+    best = n.join(d, F.col("dk") != "").groupBy("name", "category", "target").agg(F.round(F.max(term_similarity(F.col("k"), F.col("dk"))), 9).alias("score"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), F.desc(F.length("target")), "target", "category"))
+    return best.withColumn("place", place).where(F.col("place") <= most)
+
+
+def resolved(names: DataFrame, dictionary: DataFrame, auto: float = 0.80) -> DataFrame:
+    """Each name's class, or where it has none the best ranked entry: applied by itself from `auto` on, for review from .65 on."""
+    n = names.select("name").distinct().withColumn("x", classified(F.col("name")))
+    top = ranked(n, dictionary, 1).select("name", F.col("target").alias("candidate"), "score")
+    out = n.join(top, "name", "left")
+    known = F.col("x.cut").isNotNull()
+    decision = F.when(known, "CLASSIFIED").when(F.col("score") >= auto, "AUTO").when(F.col("score") >= 0.65, "REVIEW").otherwise("NONE")
+    return out.select("name", F.when(known, F.col("x.cut")).when(decision.isin("AUTO", "REVIEW"), F.col("candidate")).alias("cut"), decision.alias("decision"))
+
+
+def found_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """The learned target of each (supplier, key): the supplier's own rule, else its longest rule of six letters or more that begins the key by three letters' gap, else a rule for all."""
+    exact = learned(names, rules).select("supplier", "key", F.col("target").alias("exact"))
+    own = rules.where("supplier IS NOT NULL").where(F.length("key") >= 6).select("supplier", F.col("key").alias("head"), F.col("target").alias("by_head"))
+    heads = names.select("supplier", "key").distinct().withColumn("head", F.explode(F.expr("transform(sequence(6, greatest(6, length(key) - 1)), n -> left(key, n))")))
+    hit = heads.join(own, ["supplier", "head"]).groupBy("supplier", "key").agg(F.max(F.struct(F.length("head").alias("n"), "by_head")).alias("h")).where(F.length("key") - F.col("h.n") >= 3)
+    mine = rules.where("supplier IS NOT NULL").select("supplier", "key", F.col("target").alias("mine"))
+    x = names.join(mine, ["supplier", "key"], "left").join(hit, ["supplier", "key"], "left").join(exact.dropDuplicates(["supplier", "key"]), ["supplier", "key"], "left")
+    return x.withColumn("target", F.coalesce("mine", "h.by_head", "exact")).withColumn("by", F.when(F.col("mine").isNotNull(), "supplier_exact").when(F.col("h").isNotNull(), "supplier_prefix").when(F.col("exact").isNotNull(), "global_exact")).drop("mine", "h", "exact")
+
+
+def storage_inferred(text: Column, context: Column, moved: Column, expiry: Column, slaughter: Column, shelf_days: Column, known: Column) -> Column:
+    """(storage, source, confidence): what the name says, else the document, an expiry not yet past, an age within the shelf life, a learned rule."""
+    say = lambda s, source, sure: F.struct(s.alias("storage"), F.lit(source).alias("source"), F.lit(sure).alias("confidence"))
+    stated = lambda t: F.when(t.contains("냉동"), "냉동").when(t.contains("냉장"), "냉장")
+    age = F.datediff(moved, slaughter)
+    chilled = F.lit("냉장")
+    return (
+        F.when(stated(text).isNotNull(), say(stated(text), "explicit_name", 100)).when(stated(context).isNotNull(), say(stated(context), "document_context", 94)).when(F.datediff(moved, expiry) <= 0, say(chilled, "expiry_date", 96))
+        .when((age >= 0) & (age <= shelf_days), say(chilled, "slaughter_age", 90)).when(known.isNotNull(), say(known, "learned_pattern", 90)).otherwise(say(F.lit("보관미상"), "unknown", 0))
+    )
+
+
+def matched(names: DataFrame, aliases: DataFrame, memory: DataFrame) -> DataFrame:
+    """Each name's product: by an exact alias, an exact memory, else the best candidate that shares its first letters; with status.
+
+    An exact alias counts from a confidence of 90 on; candidates need 86 for review, and below they are proposals for new aliases.
+    """
+    n = names.select("name").distinct().withColumn("key", fingerprint(F.col("name")))
+    a = aliases.groupBy("key").agg(F.max(F.struct("confidence", "product")).alias("a"))
+    m = memory.groupBy("key").agg(F.max(F.struct("score", "product")).alias("m"))
+    head = lambda c: F.left(c, F.lit(2))
+    near = n.select("name", "key", head(F.col("key")).alias("h")).join(aliases.select(head(F.col("key")).alias("h"), F.col("key").alias("ak"), F.col("product").alias("p")).distinct(), "h")
+    near = near.withColumn("s", F.floor(similarity(F.col("key"), F.col("ak")) * 100 + 0.5).cast("long")).groupBy("name").agg(F.max(F.struct("s", "p")).alias("c"))
+    x = n.join(a, "key", "left").join(m, "key", "left").join(near, "name", "left")
+    status = F.when(F.col("a").isNotNull(), F.when(F.col("a.confidence") >= 90, "matched").otherwise("needs_review")).when(F.col("m").isNotNull(), "learned_match").when(F.col("c.s") >= 86, "needs_review").otherwise("new_alias_candidate")
+    score = F.coalesce("a.confidence", F.least(F.lit(99), F.col("m.score")), "c.s", F.lit(0)).cast("long")
+    return x.select("name", F.coalesce("a.product", "m.product", "c.p").alias("product"), score.alias("score"), status.alias("status"))
+
+
+def natural_labels(memory: DataFrame) -> DataFrame:
+    """The display name of each product with the best score, ties by name."""
+    return memory.groupBy("product").agg(F.max(F.struct("score", "label")).alias("b")).select("product", "b.label")
+
+
+def halving_confidence(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Patterns from their log in order: samples and successes together; each entry's confidence is averaged with what was before and rounded.
+
+    The fold runs as a stream over sorted rows; its last row counts.
+    """
+    from .delivery import sorted_fold
+
+    rows = log.select(*keys, *order, "samples", "successes", "confidence")
+
+    def step(state: tuple | None, r: dict) -> tuple[tuple, tuple]:
+        n, ok, sure = state or (0, 0, None)
+        sure = int(r["confidence"]) if sure is None else min(100, int((sure + r["confidence"]) / 2 + 0.5))
+        state = (n + int(r["samples"]), ok + int(r["successes"]), sure)
+        return state, (*(r[k] for k in keys), *state)
+
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", samples long, successes long, confidence long"
+    made = sorted_fold(rows, keys, order, step, schema)
+    return made.groupBy(*keys).agg(F.max_by(F.struct("successes", "confidence"), "samples").alias("x"), F.max("samples").alias("samples")).select(*keys, "samples", "x.*")
+
+
+def dictionary_score(name: Column, alias: Column, memory: Column, learning: Column, times: Column, sources: Column, history: Column) -> Column:
+    """(confidence, route) of a dictionary candidate, each part within its limit."""
+    parts = name * 0.38 + F.least(F.lit(20), alias * 0.2) + F.least(F.lit(15), memory * 0.15) + F.least(F.lit(15), learning / 10 + F.log2(times + 1.0) * 2) + F.least(F.lit(20), sources * 4) + F.least(F.lit(12), history * 3)
+    sure = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(parts + 0.5))).cast("long")
+    return F.struct(sure.alias("confidence"), F.when(sure >= 95, "AUTO_APPROVED").when(sure >= 80, "REVIEW_REQUIRED").when(sure >= 60, "USER_SELECT").otherwise("UNKNOWN").alias("route"))
 
 
 def memory_score(source: Column, confidence: Column, uses: Column, verified: Column) -> Column:

@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load() -> None:
-    from . import ledger_queries, more_queries, resolution_queries, scalar_queries, stock_queries, name_queries, document_queries, summary_queries, posting_queries, source_queries  # noqa: F401
+    from . import ledger_queries, more_queries, resolution_queries, scalar_queries, stock_queries, name_queries, document_queries, summary_queries, posting_queries, source_queries, learning_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

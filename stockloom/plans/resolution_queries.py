@@ -50,15 +50,6 @@ def er_mapping_decision(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", R.mapping_decision(F.col("p_size").cast("decimal(10,1)") / 50, (F.col("p_partkey") % 10).cast("decimal(10,1)") / 10).alias("decision"))
 
 
-@query("""WITH names AS (SELECT DISTINCT replace(p_name, 'o', '0') AS name FROM part), dict AS (SELECT DISTINCT p_name AS target FROM part),
- s AS (SELECT name, lower(regexp_replace(name, '[\\s\\p{P}\\p{S}]+', '', 'g')) AS k, target, lower(regexp_replace(target, '[\\s\\p{P}\\p{S}]+', '', 'g')) AS t FROM names, dict),
- b AS (SELECT name, k, target, 1 - levenshtein(k, t) / greatest(length(k), length(t)) AS s FROM s), o AS (SELECT *, row_number() OVER w AS rn, lead(s) OVER w AS nx FROM b WINDOW w AS (PARTITION BY name ORDER BY s DESC, target))
- SELECT name, CASE WHEN s >= 0.5 THEN target END AS target, s AS similarity, CASE WHEN s >= CASE WHEN length(k) <= 3 THEN 0.95 WHEN length(k) <= 5 THEN 0.86 ELSE 0.82 END AND (s = 1 OR s - coalesce(nx, 0) >= 0.06) THEN 'AUTO' WHEN s >= 0.5 THEN 'REVIEW' ELSE 'NONE' END AS decision FROM o WHERE rn = 1""")
-def er_fuzzy_cut(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part")
-    return R.fuzzy(p.select(F.replace("p_name", F.lit("o"), F.lit("0")).alias("name")), p.select(F.col("p_name").alias("target"), F.col("p_name").alias("alias")))
-
-
 @query("SELECT p_partkey, CASE WHEN p_size * 2 >= 90 THEN 'A' WHEN p_size * 2 >= 80 THEN 'B' WHEN p_size * 2 >= 70 THEN 'C' WHEN p_size * 2 >= 60 THEN 'D' ELSE 'E' END AS grade FROM part")
 def doc_grade(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", S.grade(F.col("p_size") * 2).alias("grade"))

@@ -6,9 +6,15 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import functions as F
 
+from stockloom.functions import names as N
 from stockloom.functions import scalars as S
+from stockloom.functions import texts as T
+from stockloom.operators import delivery as V
+from stockloom.operators import documents as D
 from stockloom.operators import ledger as L
+from stockloom.operators import posting as P
 from stockloom.operators import stock as K
+from stockloom.sources import readers as R
 from stockloom.streaming import capture as C
 
 
@@ -72,10 +78,88 @@ def test_sanitation(spark):
     assert [x.s for x in r] == [100, 50, 10, 86]
 
 
-def test_rejected_events_consume_nothing(spark):
-    df = spark.createDataFrame([("a", 1, 5.0, 6.0), ("a", 2, 3.0, 6.0), ("a", 3, 1.0, 6.0)], "k string, at int, qty double, stock double")
-    r = L.rejecting_stock(df, ["k"], ["at"], "qty", "stock").first()
-    assert (r.left, r.sold, r.rejected) == (0.0, 2, 1)
+def test_refused_sales_take_nothing(spark):
+    sales = spark.createDataFrame([(1, 1, "p", "a", 5.0, 1), (2, 1, "p", "b", 3.0, 2), (3, 1, "p", "c", 1.0, 3), (4, 1, "p", "c", 1.0, 4)], "id long, store int, product string, txn string, quantity double, sold_at int")
+    stock = spark.createDataFrame([(1, "p", 6.0)], "store int, product string, available double")
+    got = {r.id: (r.status, r.left) for r in V.till_sales(sales, stock).collect()}
+    assert got == {1: ("SOLD", 1.0), 2: ("INSUFFICIENT_STOCK", 1.0), 3: ("SOLD", 0.0), 4: ("DUPLICATE_EVENT", 0.0)}
+
+
+def mappings(spark):
+    rows = [("000001", "old", 10, "FIXED", None, 1), ("000001", "new", 12, "FIXED", None, 2), ("000001", "own", 11, "FIXED", 7, 1), ("000001", "own2", 13, "FIXED", 7, 3), ("000001", "other", 9, "FIXED", 8, 9)]
+    return spark.createDataFrame([(k, p, Decimal(c), w, s, u) for k, p, c, w, s, u in rows], "key string, product string, price decimal(18,2), weigh string, store int, updated int")
+
+
+def test_a_store_takes_its_last_mapping(spark):
+    events = spark.createDataFrame([(1, 1, "t1", 7, "000001", "2000001012340", 1), (2, 1, "t2", 5, "000001", "2000001012340", 2)], "id int, company int, txn string, store int, code string, barcode string, sold_at int")
+    got = {r.id: r.product for r in L.scan_sale(events, mappings(spark)).collect()}
+    assert got == {1: "own2", 2: "new"}
+    pending = events.withColumn("amount", F.lit(Decimal(26)))
+    assert {(r.id, r.product, r.quantity) for r in P.apply_mapping(pending, mappings(spark)).collect()} == {(1, "own2", 2.0), (2, "new", 2.167)}
+
+
+def test_delivery_orders_post_whole_or_not_at_all(spark):
+    orders = spark.createDataFrame([("ord-1", 7, "COUPANG", Decimal(100), 1), ("ord-1", 7, "COUPANG", Decimal(100), 2), ("ord-2", 7, "COUPANG", Decimal(50), 3), ("ord-3", 7, "COUPANG", Decimal(0), 4), ("o", 7, "COUPANG", Decimal(1), 5)], "order_id string, store int, channel string, amount decimal(18,2), at int")
+    one = spark.createDataFrame([("ord-1", 1, "000001", "000001", None, None), ("ord-1", 2, "000001", "000001", None, None), ("ord-2", 1, "000001", "000001", None, None), ("ord-3", 1, "zzz", "a/b", None, None)], "order_id string, line_no int, code string, barcode string, quantity decimal(18,3), amount decimal(18,2)")
+    stock = spark.createDataFrame([(7, "own2", Decimal(2))], "store int, product string, available decimal(18,3)")
+    o, lines = V.fulfilled(orders, one, mappings(spark), stock)
+    assert sorted((r.order_id, r.at, r.error) for r in o.collect()) == [("o", 5, "DELIVERY_ORDER_ID_REQUIRED"), ("ord-1", 1, None), ("ord-1", 2, "DUPLICATE_DELIVERY_ORDER"), ("ord-2", 3, "INSUFFICIENT_STOCK_LINE_1"), ("ord-3", 4, "DELIVERY_ORDER_AMOUNT_REQUIRED")]
+    assert sorted((r.order_id, r.line_no, r.amount) for r in lines.collect()) == [("ord-1", 1, 50.0), ("ord-1", 2, 50.0)]
+
+
+def test_rows_that_slipped_are_moved_back(spark):
+    good = [(36.0, 5300.0, 190800.0), (5.8, 31000.0, 179800.0), (10.3, 7700.0, 79310.0), (105.1, 9300.0, 977430.0)]
+    rows = [(1, i, f"n{i}", *x, f"L{j}", 90) for i, (j, x) in enumerate([(0, good[0]), (1, good[1]), (2, good[2]), (2, good[2]), (3, good[3])], 1)]
+    df = spark.createDataFrame(rows, "doc int, row long, name string, quantity double, price double, amount double, trace string, confidence int")
+    got = D.repaired(df).orderBy("row").collect()
+    assert len(got) == 4 and got[3].quantity == 105.1 and got[3].name == "n4" and got[0].reason == "INSERTED_DUPLICATE_NUMERIC_ROW" and got[3].confidence == 80
+    assert D.repaired(df.where("row < 4")).where("reason IS NOT NULL").count() == 0
+
+
+def test_names(spark):
+    say = lambda f, *x: [r[0] for r in spark.createDataFrame([(v,) for v in x], "n string").select(f(F.col("n"))).collect()]
+    assert say(N.canonical, "냉장 황창(장터)", "냉장 삼겸", "소목심") == ["냉장 항정(장터)", "냉장 삼겹", "소목심"]
+    assert say(N.letters, "갈비 a") == ["ㄱㅏㄹㅂㅣ a"] and say(N.particle, "삼겹살", "갈비") == ["이", "가"]
+    assert say(S.normalise, "A+B $5 ^x") == ["ab5x"]
+    assert say(T.trace_numbers, "이력번호 : L12607026054002", "a / 140028101672 / b", "no 123-45-67890, 2024-01-02") == [["L12607026054002"], ["140028101672"], []]
+    keys = say(lambda c: N.classified(c)["key"], "박피 삼겹살", "삼겹살", "냉장 삼겹살", "냉동 삼겹살")
+    assert keys[0] == keys[1] and len(set(keys[1:])) == 3
+
+
+def test_tax(spark):
+    rows = [("plain text", None), ("과세 부가세 별도", 1200.0), ("소스 첨가", None), ("면세 물품", 10.0)]
+    got = [r.t for r in spark.createDataFrame(rows, "x string, o double").select(T.tax(F.col("x"), F.col("o")).alias("t")).collect()]
+    assert [(t.treatment, t.amount, t.review) for t in got] == [("EXEMPT", 0.0, False), ("TAXABLE", 1200.0, False), (None, None, True), ("EXEMPT", 0.0, False)]
+
+
+def test_pasted_tables(spark):
+    lines = lambda *x: spark.createDataFrame(list(enumerate(x)), "n long, line string")
+    named = R.pasted(lines("상품코드,품명,판매가", '12,"pork, belly","1,200"', "x,,5"), 3).collect()
+    assert [tuple(r) for r in named] == [("12", "pork, belly", 1200.0)]
+    bare = R.pasted(lines("pork\t1,200\t12", "beef\t3,400\t13"), 3).collect()
+    assert sorted(map(tuple, bare)) == [("12", "pork", 1200.0), ("13", "beef", 3400.0)]
+    assert R.pasted(lines(), 3).count() == 0
+
+
+def test_order_session_stream_equals_batch(spark, tmp_path):
+    rows = [(i, i % 2, float(t), "receipt" if i % 5 == 2 else "label") for i, t in enumerate((0, 1, 2, 3, 20, 21, 22, 23, 24, 60, 61, 62))]
+    df = spark.createDataFrame(rows, "id long, user long, seconds double, kind string")
+    at = df.withColumn("at", F.timestamp_seconds("seconds"))
+    want = {r.id: r.order_id for r in C.order_sessions(at, ["user"], 10).collect()}
+    for k in range(3):
+        df.where(f"id >= {k * 4} AND id < {k * 4 + 4}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = C.order_session_stream(stream, 10).writeStream.format("memory").queryName("orders_of").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert {r.id: r.order_id for r in spark.table("orders_of").collect()} == want
+
+
+def test_summary_stream_remakes_touched_buckets(spark, tmp_path):
+    ledger = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0)], "k string, amount double")
+    ledger.where("k = 'a'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ledger.schema).parquet(str(tmp_path / "in"))
+    C.summary_stream(stream, lambda _: ledger, ["k"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert [tuple(r)[:3] for r in spark.read.parquet(str(tmp_path / "out")).select("k", "n", "amount").collect()] == [("a", 2, 3.0)]
 
 
 def test_upsert_prefers_new_rows(spark):
