@@ -105,7 +105,7 @@ def agg_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT supplier, product, count(*) AS n, CAST(round(sum(CASE WHEN kind = 'OUT' THEN -qty ELSE qty END), 3) AS DOUBLE) AS net FROM movements GROUP BY 1, 2")
 def agg_supplier_product_net(spark: SparkSession, d: str) -> DataFrame:
-    return movements(spark, d).groupBy("supplier", "product").agg(F.count("*").alias("n"), F.round(F.sum(L.signed("qty")), 3).cast("double").alias("net"))
+    return movements(spark, d, supplier=True).groupBy("supplier", "product").agg(F.count("*").alias("n"), F.round(F.sum(L.signed("qty")), 3).cast("double").alias("net"))
 
 
 @query("SELECT store, product, CAST(sum(CASE WHEN kind = 'OUT' THEN -qty ELSE qty END) AS DOUBLE) AS qty, count(DISTINCT origin) FILTER (amount > 1000) AS origins FROM movements WHERE is_active GROUP BY 1, 2 HAVING sum(CASE WHEN kind = 'OUT' THEN -qty ELSE qty END) > 0")

@@ -110,12 +110,12 @@ def win_margin_top2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT product, origin, supplier FROM (SELECT product, origin, supplier, row_number() OVER (PARTITION BY product ORDER BY amount DESC, doc, line, supplier, origin) AS k FROM movements) WHERE k = 1")
 def win_dedupe_best(spark: SparkSession, d: str) -> DataFrame:
-    return latest_per_key(movements(spark, d), ["product"], [F.desc("amount"), F.asc("doc"), F.asc("line"), F.asc("supplier"), F.asc("origin")]).select("product", "origin", "supplier")
+    return latest_per_key(movements(spark, d, supplier=True), ["product"], [F.desc("amount"), F.asc("doc"), F.asc("line"), F.asc("supplier"), F.asc("origin")]).select("product", "origin", "supplier")
 
 
 @query("SELECT doc, line, supplier, qty::DOUBLE AS qty FROM movements WHERE is_active ORDER BY qty DESC, supplier, doc DESC, line, amount LIMIT 40")
 def srt_multi_key(spark: SparkSession, d: str) -> DataFrame:
-    return movements(spark, d).where("is_active").orderBy(F.desc("qty"), "supplier", F.desc("doc"), "line", "amount").limit(40).select("doc", "line", "supplier", F.col("qty").cast("double").alias("qty"))
+    return movements(spark, d, supplier=True).where("is_active").orderBy(F.desc("qty"), "supplier", F.desc("doc"), "line", "amount").limit(40).select("doc", "line", "supplier", F.col("qty").cast("double").alias("qty"))
 
 
 @query("SELECT doc, invoice_date FROM invoices ORDER BY invoice_date DESC NULLS LAST, doc LIMIT 40")

@@ -18,7 +18,7 @@ from .registry import query
 @query("SELECT doc, supplier, expiry FROM movements WHERE is_active AND (product LIKE '%red%' OR supplier LIKE '%7') AND qty >= 10 AND qty < 40")
 def src_rest_predicates(spark: SparkSession, d: str) -> DataFrame:
     where = [("is_active", "eq", True), ("qty", "gte", 5), ("qty", "gte", 10), ("qty", "lt", 40)]
-    return R.rest_scan(movements(spark, d), ["doc", "supplier", "expiry"], where, [("product", "like", "%red%"), ("supplier", "like", "%7")])
+    return R.rest_scan(movements(spark, d, supplier=True), ["doc", "supplier", "expiry"], where, [("product", "like", "%red%"), ("supplier", "like", "%7")])
 
 
 @query("SELECT id, channel FROM sales WHERE channel IN ('STORE', 'ETC') AND NOT needs_mapping ORDER BY sold_at DESC, id LIMIT 100")

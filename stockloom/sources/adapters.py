@@ -33,15 +33,17 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def movements(spark: SparkSession, sf_dir: str, supplier: bool = False) -> DataFrame:
+    """Stock movements; the supplier's name only where it is asked for, as an inner join is paid for even if nothing of it is used."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("product"), F.col("p_brand").alias("origin"), "p_size")
-    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("supplier"))
-    l = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    l = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    if supplier:
+        l = l.join(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("supplier")), F.col("l_suppkey") == F.col("s_suppkey"))
     kind = F.when(F.col("l_returnflag") == "N", "OUT").when(F.col("l_returnflag") == "R", "IN").otherwise("ADJUST")
     day = F.to_date("l_shipdate")
     return l.select(
         F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 3).alias("company"), (F.col("l_suppkey") % 10).alias("store"), kind.alias("kind"),
-        "product", "origin", "supplier", F.col("l_quantity").cast("decimal(18,3)").alias("qty"), money(money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("amount"), day.alias("day"),
+        "product", "origin", *(["supplier"] if supplier else []), F.col("l_quantity").cast("decimal(18,3)").alias("qty"), money(money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("amount"), day.alias("day"),
         (F.col("l_linestatus") == "O").alias("is_active"), F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 3), "판매취소 재고원복 T1").alias("memo"), F.date_add(day, F.col("p_size")).alias("expiry"),
     )
 
