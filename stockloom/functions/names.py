@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import compact, similarity
+from .scalars import compact, let, similarity
 
 #: Origins that stand in product names.
 ORIGINS = ("국내산", "국내", "미국산", "수입산", "수입", "호주산", "캐나다산", "브라질산", "덴마크산", "스페인산", "칠레산", "네덜란드산", "멕시코산")
@@ -95,8 +95,13 @@ def dice(a: Column, b: Column) -> Column:
 
 def hangul_similarity(a: Column, b: Column) -> Column:
     """The best of: edits of syllables, edits of letters x 0.96, characters in any order x 0.88. Both are fingerprints."""
-    best = F.greatest(similarity(a, b), similarity(letters(a), letters(b)) * 0.96, dice(a, b) * 0.88)
-    return F.when((a == "") | (b == ""), 0.0).otherwise(best)
+
+    def of(p: Column) -> Column:
+        x, y = p["a"], p["b"]
+        best = F.greatest(similarity(x, y), let(F.struct(letters(x).alias("a"), letters(y).alias("b")), lambda q: similarity(q["a"], q["b"])) * 0.96, dice(x, y) * 0.88)
+        return F.when((x == "") | (y == ""), 0.0).otherwise(best)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def term_similarity(text: Column, alias: Column) -> Column:
@@ -116,7 +121,10 @@ def particle(text: Column) -> Column:
 
 def skin(text: Column) -> Column:
     """Whether a name says that pork comes with its skin or without."""
-    key = fingerprint(text)
+    return let(fingerprint(text), skin_of)
+
+
+def skin_of(key: Column) -> Column:
     on = key.rlike("미(?:박|빅|밖|백|뱍)(?:피)?") | key.rlike("^(?:냉장|냉동)?미(?:전지|젼지|전쥐|전디|앞다리|압다리|앞다라|후지|뒷다리|삼겹|목살|등심|갈비)")
     off = key.rlike("(?:^|냉장|냉동)(?:박피|박펴|박파|박비|빅피|밖피)")
     return F.when(on, "skin_on").when(off, "skinless").otherwise("unknown")
@@ -134,7 +142,7 @@ def canonical(text: Column) -> Column:
 def cut(text: Column) -> Column:
     """(cut, category, qualifier) of the first rule whose pattern occurs; null without one."""
     rule = lambda r: F.struct(F.lit(r[1]).alias("cut"), F.lit(r[2]).alias("category"), F.lit(r[3]).alias("qualifier"))
-    return F.coalesce(*(F.when(text.rlike(r[0]), rule(r)) for r in CUTS))
+    return let(text, lambda t: F.coalesce(*(F.when(t.rlike(r[0]), rule(r)) for r in CUTS)))
 
 
 def stated_storage(text: Column) -> Column:
@@ -154,14 +162,20 @@ def classified(text: Column) -> Column:
     A cut found in the canonical name is sure to 92, with a stated storage to 96; without one the name needs
     review. So does pork whose skin state contradicts its rule.
     """
-    name = canonical(text)
-    rule, store, state = cut(name), stated_storage(name), skin(text)
-    known = rule.isNotNull()
-    sure = F.when(~known, 40).when(store == "미표기", 92).otherwise(96)
-    review = F.when(~known, "CUT_UNKNOWN").when((rule["category"] != "돼지고기") & (state != "unknown"), "SKIN_CONTRADICTS_SPECIES").when((rule["qualifier"] == "미박") & (state == "skinless"), "SKIN_CONTRADICTS_CUT")
-    qualifier = F.when((rule["category"] == "돼지고기") & (state == "skin_on"), "미박").otherwise(F.coalesce(rule["qualifier"], F.lit("")))
-    key = F.concat_ws("|", F.coalesce(rule["category"], F.lit("미분류")), F.coalesce(rule["cut"], fingerprint(text)), qualifier, store)
-    return F.struct(name.alias("name"), rule["category"].alias("category"), rule["cut"].alias("cut"), qualifier.alias("qualifier"), store.alias("storage"), state.alias("skin"), sure.alias("confidence"), review.alias("review"), key.alias("key"))
+
+    def of(x: Column) -> Column:
+        rule, store, state = x["rule"], x["storage"], x["skin"]
+        known = rule.isNotNull()
+        sure = F.when(~known, 40).when(store == "미표기", 92).otherwise(96)
+        review = F.when(~known, "CUT_UNKNOWN").when((rule["category"] != "돼지고기") & (state != "unknown"), "SKIN_CONTRADICTS_SPECIES").when((rule["qualifier"] == "미박") & (state == "skinless"), "SKIN_CONTRADICTS_CUT")
+        qualifier = F.when((rule["category"] == "돼지고기") & (state == "skin_on"), "미박").otherwise(F.coalesce(rule["qualifier"], F.lit("")))
+        key = F.concat_ws("|", F.coalesce(rule["category"], F.lit("미분류")), F.coalesce(rule["cut"], x["print"]), qualifier, store)
+        return F.struct(x["name"].alias("name"), rule["category"].alias("category"), rule["cut"].alias("cut"), qualifier.alias("qualifier"), store.alias("storage"), state.alias("skin"), sure.alias("confidence"), review.alias("review"), key.alias("key"))
+
+    def of_names(n: Column) -> Column:
+        return let(F.struct(n["name"].alias("name"), n["print"].alias("print"), cut(n["name"]).alias("rule"), stated_storage(n["name"]).alias("storage"), skin_of(n["print"]).alias("skin")), of)
+
+    return let(F.struct(canonical(text).alias("name"), fingerprint(text).alias("print")), of_names)
 
 
 def standard_aliases(text: Column) -> Column:

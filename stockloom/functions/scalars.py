@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE_LABEL = "^2[0-9]{12}$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def item_key(barcode: Column) -> Column:
     """Item of a scale label: characters 2 to 7; null for other codes."""
     return F.when(barcode.rlike(SCALE_LABEL), F.substring(barcode, 2, 6))
