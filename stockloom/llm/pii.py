@@ -164,7 +164,8 @@ def revealing(found: DataFrame, source: DataFrame, least: int, disclose: float)
 
     All numbers are of distinct texts, so copies count once: nc of an entity, nt of a term, nct of both in one
     text, the term outside of all spans there. Entities and pairs of under `least` texts are no evidence.
-    A term discloses an entity if log2(texts nct / (nc nt)) is at least the share `disclose` of log2(texts / nc).
+    A term discloses an entity if log2(texts nct / (nc nt)) is at least the share `disclose` of log2(texts / nc): at 0.95,
+    hardly any text holds the term but not the entity, so texts without personal data stay as they are.
     The corpus decides how far a term is generalised: a stem stands for all terms that begin with it, is counted
     like a term, and is safe if it discloses none of the entities that its term does.
     """
@@ -180,18 +181,27 @@ def revealing(found: DataFrame, source: DataFrame, least: int, disclose: float)
     spread = holding(source, durable(pair.select("term").distinct()), terms(F.col("text")), "context").distinct().groupBy("term").agg(F.count("*").alias("nt"))
     pair = durable(told_share(pair, durable(spread), texts).where(F.col("share") >= disclose).select("entity", "nc", "term"), over=pair)
 
+    # Stems, by their counts within the entities' texts first: these are bounds that prove most of them safe.
     short = durable(pair.select("entity", "nc", F.col("term").alias("full"), F.explode(stems(F.col("term"))).alias("term")))
-    wanted = durable(short.select("term").distinct())
-    of_text = F.flatten(F.transform(terms(F.col("text")), lambda t: F.concat(stems(t), F.array(t))))
-    spread = durable(holding(source, wanted, of_text, "context").distinct().groupBy("term").agg(F.count("*").alias("nt")))
-    inside = held.select("context", F.explode(F.concat(stems(F.col("term")), F.array("term"))).alias("term")).join(wanted, "term").distinct()
+    of_term = lambda t: F.concat(stems(t), F.array(t))
+    wanted = short.select("term").distinct()
+    inside = durable(held.select("context", F.explode(of_term(F.col("term"))).alias("term")).join(wanted, "term").distinct())
+    low = inside.groupBy("term").agg(F.count("*").alias("nt"))
     both = fact.join(short.select("entity").distinct(), "entity").join(inside, "context").groupBy("entity", "term").agg(F.count("*").alias("nct"))
-    safe = told_share(short.join(both, ["entity", "term"]), spread, texts).groupBy("full", "term").agg(F.max("share").alias("share")).where(F.col("share") < disclose)
+    short = durable(short.join(both, ["entity", "term"]))
+    worst = lambda spread: told_share(short, spread, texts).groupBy("full", "term").agg(F.max("share").alias("share"))
+    bound = durable(worst(low))
+    proven = bound.where(F.col("share") < disclose).groupBy("full").agg(F.max(F.length("term")).alias("long"))
+    open_ = durable(bound.join(proven, "full", "left").where((F.col("share") >= disclose) & (F.length("term") > F.coalesce("long", F.lit(0)))).select("full", "term"))
+    of_text = F.flatten(F.transform(terms(F.col("text")), of_term))
+    spread = durable(holding(source, durable(open_.select("term").distinct()), of_text, "context").distinct().groupBy("term").agg(F.count("*").alias("nt")))
+    decided = worst(spread).join(open_, ["full", "term"], "left_semi")
+    safe = bound.unionByName(decided).where(F.col("share") < disclose)
     mask = safe.groupBy("full").agg(F.max(F.struct(F.length("term").alias("n"), "term")).alias("best")).select(F.col("full").alias("term"), F.concat("best.term", F.lit("*")).alias("mask"))
     return pair.select("term").distinct().join(mask, "term", "left").select("term", F.when(F.col("mask").isNull(), 5).otherwise(4).alias("kind"), F.coalesce("mask", F.lit("")).alias("mask"))
 
 
-def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, disclose: float = 0.8) -> DataFrame:
+def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, disclose: float = 0.95) -> DataFrame:
     """(id, context, base, all): each row's base spans and all its spans, the latter with their masks; context is a hash of the text.
 
     Revealing terms are spans in every row that holds them, whether or not it holds the entity.
