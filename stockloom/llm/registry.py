@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, near_dedup, oracles, packing, pii, prefix_trie, quality_classifier, quality_rules, spotsigs, tokens
+from . import bpe, chat, licenses, mixing, near_dedup, oracles, packing, pii, prefix_trie, quality_classifier, quality_rules, spelling, spotsigs, tokens
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality_classifier, op2_best_fit_packing, op3_near_dedup, op4_chat_format, op5_private_data,
         op6_quality_rules, op7_spot_signatures, op8_license_scan, op9_token_counts, op10_source_mixing,
-        op12_bpe_round_trip, op13_prefix_trie, pipeline,
+        op11_spelling_variants, op12_bpe_round_trip, op13_prefix_trie, pipeline,
     )
     return {f.__name__: f for f in ops}
 
