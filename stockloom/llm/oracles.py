@@ -57,3 +57,42 @@ f AS (SELECT m.*, coalesce(x.s, 0) AS cd, coalesce(y.s, 0) AS wd FROM m LEFT JOI
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   failed AS base_failed, NOT failed AND NOT (n_words >= 40 AND (cd > 0.25 OR wd > 0.25)) AS kept, cd AS class_distance, wd AS common_distance FROM f
 """
+
+#: Tables t: the 256 words of crc32's table; crc32 of a text s is then the fold over its bytes.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+HEX = "instr('0123456789ABCDEF', substr(hex(encode(s)), {}, 1)) - 1"
+CRC = f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(s), 2), lambda i: ({HEX.format('i')}) * 16 + {HEX.format('i + 1')})), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE {CRC_TABLE}, r AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents
+), g AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r GROUP BY 1, 2),
+x AS (SELECT run, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM g),
+h AS (SELECT run, n, {CRC} AS h FROM x, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+c AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM c),
+p AS (SELECT DISTINCT a.word AS a, b.word AS b FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.cut UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.cut),
+f AS (SELECT a, count(*) AS near, arg_min(b, (-v.n, b)) AS best, max(v.n) AS best_n FROM p JOIN v ON v.word = p.b GROUP BY 1),
+k AS (SELECT word, n, coalesce(near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN f ON a = word),
+z AS (SELECT word, word AS root FROM k WHERE form IS NULL UNION ALL SELECT k.word, z.root FROM k JOIN z ON k.form = z.word)
+SELECT k.word, form, root, n, n_near, form_n FROM k JOIN z ON z.word = k.word
+"""
+
+PREFIX_TRIE = rf"""
+WITH {CRC_TABLE}, o AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+), h AS (SELECT conv_id, turns, CAST({CRC} % 4 AS INT) AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM o), crc),
+p AS (SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS path FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM p),
+n AS (SELECT path[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (len(path) = depth), '') AS ends FROM m GROUP BY 1, 2),
+k AS (SELECT path[1:depth - 1] AS up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[n.depth].text, '[^\x20\x09-\x0D]+')) END AS own FROM n LEFT JOIN k ON k.up = n.path),
+e AS (SELECT path, depth, n_children, own, unnest(range(0, depth + 1)) AS above FROM s),
+t AS (SELECT path[1:above] AS top, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM e GROUP BY 1)
+SELECT s.conv_id, s.depth, u.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, sha256(s.ends) AS ends_sha256
+FROM s JOIN t ON t.top = s.path LEFT JOIN n u ON s.depth > 0 AND u.path = s.path[1:s.depth - 1]
+"""

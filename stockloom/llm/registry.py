@@ -83,4 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": oracles.NEAR_DUPLICATES, "op4_chat_format": oracles.CHAT_FORMAT, "op6_quality_rules": oracles.QUALITY_RULES}
+    return {
+        "op3_near_dedup": oracles.NEAR_DUPLICATES, "op4_chat_format": oracles.CHAT_FORMAT, "op6_quality_rules": oracles.QUALITY_RULES,
+        "op11_spelling_variants": oracles.SPELLING_VARIANTS, "op13_prefix_trie": oracles.PREFIX_TRIE,
+    }
