@@ -21,7 +21,7 @@ CHAIN = 2
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> Column:
-    """Sorted distinct hashes of a text's spot signatures, as array<int>.
+    """Sorted distinct hashes of a text's spot signatures, as array<bigint>.
 
     A signature is an anchor and the next chain words that aren't anchors. Letter case and everything
     but letters and digits don't count. In a text without any, every word counts as an anchor, and a
@@ -30,24 +30,22 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CH
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     anchor = "(?:" + "|".join(anchors) + ")"
     found = F.regexp_extract_all(plain, F.lit(f" (?=({anchor}(?: (?:{anchor} )*+[^ ]++){{{chain}}}) )"), F.lit(1))
-    chains = F.transform(found, lambda x: F.hash(F.regexp_replace(x, f" {anchor}(?= )", "")))
-    every = F.transform(F.regexp_extract_all(plain, F.lit(f" (?=([^ ]++(?: [^ ]++){{{chain}}}) )"), F.lit(1)), lambda x: F.hash(x))
-    whole = F.array(F.hash(F.regexp_replace(plain, " +", " ")))
+    chains = F.transform(found, lambda x: F.xxhash64(F.regexp_replace(x, f" {anchor}(?= )", "")))
+    every = F.transform(F.regexp_extract_all(plain, F.lit(f" (?=([^ ]++(?: [^ ]++){{{chain}}}) )"), F.lit(1)), lambda x: F.xxhash64(x))
+    whole = F.array(F.xxhash64(F.regexp_replace(plain, " +", " ")))
     fallback = let(every, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
     return F.array_sort(F.array_distinct(let(chains, lambda x: F.when(F.size(x) > 0, x).otherwise(fallback))))
 
 
 def fingerprint(items: Column) -> Column:
-    """The signature set as text: 8 hex digits for each signature, in order."""
-    return F.array_join(F.transform(items, lambda x: F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(8))), "")
+    """The signature set as text: 16 hex digits for each signature, in order."""
+    return F.array_join(F.transform(items, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def likeness(a: Column, b: Column, least: float) -> Column:
-    """Jaccard similarity of two signature sets; 0 without a comparison if their length partitions or sizes alone keep it under least."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two signature sets, neither of them empty."""
     common = F.size(F.array_intersect(a, b))
-    near = F.abs(length_part(F.size(a), least) - length_part(F.size(b), least)) <= 1
-    bound = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))
-    return F.when(near & (bound >= least), common / (F.size(a) + F.size(b) - common)).otherwise(0.0).cast("double")
+    return (common / (F.size(a) + F.size(b) - common)).cast("double")
 
 
 def length_part(size: Column, least: float) -> Column:
@@ -60,7 +58,7 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     A class is the rows of one fingerprint, named by their least id; pairs are between classes.
     Each set offers its rarest signatures, so many that two sets of that likeness share one of them; they
-    meet by signature and length partition, and the pruned comparison on the full sets decides.
+    meet by signature and length partition if their sizes allow that likeness, and the comparison of the full sets decides.
     """
     sets = durable(df.select(F.col(id_col).alias("id"), signatures(text_or_empty(text_col)).alias("items")))
     classes = durable(sets.groupBy("items").agg(F.min("id").alias("class")))
@@ -74,7 +72,7 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     near = left.join(right, ["item", "part"]).where("na <= nb AND (na < nb OR a < b)").where(F.col("na") >= F.col("nb") * least)
     pairs = near.select("a", "b").distinct()
     both = pairs.join(classes.select(F.col("class").alias("a"), F.col("items").alias("s")), "a").join(classes.select(F.col("class").alias("b"), F.col("items").alias("t")), "b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("s"), F.col("t"), least).alias("likeness")).where(F.col("likeness") >= least), member
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("s"), F.col("t")).alias("likeness")).where(F.col("likeness") >= least), member
 
 
 def first_keys(keys: DataFrame) -> list[int]:
@@ -101,15 +99,14 @@ def with_next(rows: DataFrame, order: list[str], columns: list[str]) -> DataFram
     return dealt.withColumn("next", F.lead(F.struct(*columns)).over(span)).where("copy = 0").drop("copy", "part")
 
 
-def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.1) -> DataFrame:
+def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75) -> DataFrame:
     """One row for each row of df: its fingerprint, that of its edited text, and two likenesses.
 
     The edited text has its last quarter replaced by as much of the start of the next row's text, in
     ascending order of id; after the last comes the first. Null texts count as empty. Null ids come
     first; rows that repeat an id follow each other in the order of their texts. A single row is its own
     next. An empty table gives an empty result. Other columns aren't carried. length_part is the
-    fingerprint's length partition: sets in partitions apart, and in sizes that rule out a likeness of
-    `least`, aren't compared and have likeness 0.
+    fingerprint's length partition for near_pairs() at a likeness of `least`.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     docs = df.select(key.alias("k"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("items", signatures(F.col("text")))
@@ -122,7 +119,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("items")).alias("fingerprint"),
         fingerprint(F.col("edited_items")).alias("edited_fingerprint"),
-        likeness(F.col("items"), F.col("edited_items"), least).alias("near_edited"),
-        likeness(F.col("items"), F.col("next.items"), least).alias("near_next"),
+        likeness(F.col("items"), F.col("edited_items")).alias("near_edited"),
+        likeness(F.col("items"), F.col("next.items")).alias("near_next"),
         length_part(F.size("items"), least).alias("length_part"),
     )
