@@ -23,8 +23,9 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 TERM = r"[\p{L}\p{N}]+"
 SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
-#: A generalised term keeps so many first letters at least.
-STEM = 2
+#: A generalised term keeps so many first letters: each number is a third or half more than the one before, so that a term's stems together are but a few
+#: times as long as it is. The last exceeds any text's length.
+STEMS = (2, 3, *(n << k for k in range(29) for n in (4, 6) if n << k < 2**31 - 1))
 #: Arrays are scanned in blocks of so many items, so that the work grows in proportion to their length.
 BLOCK = 256
 #: Terms that no text need be joined for are sorted out by a table of 2^SIEVE bits, 2 MB at any size.
@@ -112,8 +113,9 @@ def terms(text: Column) -> Column:
 
 
 def stems(term: Column) -> Column:
-    """What a term is short for: its first letters, from all but one down to STEM of them."""
-    return F.when(F.length(term) > STEM, F.transform(F.sequence(F.lit(STEM), F.length(term) - 1), lambda n: F.left(term, n))).otherwise(F.array().cast("array<string>"))
+    """What a term is short for: its first letters, as many as STEMS has, but not all."""
+    long = F.filter(F.array(*map(F.lit, STEMS)), lambda n: n < F.length(term))
+    return F.transform(long, lambda n: F.left(term, n))
 
 
 def facts(base: Column) -> Column:
@@ -164,8 +166,8 @@ def revealing(found: DataFrame, source: DataFrame, least: int, disclose: float)
 
     All numbers are of distinct texts, so copies count once: nc of an entity, nt of a term, nct of both in one
     text, the term outside of all spans there. Entities and pairs of under `least` texts are no evidence.
-    A term discloses an entity if log2(texts nct / (nc nt)) is at least the share `disclose` of log2(texts / nc): at 0.95,
-    hardly any text holds the term but not the entity, so texts without personal data stay as they are.
+    A term discloses an entity if log2(texts nct / (nc nt)) is at least the share `disclose` of log2(texts / nc), so that
+    at least (nc / texts) to the power 1 - disclose of the texts that hold the term hold the entity too.
     The corpus decides how far a term is generalised: a stem stands for all terms that begin with it, is counted
     like a term, and is safe if it discloses none of the entities that its term does.
     """
@@ -201,7 +203,7 @@ def revealing(found: DataFrame, source: DataFrame, least: int, disclose: float)
     return pair.select("term").distinct().join(mask, "term", "left").select("term", F.when(F.col("mask").isNull(), 5).otherwise(4).alias("kind"), F.coalesce("mask", F.lit("")).alias("mask"))
 
 
-def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, disclose: float = 0.95) -> DataFrame:
+def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, disclose: float = 0.9) -> DataFrame:
     """(id, context, base, all): each row's base spans and all its spans, the latter with their masks; context is a hash of the text.
 
     Revealing terms are spans in every row that holds them, whether or not it holds the entity.
