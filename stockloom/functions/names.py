@@ -149,6 +149,34 @@ def stated_storage(text: Column) -> Column:
     return F.when(text.contains("냉동"), "냉동").when(text.contains("냉장"), "냉장").otherwise("미표기")
 
 
+#: What shows that a vendor's name stands behind the product's.
+VENDOR = r"(?i)(주식회사|농협|엘피씨|\bLPC\b|도드람|유통회사|축산유통|미트유통)"
+#: The words that state a category, by themselves and within a name without blanks; the first that occurs decides.
+HINTS = (("돼지|돈육|PIG|PORK", "돼지고기"), ("소고기|쇠고기|우육|한우|육우|CATTLE|BEEF", "소고기"), ("닭|계육|CHICKEN", "닭고기"), ("양고기|LAMB", "양고기"), ("오리|DUCK", "오리고기"), ("염소|GOAT", "염소고기"))
+STATED = (
+    ("한우|육우|우육|소고기|쇠고기|우삼겹|소삼겹|우목심|우목살|소목심|소목살|차돌|소도가니|우도가니|소채끝|소안심|우안심|소등심|우등심|소사태|우사태|소족|쇠족|소발|소사골|우사골|소힘줄|쇠심줄|우근", "소고기"),
+    ("돼지|돈육|돈피|돈족|돈뼈|등뼈|돈갈비|등갈비|쪽갈비|삼겹|목살|항정|가브리|등심덧살", "돼지고기"), ("닭|계육", "닭고기"), ("양고기|램", "양고기"), ("오리", "오리고기"), ("염소", "염소고기"),
+)
+
+
+def first_of(text: Column, rules: tuple[tuple[str, str], ...], flags: str = "") -> Column:
+    """What the first pattern that occurs stands for; null without one."""
+    return F.coalesce(*(F.when(text.rlike(flags + p), v) for p, v in rules))
+
+
+def hinted_category(hint: Column) -> Column:
+    return first_of(clean(hint), HINTS, "(?i)")
+
+
+def stated_category(name: Column) -> Column:
+    return first_of(F.regexp_replace(clean(name), r"\s+", ""), STATED)
+
+
+def storage_word(name: Column) -> Column:
+    """The storage that a name states, known misreads mended; null without one."""
+    return let(replaced(clean(name), MISREADS), lambda t: F.when(t.contains("냉동"), "냉동").when(t.contains("냉장"), "냉장"))
+
+
 def species(unit: Column, name: Column) -> Column:
     """Species by the words of unit and name; the first rule decides."""
     text = F.concat_ws(" ", unit, name)

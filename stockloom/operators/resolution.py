@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.functions.names import classified, fingerprint, supplier_fingerprint
+from stockloom.functions.names import HINTS, VENDOR, classified, clean, fingerprint, hinted_category, stated_category, storage_word, supplier_fingerprint
 from stockloom.functions.scalars import similarity
+from stockloom.operators.neighbours import similar_pairs
 
 
 def merge_rules(rules: DataFrame) -> DataFrame:
@@ -22,18 +23,6 @@ def without_conflicts(rules: DataFrame) -> DataFrame:
     return rules.join(one, "key", "left_semi").dropDuplicates(["key"])
 
 
-def learned(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """The target for each (supplier, key): the supplier's own rule, else one for all suppliers."""
-    own = rules.where("supplier IS NOT NULL").select("supplier", "key", F.col("target").alias("own"))
-    every = rules.where("supplier IS NULL").select("key", F.col("target").alias("every"))
-    return names.join(own, ["supplier", "key"], "left").join(every, "key", "left").withColumn("target", F.coalesce("own", "every")).drop("own", "every")
-
-
-def least_similarity(size: Column) -> Column:
-    """Short names must agree more."""
-    return F.when(size <= 3, 0.95).when(size <= 5, 0.86).otherwise(0.82)
-
-
 def fuzzy(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(name, target, category, similarity, margin, decision): the best entry of a dictionary for each name, from .5 on.
 
@@ -77,15 +66,91 @@ def resolved(names: DataFrame, dictionary: DataFrame, auto: float = 0.80) -> Dat
     return out.select("name", F.when(known, F.col("x.cut")).when(decision.isin("AUTO", "REVIEW"), F.col("candidate")).alias("cut"), decision.alias("decision"))
 
 
+def suggestions(names: DataFrame, dictionary: DataFrame, auto: float = 0.65, sure: float = 0.8) -> DataFrame:
+    """(name, suggestion, confidence, review, others) of each name: the best entry from `auto` on, its score in percent, whether a person should confirm it, and the next two."""
+    best = ranked(names, dictionary, 3)
+    at = lambda n: F.max(F.when(F.col("place") == n, F.col("target")))
+    x = best.groupBy("name").agg(F.max("score").alias("score"), at(1).alias("first"), F.concat_ws("|", at(2), at(3)).alias("others"))
+    percent = F.floor(F.col("score") * 100 + 0.5).cast("long")
+    return x.select("name", F.when(F.col("score") >= auto, F.col("first")).alias("suggestion"), percent.alias("confidence"), (percent <= sure * 100).alias("review"), "others")
+
+
+#: A learned name's target in full: rules that agree in it don't compete.
+IDENTITY = ("category", "storage", "print")
+
+
+def learning_rank(rule: DataFrame) -> DataFrame:
+    """Rules (supplier, source, target, category, storage, priority, confidence, success, day) with key, print (of the target) and rank; the last rule of a (supplier, key) by rank and target stays."""
+    rank = F.col("priority") * 1_000_000_000 + F.col("confidence") * 1_000_000 + F.least(F.col("success"), F.lit(999)) * 1000 + F.col("day")
+    r = rule.withColumn("key", fingerprint(F.col("source"))).where("key <> ''").withColumn("print", fingerprint(F.col("target"))).withColumn("rank", rank)
+    r = r.withColumn("said", storage_word(F.col("source")))
+    kept = ["source", "target", "category", "storage", "priority", "print", "said"]
+    best = r.groupBy("supplier", "key").agg(F.max(F.struct("rank", *kept)).alias("r"))
+    return best.select("supplier", "key", "r.*")
+
+
+def top_two(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows (id, *group, *order, ...) by id: `best`, the row of the greatest order, and `rival`, that of the greatest one in another group; null without."""
+    rest = [c for c in rows.columns if c not in ("id", *order)]
+    best = rows.groupBy("id", *(F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in group)).agg(F.max(F.struct(*order, *rest)).alias("x"))
+    w = Window.partitionBy("id").orderBy(F.desc("x"))
+    return best.select("id", F.col("x").alias("best"), F.lead("x").over(w).alias("rival"), F.row_number().over(w).alias("n")).where("n = 1").drop("n")
+
+
+def vendor_prefixes(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, target) of names (id, supplier, name, key, hint) with a vendor's name behind the product's: the supplier's longest rule that begins the key.
+
+    Rules of six letters or more count; shorter ones of four from a storage and category that name and hint
+    don't contradict. No rule counts whose name states another storage, and none if a rule with another target is less than three letters shorter.
+    """
+    tail = names.where(F.col("supplier").isNotNull() & clean(F.col("name")).rlike(VENDOR)).withColumn("said_by_name", storage_word(F.col("name")))
+    heads = tail.withColumn("head", F.explode(F.expr("transform(filter(sequence(4, greatest(4, length(key) - 1)), n -> n < length(key)), n -> left(key, n))")))
+    own = rules.where("supplier IS NOT NULL AND length(key) >= 4").withColumnRenamed("key", "head")
+    met = heads.join(own, ["supplier", "head"])
+    agrees = lambda said: F.coalesce(said == F.col("category"), F.lit(True))
+    short = F.col("storage").isin("냉장", "냉동") & F.col("category").isin(*(v for _, v in HINTS)) & F.coalesce(F.col("said_by_name") == F.col("storage"), F.lit(False)) & agrees(hinted_category(F.col("hint"))) & agrees(stated_category(F.col("name")))
+    ok = met.where(((F.length("head") >= 6) | short) & F.coalesce(F.col("said_by_name") == F.col("said"), F.lit(True))).withColumn("size", F.length("head"))
+    two = top_two(ok.select("id", *IDENTITY, "size", "rank", "target"), list(IDENTITY), ["size", "rank"])
+    return two.where(F.col("rival").isNull() | (F.col("best.size") - F.col("rival.size") >= 3)).select("id", F.col("best.target").alias("target"))
+
+
+def least_similarity(size: Column) -> Column:
+    """Short names must agree more: by the shorter one's length."""
+    return F.when(size <= 4, 0.95).when(size <= 7, 0.86).otherwise(0.82)
+
+
+def fuzzy_rules(names: DataFrame, rules: DataFrame, margin: float = 0.06) -> DataFrame:
+    """(id, target, by, similarity) of names (id, supplier, name, key): the most similar rule of the supplier or for all, unless one with another target comes as near as margin.
+
+    An own rule is ahead of one for all by .03, and priority by up to .005. Names and rules that both state a storage must state the same.
+    """
+    pairs = similar_pairs(names.select(F.col("key").alias("a")), rules.select(F.col("key").alias("b")), least_similarity)
+    met = names.withColumn("said_by_name", storage_word(F.col("name"))).join(pairs, F.col("key") == F.col("a")).drop("key", "a")
+    r = rules.select(F.col("supplier").alias("of"), F.col("key").alias("b"), "target", "print", "rank", "priority", "said")
+    met = met.join(r, "b").where((F.col("of").isNull() | (F.col("of") == F.col("supplier"))) & F.coalesce(F.col("said_by_name") == F.col("said"), F.lit(True)))
+    score = F.round(F.col("similarity") + F.when(F.col("of").isNotNull(), 0.03).otherwise(0.0) + F.least(F.col("priority"), F.lit(500)) / 100000, 9)
+    scored = met.select("id", score.alias("score"), "rank", F.round("similarity", 9).alias("similarity"), "print", "target", F.when(F.col("of").isNotNull(), "supplier_fuzzy").otherwise("global_fuzzy").alias("by"))
+    two = top_two(scored, ["print"], ["score", "rank"])
+    apart = F.round(F.col("best.similarity") - F.col("rival.similarity"), 9) >= margin
+    return two.where(F.col("rival").isNull() | apart).select("id", "best.target", "best.by", "best.similarity")
+
+
 def found_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """The learned target of each (supplier, key): the supplier's own rule, else its longest rule of six letters or more that begins the key by three letters' gap, else a rule for all."""
-    exact = learned(names, rules).select("supplier", "key", F.col("target").alias("exact"))
-    own = rules.where("supplier IS NOT NULL").where(F.length("key") >= 6).select("supplier", F.col("key").alias("head"), F.col("target").alias("by_head"))
-    heads = names.select("supplier", "key").distinct().withColumn("head", F.explode(F.expr("transform(sequence(6, greatest(6, length(key) - 1)), n -> left(key, n))")))
-    hit = heads.join(own, ["supplier", "head"]).groupBy("supplier", "key").agg(F.max(F.struct(F.length("head").alias("n"), "by_head")).alias("h")).where(F.length("key") - F.col("h.n") >= 3)
-    mine = rules.where("supplier IS NOT NULL").select("supplier", "key", F.col("target").alias("mine"))
-    x = names.join(mine, ["supplier", "key"], "left").join(hit, ["supplier", "key"], "left").join(exact.dropDuplicates(["supplier", "key"]), ["supplier", "key"], "left")
-    return x.withColumn("target", F.coalesce("mine", "h.by_head", "exact")).withColumn("by", F.when(F.col("mine").isNotNull(), "supplier_exact").when(F.col("h").isNotNull(), "supplier_prefix").when(F.col("exact").isNotNull(), "global_exact")).drop("mine", "h", "exact")
+    """The learned target of each name (id, supplier, name, hint), with by and similarity: the supplier's own rule, its rule before a vendor's name, a rule for all, the most similar rule; null without one.
+
+    Equi joins throughout: the similar ones meet by shared segments, and only names that nothing else finds are asked there.
+    """
+    r = learning_rank(rules)
+    n = names.select("id", "supplier", "name", "hint").withColumn("key", fingerprint(F.col("name")))
+    own = r.where("supplier IS NOT NULL").select("supplier", "key", F.col("target").alias("own"))
+    every = r.where("supplier IS NULL").select("key", F.col("target").alias("every"))
+    prefix = vendor_prefixes(n, r).withColumnRenamed("target", "prefix")
+    x = n.join(own, ["supplier", "key"], "left").join(every, "key", "left").join(prefix, "id", "left")
+    by = F.when(F.col("own").isNotNull(), "supplier_exact").when(F.col("prefix").isNotNull(), "supplier_prefix").when(F.col("every").isNotNull(), "global_exact")
+    x = x.select("id", "supplier", "name", "key", F.coalesce("own", "prefix", "every").alias("target"), by.alias("by"))
+    near = fuzzy_rules(x.where("by IS NULL AND key <> ''").select("id", "supplier", "name", "key"), r).select("id", F.col("target").alias("near"), F.col("by").alias("near_by"), "similarity")
+    sure = F.when(F.col("by") == "supplier_prefix", 0.97).when(F.col("by").isNotNull(), 1.0)
+    return x.join(near, "id", "left").select("id", F.coalesce("target", "near").alias("target"), F.coalesce("by", "near_by").alias("by"), F.coalesce(sure, "similarity").alias("similarity"))
 
 
 def storage_inferred(text: Column, context: Column, moved: Column, expiry: Column, slaughter: Column, shelf_days: Column, known: Column) -> Column:
@@ -100,20 +165,26 @@ def storage_inferred(text: Column, context: Column, moved: Column, expiry: Colum
     )
 
 
-def matched(names: DataFrame, aliases: DataFrame, memory: DataFrame) -> DataFrame:
-    """Each name's product: by an exact alias, an exact memory, else the best candidate that shares its first letters; with status.
+def matched(names: DataFrame, aliases: DataFrame, memory: DataFrame, least: float = 0.7) -> DataFrame:
+    """Each name's product: by an exact alias, an exact memory, else the best of the similar aliases and memories; with status.
 
-    An exact alias counts from a confidence of 90 on; candidates need 86 for review, and below they are proposals for new aliases.
+    An exact alias counts from a confidence of 90 on. A similar alias scores its similarity, a similar memory that times
+    its own score, 99 at most; from 86 on it is for review, below a proposal for a new alias. Names that nothing resembles by `least`
+    are new without a proposal. Similar names meet by shared segments, so none is lost.
     """
     n = names.select("name").distinct().withColumn("key", fingerprint(F.col("name")))
     a = aliases.groupBy("key").agg(F.max(F.struct("confidence", "product")).alias("a"))
     m = memory.groupBy("key").agg(F.max(F.struct("score", "product")).alias("m"))
-    head = lambda c: F.left(c, F.lit(2))
-    near = n.select("name", "key", head(F.col("key")).alias("h")).join(aliases.select(head(F.col("key")).alias("h"), F.col("key").alias("ak"), F.col("product").alias("p")).distinct(), "h")
-    near = near.withColumn("s", F.floor(similarity(F.col("key"), F.col("ak")) * 100 + 0.5).cast("long")).groupBy("name").agg(F.max(F.struct("s", "p")).alias("c"))
-    x = n.join(a, "key", "left").join(m, "key", "left").join(near, "name", "left")
+    x = n.join(a, "key", "left").join(m, "key", "left")
+    rated = aliases.select("key", "product", F.lit(100).alias("most"), F.lit(1).alias("kind")).unionByName(memory.select("key", "product", F.col("score").alias("most"), F.lit(0).alias("kind"))).distinct()
+    asked = x.where("a IS NULL AND m IS NULL").select(F.col("key").alias("a"))
+    pairs = similar_pairs(asked, rated.select(F.col("key").alias("b")), lambda size: F.lit(least))
+    near = pairs.join(rated.withColumnRenamed("key", "b"), "b")
+    s = F.floor(F.least(F.when(F.col("kind") == 1, 100).otherwise(99), F.round("similarity", 9) * F.col("most")) + 0.5).cast("long")
+    near = near.groupBy(F.col("a").alias("key")).agg(F.max(F.struct(s.alias("s"), "kind", F.col("product").alias("p"))).alias("c"))
+    x = x.join(near, "key", "left")
     status = F.when(F.col("a").isNotNull(), F.when(F.col("a.confidence") >= 90, "matched").otherwise("needs_review")).when(F.col("m").isNotNull(), "learned_match").when(F.col("c.s") >= 86, "needs_review").otherwise("new_alias_candidate")
-    score = F.coalesce("a.confidence", F.least(F.lit(99), F.col("m.score")), "c.s", F.lit(0)).cast("long")
+    score = F.coalesce("a.confidence", F.when(F.col("m").isNotNull(), F.least(F.lit(99), F.col("m.score"))), "c.s", F.lit(0)).cast("long")
     return x.select("name", F.coalesce("a.product", "m.product", "c.p").alias("product"), score.alias("score"), status.alias("status"))
 
 

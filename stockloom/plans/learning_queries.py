@@ -9,8 +9,9 @@ from stockloom.functions import names as N
 from stockloom.operators import layout as Y
 from stockloom.operators import resolution as R
 from stockloom.operators import stock as S
-from stockloom.sources.adapters import goods, invoice_lines, movements, read
+from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, read
 
+from .name_queries import sql_mended, sql_print
 from .registry import query
 from .resolution_queries import RULES, rules
 
@@ -33,31 +34,60 @@ def er_fuzzy_cut(spark: SparkSession, d: str) -> DataFrame:
     return R.fuzzy(names, dictionary(spark))
 
 
-@query(f"""WITH d(target, category, alias) AS (VALUES {ROWS}), n AS (SELECT DISTINCT p_name AS name, replace(p_name, ' ', '') AS k FROM part)
- SELECT name, target FROM (SELECT name, target, row_number() OVER (PARTITION BY name ORDER BY length(target) DESC, target) AS rn FROM n JOIN d ON contains(k, replace(alias, ' ', ''))) WHERE rn = 1""")
+#: The score of each distinct misread name's best part for each entry: the whole or a part of the alias's length, one less or one more; edits or 0.88 of the letters in common.
+RANKED = f"""d(target, category, alias) AS (VALUES {ROWS}), n AS (SELECT DISTINCT replace(p_name, 'o', '0') AS name, lower(replace(replace(p_name, 'o', '0'), ' ', '')) AS k FROM part),
+ y AS (SELECT name, k, target, category, replace(alias, ' ', '') AS a, length(replace(alias, ' ', '')) AS m FROM n, d),
+ z AS (SELECT DISTINCT name, target, category, a, m, unnest(list_prepend(k, flatten(list_transform([m - 1, m, m + 1], lambda j: CASE WHEN j = m - 1 OR j <= length(k) THEN list_transform(range(1, greatest(1, length(k) - j + 1) + 1), lambda i: substr(k, i, j)) ELSE [] END)))) AS p FROM y),
+ v AS (SELECT name, target, category, greatest(1 - levenshtein(p, a) / greatest(length(p), m), 0.88::DOUBLE * (2 * list_sum(list_transform(list_distinct(string_split(p, '')), lambda c: least(length(p) - length(replace(p, c, '')), m - length(replace(a, c, ''))))) / (length(p) + m))) AS s FROM z WHERE p <> ''),
+ e AS (SELECT name, category, target, round(max(s), 9) AS score FROM v GROUP BY 1, 2, 3), ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, length(target) DESC, target, category) AS place FROM e)"""
+
+
+def misread(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.replace("p_name", F.lit("o"), F.lit("0")).alias("name"))
+
+
+@query(f"WITH {RANKED} SELECT name, category, target, score, CAST(place AS INT) AS place FROM ranked WHERE place <= 5")
 def er_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The entry that a part's name holds as a whole; of several the longer one."""
-    return R.ranked(read(spark, d, "part").select(F.col("p_name").alias("name")), dictionary(spark), 1).where("score = 1").select("name", "target")
+    return R.ranked(misread(spark, d), dictionary(spark))
 
 
-@query(f"""WITH d(target, category, alias) AS (VALUES {ROWS}), n AS (SELECT DISTINCT p_name AS name, replace(p_name, ' ', '') AS k FROM part), e AS (SELECT name, k, arg_max(target, (length(target), CASE WHEN target = 'BOLT' THEN 1 ELSE 0 END)) AS target FROM n JOIN d ON contains(k, replace(alias, ' ', '')) GROUP BY 1, 2)
- SELECT name, target AS cut, 'AUTO' AS decision FROM e""")
+@query(f"WITH {RANKED} SELECT name, CASE WHEN score >= 0.65 THEN target END AS cut, CASE WHEN score >= 0.8 THEN 'AUTO' WHEN score >= 0.65 THEN 'REVIEW' ELSE 'NONE' END AS decision FROM ranked WHERE place = 1")
 def er_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return R.resolved(read(spark, d, "part").select(F.col("p_name").alias("name")), dictionary(spark), auto=1.0).where("decision = 'AUTO'")
+    """No rule of the cuts knows these names, so the dictionary decides on all of them."""
+    return R.resolved(misread(spark, d), dictionary(spark))
 
 
-@query("SELECT count(DISTINCT p_name) AS names FROM part")
+@query(f"WITH {RANKED} SELECT name, CASE WHEN max(score) >= 0.65 THEN arg_min(target, place) END AS suggestion, CAST(floor(max(score) * 100 + 0.5) AS BIGINT) AS confidence, max(score) < 0.805 AS review, string_agg(target, '|' ORDER BY place) FILTER (place IN (2, 3)) AS others FROM ranked GROUP BY 1")
 def er_suggest(spark: SparkSession, d: str) -> DataFrame:
-    """How many names have suggestions at all: five each."""
-    x = R.ranked(read(spark, d, "part").select(F.col("p_name").alias("name")), dictionary(spark))
-    return x.groupBy("name").agg(F.count("*").alias("n")).where("n = 5").agg(F.count("*").alias("names"))
-
-
-@query(f"WITH {RULES}, n AS (SELECT DISTINCT 'Brand#' || seen % 25 AS supplier, CASE WHEN seen % 3 = 0 THEN key || ' xyz' ELSE key END AS key FROM rules), m AS (SELECT supplier, key, max(target) AS target FROM rules GROUP BY 1, 2), h AS (SELECT n.supplier, n.key, arg_max(m.target, length(m.key)) AS target FROM n JOIN m ON m.supplier = n.supplier AND starts_with(n.key, m.key) AND length(m.key) >= 6 AND length(n.key) > length(m.key) GROUP BY 1, 2 HAVING n.key IS NOT NULL AND max(length(n.key)) - max(length(m.key)) >= 3)\n SELECT n.supplier, n.key, coalesce(a.target, h.target, g.target) AS target, CASE WHEN a.target IS NOT NULL THEN 'supplier_exact' WHEN h.target IS NOT NULL THEN 'supplier_prefix' WHEN g.target IS NOT NULL THEN 'global_exact' END AS \"by\" FROM n LEFT JOIN m a ON a.supplier = n.supplier AND a.key = n.key LEFT JOIN h ON h.supplier = n.supplier AND h.key = n.key LEFT JOIN m g ON g.supplier IS NULL AND g.key = n.key")
+    return R.suggestions(misread(spark, d), dictionary(spark))
+
+
+#: DuckDB counts edits in bytes, so the letters of the names are first replaced by single bytes.
+LETTERS = "".join(sorted({c for w in (*STORED, *MARKS, *PIECES, *USES, "호쌀농협") for c in w if c > "\x7f"}))
+BYTES = "".join(c for c in map(chr, range(33, 127)) if c not in "'\\lpc0123456789")[: len(LETTERS)]
+ascii_of = lambda x: f"translate({x}, '{LETTERS}', '{BYTES}')"
+STORED_WORD = lambda x: f"CASE WHEN contains({sql_mended(x)}, '냉동') THEN '냉동' WHEN contains({sql_mended(x)}, '냉장') THEN '냉장' END"
+CASES = lambda x, rules: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{v}'" for p, v in rules) + " END"
+LEAST = "CASE WHEN least(length(n.key), length(r.key)) <= 4 THEN 0.95 WHEN least(length(n.key), length(r.key)) <= 7 THEN 0.86 ELSE 0.82 END"
+AGREE = "(n.said IS NULL OR r.said IS NULL OR n.said = r.said)"
+LEARNED = f"""r0 AS (SELECT supplier, {sql_print('source')} AS key, source, target, category, storage, priority, {sql_print('target')} AS print, {STORED_WORD('source')} AS said, priority * 1000000000 + confidence * 1000000 + least(success, 999) * 1000 + day AS rank FROM learned_rules),
+ r AS (SELECT * FROM r0 WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY supplier, key ORDER BY rank DESC, source DESC, target DESC, category DESC, storage DESC, priority DESC, print DESC) = 1),
+ n AS (SELECT id, supplier, name, {sql_print('name')} AS key, {STORED_WORD('name')} AS said, {CASES("coalesce(hint, '')", N.HINTS)} AS hinted, {CASES("replace(name, ' ', '')", N.STATED)} AS stated FROM asked_names),
+ p0 AS (SELECT n.id, r.category, r.storage, r.print, r.target, length(r.key) AS size, r.rank FROM n JOIN r ON r.supplier = n.supplier AND starts_with(n.key, r.key) AND length(n.key) > length(r.key) AND length(r.key) >= 4
+  WHERE regexp_matches(name, '주식회사|농협|엘피씨|도드람|유통회사|축산유통|미트유통') AND {AGREE} AND (length(r.key) >= 6 OR r.storage <> '' AND n.said = r.storage AND coalesce(hinted = r.category, true) AND coalesce(stated = r.category, true))),
+ p1 AS (SELECT * FROM p0 QUALIFY row_number() OVER (PARTITION BY id, category, storage, print ORDER BY size DESC, rank DESC, category DESC, storage DESC, print DESC, target DESC) = 1),
+ p AS (SELECT id, target FROM (SELECT *, row_number() OVER w AS k, lead(size) OVER w AS second FROM p1 WINDOW w AS (PARTITION BY id ORDER BY size DESC, rank DESC, category DESC, storage DESC, print DESC, target DESC)) WHERE k = 1 AND (second IS NULL OR size - second >= 3)),
+ x AS (SELECT n.*, a.target AS own, p.target AS pre, g.target AS every FROM n LEFT JOIN r a ON a.supplier = n.supplier AND a.key = n.key LEFT JOIN p ON p.id = n.id LEFT JOIN r g ON g.supplier IS NULL AND g.key = n.key),
+ f0 AS (SELECT n.id, r.supplier, r.print, r.target, r.rank, r.priority, round(1 - levenshtein({ascii_of('n.key')}, {ascii_of('r.key')}) / greatest(length(n.key), length(r.key)), 9) AS similarity FROM x n JOIN r ON (r.supplier IS NULL OR r.supplier = n.supplier) AND {AGREE} WHERE own IS NULL AND pre IS NULL AND every IS NULL AND round(1 - levenshtein({ascii_of('n.key')}, {ascii_of('r.key')}) / greatest(length(n.key), length(r.key)), 9) >= {LEAST}),
+ f1 AS (SELECT *, round(similarity + CASE WHEN supplier IS NULL THEN 0 ELSE 0.03::DOUBLE END + least(priority, 500) / 100000, 9) AS score, CASE WHEN supplier IS NULL THEN 'global_fuzzy' ELSE 'supplier_fuzzy' END AS way FROM f0),
+ f2 AS (SELECT * FROM f1 QUALIFY row_number() OVER (PARTITION BY id, print ORDER BY score DESC, rank DESC, similarity DESC, print DESC, target DESC, way DESC) = 1),
+ f AS (SELECT * FROM (SELECT *, row_number() OVER w AS k, lead(similarity) OVER w AS second FROM f2 WINDOW w AS (PARTITION BY id ORDER BY score DESC, rank DESC, similarity DESC, print DESC, target DESC, way DESC)) WHERE k = 1 AND (second IS NULL OR round(similarity - second, 9) >= 0.06))"""
+
+
+@query(f"""WITH {LEARNED} SELECT x.id, coalesce(own, pre, every, f.target) AS target, CASE WHEN own IS NOT NULL THEN 'supplier_exact' WHEN pre IS NOT NULL THEN 'supplier_prefix' WHEN every IS NOT NULL THEN 'global_exact' ELSE f.way END AS "by",
+ CASE WHEN own IS NULL AND pre IS NOT NULL THEN 0.97 WHEN coalesce(own, every) IS NOT NULL THEN 1 ELSE f.similarity END::DOUBLE AS similarity FROM x LEFT JOIN f ON f.id = x.id""")
 def er_find_learned(spark: SparkSession, d: str) -> DataFrame:
-    r = rules(spark, d)
-    names = r.select(F.concat(F.lit("Brand#"), F.col("seen") % 25).alias("supplier"), F.when(F.col("seen") % 3 == 0, F.concat("key", F.lit(" xyz"))).otherwise(F.col("key")).alias("key")).distinct()
-    return R.found_rules(names, r.groupBy("supplier", "key").agg(F.max("target").alias("target")))
+    return R.found_rules(asked_names(spark, d), learned_rules(spark, d))
 
 
 @query("SELECT id, CASE WHEN contains(name, '냉동') THEN '냉동' WHEN contains(name, '냉장') THEN '냉장' WHEN id % 7 = 0 THEN '냉동' WHEN id % 5 = 0 OR id % 3 = 0 AND size <= 30 THEN '냉장' WHEN id % 2 = 0 THEN '냉동' ELSE '보관미상' END AS storage, CASE WHEN contains(name, '냉동') OR contains(name, '냉장') THEN 'explicit_name' WHEN id % 7 = 0 THEN 'document_context' WHEN id % 5 = 0 THEN 'expiry_date' WHEN id % 3 = 0 AND size <= 30 THEN 'slaughter_age' WHEN id % 2 = 0 THEN 'learned_pattern' ELSE 'unknown' END AS source FROM goods")
@@ -77,14 +107,17 @@ def er_storage_audit(spark: SparkSession, d: str) -> DataFrame:
     return inferred(spark, d).groupBy("x.source").agg(F.count("*").alias("n"), F.count_if(F.col("size") > 40).alias("suspicious"))
 
 
-@query("""WITH a AS (SELECT replace(p_name, ' ', '') AS key, max((80 + p_size % 20, p_type)) AS a FROM part WHERE p_size > 25 GROUP BY 1), m AS (SELECT replace(p_name, ' ', '') AS key, max((p_size * 4, p_type)) AS m FROM part WHERE p_size <= 25 GROUP BY 1), n AS (SELECT DISTINCT p_name AS name, replace(p_name, ' ', '') AS key FROM part)
- SELECT name, coalesce(a.a[2], m.m[2]) AS product, CAST(coalesce(a.a[1], least(99, m.m[1])) AS BIGINT) AS score, CASE WHEN a.a IS NOT NULL THEN CASE WHEN a.a[1] >= 90 THEN 'matched' ELSE 'needs_review' END ELSE 'learned_match' END AS status FROM n LEFT JOIN a USING (key) LEFT JOIN m USING (key) WHERE a.a IS NOT NULL OR m.m IS NOT NULL""")
+@query(f"""WITH a0 AS (SELECT {sql_print('source')} AS key, confidence, target AS product FROM learned_rules WHERE id % 3 = 1), m0 AS (SELECT {sql_print('source')} AS key, confidence AS score, target AS product FROM learned_rules WHERE id % 3 = 2),
+ n AS (SELECT DISTINCT name, {sql_print('name')} AS key FROM asked_names), a AS (SELECT key, max((confidence, product)) AS a FROM a0 GROUP BY 1), m AS (SELECT key, max((score, product)) AS m FROM m0 GROUP BY 1),
+ x AS (SELECT name, key, a, m FROM n LEFT JOIN a USING (key) LEFT JOIN m USING (key)), t AS (SELECT DISTINCT key, product, 100 AS most, 1 AS kind FROM a0 UNION SELECT DISTINCT key, product, score, 0 FROM m0),
+ q AS (SELECT DISTINCT x.key AS k, t.key AS b, round(1 - levenshtein({ascii_of('x.key')}, {ascii_of('t.key')}) / greatest(length(x.key), length(t.key)), 9) AS s FROM x JOIN (SELECT DISTINCT key FROM t) t ON x.a IS NULL AND x.m IS NULL AND x.key <> ''),
+ best AS (SELECT k, max((CAST(floor(least(CASE kind WHEN 1 THEN 100 ELSE 99 END, s * most) + 0.5) AS BIGINT), kind, product)) AS top FROM q JOIN t ON t.key = q.b WHERE s >= 0.7 GROUP BY 1)
+ SELECT name, coalesce(a[2], m[2], top[3]) AS product, CAST(coalesce(a[1], CASE WHEN m IS NOT NULL THEN least(99, m[1]) END, top[1], 0) AS BIGINT) AS score, CASE WHEN a IS NOT NULL THEN CASE WHEN a[1] >= 90 THEN 'matched' ELSE 'needs_review' END WHEN m IS NOT NULL THEN 'learned_match' WHEN top[1] >= 86 THEN 'needs_review' ELSE 'new_alias_candidate' END AS status FROM x LEFT JOIN best ON best.k = x.key""")
 def er_match_alias(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part")
-    key = N.fingerprint(F.col("p_name"))
-    aliases = p.where("p_size > 25").select(key.alias("key"), (80 + F.col("p_size") % 20).alias("confidence"), F.col("p_type").alias("product"))
-    memory = p.where("p_size <= 25").select(key.alias("key"), (F.col("p_size") * 4).alias("score"), F.col("p_type").alias("product"))
-    return R.matched(p.select(F.col("p_name").alias("name")), aliases, memory)
+    r = learned_rules(spark, d).withColumn("key", N.fingerprint(F.col("source")))
+    aliases = r.where("id % 3 = 1").select("key", "confidence", F.col("target").alias("product"))
+    memory = r.where("id % 3 = 2").select("key", F.col("confidence").alias("score"), F.col("target").alias("product"))
+    return R.matched(asked_names(spark, d), aliases, memory)
 
 
 @query("SELECT p_partkey AS id, round([1.0, 1.2][p_partkey % 2 + 1] * p_size / 50.0 * (1 + least(0.2, p_partkey % 20 * 0.02)) * CASE WHEN p_partkey % 3 = 0 THEN 1.1 ELSE 1.0 END, 6)::DOUBLE AS score FROM part")

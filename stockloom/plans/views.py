@@ -1,6 +1,6 @@
 """The same logical tables as adapters.py, as DuckDB common table expressions for the oracle queries."""
 
-from stockloom.sources.adapters import GOODS
+from stockloom.sources.adapters import GOODS, name_sql
 
 NAMES = ", ".join(f"'{x}'" for x in GOODS)
 VIEWS = {
@@ -27,6 +27,8 @@ VIEWS = {
   ['MANUAL', 'PRICE_EMBED', 'WEIGHT_EMBED', 'FIXED'][p_size % 4 + 1] AS weigh, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 10 END AS store, CAST(p_size AS BIGINT) AS updated FROM part),
   barcodes AS (SELECT * EXCLUDE part FROM first_codes UNION ALL SELECT key, product, CAST(price + 1 AS DECIMAL(18,2)), weigh, store, updated + 10 * (part % 3) - 10 FROM first_codes WHERE part % 4 = 1),
   mapped AS (SELECT * FROM barcodes QUALIFY row_number() OVER (PARTITION BY key, store ORDER BY updated DESC, price DESC, product) = 1)""",
+    "learned_rules": f"learned_rules AS (SELECT {name_sql(True)[0]} FROM part)",
+    "asked_names": f"asked_names AS (SELECT {name_sql(True)[1]} FROM learned_rules)",
     "cards": """cards AS (SELECT o_orderkey AS id, c_mktsegment AS card, CAST(o_orderdate AS DATE) AS sale_date, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS lag,
   CAST(o_orderdate AS DATE) + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS deposit_date, CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS amount,
   CAST(round(o_totalprice * 0.015, 2) AS DECIMAL(18,2)) AS fee, CASE WHEN o_orderkey % 3 = 0 THEN 'PAID' ELSE 'SCHEDULED' END AS status FROM orders JOIN customer ON o_custkey = c_custkey)""",
@@ -35,7 +37,7 @@ VIEWS = {
 
 def over(sql: str) -> str:
     """sql behind the views that it names."""
-    used = [v for k, v in VIEWS.items() if k in sql or k == "barcodes" and "mapped" in sql or k == "invoice_lines" and "invoice_heads" in sql]
+    used = [v for k, v in VIEWS.items() if k in sql or k == "barcodes" and "mapped" in sql or k == "invoice_lines" and "invoice_heads" in sql or k == "learned_rules" and "asked_names" in sql]
     sql = sql.strip()
     if not used:
         return sql

@@ -114,3 +114,54 @@ def invoice_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
         supply.alias("supply"), F.lit(0).cast("long").alias("tax"), (F.coalesce(supply, F.lit(0)) + F.when(doc % 7 == 0, 9).otherwise(0)).alias("total"),
         F.when(doc % 6 > 0, "123-45-67890").otherwise("1234567890").alias("business_no"),
     )
+
+
+#: Words that product names are put together from, with the cut and category that each third one means.
+STORED = ("", "냉장 ", "냉동 ", "")
+MARKS = ("", "한돈 ", "한우 ", "국내산 ", "무항생제 ", "제주 ", "숙성 ")
+PIECES = (
+    "삼겹살", "목살", "앞다리살", "뒷다리살", "항정살", "가브리살", "갈매기살", "등심", "안심", "등갈비", "쪽갈비", "돼지갈비",
+    "차돌박이", "부채살", "채끝", "우삼겹", "사태", "도가니", "사골", "우족", "닭가슴살", "닭다리살", "오겹살", "이겹살",
+)
+USES = ("", " 구이용", " 찌개용", " 수육용", " 불고기", " 슬라이스", " 통덩이", " 칼집", " 양념")
+
+
+def picked(words: tuple[str, ...], place: str, duck: bool) -> str:
+    """SQL for the word at a place counted from 0, for Spark or DuckDB."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"list_value({listed})[CAST({place} AS INT) + 1]" if duck else f"element_at(array({listed}), CAST({place} AS INT) + 1)"
+
+
+def name_sql(duck: bool) -> tuple[str, str]:
+    """Select lists over part for learned rules and for names that are asked for: the latter are sources of rules, as they are, misread, cut short, with a vendor's name or by another supplier."""
+    k = "p_partkey"
+    more = f"CAST(floor({k} / 504) AS BIGINT)"
+    source = " || ".join((picked(STORED, f"{k} * 7 % 4", duck), picked(MARKS, f"({k} * 13 + {more}) % 7", duck), picked(PIECES, f"{k} * 5 % 24", duck), picked(USES, f"({k} * 11 + {more}) % 9", duck), f"CASE WHEN {k} % 4 = 0 THEN ' ' || CAST({k} % 97 AS STRING) || '호' ELSE '' END"))
+    target = f"CASE WHEN {k} % 10 = 0 THEN {picked(PIECES, f'({k} + 1) * 5 % 24', duck)} ELSE {picked(PIECES, f'{k} * 5 % 24', duck)} END"
+    kind = f"CASE WHEN {k} * 5 % 24 IN (0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 22, 23) THEN '돼지고기' WHEN {k} * 5 % 24 IN (20, 21) THEN '닭고기' ELSE '소고기' END"
+    rule = f"{k} AS id, CASE WHEN {k} % 3 > 0 THEN 'S' || CAST({k} % 25 AS STRING) END AS supplier, {source} AS source, {target} AS target, {kind} AS category, {picked(('냉장', '냉동', ''), f'{k} % 3', duck)} AS storage, {k} % 600 AS priority, 80 + {k} % 20 AS confidence, {k} % 1200 AS success, {k} % 400 AS day"
+    n = "length(source)"
+    asked = f"id, CASE WHEN id % 6 < 5 THEN 'S' || CAST((id + CASE WHEN id % 12 = 4 THEN 1 ELSE 0 END) % 25 AS STRING) END AS supplier, CASE id % 6 WHEN 1 THEN left(source, {n} - 2) || '쌀' || substr(source, {n}) WHEN 2 THEN left(source, CAST(floor({n} / 2) AS INT)) || substr(source, CAST(floor({n} / 2) AS INT) + 2) WHEN 3 THEN source || ' 농협 LPC' || CAST(id % 7 AS STRING) ELSE source END AS name, CASE WHEN id % 9 = 0 THEN '돈육' END AS hint"
+    return rule, asked
+
+
+def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned names: id, supplier (null: for all), source, target, category, storage, priority, confidence, success, day."""
+    return read(spark, sf_dir, "part").selectExpr(*split_list(name_sql(False)[0]))
+
+
+def asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as suppliers print them: id, supplier, name, hint (of the category)."""
+    return learned_rules(spark, sf_dir).selectExpr(*split_list(name_sql(False)[1]))
+
+
+def split_list(items: str) -> list[str]:
+    """The items of a select list: commas within brackets and quotes don't divide."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(items):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append(items[start:i])
+            start = i + 1
+    return [*out, items[start:]]
