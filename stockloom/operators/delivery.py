@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.sources.sinks import written
+
 from .ledger import allocate, latest_per_key, override_lookup
 
 BARCODE = "^[0-9A-Za-z._-]{6,64}$"
@@ -35,36 +38,83 @@ def with_values(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     return x.withColumn("product", F.col("map.product")).withColumn("mapped", F.col("map").isNotNull()).withColumn("qty", qty.cast("decimal(18,3)")).withColumn("worth", worth.cast("decimal(18,2)")).drop("map")
 
 
+def order_facts(orders: DataFrame, lines: DataFrame, mapping: DataFrame) -> DataFrame:
+    """A row for each line of an order's first request, and one for each order without lines or asked for again: values, the order's scale amount, and its first error, null where only stock can refuse it."""
+    o = orders.withColumnRenamed("amount", "total").withColumn("nth", F.row_number().over(Window.partitionBy("channel", "order_id").orderBy("at")))
+    v = with_values(o.join(lines.withColumn("nth", F.lit(1)), ["order_id", "nth"], "left"), mapping)
+    own = Window.partitionBy("order_id", "nth")
+    v = v.withColumn("lines", F.count("line_no").over(own))
+    head = (
+        F.when(F.col("channel") != "COUPANG", "DELIVERY_CHANNEL_NOT_SUPPORTED").when(F.length(F.col("order_id").cast("string")) < 3, "DELIVERY_ORDER_ID_REQUIRED").when(~F.coalesce(F.col("total") > 0, F.lit(False)), "DELIVERY_ORDER_AMOUNT_REQUIRED")
+        .when(F.col("nth") > 1, "DUPLICATE_DELIVERY_ORDER").when(F.col("lines") < 1, "DELIVERY_LINES_REQUIRED").when(F.col("lines") > 50, "DELIVERY_LINE_COUNT_INVALID")
+    )
+    wrong = F.when(~F.coalesce(F.col("barcode").rlike(BARCODE), F.lit(False)), "INVALID_BARCODE").when(~F.col("mapped"), "BARCODE_NOT_MAPPED").when(F.col("qty").isNull() | F.col("worth").isNull(), "SALE_VALUE_REQUIRED").when(F.col("qty") <= 0, "INVALID_QUANTITY")
+    first, scale = F.min(F.when(wrong.isNotNull(), F.struct("line_no", wrong.alias("code")))).over(own), F.sum("worth").over(own)
+    v = v.withColumn("first", first).withColumn("scale", scale)
+    line = F.when(F.col("first").isNotNull(), F.concat(F.col("first.code"), F.lit("_LINE_"), F.col("first.line_no"))).when(~F.coalesce(F.col("scale") > 0, F.lit(False)), "DELIVERY_SCALE_AMOUNT_REQUIRED")
+    return v.select("order_id", "nth", "store", "at", "total", "line_no", "product", "qty", "worth", F.coalesce(head, line).alias("error"))
+
+
+def lacking_stock(rivals: DataFrame) -> DataFrame:
+    """(order_id, line_no, left) of the orders that a store can't fill, with the first line that lacks stock and what there was. rivals: store, at, order_id, line_no, product, qty, available.
+
+    A store's orders come in order of time, as a stream; its state is what has been taken of each product. An
+    order that is refused takes nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, taken, order, own, short, out = None, {}, None, {}, None, []
+
+        def end() -> None:
+            if order is not None and short is not None:
+                out.append((order, *short))
+            elif order is not None:
+                taken.update({p: taken.get(p, 0) + q for p, q in own.items()})
+
+        for b in batches:
+            for s, o, line, product, qty, available in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (s, o) != (store, order):
+                    end()
+                    if s != store:
+                        store, taken = s, {}
+                    order, own, short = o, {}, None
+                left = available - taken.get(product, 0) - own.get(product, 0)
+                if short is None and left < qty:
+                    short = (line, left)
+                own[product] = own.get(product, 0) + qty
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["order_id", "line_no", "left"])
+                out.clear()
+        end()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["order_id", "line_no", "left"])
+
+    kinds = (pa.int64(), pa.int64(), pa.decimal128(18, 3))
+    d3 = lambda c: F.col(c).cast("decimal(18,3)").alias(c)
+    rows = rivals.repartition("store").sortWithinPartitions("store", "at", "order_id", "line_no").select("store", F.col("order_id").cast("long").alias("order_id"), F.col("line_no").cast("long").alias("line_no"), "product", d3("qty"), d3("available"))
+    return rows.mapInArrow(run, "order_id long, line_no long, left decimal(18,3)")
+
+
 def fulfilled(orders: DataFrame, lines: DataFrame, mapping: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delivery orders posted as a whole or not at all: (orders with their error or null, posted lines with quantity and allocated amount).
 
     orders: order_id, store, channel, amount, at; lines: order_id, line_no, code, barcode, quantity, amount; stock: store,
     product, available. The first order of an id in time counts. The order's amount is dealt out by scale amounts,
-    the last line taking the residual. Stock is reserved in order of time by every order that is valid otherwise, so an
-    order that lacks one product still holds its others.
+    the last line taking the residual. Orders take stock in order of time; one that lacks any product takes nothing.
+
+    Only products of which the valid orders together ask for more than there is can refuse one, so only orders
+    with such a product pass through the fold over a store; all others are settled by sums.
     """
-    n = lines.groupBy("order_id").agg(F.count("*").alias("lines"))
-    first = F.row_number().over(Window.partitionBy("channel", "order_id").orderBy("at"))
-    o = orders.join(n, "order_id", "left").withColumn("nth", first)
-    head = (
-        F.when(F.col("channel") != "COUPANG", "DELIVERY_CHANNEL_NOT_SUPPORTED").when(F.length(F.col("order_id").cast("string")) < 3, "DELIVERY_ORDER_ID_REQUIRED").when(~F.coalesce(F.col("amount") > 0, F.lit(False)), "DELIVERY_ORDER_AMOUNT_REQUIRED")
-        .when(F.coalesce("lines", F.lit(0)) < 1, "DELIVERY_LINES_REQUIRED").when(F.col("lines") > 50, "DELIVERY_LINE_COUNT_INVALID").when(F.col("nth") > 1, "DUPLICATE_DELIVERY_ORDER")
-    )
-    o = o.withColumn("head", head)
-    v = with_values(lines.join(o.where("head IS NULL").select("order_id", "store", "at", F.col("amount").alias("total")), "order_id"), mapping)
-    wrong = F.when(~F.col("barcode").rlike(BARCODE), "INVALID_BARCODE").when(~F.col("mapped"), "BARCODE_NOT_MAPPED").when(F.col("qty").isNull() | F.col("worth").isNull(), "SALE_VALUE_REQUIRED").when(F.col("qty") <= 0, "INVALID_QUANTITY")
-    v = v.withColumn("wrong", F.when(wrong.isNotNull(), F.struct("line_no", wrong.alias("code"))))
-    whole = v.groupBy("order_id").agg(F.min("wrong").alias("first"), F.sum("worth").alias("scale"))
-    line = F.when(F.col("first").isNotNull(), F.concat(F.col("first.code"), F.lit("_LINE_"), F.col("first.line_no"))).when(~F.coalesce(F.col("scale") > 0, F.lit(False)), "DELIVERY_SCALE_AMOUNT_REQUIRED")
-    whole = whole.select("order_id", line.alias("line_error"), "scale")
-    v = v.join(whole.where("line_error IS NULL"), "order_id").join(stock, ["store", "product"], "left")
-    upto = Window.partitionBy("store", "product").orderBy("at", "order_id", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("short", F.sum("qty").over(upto) > F.coalesce("available", F.lit(0)))
-    lacking = v.where("short").groupBy("order_id").agg(F.min("line_no").alias("short_line"))
-    o = o.join(whole.select("order_id", "line_error"), "order_id", "left").join(lacking, "order_id", "left")
-    error = F.coalesce("head", F.when(F.col("nth") == 1, F.coalesce("line_error", F.when(F.col("short_line").isNotNull(), F.concat(F.lit("INSUFFICIENT_STOCK_LINE_"), "short_line")))))
-    done = allocate(v.join(lacking, "order_id", "left_anti"), "order_id", ["line_no"], "worth", "total")
-    return o.select("order_id", "store", "at", error.alias("error")), done.select("order_id", "line_no", "store", "product", F.col("qty").cast("double").alias("quantity"), F.col("allocated").cast("double").alias("amount"), "at")
+    facts = written(order_facts(orders, lines, mapping))
+    valid = facts.where("error IS NULL")
+    asked = valid.groupBy("store", "product").agg(F.sum("qty").alias("asked")).join(stock, ["store", "product"], "left")
+    scarce = asked.withColumn("available", F.coalesce("available", F.lit(0)).cast("decimal(18,3)")).where("asked > available").select("store", "product", "available")
+    refused = written(lacking_stock(valid.join(scarce, ["store", "product"])))
+    reason = F.concat(F.lit("INSUFFICIENT_STOCK_LINE_"), F.col("short"), F.lit("_AVAILABLE_"), F.col("left").cast("string"))
+    heads = facts.where(F.coalesce("line_no", F.lit(1)) == 1).select("order_id", "store", "at", "error")
+    o = heads.join(refused.withColumnRenamed("line_no", "short"), "order_id", "left").select("order_id", "store", "at", F.coalesce("error", reason).alias("error"))
+    done = allocate(valid.join(refused, "order_id", "left_anti"), "order_id", ["line_no"], "worth", "total")
+    return o, done.select("order_id", "line_no", "store", "product", F.col("qty").cast("double").alias("quantity"), F.col("allocated").cast("double").alias("amount"), "at")
 
 
 def cancelled(requests: DataFrame, orders: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +157,7 @@ def manual_sale(quantity: Column, price: Column, amount: Column) -> Column:
 
 def with_stock_warning(sales: DataFrame, stock: DataFrame) -> DataFrame:
     """Sales (store, product, quantity) with whether they take more than there is; they are posted all the same."""
-    return sales.join(stock, ["store", "product"], "left").withColumn("low", F.coalesce("available", F.lit(0)) < F.col("quantity")).drop("available")
+    return sales.join(stock, ["store", "product"], "left").withColumn("low", F.coalesce(F.col("available"), F.lit(0)) < F.col("quantity")).drop("available")
 
 
 def observed(scans: DataFrame, mapping: DataFrame, keep_odd: bool) -> DataFrame:

@@ -28,8 +28,13 @@ ORDERED = f"""{STOCK}, o AS (SELECT o_orderkey AS order_id, o_custkey % 10 AS st
  w AS (SELECT *, CASE WHEN product IS NULL THEN 'BARCODE_NOT_MAPPED' WHEN qty IS NULL OR worth IS NULL THEN 'SALE_VALUE_REQUIRED' WHEN qty <= 0 THEN 'INVALID_QUANTITY' END AS wrong FROM v),
  g AS (SELECT order_id, arg_min(wrong || '_LINE_' || line_no, line_no) FILTER (wrong IS NOT NULL) AS line_error, sum(worth) AS scale FROM w GROUP BY 1),
  k AS (SELECT order_id, coalesce(line_error, CASE WHEN NOT coalesce(scale > 0, false) THEN 'DELIVERY_SCALE_AMOUNT_REQUIRED' END) AS line_error, scale FROM g),
- u AS (SELECT w.*, scale, sum(qty) OVER (PARTITION BY w.store, w.product ORDER BY seen, order_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > coalesce(q * 20, 0) AS short FROM w JOIN k USING (order_id) LEFT JOIN stock s ON s.store = w.store AND s.product = w.product WHERE line_error IS NULL),
- l AS (SELECT order_id, min(line_no) AS short_line FROM u WHERE short GROUP BY 1)"""
+ u AS (SELECT w.*, scale, coalesce(CAST(q * 20 AS DECIMAL(18,3)), 0) AS available FROM w JOIN k USING (order_id) LEFT JOIN stock s ON s.store = w.store AND s.product = w.product WHERE line_error IS NULL),
+ rare AS (SELECT store, product FROM u GROUP BY 1, 2 HAVING sum(qty) > any_value(available)),
+ ro AS (SELECT u.store, order_id, row_number() OVER (PARTITION BY u.store ORDER BY any_value(seen), order_id) AS i, list({{'line': line_no, 'product': u.product, 'qty': qty, 'available': available}} ORDER BY line_no) AS ls FROM u JOIN rare ON rare.store = u.store AND rare.product = u.product GROUP BY u.store, order_id),
+ fold AS (SELECT DISTINCT store, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS order_id, CAST([] AS STRUCT(product VARCHAR, qty DECIMAL(18,3))[]) AS taken, CAST(NULL AS STRUCT(line BIGINT, rest DECIMAL(38,3), qty DECIMAL(18,3))) AS bad FROM ro
+  UNION ALL SELECT store, i, order_id, CASE WHEN bad IS NULL THEN taken || list_transform(ls, lambda z: {{'product': z.product, 'qty': z.qty}}) ELSE taken END, bad FROM (
+  SELECT ro.store, ro.i, ro.order_id, ls, taken, list_filter(list_transform(range(1, len(ls) + 1), lambda j: {{'line': ls[j].line, 'rest': CAST(ls[j].available - coalesce(list_sum(list_transform(list_filter(taken || list_transform(ls[1:j - 1], lambda z: {{'product': z.product, 'qty': z.qty}}), lambda y: y.product = ls[j].product), lambda y: y.qty)), 0) AS DECIMAL(38,3)), 'qty': ls[j].qty}}), lambda z: z.rest < z.qty)[1] AS bad FROM fold JOIN ro ON ro.store = fold.store AND ro.i = fold.i + 1)),
+ l AS (SELECT order_id, bad.line AS short_line, CAST(bad.rest AS DECIMAL(18,3)) AS rest FROM fold WHERE bad IS NOT NULL)"""
 
 
 def delivery(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +47,7 @@ def delivery(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return V.fulfilled(o, l, barcodes(spark, d), stock_of(spark, d, 20))
 
 
-@query(f"WITH {ORDERED} SELECT h.order_id, coalesce(head, line_error, CASE WHEN short_line IS NOT NULL THEN 'INSUFFICIENT_STOCK_LINE_' || short_line END) AS error FROM h LEFT JOIN k USING (order_id) LEFT JOIN l USING (order_id)")
+@query(f"WITH {ORDERED} SELECT h.order_id, coalesce(head, line_error, CASE WHEN short_line IS NOT NULL THEN 'INSUFFICIENT_STOCK_LINE_' || short_line || '_AVAILABLE_' || CAST(rest AS VARCHAR) END) AS error FROM h LEFT JOIN k USING (order_id) LEFT JOIN l USING (order_id)")
 def pst_delivery_fulfil(spark: SparkSession, d: str) -> DataFrame:
     return delivery(spark, d)[0].select("order_id", "error")
 
@@ -85,14 +90,14 @@ def pst_channel_sale(spark: SparkSession, d: str) -> DataFrame:
     return V.channel_sales(scans, s.where("source = 'local-agent' AND NOT is_cancelled"), s.select("id", F.lit("PROCESSED").alias("status")))
 
 
-@query("SELECT id, CASE WHEN size % 7 = 0 THEN 0.0 ELSE CAST(CASE WHEN id % 2 = 0 THEN price ELSE size % 7 * price END AS DOUBLE) END AS amount, CASE WHEN size % 7 = 0 THEN NULL ELSE CAST(CASE WHEN id % 2 = 0 THEN round(price / (size % 7), 2) ELSE price END AS DOUBLE) END AS price, CASE WHEN size % 7 = 0 THEN 'QUANTITY_REQUIRED' END AS error FROM goods WHERE size % 7 > 0")
+@query(f"""WITH {STOCK}, s AS (SELECT p_partkey AS id, p_partkey % 10 AS store, p_name AS product, CASE WHEN p_size % 7 > 0 THEN CAST(p_size % 7 * 100 AS DECIMAL(18,3)) END AS q, CASE WHEN p_partkey % 2 = 1 THEN CAST(round(p_retailprice, 2) AS DECIMAL(18,2)) END AS price, CASE WHEN p_partkey % 2 = 0 THEN CAST(round(p_retailprice, 2) AS DECIMAL(18,2)) END AS amount FROM part)
+ SELECT id, CAST(coalesce(amount, q * coalesce(price, 0)) AS DOUBLE) AS amount, CAST(round(coalesce(CAST(price AS DOUBLE), coalesce(amount, q * coalesce(price, 0)) / q), 2) AS DOUBLE) AS price, CASE WHEN q IS NULL THEN 'QUANTITY_REQUIRED' END AS error, CASE WHEN q IS NOT NULL THEN coalesce(stock.q, 0) < s.q END AS low FROM s LEFT JOIN stock ON stock.store = s.store AND stock.product = s.product""".replace("q IS NULL THEN 'Q", "s.q IS NULL THEN 'Q").replace("WHEN q IS NOT NULL", "WHEN s.q IS NOT NULL").replace("amount, q * coalesce", "amount, s.q * coalesce").replace("0)) / q)", "0)) / s.q)"))
 def pst_manual_sale(spark: SparkSession, d: str) -> DataFrame:
-    from stockloom.sources.adapters import goods
-
-    g = goods(spark, d).where("size % 7 > 0")
-    even, q = F.col("id") % 2 == 0, (F.col("size") % 7).cast("decimal(18,3)")
-    x = V.manual_sale(q, F.when(~even, F.col("price")), F.when(even, F.col("price")))
-    return g.select("id", x.alias("x")).select("id", "x.*")
+    """Sales typed in by hand, some without a quantity: what is missing follows from the rest, and low stock is told, not refused."""
+    k, size, price = F.col("p_partkey"), F.col("p_size"), F.round("p_retailprice", 2).cast("decimal(18,2)")
+    given = read(spark, d, "part").select(k.alias("id"), (k % 10).alias("store"), F.col("p_name").alias("product"), F.when(size % 7 > 0, (size % 7 * 100).cast("decimal(18,3)")).alias("quantity"), F.when(k % 2 == 1, price).alias("each"), F.when(k % 2 == 0, price).alias("whole"))
+    x = V.with_stock_warning(given, stock_of(spark, d, 1)).withColumn("x", V.manual_sale(F.col("quantity"), F.col("each"), F.col("whole")))
+    return x.select("id", "x.*", "low")
 
 
 TILL = f"""{STOCK}, t AS (SELECT s.id, s.store, b.product, s.txn, s.sold_at, CAST(s.id % 30 + 1 AS DOUBLE) AS q, row_number() OVER (PARTITION BY s.store, s.txn ORDER BY s.sold_at, s.id) > 1 AS again FROM sales s JOIN (SELECT key, min(product) AS product FROM barcodes GROUP BY 1) b ON b.key = s.code),
@@ -109,12 +114,15 @@ def pst_pos_sale_v1(spark: SparkSession, d: str) -> DataFrame:
     return V.till_sales(t, stock_of(spark, d, 1))
 
 
-@query(f"WITH {STOCK}, t AS (SELECT s.id, s.store, b.product, s.id % 30 + 1 AS quantity FROM sales s JOIN (SELECT key, min(product) AS product FROM barcodes GROUP BY 1) b ON b.key = s.code) SELECT id, coalesce(q, 0) < quantity AS low FROM t LEFT JOIN stock USING (store, product)")
+@query(f"""WITH {TILL.replace("row_number() OVER (PARTITION BY s.store, s.txn ORDER BY s.sold_at, s.id) > 1", "false")}, r AS (SELECT store, product, k, id, CASE WHEN q > available THEN 'INSUFFICIENT_STOCK' ELSE 'SOLD' END AS status, CASE WHEN q > available THEN available ELSE available - q END AS rest FROM e WHERE k = 1
+ UNION ALL SELECT e.store, e.product, e.k, e.id, CASE WHEN q > rest THEN 'INSUFFICIENT_STOCK' ELSE 'SOLD' END, CASE WHEN q > rest THEN rest ELSE rest - q END FROM r JOIN e ON e.store = r.store AND e.product = r.product AND e.k = r.k + 1)
+ SELECT id, status, rest AS "left" FROM r""")
 def pst_manual_sale_v1(spark: SparkSession, d: str) -> DataFrame:
+    """The older rule: a sale that lacks stock is refused and takes nothing."""
     s = sales(spark, d)
     b = barcodes(spark, d).groupBy(F.col("key").alias("code")).agg(F.min("product").alias("product"))
     t = s.join(b, "code").withColumn("quantity", F.col("id") % 30 + 1)
-    return V.with_stock_warning(t, stock_of(spark, d, 1)).select("id", "low")
+    return V.manual_sales_v1(t, stock_of(spark, d, 1))
 
 
 SEEN = """x AS (SELECT s.id, CASE WHEN id % 8 = 0 THEN 'a/b' ELSE barcode END AS barcode, CAST(substr(barcode, 8, 5) AS INTEGER) AS e, coalesce(a.product, b.product) AS product, coalesce(a.price, b.price) AS price, coalesce(a.weigh, b.weigh) AS weigh FROM sales s LEFT JOIN mapped a ON a.key = s.code AND a.store = s.store LEFT JOIN mapped b ON b.key = s.code AND b.store IS NULL),

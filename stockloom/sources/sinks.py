@@ -22,6 +22,13 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that several readers share one computation and a lost executor costs a reread. The files go when the session ends."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_months(df: DataFrame, day: str, path: str) -> DataFrame:
     """df written as one partition a month, a file each, and read back; null days go to the default partition."""
     df.withColumn("month", F.date_format(day, "yyyy-MM")).repartition("month").write.partitionBy("month").mode("overwrite").parquet(path)
