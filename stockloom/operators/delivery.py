@@ -63,7 +63,7 @@ def lacking_stock(rivals: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, taken, order, own, short, out = None, {}, None, {}, None, []
+        store, taken, order, own, short, out, kinds = None, {}, None, {}, None, [], ()
 
         def end() -> None:
             if order is not None and short is not None:
@@ -72,6 +72,7 @@ def lacking_stock(rivals: DataFrame) -> DataFrame:
                 taken.update({p: taken.get(p, 0) + q for p, q in own.items()})
 
         for b in batches:
+            kinds = (b.schema.field(1).type, pa.int64(), pa.decimal128(18, 3))
             for s, o, line, product, qty, available in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (s, o) != (store, order):
                     end()
@@ -89,10 +90,9 @@ def lacking_stock(rivals: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["order_id", "line_no", "left"])
 
-    kinds = (pa.int64(), pa.int64(), pa.decimal128(18, 3))
     d3 = lambda c: F.col(c).cast("decimal(18,3)").alias(c)
-    rows = rivals.repartition("store").sortWithinPartitions("store", "at", "order_id", "line_no").select("store", F.col("order_id").cast("long").alias("order_id"), F.col("line_no").cast("long").alias("line_no"), "product", d3("qty"), d3("available"))
-    return rows.mapInArrow(run, "order_id long, line_no long, left decimal(18,3)")
+    rows = rivals.repartition("store").sortWithinPartitions("store", "at", "order_id", "line_no").select("store", "order_id", F.col("line_no").cast("long").alias("line_no"), "product", d3("qty"), d3("available"))
+    return rows.mapInArrow(run, f"order_id {rows.schema['order_id'].dataType.simpleString()}, line_no long, left decimal(18,3)")
 
 
 def fulfilled(orders: DataFrame, lines: DataFrame, mapping: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:

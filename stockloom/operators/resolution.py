@@ -81,7 +81,7 @@ IDENTITY = ("category", "storage", "print")
 
 def learning_rank(rule: DataFrame) -> DataFrame:
     """Rules (supplier, source, target, category, storage, priority, confidence, success, day) with key, print (of the target) and rank; the last rule of a (supplier, key) by rank and target stays."""
-    rank = F.col("priority") * 1_000_000_000 + F.col("confidence") * 1_000_000 + F.least(F.col("success"), F.lit(999)) * 1000 + F.col("day")
+    rank = F.col("priority").cast("long") * 1_000_000_000 + F.col("confidence") * 1_000_000 + F.least(F.col("success"), F.lit(999)) * 1000 + F.col("day")
     r = rule.withColumn("key", fingerprint(F.col("source"))).where("key <> ''").withColumn("print", fingerprint(F.col("target"))).withColumn("rank", rank)
     r = r.withColumn("said", storage_word(F.col("source")))
     kept = ["source", "target", "category", "storage", "priority", "print", "said"]

@@ -115,11 +115,9 @@ def apart_boxes(boxes: DataFrame, overlap: Column, most: int = 3) -> DataFrame:
     return best_rows(boxes.join(hit, ["doc", "id"], "left_anti"), ["doc"], [F.asc("confidence"), F.asc("id")], most)
 
 
-def line_clusters(tokens: DataFrame, tolerance: float) -> DataFrame:
-    """Tokens (doc, id, y) with their line's number: from top to bottom, a gap of more than the tolerance to the token before begins a line."""
-    w = Window.partitionBy("doc").orderBy("y", "id")
-    new = F.coalesce((F.col("y") - F.lag("y").over(w) > tolerance), F.lit(True)).cast("int")
-    return tokens.withColumn("_new", new).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def korean_order(rows: DataFrame, ties: list[str]) -> DataFrame:
+    """Rows by their first tie column in the order of a Korean dictionary, then by the ties as they are."""
+    return rows.orderBy(F.collate(ties[0], "ko"), *ties)
 
 
 def business_days(start: Column, days: int, holidays: Column) -> Column:

@@ -9,7 +9,7 @@ from stockloom.functions import names as N
 from stockloom.operators import layout as Y
 from stockloom.operators import resolution as R
 from stockloom.operators import stock as S
-from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, read
+from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, page_tokens, read
 
 from .name_queries import sql_mended, sql_print
 from .registry import query
@@ -175,9 +175,22 @@ def headers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").groupBy(F.col("p_brand").alias("doc"), (F.col("p_partkey") % 5).cast("string").alias("name")).agg(F.min(F.col("p_partkey") % 1000).alias("x"))
 
 
-@query(f"WITH {HEADS} SELECT doc, name, CASE WHEN p IS NULL THEN 0 ELSE (p + x) / 2 END AS \"left\", CASE WHEN n IS NULL THEN 1000 ELSE (x + n) / 2 END AS \"right\" FROM (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS n FROM h WINDOW w AS (PARTITION BY doc ORDER BY x, name))")
+#: Header texts that a column's token may have, in order.
+LABELLED = ", ".join(f"({i}, {j}, '{name}', '{label}')" for i, (name, texts) in enumerate(Y.HEADERS) for j, label in enumerate(texts))
+
+
+@query(f"""WITH v(place, nth, name, label) AS (VALUES {LABELLED}), t AS (SELECT *, lower(regexp_replace(text, '[\\s·ㆍ:：()\\[\\]{{{{}}}}]', '', 'g')) AS bare FROM page_tokens),
+ c AS (SELECT doc, id, x, w, h, x + w / 2 AS centre, t.y + h / 2 AS y, CAST(floor(least(100, confidence + CASE WHEN bare = label THEN 8 ELSE 0 END) + 0.5) AS BIGINT) AS confidence, name, place, nth FROM t JOIN v ON bare = label OR (contains(bare, label) OR contains(label, bare)) AND least(length(bare), length(label)) >= 2),
+ m AS (SELECT *, greatest(18, median(h) OVER (PARTITION BY doc) * 1.25) AS reach, row_number() OVER (PARTITION BY doc ORDER BY place) AS k FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc, name ORDER BY confidence DESC, id, nth) = 1)),
+ r AS (SELECT doc, k, place, CAST(1 AS BIGINT) AS band, [CAST(y AS DOUBLE)] AS s, [1] AS n FROM m WHERE k = 1 UNION ALL SELECT doc, k, place, coalesce(hit, len(s) + 1), CASE WHEN hit IS NULL THEN s || [CAST(y AS DOUBLE)] ELSE list_transform(range(1, len(s) + 1), lambda i: s[i] + CASE WHEN i = hit THEN y ELSE 0 END) END, CASE WHEN hit IS NULL THEN n || [1] ELSE list_transform(range(1, len(n) + 1), lambda i: n[i] + CASE WHEN i = hit THEN 1 ELSE 0 END) END
+  FROM (SELECT m.*, s, n, list_filter(range(1, len(s) + 1), lambda i: abs(s[i] / n[i] - m.y) <= reach)[1] AS hit FROM r JOIN m ON m.doc = r.doc AND m.k = r.k + 1)),
+ g AS (SELECT m.*, band, count(*) OVER b AS items, sum(y) OVER b / count(*) OVER b AS height FROM m JOIN r ON r.doc = m.doc AND r.k = m.k WINDOW b AS (PARTITION BY m.doc, band)),
+ o AS (SELECT *, lag(centre) OVER (PARTITION BY doc ORDER BY centre, place) AS before FROM (SELECT * FROM g QUALIFY rank() OVER (PARTITION BY doc ORDER BY items DESC, height, band) = 1)),
+ z AS (SELECT * FROM o JOIN (SELECT doc, max(x + w) AS width FROM page_tokens GROUP BY 1) USING (doc) WHERE before IS NULL OR centre - before > greatest(8, width * 0.008)),
+ e AS (SELECT *, count(*) OVER (PARTITION BY doc) AS cols, lag(centre) OVER a AS p, lead(centre) OVER a AS f FROM z WINDOW a AS (PARTITION BY doc ORDER BY centre, place))
+ SELECT doc, name, CAST(centre AS DOUBLE) AS centre, CAST(CASE WHEN p IS NULL THEN greatest(0, x - greatest(12, w * 0.45)) ELSE (p + centre) / 2 END AS DOUBLE) AS "left", CAST(CASE WHEN f IS NULL THEN least(width, x + w + greatest(12, w * 0.45)) ELSE (f + centre) / 2 END AS DOUBLE) AS "right", confidence FROM e WHERE cols >= 3""")
 def doc_table_columns(spark: SparkSession, d: str) -> DataFrame:
-    return Y.column_bounds(headers(spark, d), 1000.0)
+    return Y.table_columns(page_tokens(spark, d))
 
 
 @query(f"WITH {HEADS}, c AS (SELECT doc, name, CASE WHEN p IS NULL THEN 0 ELSE (p + x) / 2 END AS l, CASE WHEN n IS NULL THEN 1000 ELSE (x + n) / 2 END AS r FROM (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS n FROM h WINDOW w AS (PARTITION BY doc ORDER BY x, name))), t AS (SELECT DISTINCT p_brand AS doc, p_size AS row FROM part) SELECT doc, row, name, l AS x, row * 20 AS y, r - l AS w, 20 AS h FROM c JOIN t USING (doc)")
@@ -200,11 +213,13 @@ def doc_trace_attach(spark: SparkSession, d: str) -> DataFrame:
     return Y.traces_of_lines(l.where("row % 2 = 1").select("doc", "row"), l.where("trace <> ''").select("doc", "row", "trace")).where(F.size("traces") > 0)
 
 
-@query("SELECT doc, line, string_agg(id, ' ' ORDER BY x, id) AS text FROM (SELECT *, sum(CASE WHEN coalesce(y - p > greatest(12, 0.7 * h), true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY y, id) AS line FROM (SELECT *, lag(y) OVER (PARTITION BY doc ORDER BY y, id) AS p FROM (SELECT p_brand AS doc, p_partkey AS id, p_partkey * 7919 % 10000 AS y, p_partkey % 500 AS x, p_size AS h FROM part))) GROUP BY 1, 2")
+@query("""WITH t AS (SELECT *, greatest(12, h * 0.7) AS reach, row_number() OVER (PARTITION BY doc ORDER BY y, x, id, text, w, h, confidence) AS k FROM page_tokens),
+ r AS (SELECT doc, k, CAST(1 AS BIGINT) AS band, [CAST(y AS DOUBLE)] AS s, [1] AS n FROM t WHERE k = 1 UNION ALL SELECT doc, k, coalesce(hit, len(s) + 1), CASE WHEN hit IS NULL THEN s || [CAST(y AS DOUBLE)] ELSE list_transform(range(1, len(s) + 1), lambda i: s[i] + CASE WHEN i = hit THEN y ELSE 0 END) END, CASE WHEN hit IS NULL THEN n || [1] ELSE list_transform(range(1, len(n) + 1), lambda i: n[i] + CASE WHEN i = hit THEN 1 ELSE 0 END) END
+  FROM (SELECT t.doc, t.k, t.y, s, n, list_filter(range(1, len(s) + 1), lambda i: abs(s[i] / n[i] - t.y) <= reach)[1] AS hit FROM r JOIN t ON t.doc = r.doc AND t.k = r.k + 1)),
+ g AS (SELECT t.doc, band, avg(t.y) AS y, string_agg(text, ' ' ORDER BY x, id, text) AS text, round(avg(confidence), 2) AS confidence FROM t JOIN r ON r.doc = t.doc AND r.k = t.k GROUP BY 1, 2)
+ SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY y, band) AS line, text, confidence FROM g""")
 def doc_line_grouping(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    t = read(spark, d, "part").select(F.col("p_brand").alias("doc"), k.alias("id"), (k * 7919 % 10000).alias("y"), (k % 500).alias("x"), F.col("p_size").alias("h"), k.cast("string").alias("text"))
-    return Y.grouped_lines(t)
+    return Y.grouped_lines(page_tokens(spark, d))
 
 
 @query("SELECT p_brand AS doc, CASE WHEN y < 300 THEN 'head' WHEN y < 800 THEN 'body' ELSE 'foot' END AS region, string_agg(id, ' ' ORDER BY y, id) AS text FROM (SELECT p_brand, p_partkey AS id, p_partkey * 7919 % 1000 AS y FROM part) GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from stockloom.operators import ledger as L
 from stockloom.operators import posting as P
 from stockloom.operators import stock as S
 from stockloom.operators import summaries as M
-from stockloom.sources.adapters import barcodes, cards, goods, invoice_lines, invoices, movements, read, sales
+from stockloom.sources.adapters import PIECES, barcodes, cards, goods, invoice_lines, invoices, movements, picked, read, sales
 
 from .registry import query
 
@@ -200,10 +200,14 @@ def win_residual_last(spark: SparkSession, d: str) -> DataFrame:
     return L.allocate(l, "doc", ["row"], "price", "total").groupBy("doc").agg(F.sum("allocated").cast("double").alias("allocated"))
 
 
-@query("SELECT doc, id, CAST(sum(CASE WHEN coalesce(y - p > 300, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY y, id) AS BIGINT) AS line FROM (SELECT *, lag(y) OVER (PARTITION BY doc ORDER BY y, id) AS p FROM (SELECT p_brand AS doc, p_partkey AS id, p_partkey * 7919 % 100000 AS y FROM part))")
+@query("""WITH t AS (SELECT doc, id, y, greatest(12, CASE WHEN median(h) OVER d > 0 THEN median(h) OVER d * 0.75 ELSE 16 END) AS reach, row_number() OVER (PARTITION BY doc ORDER BY y, x, id, text, w, h, confidence) AS k FROM page_tokens WINDOW d AS (PARTITION BY doc)),
+ r AS (SELECT doc, k, id, y, CAST(1 AS BIGINT) AS line, CAST(y AS DOUBLE) AS s, 1 AS n FROM t WHERE k = 1 UNION ALL SELECT t.doc, t.k, t.id, t.y, CASE WHEN abs(s / n - t.y) <= reach THEN line ELSE line + 1 END, CASE WHEN abs(s / n - t.y) <= reach THEN s + t.y ELSE t.y END, CASE WHEN abs(s / n - t.y) <= reach THEN n + 1 ELSE 1 END FROM r JOIN t ON t.doc = r.doc AND t.k = r.k + 1)
+ SELECT doc, id, CAST(y AS DOUBLE) AS y, line FROM r""")
 def win_line_cluster(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 100000).alias("y"))
-    return M.line_clusters(t, 300).select("doc", "id", "line")
+    from stockloom.operators.layout import line_clusters
+    from stockloom.sources.adapters import page_tokens
+
+    return line_clusters(page_tokens(spark, d)).select("doc", "id", "y", "line")
 
 
 @query("SELECT id, action FROM (SELECT id, [\'HOLD\', \'ORDER\', \'REVIEW\', \'REDUCE\'][size % 4 + 1] AS action, size FROM goods) ORDER BY CASE action WHEN 'ORDER' THEN 0 WHEN 'REDUCE' THEN 1 WHEN 'REVIEW' THEN 2 ELSE 3 END, size DESC, id LIMIT 50")
@@ -213,11 +217,15 @@ def srt_action_rank(spark: SparkSession, d: str) -> DataFrame:
     return g.orderBy(S.action_rank(F.col("action")), F.desc("size"), "id").limit(50).select("id", "action")
 
 
-@query("SELECT id, name FROM (SELECT id, name FROM goods WHERE name >= '가' AND NOT contains(name, '　') AND NOT contains(name, '２')) ORDER BY name, id LIMIT 40")
+KO_NAMES = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_partkey % 100 AS STRING) || '번' WHEN 2 THEN upper(p_name) ELSE {} END"
+
+
+@query(f"SELECT id, name, row_number() OVER (ORDER BY name COLLATE ko, name, id) AS place FROM (SELECT p_partkey AS id, {KO_NAMES.format(picked(PIECES, 'p_partkey * 5 % 24', True))} AS name FROM part) ORDER BY place LIMIT 400")
 def srt_locale_ko(spark: SparkSession, d: str) -> DataFrame:
-    """Hangul syllables in code order are in the order of the dictionary."""
-    g = goods(spark, d).where((F.col("name") >= "가") & ~F.col("name").contains("　") & ~F.col("name").contains("２"))
-    return g.orderBy("name", "id").limit(40).select("id", "name")
+    """The first names in Korean order: digits, Hangul, then Latin letters, capitals behind small ones."""
+    names = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(KO_NAMES.format(picked(PIECES, "p_partkey * 5 % 24", False))).alias("name"))
+    first = M.korean_order(names, ["name", "id"]).limit(400)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.collate("name", "ko"), "name", "id")))
 
 
 @query("WITH b AS (SELECT p_brand AS doc, p_partkey AS id, p_partkey % 10 * 100 AS x, p_size % 5 * 100 AS y, p_size AS confidence FROM part), h AS (SELECT DISTINCT a.doc, a.id FROM b a JOIN b c ON a.doc = c.doc AND a.id <> c.id AND greatest(0, least(a.x, c.x) + 110 - greatest(a.x, c.x)) * greatest(0, least(a.y, c.y) + 110 - greatest(a.y, c.y)) / 12100 >= 0.65) SELECT doc, id FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY confidence, id) AS k FROM b ANTI JOIN h USING (doc, id)) WHERE k <= 3")

@@ -1,6 +1,6 @@
 """The same logical tables as adapters.py, as DuckDB common table expressions for the oracle queries."""
 
-from stockloom.sources.adapters import GOODS, name_sql
+from stockloom.sources.adapters import GOODS, name_sql, token_sql
 
 NAMES = ", ".join(f"'{x}'" for x in GOODS)
 VIEWS = {
@@ -28,6 +28,7 @@ VIEWS = {
   barcodes AS (SELECT * EXCLUDE part FROM first_codes UNION ALL SELECT key, product, CAST(price + 1 AS DECIMAL(18,2)), weigh, store, updated + 10 * (part % 3) - 10 FROM first_codes WHERE part % 4 = 1),
   mapped AS (SELECT * FROM barcodes QUALIFY row_number() OVER (PARTITION BY key, store ORDER BY updated DESC, price DESC, product) = 1)""",
     "learned_rules": f"learned_rules AS (SELECT {name_sql(True)[0]} FROM part)",
+    "page_tokens": f"page_tokens AS (SELECT DISTINCT {token_sql(True)} FROM lineitem)",
     "asked_names": f"asked_names AS (SELECT {name_sql(True)[1]} FROM learned_rules)",
     "cards": """cards AS (SELECT o_orderkey AS id, c_mktsegment AS card, CAST(o_orderdate AS DATE) AS sale_date, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS lag,
   CAST(o_orderdate AS DATE) + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS deposit_date, CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS amount,

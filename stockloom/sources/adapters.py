@@ -145,6 +145,23 @@ def name_sql(duck: bool) -> tuple[str, str]:
     return rule, asked
 
 
+#: What a token of a page says: headers of a table, or numbers.
+SAYS = ("품명", "수량", "단 가", "금액", "공급가액", "이력번호(묶음)", "부위명", "등급", "비고", "규격", "합", "QTY")
+
+
+def token_sql(duck: bool) -> str:
+    """Select list over lineitem for the tokens of pages: every eighth order's lines share a page, whose header stands at two heights."""
+    k, n = "l_orderkey", "l_linenumber"
+    head = f"(l_partkey + {n}) % 12"
+    kind = f"{k} % 3 = 0"
+    return f"CAST(floor({k} / 8) AS BIGINT) AS doc, (({k} * 10 + {n}) * 100000 + l_partkey) * 10000 + l_suppkey AS id, CASE WHEN {kind} THEN {picked(SAYS, head, duck)} ELSE CAST(l_partkey AS STRING) END AS text, l_suppkey * 37 % 900 AS x, CASE WHEN {kind} THEN 40 + l_suppkey % 2 * 260 + l_partkey % 5 * 4 ELSE l_partkey * 7919 % 400 END AS y, CAST(l_quantity AS BIGINT) % 40 + 10 AS w, l_partkey % 30 + 5 AS h, 60 + l_partkey % 41 AS confidence"
+
+
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as a reader of pages gives them: doc, id, text, x, y, w, h, confidence."""
+    return read(spark, sf_dir, "lineitem").selectExpr(*split_list(token_sql(False))).distinct()
+
+
 def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned names: id, supplier (null: for all), source, target, category, storage, priority, confidence, success, day."""
     return read(spark, sf_dir, "part").selectExpr(*split_list(name_sql(False)[0]))

@@ -1,6 +1,7 @@
 """Golden values and edge cases of the operators."""
 
 import datetime
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -13,7 +14,9 @@ from stockloom.operators import delivery as V
 from stockloom.operators import documents as D
 from stockloom.operators import ledger as L
 from stockloom.operators import posting as P
+from stockloom.operators import resolution as E
 from stockloom.operators import stock as K
+from stockloom.operators.neighbours import similar_pairs
 from stockloom.sources import readers as R
 from stockloom.streaming import capture as C
 
@@ -103,10 +106,73 @@ def test_delivery_orders_post_whole_or_not_at_all(spark):
     one = spark.createDataFrame([("ord-1", 1, "000001", "000001", None, None), ("ord-1", 2, "000001", "000001", None, None), ("ord-2", 1, "000001", "000001", None, None), ("ord-3", 1, "zzz", "a/b", None, None)], "order_id string, line_no int, code string, barcode string, quantity decimal(18,3), amount decimal(18,2)")
     stock = spark.createDataFrame([(7, "own2", Decimal(2))], "store int, product string, available decimal(18,3)")
     o, lines = V.fulfilled(orders, one, mappings(spark), stock)
-    assert sorted((r.order_id, r.at, r.error) for r in o.collect()) == [("o", 5, "DELIVERY_ORDER_ID_REQUIRED"), ("ord-1", 1, None), ("ord-1", 2, "DUPLICATE_DELIVERY_ORDER"), ("ord-2", 3, "INSUFFICIENT_STOCK_LINE_1"), ("ord-3", 4, "DELIVERY_ORDER_AMOUNT_REQUIRED")]
+    assert sorted((r.order_id, r.at, r.error) for r in o.collect()) == [("o", 5, "DELIVERY_ORDER_ID_REQUIRED"), ("ord-1", 1, None), ("ord-1", 2, "DUPLICATE_DELIVERY_ORDER"), ("ord-2", 3, "INSUFFICIENT_STOCK_LINE_1_AVAILABLE_0.000"), ("ord-3", 4, "DELIVERY_ORDER_AMOUNT_REQUIRED")]
     assert sorted((r.order_id, r.line_no, r.amount) for r in lines.collect()) == [("ord-1", 1, 50.0), ("ord-1", 2, 50.0)]
 
 
+def test_a_refused_order_takes_nothing(spark):
+    rnd, orders, lines = random.Random(3), [], []
+    products = [f"p{k}" for k in range(5)]
+    maps = spark.createDataFrame([(f"00000{k}", p, Decimal(10), "MANUAL", None, 1) for k, p in enumerate(products)], "key string, product string, price decimal(18,2), weigh string, store int, updated int")
+    for o in range(300):
+        orders.append((1000 + o, o % 3, "COUPANG", Decimal(100), o // 2))
+        for line in range(1, rnd.randint(2, 4)):
+            lines.append((1000 + o, line, f"00000{rnd.randrange(5)}", "123456", Decimal(rnd.randint(1, 9)), Decimal(5)))
+    have = {(s, p): Decimal(rnd.choice([0, 40, 150, 5000])) for s in range(3) for p in products}
+    stock = spark.createDataFrame([(*k, v) for k, v in have.items()], "store int, product string, available decimal(18,3)")
+    left, want, posted = dict(have), {}, set()
+    for o, s, _, _, _ in sorted(orders, key=lambda x: (x[4], x[0])):
+        mine, error = {}, None
+        for _, n, code, _, q, _ in sorted(x for x in lines if x[0] == o):
+            at = (s, f"p{code[-1]}")
+            rest = left[at] - mine.get(at, 0)
+            if error is None and rest < q:
+                error = f"INSUFFICIENT_STOCK_LINE_{n}_AVAILABLE_{rest:.3f}"
+            mine[at] = mine.get(at, 0) + q
+        want[o] = error
+        if error is None:
+            posted |= {(x[0], x[1]) for x in lines if x[0] == o}
+            for at, q in mine.items():
+                left[at] -= q
+    o, done = V.fulfilled(spark.createDataFrame(orders, "order_id int, store int, channel string, amount decimal(18,2), at int"), spark.createDataFrame(lines, "order_id int, line_no int, code string, barcode string, quantity decimal(18,3), amount decimal(18,2)"), maps, stock)
+    assert {r.order_id: r.error for r in o.collect()} == want and {(r.order_id, r.line_no) for r in done.collect()} == posted
+    assert 20 < sum(e is None for e in want.values()) < 290
+
+
+def test_similar_pairs_lose_none(spark):
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("가나다ab") for _ in range(rnd.randint(1, 24))) for _ in range(40)]
+
+    def changed(w):
+        for _ in range(rnd.randint(0, 4)):
+            i = rnd.randrange(len(w) + 1)
+            w = rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("가나다ab") + w[i:], w[:i] + rnd.choice("가나다ab") + w[i + 1 :]]) or "x"
+        return w
+
+    a = spark.createDataFrame([(x,) for x in [changed(rnd.choice(base)) for _ in range(300)] + ["", None]], "a string")
+    b = spark.createDataFrame([(x,) for x in base + [changed(rnd.choice(base)) for _ in range(150)] + ["", None]], "b string")
+    for least in (E.least_similarity, lambda n: F.lit(0.7)):
+        both = a.distinct().crossJoin(b.distinct()).where("a <> '' AND b <> ''").withColumn("s", F.round(S.similarity(F.col("a"), F.col("b")), 9))
+        want = {(r.a, r.b, r.s) for r in both.where(F.col("s") >= least(F.least(F.length("a"), F.length("b")))).collect()}
+        assert {(r.a, r.b, round(r.similarity, 9)) for r in similar_pairs(a, b, least).collect()} == want and len(want) > 100
+
+
+def test_learned_names(spark):
+    rules = spark.createDataFrame([
+        (1, "A", "냉장 한돈 목살 구이용", "목살", "돼지고기", "냉장", 5, 90, 3, 1), (2, "A", "냉장 한돈 목살", "목심", "소고기", "냉장", 5, 90, 3, 1), (3, "A", "한우 등심", "등심", "소고기", "", 5, 90, 3, 1),
+        (4, None, "숙성 채끝 스테이크", "채끝", "소고기", "", 5, 90, 3, 1), (5, "B", "숙성 채끝 스테이커", "꽃등심", "소고기", "", 5, 90, 3, 1), (6, "A", "냉동 사태", "사태", "소고기", "냉동", 5, 90, 3, 1), (7, "A", "냉장 한돈 목살 구이", "목심", "소고기", "냉장", 5, 90, 3, 1),
+    ], "id int, supplier string, source string, target string, category string, storage string, priority int, confidence int, success int, day int")
+    names = spark.createDataFrame([
+        (1, "A", "한우 등심", None), (2, "A", "냉장 한돈 목살 구이용 농협", None), (3, "A", "냉동 사태 도드람", None), (4, "A", "냉동 사태 도드람", "돈육"), (5, "C", "숙성 채끝 스테이크", None), (6, "C", "숙성 채끝 스테이그", None),
+        (7, "B", "숙성 채끝 스테이거", None), (8, "A", "닭발", None), (9, "C", "냉장 한돈 목살", None), (10, None, None, None),
+    ], "id int, supplier string, name string, hint string")
+    got = {r.id: (r.target, r.by) for r in E.found_rules(names, rules).collect()}
+    assert got[1] == ("등심", "supplier_exact") and got[5] == ("채끝", "global_exact") and got[6] == ("채끝", "global_fuzzy") and got[8] == got[9] == got[10] == (None, None)
+    assert got[2] == (None, None)  # rules for other targets are one and three letters shorter: the nearer one competes
+    assert got[3] == ("사태", "supplier_prefix") and got[4] == (None, None)  # a rule of four letters counts unless the hint contradicts its category
+    assert got[7] == (None, None)  # the own rule and the one for all come equally near
+
+
 def test_rows_that_slipped_are_moved_back(spark):
     good = [(36.0, 5300.0, 190800.0), (5.8, 31000.0, 179800.0), (10.3, 7700.0, 79310.0), (105.1, 9300.0, 977430.0)]
     rows = [(1, i, f"n{i}", *x, f"L{j}", 90) for i, (j, x) in enumerate([(0, good[0]), (1, good[1]), (2, good[2]), (2, good[2]), (3, good[3])], 1)]
