@@ -9,6 +9,7 @@ from stockloom.operators import ledger as L
 from stockloom.operators import stock as S
 from stockloom.sources.adapters import goods, movements, read, sales
 from stockloom.streaming import capture as C
+from stockloom.streaming import timers as X
 
 from .registry import query
 
@@ -85,6 +86,24 @@ def stm_order_session(spark: SparkSession, d: str) -> DataFrame:
     return C.order_sessions(e, ["user_id"], 172800)
 
 
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type = 'purchase' THEN 'receipt' ELSE 'label' END AS kind FROM events),
+ g AS (SELECT *, sum(CASE WHEN kind = 'receipt' OR coalesce(ms - b > 172800000, true) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, lag(ms) OVER (PARTITION BY key ORDER BY ms, id) AS b FROM e)),
+ s AS (SELECT key, n, max(id) FILTER (kind = 'receipt') AS order_id, count(*) FILTER (kind = 'label') AS labels, max(ms) AS last, lead(min(ms)) OVER (PARTITION BY key ORDER BY n) AS next FROM g GROUP BY 1, 2)
+ SELECT key, order_id, labels, CASE WHEN coalesce(next - last > 172800000, true) THEN last + 172800000 ELSE next END AS closed_ms, CASE WHEN coalesce(next - last > 172800000, true) THEN 'IDLE' ELSE 'NEXT_RECEIPT' END AS "trigger" FROM s WHERE order_id IS NOT NULL""")
+def stm_order_close(spark: SparkSession, d: str) -> DataFrame:
+    """When and why each order closes; two days stand for the idle time."""
+    e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", "receipt").otherwise("label").alias("kind"))
+    return X.order_closings(e, 172_800_000)
+
+
+@query("""WITH b AS (SELECT DISTINCT CAST(user_id % 100 AS VARCHAR) AS key, epoch_us(ts) // 1000 AS ms FROM events), g AS (SELECT *, lag(ms) OVER (PARTITION BY key ORDER BY ms) AS p, lead(ms) OVER (PARTITION BY key ORDER BY ms) AS f FROM b)
+ SELECT key, ms AS at_ms, 'ONLINE' AS status FROM g WHERE coalesce(ms - p > 54000000, true) UNION ALL SELECT key, ms + 54000000, 'OFFLINE' FROM g WHERE coalesce(f - ms > 54000000, true)""")
+def stm_online_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Tills going offline and coming back; fifteen hours stand for as many minutes."""
+    b = read(spark, d, "events").select((F.col("user_id") % 100).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return X.silences(b, 54_000_000)
+
+
 @query("""WITH RECURSIVE e AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS code, epoch_us(ts) / 3600000000 AS seconds FROM events), f AS (SELECT code, min(seconds) AS seconds, arg_min(id, (seconds, id)) AS id FROM e GROUP BY 1),
  r AS (SELECT * FROM f UNION ALL SELECT e.code, min(e.seconds), arg_min(e.id, (e.seconds, e.id)) FROM r JOIN e ON e.code = r.code AND e.seconds - r.seconds >= 24 GROUP BY e.code) SELECT id, code, seconds FROM r""")
 def stm_debounce_2s(spark: SparkSession, d: str) -> DataFrame:

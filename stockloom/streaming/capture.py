@@ -98,7 +98,10 @@ def summary_stream(stream: DataFrame, ledger_of, keys: list[str], path: str, che
 
 
 def idle_buffers(events: DataFrame, key: str, gap: str, most: int) -> DataFrame:
-    """Bytes gathered until an idle gap: each buffer's start, number of parts and size, and whether it went over the cap; for batches and streams."""
+    """Bytes gathered until an idle gap: each buffer's start, number of parts and size, and whether it went over the cap.
+
+    For batches and streams alike: a stream gives each buffer once the watermark has passed its gap, and then forgets it.
+    """
     g = events.groupBy(key, F.session_window("at", gap).alias("w")).agg(F.count("*").alias("parts"), F.sum("size").alias("bytes"))
     return g.select(key, F.col("w.start").alias("start"), "parts", "bytes", (F.col("bytes") > most).alias("over"))
 
