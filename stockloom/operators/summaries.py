@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.scalars import js_round
+from stockloom.sources.sinks import written
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -84,21 +87,37 @@ def optional_alias(suppliers: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def word_candidates(lines: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
-    """The up to five products of each line with the best scores; only products that share a word with the line are compared.
+    """(line, product, score) of the up to `most` products that share words with a line, by common words in all their words in percent, then by product: exactly those of a comparison of all pairs.
 
-    Words that one in a hundred of the products or more have don't make candidates, unless they are all that a line has: a word's
-    products are bounded, and a line always meets those of its rarest word.
+    Equal texts are one, and a name stands for its `most` least products. A line's words are asked in rounds, the one that the
+    fewest names have first. A name that none of the first r words has found shares at most the others with the line, so a line is done
+    once `most` products score above what that allows; frequent words are asked only by lines that need them.
     """
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    p = products.select("product", F.explode(words("name")).alias("word"), F.size(words("name")).alias("np"))
-    df = p.groupBy("word").agg(F.count("*").alias("df"))
-    l = lines.select("line", F.explode(words("text")).alias("word"), F.size(words("text")).alias("nl")).join(df, "word")
-    rare = l.withColumn("k", F.row_number().over(Window.partitionBy("line").orderBy("df", "word"))).where("k <= 2")
-    pairs = rare.select("line", "word").join(p.select("word", "product"), "word").select("line", "product").distinct()
-    both = pairs.join(lines.select("line", words("text").alias("a")), "line").join(products.select("product", words("name").alias("b")), "product")
-    common = F.size(F.array_intersect("a", "b"))
-    scored = both.select("line", "product", js_round(100 * common / (F.size("a") + F.size("b") - common)).cast("long").alias("score"))
-    return best_rows(scored, ["line"], [F.desc("score"), F.asc("product")], most)
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")))
+    asked = lines.select("line", words("text").alias("a"))
+    named = products.select("product", words("name").alias("b")).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("product"))).where(F.col("k") <= most)
+    names = written(named.groupBy("b").agg(F.array_sort(F.collect_list("product")).alias("products")))
+    index = names.select("b", "products", F.explode("b").alias("word"))
+    df = index.groupBy("word").agg(F.count("*").alias("df"))
+    told = asked.select("a").distinct().select("a", F.explode("a").alias("word")).join(df, "word")
+    open_ = written(told.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("rare")).withColumn("best", F.array().cast("array<struct<score:bigint,product:bigint>>")))
+    done, turn = [], 0
+    while True:
+        common = F.size(F.array_intersect("a", "b"))
+        new = open_.select("a", F.get("rare", F.lit(turn)).alias("word"), F.slice("rare", 1, turn).alias("before")).join(index, "word").where(~F.arrays_overlap("before", "b"))  # not found before
+        new = new.select("a", percent(common, F.size("a") + F.size("b") - common).alias("score"), F.explode("products").alias("product")).select("a", F.struct((-F.col("score")).alias("score"), F.col("product").cast("long").alias("product")).alias("x"))
+        first = best_rows(new, ["a"], [F.asc("x")], most).groupBy("a").agg(F.collect_list("x").alias("new"))
+        x = open_.join(first, "a", "left")
+        best = F.slice(F.array_sort(F.concat("best", F.coalesce("new", F.array().cast("array<struct<score:bigint,product:bigint>>")))), 1, most)
+        left = F.size("rare") - (turn + 1)
+        x = x.select("a", "rare", best.alias("best")).withColumn("over", (left <= 0) | F.coalesce(-F.get("best", F.lit(most - 1))["score"] > percent(left, F.size("a")), F.lit(False)))
+        x = written(x)
+        done.append(x.where("over").select("a", "best"))
+        open_, turn = x.where("NOT over").drop("over"), turn + 1
+        if not open_.limit(1).count():
+            break
+    found = reduce(DataFrame.unionByName, done)
+    return asked.join(found, "a").select("line", F.explode("best").alias("x")).select("line", F.col("x.product").alias("product"), (-F.col("x.score")).alias("score"))
 
 
 def header_columns(tokens: DataFrame, labels: tuple[tuple[str, str], ...]) -> DataFrame:

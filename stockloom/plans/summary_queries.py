@@ -9,7 +9,7 @@ from stockloom.operators import ledger as L
 from stockloom.operators import posting as P
 from stockloom.operators import stock as S
 from stockloom.operators import summaries as M
-from stockloom.sources.adapters import PIECES, barcodes, cards, goods, invoice_lines, invoices, movements, picked, read, sales
+from stockloom.sources.adapters import PIECES, asked_names, barcodes, cards, goods, invoice_lines, invoices, learned_rules, movements, picked, read, sales
 
 from .registry import query
 
@@ -175,14 +175,11 @@ def jn_map_lookup(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.coalesce("product", F.lit("-")).alias("product"), F.coalesce("n_name", F.lit("-")).alias("shop"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS product, list_distinct(string_split(lower(p_name || ' k' || p_partkey % 50), ' ')) AS b FROM part), l AS (SELECT p_partkey AS line, list_distinct(string_split(lower(p_name || ' k' || (p_partkey + 1) % 50), ' ')) AS a FROM part),
- w AS (SELECT product, unnest(b) AS word FROM p), df AS (SELECT word, count(*) AS df FROM w GROUP BY 1), r AS (SELECT line, word, row_number() OVER (PARTITION BY line ORDER BY df, word) AS k FROM (SELECT line, unnest(a) AS word FROM l) JOIN df USING (word)),
- c AS (SELECT DISTINCT line, product FROM r JOIN w USING (word) WHERE k <= 2), s AS (SELECT line, product, CAST(floor(100 * len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) + 0.5) AS BIGINT) AS score FROM c JOIN l USING (line) JOIN p USING (product))
- SELECT line, product, score FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, product) AS k FROM s) WHERE k <= 5""")
+@query("""WITH p AS (SELECT id AS product, list_distinct(list_filter(string_split(lower(source), ' '), lambda w: w <> '')) AS b FROM learned_rules), l AS (SELECT id AS line, list_distinct(list_filter(string_split(lower(name), ' '), lambda w: w <> '')) AS a FROM asked_names),
+ s AS (SELECT line, product, len(list_intersect(a, b)) AS c, len(a) + len(b) AS n FROM l, p WHERE list_has_any(a, b))
+ SELECT line, product, CAST(floor(100 * c / (n - c) + 0.5) AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, product) <= 5""")
 def jn_product_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p, k = read(spark, d, "part"), F.col("p_partkey")
-    text = lambda n: F.concat("p_name", F.lit(" k"), n % 50)
-    return M.word_candidates(p.select(k.alias("line"), text(k + 1).alias("text")), p.select(k.alias("product"), text(k).alias("name")))
+    return M.word_candidates(asked_names(spark, d).select(F.col("id").alias("line"), F.col("name").alias("text")), learned_rules(spark, d).select(F.col("id").alias("product"), F.col("source").alias("name")))
 
 
 LABELS = (("name", "red"), ("price", "blue"), ("amount", "green"))
