@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .scalars import SCALE_LABEL, compact, ean13_valid, js_round
+from .scalars import SCALE_LABEL, compact, ean13_valid, js_round, let
 
 #: The company of a card by the words of its name, in order.
 CARD_COMPANIES = (("신한", "신한"), ("삼성", "삼성"), ("(?i)KB|국민", "KB국민"), ("현대", "현대"), ("롯데", "롯데"), ("(?i)BC|비씨", "BC"), ("하나", "하나"), ("우리", "우리"), ("(?i)NH|농협", "NH농협"))
@@ -15,6 +17,9 @@ CARD_COMPANIES = (("신한", "신한"), ("삼성", "삼성"), ("(?i)KB|국민",
 EXEMPT = r"(?i)(?:^|[\s\[(])(면세|부가세\s*없음)(?:[\s:：)\]]|$)"
 TAXABLE = r"(?i)(?:^|[\s\[(])(과세|부가세\s*별도|VAT)(?:[\s:：)\]]|$)"
 MADE = "(?i)(양념|소스|첨가|조미|제조|혼합육|떡갈비|햄|소시지)"
+#: The words that show that a number near them traces goods, a trace number's forms and its shape without signs.
+TRACE_WORDS = "(?i)(?:이력번호|개체식별번호|수입이력번호|수입축산물|묶음번호|trace|lot)"
+NEAR = 28
 #: A trace number: twelve to fifteen digits, with L before domestic ones, or a lot of letters and digits.
 TRACE = r"(?:L\s*)?[0-9](?:[\s-]*[0-9]){11,14}"
 LOT = r"[A-Z]{1,4}[\s-]*[0-9](?:[A-Z0-9\s-]*[0-9]){8,18}"
@@ -81,6 +86,64 @@ def trace_numbers(text: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k.rlike(TRACE_SHAPE) & ~dated(k)))
 
 
+def matches_at(text: Column, pattern: str) -> Column:
+    """The pattern's matches (offset from 0, raw) in order."""
+
+    def placed(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,raw:string>>").alias("out"))
+
+        def step(a: Column, p: Column) -> Column:
+            at = a["at"] + F.length(p["gap"])
+            return F.struct((at + F.length(p["raw"])).alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("offset"), p["raw"].alias("raw")))).alias("out"))
+
+        return F.aggregate(parts, start, step, lambda a: a["out"])
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda m: placed(F.zip_with(m, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap")))))
+
+
+def trace_matches(text: Column) -> Column:
+    """The trace numbers of a text, the surest first: (key, kind, confidence, near, offset).
+
+    A number of the right shape has 70, words within NEAR characters that speak of tracing add 20, L with digits 8, a leading
+    letter 2. Days and business numbers aren't any. Numbers told more than once stand where the surest does, with the values of the least sure.
+    """
+
+    def one(t: Column) -> Callable[[Column], Column]:
+        def of(m: Column) -> Column:
+            key = trace_key(m["raw"])
+            around = F.substring(t, F.greatest(F.lit(0), m["offset"] - NEAR) + 1, F.length(m["raw"]) + NEAR + F.least(F.lit(NEAR), m["offset"]))
+            near, domestic, lettered = around.rlike(TRACE_WORDS), key.rlike("^L[0-9]{12,15}$"), key.rlike("^[A-Z]")
+            sure = F.lit(70) + near.cast("int") * 20 + domestic.cast("int") * 8 + lettered.cast("int") * 2
+            kind = F.when(key.rlike("^L[0-9]"), "DOMESTIC_LIVESTOCK").when(lettered, "IMPORT_OR_LOT").otherwise("NUMERIC_TRACE")
+            return F.struct((-F.least(F.lit(100), sure)).alias("rank"), m["offset"].alias("offset"), key.alias("key"), kind.alias("kind"), near.alias("near"))
+
+        return of
+
+    def best(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda r: r["key"]))
+        last = lambda k: F.element_at(F.filter(rows, lambda r: r["key"] == k), -1)
+        return F.transform(keys, lambda k: let(last(k), lambda r: F.struct(r["key"].alias("key"), r["kind"].alias("kind"), (-r["rank"]).alias("confidence"), r["near"].alias("near"), r["offset"].alias("offset"))))
+
+    def of_text(t: Column) -> Column:
+        found = F.transform(F.concat(matches_at(t, "(?i)" + TRACE), matches_at(t, "(?i)" + LOT)), one(t))
+        return let(F.array_sort(F.filter(found, lambda r: r["key"].rlike(TRACE_SHAPE) & ~dated(r["key"]))), best)
+
+    return let(text, of_text)
+
+
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC)."""
+    return texts.str.normalize("NFKC")
+
+
+def normalised(text: Column) -> Column:
+    """A text in compatibility composition, white space as single blanks, none at the ends; null as empty. Texts of ASCII alone don't go through Python."""
+    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.trim(F.regexp_replace(F.coalesce(composed(odd), text, F.lit("")), r"[\s\u00A0\u3000\u2000-\u200A\u202F\u205F\u1680\uFEFF\u2028\u2029]+", " "))
+
+
 def trace_candidates(cell: Column, domestic: Column) -> Column:
     """The trace numbers that a table cell may mean; 14 digits of domestic goods also with L before them."""
     found = trace_numbers(cell)

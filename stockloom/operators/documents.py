@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from stockloom.functions.names import fingerprint
 from stockloom.functions.scalars import clamp, js_round
-from stockloom.functions.texts import business_no, dated, iso_date, trace_key
+from stockloom.functions.texts import TRACE_SHAPE, business_no, dated, iso_date, trace_key
 
 NUMBERS = ("quantity", "price", "amount")
 #: The fields that each line needs, those whose numbers are critical, and those that may be derived.
 REQUIRED = ("species", "part", "productName", "grade", "condition", "unit", "quantity", "unitPrice", "supplyAmount", "taxAmount", "totalAmount", "traceOrImportNo")
 CRITICAL = ("quantity", "unitPrice", "supplyAmount", "taxAmount", "totalAmount", "traceOrImportNo")
 DERIVABLE = ("supplyAmount", "taxAmount", "totalAmount")
-TRACE = "^(?:L[0-9]{12,15}|[0-9]{12,15}|[A-Z]{1,4}[A-Z0-9]{9,22})$"
 #: What stands in a product's cell if the columns have slipped.
 HEADER = r"(?:^|\s)(?:원산지|수량|중량|단가|공급가액|합계금액|이력번호|거래일자|사업자번호|연락처)(?=\s|$|\()"
 NUMERIC = r"^[\s\d,.+\-/원박스BOXkgKG]+$"
@@ -86,7 +85,7 @@ def line_evidence(fields: DataFrame) -> DataFrame:
     supply = (value["quantity"] > 0) & (value["unitPrice"] > 0) & (F.abs(value["quantity"] * value["unitPrice"] - value["supplyAmount"]) <= 1)
     total = (value["supplyAmount"] >= 0) & (value["taxAmount"] >= 0) & (F.abs(value["supplyAmount"] + value["taxAmount"] - value["totalAmount"]) <= 1)
     trace = trace_key(of("traceOrImportNo", "value"))
-    sums = codes(("QUANTITY_UNIT_PRICE_SUPPLY_MISMATCH", ~supply), ("SUPPLY_TAX_TOTAL_MISMATCH", ~total), ("TRACE_OR_IMPORT_NO_FORMAT", (trace != "") & (~trace.rlike(TRACE) | dated(trace))))
+    sums = codes(("QUANTITY_UNIT_PRICE_SUPPLY_MISMATCH", ~supply), ("SUPPLY_TAX_TOTAL_MISMATCH", ~total), ("TRACE_OR_IMPORT_NO_FORMAT", (trace != "") & (~trace.rlike(TRACE_SHAPE) | dated(trace))))
     each = F.array_sort(F.flatten(F.collect_list(F.transform(own, lambda c: F.concat(c, F.lit(":"), "field")))))
     out = f.groupBy("doc", "row").agg(F.concat(each, sums, shaky).alias("issues"), F.count_if(F.col("proven")).alias("proven"), *(v.alias(n) for n, v in value.items() if n in DERIVABLE))
     return out.withColumn("posting", (F.size("issues") == 0) & (F.col("proven") == len(REQUIRED)))
@@ -187,7 +186,7 @@ def vision_route(complete: Column, arithmetic: Column, exact: Column, trace: Col
 def signals(checked: DataFrame, heads: DataFrame, lines: DataFrame, known: Column) -> DataFrame:
     """What the route of a document depends on: completeness, arithmetic, trace numbers and the percentage of known products."""
     key = trace_key(F.coalesce("trace", F.lit("")))
-    good = key.rlike(TRACE) & ~dated(key)
+    good = key.rlike(TRACE_SHAPE) & ~dated(key)
     s = lines.groupBy("doc").agg(F.count_if(key != "").alias("traces"), F.count_if((key != "") & ~good).alias("bad"), F.count_if(known).alias("known"))
     d = checked.join(heads.select("doc", "supplier", "invoice_date", "total"), "doc").join(s, "doc", "left").fillna(0, ["traces", "bad", "known"])
     complete = F.col("supplier").isNotNull() & F.col("invoice_date").isNotNull() & F.coalesce(F.col("total") > 0, F.lit(False)) & (F.col("lines") > 0)

@@ -47,16 +47,19 @@ def demand_stats(series: DataFrame, keys: list[str], day: str) -> DataFrame:
 def safety_stock(d: DataFrame, policy: str) -> DataFrame:
     """Order quantities from demand, deviation, days, confidence, on_hand, waste, pack, moq, stock_confidence and lead_samples.
 
-    REDUCE overrides ORDER and HOLD, REVIEW overrides all; the least order quantity isn't rounded to packs again.
+    Where there are a yield_rate and yield_sure, the need is divided by the rate; else all is sold as it comes. REDUCE overrides ORDER
+    and HOLD, REVIEW overrides all; the least order quantity isn't rounded to packs again.
     """
+    if "yield_rate" not in d.columns:
+        d = d.withColumns({"yield_rate": F.lit(1.0), "yield_sure": F.lit(0.8)})
     level, review, lead, shelf, risk = POLICIES[policy]
     z = z_score(F.lit(level))
     d = d.withColumn("safety", z * F.col("deviation") * F.sqrt(F.lit(lead)) * risk)
     cap = F.when(F.col("demand") > 0, F.col("demand") * shelf * 0.9).otherwise(F.lit(float("inf")))
     d = d.withColumn("cap", cap).withColumn("target", F.greatest(F.lit(0.0), F.least(F.col("demand") * (lead + review) + F.col("safety"), "cap")))
     d = d.withColumn("available", F.greatest(F.lit(0.0), F.col("on_hand") - F.col("waste"))).withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("available")))
-    order = F.when(F.col("need") <= 0, 0.0).otherwise(F.greatest(F.col("moq"), F.ceil(F.col("need") / F.col("pack")) * F.col("pack")))
-    sure = clamp(F.col("confidence") * 0.35 + F.col("stock_confidence") * 0.30 + F.least(F.lit(1.0), F.col("lead_samples") / 20) * 0.20 + 0.8 * 0.15, 0.0, 0.98)
+    order = F.when(F.col("need") <= 0, 0.0).otherwise(F.greatest(F.col("moq"), F.ceil(F.col("need") / clamp(F.col("yield_rate"), 0.05, 1.0) / F.col("pack")) * F.col("pack")))
+    sure = clamp(F.col("confidence") * 0.35 + F.col("stock_confidence") * 0.30 + F.least(F.lit(1.0), F.col("lead_samples") / 20) * 0.20 + F.col("yield_sure") * 0.15, 0.0, 0.98)
     d = d.withColumn("recommended", order.cast("double")).withColumn("sure", sure)
     blocked = (F.col("cap") < float("inf")) & (F.col("available") >= F.col("cap"))
     action = F.when((F.col("sure") < 0.55) | (F.col("days") < 7), "REVIEW").when((F.col("waste") > 0) | blocked, "REDUCE").when(F.col("recommended") > 0, "ORDER").otherwise("HOLD")
@@ -64,6 +67,28 @@ def safety_stock(d: DataFrame, policy: str) -> DataFrame:
     return d.withColumn("reorder_point", point).withColumn("target", F.round("target", 3)).withColumn("recommended", F.round("recommended", 3)).withColumn("action", action)
 
 
+def reason_codes(days: Column, stock_confidence: Column, waste: Column, yield_rate: Column, yield_sure: Column) -> Column:
+    """Why a proposal may be trusted or not: history, stock, expiry, yield."""
+    return F.array(
+        F.when(days < 56, "DEMAND_HISTORY_SHORT").otherwise("DEMAND_HISTORY_OK"), F.when(stock_confidence < 0.95, "INVENTORY_CHECK_REQUIRED").otherwise("INVENTORY_TRUSTED"),
+        F.when(waste > 0, "EXPIRY_RISK").otherwise("EXPIRY_CLEAR"), F.when((yield_rate < 1) & (yield_sure < 0.75), "YIELD_LEARNING").otherwise("YIELD_READY"),
+    )
+
+
+def fresh_proposals(on_hand: DataFrame, sold: DataFrame, yields: DataFrame, day: str, policy: str) -> DataFrame:
+    """Replenishment of products that have stock (product, on_hand, waste) or were sold (product, sale_date, amount) in 56 days: what to do, how much, how surely and why.
+
+    yields: product, rate, confidence. place is the action's place in the list: orders, reductions, reviews, the rest.
+    """
+    stats = demand_stats(demand_series(sold, ["product"], day), ["product"], day)
+    x = on_hand.join(stats, "product", "full").where("on_hand > 0 OR days IS NOT NULL").join(yields.select("product", "rate", F.col("confidence").alias("known")), "product", "left")
+    x = x.fillna({"on_hand": 0.0, "waste": 0.0, "demand": 0.0, "deviation": 0.0, "days": 0, "confidence": 0.25})
+    given = {"pack": F.lit(1.0), "moq": F.lit(0.0), "stock_confidence": F.lit(0.7), "lead_samples": F.lit(0), "yield_rate": F.coalesce("rate", F.lit(1.0)), "yield_sure": F.coalesce("known", F.lit(0.4))}
+    p = safety_stock(x.withColumns(given), policy)
+    reasons = F.array_join(reason_codes(F.col("days"), F.col("stock_confidence"), F.col("waste"), F.col("yield_rate"), F.col("yield_sure")), ",")
+    return p.withColumn("sure", F.round("sure", 2)).withColumn("reasons", reasons).withColumn("place", action_rank(F.col("action")))
+
+
 def yield_profile(observed: DataFrame, keys: list[str], prior: str) -> DataFrame:
     """Posterior yield of valid observations (input, output, byproduct, loss): those whose masses balance within a tenth."""
     rate, low, high, kg = YIELDS[prior]
@@ -117,9 +142,13 @@ def page_summary(pages: DataFrame, doc: str) -> DataFrame:
     return s.join(mode, doc, "left").select(doc, "pages", "actual", "displayed_sum", F.coalesce("repeated", F.lit(0)).cast("double").alias("repeated"))
 
 
-def sanitation_score(ratings: Column) -> Column:
+def sanitation_points(rating: Column) -> Column:
     """10, 5 or 1 points for the ratings 1, 2 and 3; nothing for others."""
-    return F.aggregate(ratings, F.lit(0), lambda a, r: a + F.when(r == 1, 10).when(r == 2, 5).when(r == 3, 1).otherwise(0))
+    return F.when(rating == 1, 10).when(rating == 2, 5).when(rating == 3, 1).otherwise(0)
+
+
+def sanitation_score(ratings: Column) -> Column:
+    return F.aggregate(ratings, F.lit(0), lambda a, r: a + sanitation_points(r))
 
 
 def temperature_issues(fridge: Column, freezer: Column) -> Column:

@@ -235,27 +235,32 @@ def doc_mobile_limits(spark: SparkSession, d: str) -> DataFrame:
     return l.select("doc", "row", Y.line_messages(F.col("quantity"), F.col("price"), F.col("amount"), F.col("trace"), F.col("quantity") * 3000, F.col("price") * 200).alias("messages"))
 
 
-FRESH = """m AS (SELECT product AS p, CAST(sum(CASE WHEN kind = 'OUT' THEN -qty ELSE qty END) AS DOUBLE) AS on_hand, CAST(coalesce(sum(qty) FILTER (kind = 'IN' AND expiry <= DATE '1998-09-05'), 0) AS DOUBLE) AS waste FROM movements WHERE is_active GROUP BY 1)"""
+FRESH = """m AS (SELECT product, CAST(sum(CASE WHEN kind = 'OUT' THEN -qty ELSE qty END) AS DOUBLE) AS on_hand, CAST(coalesce(sum(qty) FILTER (kind = 'IN' AND expiry <= DATE '1998-09-05'), 0) AS DOUBLE) AS waste FROM movements WHERE is_active GROUP BY 1),
+ dd AS (SELECT CAST(unnest(range(DATE '1998-09-02' - 55, DATE '1998-09-02' + 1, INTERVAL 1 DAY)) AS DATE) AS day), so AS (SELECT product, day, CAST(sum(qty) AS DOUBLE) AS s FROM movements WHERE is_active AND kind = 'OUT' AND day BETWEEN DATE '1998-09-02' - 55 AND DATE '1998-09-02' GROUP BY 1, 2),
+ st AS (SELECT product, round(avg(sold) FILTER (day > DATE '1998-09-02' - 7) * 0.65 + avg(sold) * 0.35, 3) AS demand, round(stddev_samp(sold), 3) AS deviation, count(*) AS days, round(least(0.95, 0.25 + count(*) / 56), 2)::DOUBLE AS confidence FROM (SELECT c.product, dd.day, coalesce(s, 0) AS sold FROM (SELECT DISTINCT product FROM so) c CROSS JOIN dd LEFT JOIN so ON so.product = c.product AND so.day = dd.day) GROUP BY 1),
+ yp AS (SELECT p_name AS product, greatest(0.78, least(0.96, (0.88 * 50 + sum(o) FILTER (ok)) / (50 + sum(i) FILTER (ok)))) AS r, count(*) FILTER (ok) AS n, sum(i) FILTER (ok) AS i FROM (SELECT p_name, p_size::DOUBLE AS i, p_size * 0.9::DOUBLE AS o, abs(p_size::DOUBLE - p_size * 0.9::DOUBLE - 0.5::DOUBLE) / p_size <= 0.1 AS ok FROM part WHERE p_size > 25) GROUP BY 1),
+ x AS (SELECT coalesce(m.product, st.product) AS product, coalesce(on_hand, 0) AS on_hand, coalesce(waste, 0) AS waste, coalesce(demand, 0) AS demand, coalesce(deviation, 0) AS deviation, coalesce(days, 0) AS days, coalesce(confidence, 0.25) AS confidence, CASE WHEN n IS NULL THEN 1 ELSE round(r, 4)::DOUBLE END AS rate, CASE WHEN n IS NULL THEN 0.4 ELSE round(greatest(0.25, least(0.98, 0.25 + n / 40 + i / 500)), 2)::DOUBLE END AS known
+  FROM m FULL JOIN st ON st.product = m.product LEFT JOIN yp ON yp.product = coalesce(m.product, st.product) WHERE on_hand > 0 OR days IS NOT NULL),
+ c AS (SELECT *, 1.28 * deviation AS safety, CASE WHEN demand > 0 THEN demand * 5 * 0.9 ELSE 'inf'::DOUBLE END AS cap, greatest(0, on_hand - waste) AS available FROM x), t AS (SELECT *, greatest(0, least(demand * 2 + safety, cap)) AS target FROM c),
+ o AS (SELECT *, CASE WHEN target - available <= 0 THEN 0 ELSE ceil((target - available) / rate) END AS order_, least(0.98, confidence * 0.35 + 0.7 * 0.30 + known * 0.15) AS sure FROM t),
+ f AS (SELECT product, on_hand, waste, available, round(safety + demand, 3) AS reorder_point, round(target, 3) AS target, round(order_, 3)::DOUBLE AS recommended, round(sure, 2)::DOUBLE AS sure, CASE WHEN sure < 0.55 OR days < 7 THEN 'REVIEW' WHEN waste > 0 OR available >= cap THEN 'REDUCE' WHEN order_ > 0 THEN 'ORDER' ELSE 'HOLD' END AS action,
+  concat_ws(',', CASE WHEN days < 56 THEN 'DEMAND_HISTORY_SHORT' ELSE 'DEMAND_HISTORY_OK' END, 'INVENTORY_CHECK_REQUIRED', CASE WHEN waste > 0 THEN 'EXPIRY_RISK' ELSE 'EXPIRY_CLEAR' END, CASE WHEN rate < 1 AND known < 0.75 THEN 'YIELD_LEARNING' ELSE 'YIELD_READY' END) AS reasons FROM o)"""
 
 
 def fresh(spark: SparkSession, d: str) -> DataFrame:
-    """Products with stock, what of it expires, and 56 days of demand, as replenishment proposals. Stock: the movements', demand: their active issues."""
+    """Products with stock, what of it expires, 56 days of demand and learned yields, as replenishment proposals. Stock: the movements', demand: their active issues; yields: of parts, the larger ones observed."""
     m = movements(spark, d).where("is_active")
     on_hand = m.groupBy("product").agg(F.sum(F.when(F.col("kind") == "OUT", -F.col("qty")).otherwise(F.col("qty"))).cast("double").alias("on_hand"), F.coalesce(F.sum(F.when((F.col("kind") == "IN") & (F.col("expiry") <= F.lit("1998-09-05").cast("date")), F.col("qty"))), F.lit(0)).cast("double").alias("waste"))
-    day = "1998-09-02"
     sold = m.where("kind = 'OUT'").select("product", F.col("day").alias("sale_date"), F.col("qty").alias("amount"))
-    stats = S.demand_stats(S.demand_series(sold, ["product"], day), ["product"], day)
-    x = on_hand.join(stats, "product", "left").fillna({"demand": 0.0, "deviation": 0.0, "days": 0, "confidence": 0.25})
-    given = {"pack": F.lit(1.0), "moq": F.lit(0.0), "stock_confidence": F.lit(0.7), "lead_samples": F.lit(0)}
-    return S.safety_stock(x.withColumns(given), "F1_CORE_FRESH")
+    seen = read(spark, d, "part").where("p_size > 25").select(F.col("p_name").alias("product"), F.col("p_size").cast("double").alias("input"), (F.col("p_size") * 0.9).alias("output"), F.lit(0.0).alias("byproduct"), F.lit(0.5).alias("loss"))
+    return S.fresh_proposals(on_hand, sold, S.yield_profile(seen, ["product"], "TRIM_STANDARD"), "1998-09-02", "F1_CORE_FRESH")
 
 
-@query(f"WITH {FRESH} SELECT p AS product, on_hand, waste, greatest(0, on_hand - waste) AS available FROM m")
+@query(f"WITH {FRESH} SELECT *, CASE action WHEN 'ORDER' THEN 0 WHEN 'REDUCE' THEN 1 WHEN 'REVIEW' THEN 2 ELSE 3 END AS place FROM f")
 def an_fresh_stock(spark: SparkSession, d: str) -> DataFrame:
-    return fresh(spark, d).select("product", "on_hand", "waste", "available")
+    return fresh(spark, d).select("product", "on_hand", "waste", "available", "reorder_point", "target", "recommended", "sure", "action", "reasons", "place")
 
 
-@query(f"WITH {FRESH} SELECT count(*) AS products, count(*) FILTER (waste > 0) AS expiring FROM m")
+@query(f"WITH {FRESH} SELECT action, count(*) AS n, round(sum(recommended), 3)::DOUBLE AS kilograms, count(*) FILTER (waste > 0) AS expiring FROM f GROUP BY 1")
 def an_fresh_kpi(spark: SparkSession, d: str) -> DataFrame:
-    k = Y.action_counts(fresh(spark, d))
-    return k.agg(F.sum("n").alias("products"), F.sum("expiring").alias("expiring"))
+    return Y.action_counts(fresh(spark, d))

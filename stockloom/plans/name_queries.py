@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from stockloom.functions import names as N
 from stockloom.functions import texts as T
 from stockloom.functions.scalars import similarity
 from stockloom.operators import resolution as R
-from stockloom.sources.adapters import cards, goods, read, sales
+from stockloom.sources.adapters import cards, goods, picked, read, sales
 
 from .registry import query
 
@@ -46,9 +49,15 @@ STORE = "CASE WHEN contains(n, '냉동') THEN '냉동' WHEN contains(n, '냉장'
 READ = f"named AS (SELECT id, name, supplier, unit, price, size, {sql_canonical('name')} AS n, {sql_print('name')} AS f FROM goods), told AS (SELECT *, {CUT} AS rule, {SKIN} AS skin, {STORE} AS storage FROM named)"
 
 
-@query(f"SELECT id, {sql_clean('name')} AS name FROM goods")
+#: Half-width letters, a ligature, a letter with its accent apart, signs that stand for words, blanks of other widths, and plain text.
+ODD = ("ﾡﾤ 목살", "ﬁne  cut", "Cafe\u0301 등심", "㎏ ①번", "삼겹살\u3000２００ｇ", "ﾊﾟｰｸ", "plain  ascii ", "각\u00a0목")
+PLAIN = tuple(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x)).strip() for x in ODD)
+
+
+@query(f"SELECT p_partkey AS id, {picked(PLAIN, 'p_partkey % 8', True)} || ' ' || p_name AS name FROM part")
 def str_clean(spark: SparkSession, d: str) -> DataFrame:
-    return goods(spark, d).select("id", N.clean(F.col("name")).alias("name"))
+    text = F.concat(F.get(F.array(*map(F.lit, ODD)), (F.col("p_partkey") % 8).cast("int")), F.lit("\u3000"), "p_name", F.lit(" "))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), T.normalised(text).alias("name"))
 
 
 @query(f"SELECT id, {sql_print('name')} AS k FROM goods")
@@ -185,11 +194,22 @@ def traced(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), line.alias("line"))
 
 
-@query(f"SELECT id, CASE id % 4 WHEN 0 THEN 'L12' || k WHEN 1 THEN k || '28' WHEN 2 THEN '' ELSE 'US202607' || k END AS traces FROM ({TRACED})")
+#: Lines with a domestic number near and far from what it is called, a lot, a number told twice, and what is none. Each stands for itself and once more behind a filling of 30 letters.
+TRACE_LINES = (
+    "CASE p_partkey % 6 WHEN 0 THEN '이력번호 : L12-' || {k} WHEN 1 THEN '수입 ' || {k} || '28 / x' WHEN 2 THEN '등록 2024-01-02, 사업자 123-45-67890' WHEN 3 THEN 'lot us-202607 ' || {k} WHEN 4 THEN '묶음번호 없음' || repeat('가', 30) || 'L12 ' || {k} ELSE {k} || '77' || repeat(' 나', 20) || ' 이력번호 ' || {k} || '99, L34' || {k} END"
+)
+PAD = "lpad(CAST(p_partkey % 1000000 AS STRING), 11, '7')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, {TRACE_LINES.format(k=PAD)} AS line FROM part), m AS (SELECT id, line, unnest(regexp_extract_all(line, '(?i){T.TRACE}') || regexp_extract_all(line, '(?i){T.LOT}')) AS raw FROM t),
+ o AS (SELECT id, raw, instr(line, raw) - 1 AS pos, regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g') AS key, line FROM m), c AS (SELECT *, regexp_matches(substr(line, greatest(0, pos - 28) + 1, length(raw) + 28 + least(28, pos)), '{T.TRACE_WORDS}') AS near FROM o WHERE regexp_matches(regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g'), '{T.TRACE_SHAPE}')),
+ s AS (SELECT id, key, pos, near, 70 + CASE WHEN near THEN 20 ELSE 0 END + CASE WHEN regexp_matches(key, '^L[0-9]{{12,15}}$') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(key, '^[A-Z]') THEN 2 ELSE 0 END AS sure FROM c WHERE NOT regexp_matches(regexp_replace(key, '[^0-9]', '', 'g'), '^(19|20)[0-9]{{6}}$|^[0-9]{{10}}$')),
+ d AS (SELECT id, key, min((-sure, pos)) AS place, max((-sure, pos)) AS told FROM s GROUP BY 1, 2)
+ SELECT t.id, coalesce(string_agg(key || ':' || CAST(-told[1] AS VARCHAR) || '@' || CAST(told[2] AS VARCHAR), ',' ORDER BY place), '') AS traces FROM t LEFT JOIN d ON d.id = t.id GROUP BY 1""")
 def str_trace_extract(spark: SparkSession, d: str) -> DataFrame:
-    found = T.trace_numbers(F.col("line"))
-    wanted = F.when(F.col("id") % 4 == 3, F.filter(found, lambda x: x.startswith("US"))).otherwise(found)
-    return traced(spark, d).select("id", F.array_join(wanted, ",").alias("traces"))
+    lines = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(TRACE_LINES.format(k=PAD)).alias("line"))
+    told = F.transform(T.trace_matches(F.col("line")), lambda r: F.concat(r["key"], F.lit(":"), r["confidence"].cast("string"), F.lit("@"), r["offset"].cast("string")))
+    return lines.select("id", F.array_join(told, ",").alias("traces"))
 
 
 @query(f"SELECT id, '999' || k || CASE WHEN id % 2 = 0 THEN ',L999' || k ELSE '' END AS candidates FROM ({TRACED})")

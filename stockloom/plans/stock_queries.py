@@ -70,8 +70,8 @@ def agg_pages_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT user_id, day, sum(CASE r WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 1 END)::BIGINT AS score, count(*) AS items FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_id % 3 AS r FROM events) GROUP BY 1, 2""")
 def an_sanitation_score(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list((F.col("event_id") % 3 + 1).cast("int")).alias("ratings"))
-    return e.select("user_id", "day", S.sanitation_score(F.col("ratings")).cast("long").alias("score"), F.size("ratings").cast("long").alias("items"))
+    points = S.sanitation_points(F.col("event_id") % 3 + 1)
+    return read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum(points).alias("score"), F.count("*").alias("items"))
 
 
 @query("SELECT id, CASE WHEN contains(n, '냉동') OR contains(n, 'frozen') THEN 'F4_FROZEN_BUFFER' WHEN contains(n, '다짐') OR contains(n, '양념') THEN 'F2_SHORT_LIFE_PROCESSED' WHEN (contains(n, '특수') OR contains(n, '한우') OR contains(n, '안심') OR contains(n, '채끝')) AND size % 5 < 2 THEN 'F3_PREMIUM_INTERMITTENT' WHEN contains(n, '미박') OR contains(n, '앞다리') OR contains(n, '뒷다리') THEN 'F5_TRANSFORMABLE_RAW' ELSE 'F1_CORE_FRESH' END AS class FROM (SELECT id, lower(name) AS n, size FROM goods)")

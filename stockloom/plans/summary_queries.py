@@ -130,11 +130,10 @@ def agg_accuracy_report(spark: SparkSession, d: str) -> DataFrame:
 def jn_left_multi(spark: SparkSession, d: str) -> DataFrame:
     """Stores with the codes that hold for them (store 3 has the common ones too) and their stock: both are counted before the join."""
     s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("store"), F.col("n_name").alias("company"), (F.col("s_suppkey") % 10).alias("shop"))
-    b = barcodes(spark, d).select("key", "store").distinct().groupBy(F.coalesce("store", F.lit(-1)).alias("shop")).agg(F.count("*").alias("n"))
-    own, common = b.where("shop >= 0").withColumnRenamed("n", "own"), b.where("shop < 0").select(F.lit(3).cast("long").alias("shop"), F.col("n").alias("common"))
+    b = barcodes(spark, d).select("key", "store").distinct().groupBy(F.coalesce("store", F.lit(3)).alias("shop")).agg(F.count("*").alias("codes"))
     m = movements(spark, d).where("is_active").groupBy(F.col("store").alias("shop")).agg(F.sum("qty").cast("double").alias("stock"))
-    out = s.join(own, "shop", "left").join(common, "shop", "left").join(m, "shop", "left")
-    return out.select("store", "company", (F.coalesce("own", F.lit(0)) + F.coalesce("common", F.lit(0))).alias("codes"), F.coalesce("stock", F.lit(0.0)).alias("stock"))
+    out = s.join(b, "shop", "left").join(m, "shop", "left")
+    return out.select("store", "company", F.coalesce("codes", F.lit(0)).alias("codes"), F.coalesce("stock", F.lit(0.0)).alias("stock"))
 
 
 @query("WITH s AS (SELECT s_suppkey AS id, lower(s_name) AS name_key, 'c' || s_nationkey AS code_key FROM supplier), a AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) ELSE 'c' || s_suppkey % 40 END AS key, 'A' || s_suppkey AS alias FROM supplier), f AS (SELECT id, alias, 0 AS p FROM s JOIN a ON key = name_key UNION ALL SELECT id, alias, 1 FROM s JOIN a ON key = code_key) SELECT s.id, b.alias FROM s LEFT JOIN (SELECT id, alias FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, alias) AS k FROM f) WHERE k = 1) b USING (id)")
