@@ -213,12 +213,28 @@ def standard_aliases(text: Column) -> Column:
     return text
 
 
+#: A qualifier that means skin-on pork: 미 alone, or what begins with it, holds a form of 박 and is one edit from 미박 or 미박피.
+SKIN_ON = "미(?:[박빅밖백뱍]|박[가-힣]|[가-힣]박|[빅밖백뱍]피|[가-힣]박피|박[가-힣]피|박피[가-힣])?"
+BELLY = "(?:삼겹|삼겸|삽겹)(?:살|쌀)?"
+#: Names that are nothing but a storage, a qualifier and belly, and the product that they mean.
+BELLIES = ((f"^(?:미빅피|미박피|미밖피|미뱍피|미박|미빅|미밖|미백|미뱍|미){BELLY}$", "오겹살"), (f"^(?:박피|박펴|박파|박비|빅피|밖피){BELLY}$", "삼겹살"))
+
+
 def contextual_typos(text: Column) -> Column:
-    """A name with typing errors of skin-on cuts mended; a name that is nothing but a storage and belly with or without skin becomes that product's."""
-    name = replaced(clean(text), TYPOS)
-    bare = F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), r"\s+", "")
-    storage = F.regexp_extract(bare, "^(냉장|냉동)", 1)
-    rest = F.substring(bare, F.length(storage) + 1, F.length(bare))
-    whole = lambda n: F.when(storage != "", F.concat(storage, F.lit(f" {n}"))).otherwise(n)
-    skin_on, skinless = "^(?:미빅피|미박피|미밖피|미뱍피|미박|미빅|미밖|미백|미뱍|미)(?:삼겹|삼겸|삽겹)(?:살|쌀)?$", "^(?:박피|박펴|박파|박비|빅피|밖피)(?:삼겹|삼겸|삽겹)(?:살|쌀)?$"
-    return F.when(rest.rlike(skin_on), whole("오겹살")).when(rest.rlike(skinless), whole("삼겹살")).otherwise(name)
+    """A name with typing errors of skin-on cuts mended.
+
+    A name that is nothing but a storage and belly with or without skin becomes that product's. Elsewhere a qualifier that is one edit
+    from the right ones makes skin-on belly of the belly behind it, which may have one edit too at the name's start.
+    """
+
+    def of(name: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), r"\s+", "")
+        storage = F.regexp_extract(bare, "^(냉장|냉동)", 1)
+        product = first_of(F.substring(bare, F.length(storage) + 1, F.length(bare)), BELLIES)
+        part = lambda n: F.regexp_extract(name, rf"^((?:냉장|냉동)\s+)?({SKIN_ON})\s+([가-힣]{{2,6}})(.*)$", n)
+        belly = (part(3) != "") & (F.least(F.levenshtein(part(3), F.lit("삼겹")), F.levenshtein(part(3), F.lit("삼겹살"))) <= 1)
+        begun = F.when(belly, F.concat(part(1), F.lit("오겹살"), part(4))).otherwise(name)
+        mended = F.regexp_replace(begun, rf"(^|[\s(]){SKIN_ON}\s*{BELLY}(?=$|[\s)])", "$1오겹살")
+        return F.when(product.isNotNull(), F.concat(F.when(storage != "", F.concat(storage, F.lit(" "))).otherwise(""), product)).otherwise(mended)
+
+    return let(replaced(clean(text), TYPOS), of)

@@ -9,7 +9,7 @@ from stockloom.functions import names as N
 from stockloom.operators import layout as Y
 from stockloom.operators import resolution as R
 from stockloom.operators import stock as S
-from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, page_tokens, read
+from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, page_tokens, picked, read
 
 from .name_queries import sql_mended, sql_print
 from .registry import query
@@ -163,9 +163,20 @@ def er_alias_patterns(spark: SparkSession, d: str) -> DataFrame:
     return goods(spark, d).select("id", N.standard_aliases(F.col("name")).alias("name"))
 
 
-@query("SELECT id, CASE name WHEN '미박 삼겹살(국내)' THEN '오겹살' WHEN '미빅 앞다리살' THEN '미박 앞다리살' WHEN '항정살　냉동' THEN '항정살 냉동' WHEN '닭가슴살 ２kg' THEN '닭가슴살 2kg' ELSE name END AS name FROM goods")
+#: Typing errors, and what they mean: whole names, qualifiers and bellies one edit off, and what must stay.
+TYPED = (
+    ("미박 삼겹살(국내)", "오겹살"), ("미빅 앞다리살", "미박 앞다리살"), ("냉동 미후지", "냉동 미박 뒷다리살"), ("냉장박피삼겹살", "냉장 삼겹살"), ("미박파 삼겹살 구이", "오겹살 구이"), ("한돈 미발박 삼겸살", "한돈 오겹살"), ("미빅피 삽결살 1kg", "미빅피 삽결살 1kg"),
+    ("미박 삼결살 1kg", "오겹살 1kg"), ("냉동 미밖 삼겹실 특", "냉동 오겹살 특"), ("수제 미배삼박 삼겹 (진공)", "수제 미배삼박 삼겹 (진공)"), ("특선 미돈박 삼겹살", "특선 오겹살"), ("(미박비 삼겹)", "(오겹살)"), ("미국 삼겹살", "미국 삼겹살"), ("박피 목살", "박피 목살"),
+    ("미 삼겹 구이", "오겹살 구이"),
+)
+
+
+@query(f"SELECT p_partkey AS id, {picked(tuple(b for _, b in TYPED), f'p_partkey % {len(TYPED)}', True)} || CASE WHEN p_partkey % {len(TYPED)} IN (0, 3) THEN '' ELSE ' ' || CAST(p_size AS VARCHAR) END AS name FROM part")
 def er_contextual_typos(spark: SparkSession, d: str) -> DataFrame:
-    return goods(spark, d).select("id", N.contextual_typos(F.col("name")).alias("name"))
+    """Names with errors of their own, most with a number behind them."""
+    place = (F.col("p_partkey") % len(TYPED)).cast("int")
+    name = F.concat(F.get(F.array(*(F.lit(a) for a, _ in TYPED)), place), F.when(place.isin(0, 3), "").otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"))))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), N.contextual_typos(name).alias("name"))
 
 
 HEADS = "h AS (SELECT p_brand AS doc, CAST(p_partkey % 5 AS VARCHAR) AS name, min(p_partkey % 1000) AS x FROM part GROUP BY 1, 2)"

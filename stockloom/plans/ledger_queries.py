@@ -257,6 +257,31 @@ def snk_upsert(spark: SparkSession, d: str) -> DataFrame:
     return L.upsert(top, new, ["key", "store"], "v").drop("v")
 
 
+@query("SELECT key, store, product, CAST(price AS DOUBLE) AS price, updated FROM mapped")
+def snk_upsert_table(spark: SparkSession, d: str) -> DataFrame:
+    """The mappings as a table in buckets, put together by batches in any order, one of them twice."""
+    from stockloom.sources.sinks import folder
+    from stockloom.streaming.upserts import upsert_batch
+
+    b, path = barcodes(spark, d).withColumn("v", F.struct("updated", "price")), folder(spark)
+    for part in (2, 0, 1, 0):
+        upsert_batch(b.where(F.pmod("updated", F.lit(3)) == part), path, ["key", "store"], "v", 8)
+    return spark.read.parquet(path).select("key", "store", "product", F.col("price").cast("double").alias("price"), "updated")
+
+
+@query("""SELECT s.id, coalesce(a.product, b.product) AS product, s.needs_mapping AND (is_cancelled OR coalesce(a.key, b.key) IS NULL) AS needs_mapping FROM sales s LEFT JOIN mapped a ON needs_mapping AND NOT is_cancelled AND a.key = s.code AND a.store = s.store LEFT JOIN mapped b ON needs_mapping AND NOT is_cancelled AND b.key = s.code AND b.store IS NULL""")
+def snk_late_mapping_table(spark: SparkSession, d: str) -> DataFrame:
+    """Sales in buckets of codes, priced by mappings that come late; the batch comes twice."""
+    from stockloom.sources.sinks import folder
+    from stockloom.streaming.upserts import bucketed_sales, map_batch
+
+    path = folder(spark)
+    bucketed_sales(sales(spark, d), path, 8)
+    for _ in range(2):
+        map_batch(barcodes(spark, d), path, 8)
+    return spark.read.parquet(path).select("id", "product", "needs_mapping")
+
+
 @query("SELECT CAST(sum(CASE WHEN sale_date >= DATE '2024-01-01' AND NOT is_cancelled THEN amount END) AS DOUBLE) - (SELECT CAST(sum(amount) AS DOUBLE) FROM movements WHERE is_active AND kind = 'IN' AND day BETWEEN DATE '1996-01-01' AND DATE '1996-01-31') AS month_left FROM sales")
 def an_month_left(spark: SparkSession, d: str) -> DataFrame:
     s = L.active(sales(spark, d)).where("sale_date >= '2024-01-01'").agg(L.amount(F.col("amount")).alias("s"))
