@@ -40,10 +40,10 @@ def src_csv_paste(spark: SparkSession, d: str) -> DataFrame:
     return R.pasted(read(spark, d, "part").select((F.col("p_partkey") + 1).alias("n"), line.alias("line")), 3)
 
 
-@query("SELECT id, name FROM goods WHERE NOT contains(name, '　') AND NOT contains(name, '２')")
+@query("SELECT id, name FROM goods")
 def src_encoding_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Names as bytes: every second one in UTF-8, the others in EUC-KR."""
-    g = goods(spark, d).where(~F.col("name").contains("　") & ~F.col("name").contains("２"))
+    g = goods(spark, d)
     raw = F.when(F.col("id") % 2 == 0, F.encode("name", "UTF-8")).otherwise(T.korean_bytes("name"))
     return g.select("id", T.decoded(raw).alias("name"))
 
@@ -216,9 +216,9 @@ def prj_vision_normalise(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), x["productName"].alias("name"), T.money(x["qty"]).alias("quantity"), F.when(trace.startswith("L"), trace).alias("domestic"), F.when(~trace.startswith("L"), trace).alias("imported"))
 
 
-@query("SELECT p_partkey AS doc, p_brand AS text, CASE p_partkey % 3 WHEN 0 THEN p_size ELSE p_size / 50.0 * 100 END::DOUBLE AS confidence FROM part WHERE p_size > 1 UNION ALL SELECT p_partkey, 'x', 50 FROM part WHERE p_partkey % 3 = 2 AND p_size > 1")
+@query("SELECT p_partkey AS doc, p_brand AS text, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size <= 1 THEN p_size * 100 ELSE p_size END ELSE p_size / 50.0 * 100 END::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'x', 50 FROM part WHERE p_partkey % 3 = 2")
 def prj_provider_normalise(spark: SparkSession, d: str) -> DataFrame:
-    p, share = read(spark, d, "part").where("p_size > 1"), F.round(F.col("p_size") / 50, 2)
+    p, share = read(spark, d, "part"), F.round(F.col("p_size") / 50, 2)
     word = lambda t, c, tn, cn: F.struct(t.alias(tn), c.cast("double").alias(cn))
     a = F.to_json(F.struct(F.array(word(F.col("p_brand"), F.col("p_size"), "text", "conf")).alias("words")))
     b = F.to_json(F.struct(F.array(word(F.col("p_brand"), share, "inferText", "inferConfidence")).alias("fields")))
