@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions import names as N
 from stockloom.operators import layout as Y
+from stockloom.operators import learning as H
 from stockloom.operators import resolution as R
 from stockloom.operators import stock as S
-from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, page_tokens, picked, read
+from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, page_tokens, picked, read, split_list
 
 from .name_queries import sql_mended, sql_print
 from .registry import query
-from .resolution_queries import RULES, rules
 
 #: A fixed dictionary for the names of parts: target, category, alias.
 DICTIONARY = (("WIDGET", "A", "widget"), ("GADGET", "A", "gadget"), ("BOLT", "B", "bolt"), ("GEAR", "B", "gear"), ("RING", "B", "ring"), ("GIZMO", "A", "gizmo"), ("BIG BOLT", "B", "large bolt"), ("RED RING", "B", "red ring"))
@@ -132,9 +132,68 @@ def er_natural_label(spark: SparkSession, d: str) -> DataFrame:
     return R.natural_labels(read(spark, d, "part").select(F.col("p_brand").alias("product"), F.col("p_size").alias("score"), F.col("p_name").alias("label")))
 
 
-@query(f"WITH {RULES} SELECT supplier, key, count(*) AS uses, max(confidence) AS confidence FROM rules GROUP BY 1, 2")
+#: Confirmations, and the tables that they meet, from the learned rules: staged are those of suppliers, with a number of occurrences.
+SHAPES = {
+    "staged": ("id % 2 = 0 AND supplier IS NOT NULL", "supplier, source, lower(replace(source, ' ', '')) AS name, target, CAST(confidence AS BIGINT) AS confidence, CAST(success % 50 + 1 AS BIGINT) AS occurrences"),
+    "aliases": ("id % 5 = 0 AND supplier IS NOT NULL", "supplier, lower(replace(source, ' ', '')) AS name, source AS raw, 'OLD-' || target AS code, CAST(confidence AS BIGINT) AS confidence, CAST(id % 60 AS BIGINT) AS count"),
+    "patterns": ("id % 4 = 0 AND supplier IS NOT NULL", "supplier, source, CASE WHEN id % 12 = 0 THEN category ELSE target END AS target, CAST(id % 30 AS BIGINT) AS samples, CAST(id % 30 AS BIGINT) AS successes, CAST(80 AS BIGINT) AS confidence, id % 8 = 0 AS active"),
+    "history": ("id % 6 = 0 AND supplier IS NOT NULL", "supplier, source AS raw, CASE WHEN id % 12 = 0 THEN 'OLD-other' ELSE 'OLD-' || target END AS code, CAST(85 AS BIGINT) AS confidence, CAST(1 AS BIGINT) AS count, id % 18 > 0 AS active"),
+}
+ONE_OF = {"aliases": "supplier, name", "patterns": "supplier, source", "history": "supplier, raw"}
+SYNC = ", ".join(f"{k} AS (SELECT {items}{', id' if k in ONE_OF else ''} FROM learned_rules WHERE {where}{f' QUALIFY row_number() OVER (PARTITION BY {ONE_OF[k]} ORDER BY id) = 1' if k in ONE_OF else ''})" for k, (where, items) in SHAPES.items()) + """,
+ dictionary AS (SELECT DISTINCT 'OLD-' || target AS code, target AS standard, target < '목' AS approved, CAST(70 AS BIGINT) AS confidence, CAST(3 AS BIGINT) AS sources, CAST(0 AS BIGINT) AS aliases FROM learned_rules WHERE id % 3 = 0 AND target <> '목살' AND target <> '사태'),
+ s0 AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY supplier, name ORDER BY occurrences DESC, confidence DESC, target DESC, source DESC) = 1),
+ d1 AS (SELECT * FROM dictionary UNION ALL SELECT 'LEARNED-' || upper(left(md5(target), 16)), target, true, max(confidence), CAST(sum(occurrences) AS BIGINT), 0 FROM s0 WHERE lower(target) NOT IN (SELECT lower(standard) FROM dictionary) GROUP BY target),
+ s AS (SELECT s0.*, code FROM s0 JOIN (SELECT lower(standard) AS low, code FROM d1 QUALIFY row_number() OVER (PARTITION BY lower(standard) ORDER BY approved DESC, confidence DESC, code) = 1) ON low = lower(target)),
+ al AS (SELECT coalesce(a.supplier, s.supplier) AS supplier, coalesce(a.name, s.name) AS name, coalesce(s.source, a.raw) AS raw, coalesce(s.code, a.code) AS code, greatest(a.confidence, s.confidence) AS confidence, greatest(a.count, s.occurrences) AS count FROM aliases a FULL JOIN s ON s.supplier = a.supplier AND s.name = a.name),
+ di AS (SELECT d1.code, standard, approved OR n IS NOT NULL AS approved, greatest(d1.confidence, sure) AS confidence, greatest(sources, u) AS sources, coalesce(n, aliases) AS aliases FROM d1 LEFT JOIN (SELECT code, count(*) AS n, CAST(sum(count) AS BIGINT) AS u, max(confidence) AS sure FROM al GROUP BY 1) c ON c.code = d1.code),
+ sp AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY supplier, lower(source) ORDER BY occurrences DESC, confidence DESC, target DESC, source DESC) = 1),
+ pa AS (SELECT p.supplier, p.source, p.target, CASE WHEN lower(p.target) = lower(sp.target) THEN greatest(samples, occurrences) ELSE samples END AS samples, CASE WHEN lower(p.target) = lower(sp.target) THEN greatest(p.confidence, sp.confidence) ELSE p.confidence END AS confidence, coalesce(lower(p.target) = lower(sp.target), p.active) AS active FROM patterns p LEFT JOIN sp ON sp.supplier = p.supplier AND lower(sp.source) = lower(p.source)
+  UNION ALL SELECT supplier, source, target, occurrences, confidence, true FROM sp WHERE NOT EXISTS (SELECT 1 FROM patterns p WHERE p.supplier = sp.supplier AND lower(p.source) = lower(sp.source) AND lower(p.target) = lower(sp.target))),
+ sh AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY supplier, source ORDER BY occurrences DESC, confidence DESC, code DESC) = 1),
+ hi AS (SELECT h.supplier, h.raw, h.code, h.confidence, h.count, h.active AND coalesce(sh.code = h.code, true) AS active FROM history h LEFT JOIN sh ON sh.supplier = h.supplier AND sh.source = h.raw
+  UNION ALL SELECT supplier, source, code, confidence, occurrences, true FROM sh WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.active AND h.supplier = sh.supplier AND h.raw = sh.source AND h.code = sh.code))"""
+
+
+def learning_tables(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    r = learned_rules(spark, d)
+    of = lambda k: r.where(SHAPES[k][0]).selectExpr("id", *split_list(SHAPES[k][1]))
+    first = lambda k: of(k).withColumn("k", F.row_number().over(Window.partitionBy(*ONE_OF[k].split(", ")).orderBy("id"))).where("k = 1").drop("k", "id")
+    whole = r.where("id % 3 = 0 AND target <> '목살' AND target <> '사태'").selectExpr("'OLD-' || target AS code", "target AS standard", "target < '목' AS approved", "70L AS confidence", "3L AS sources", "0L AS aliases").distinct()
+    return of("staged").drop("id"), {"dictionary": whole} | {k: first(k) for k in ONE_OF}
+
+
+@query(f"""WITH {SYNC} SELECT 'dictionary' AS kind, code AS owner, standard AS subject, CAST(aliases AS VARCHAR) AS target, sources AS n, confidence, approved AS active FROM di UNION ALL SELECT 'aliases', supplier, name, code, count, confidence, true FROM al
+ UNION ALL SELECT 'patterns', supplier, source, target, samples, confidence, active FROM pa UNION ALL SELECT 'history', supplier, raw, code, count, confidence, active FROM hi""")
+def pst_learn_sync(spark: SparkSession, d: str) -> DataFrame:
+    """All four tables after the sync, one below the other."""
+    t = H.synced(*learning_tables(spark, d))
+    col = lambda k, *names: t[k].select(F.lit(k).alias("kind"), *(F.expr(e).alias(a) for e, a in zip(names, ("owner", "subject", "target", "n", "confidence", "active"), strict=True)))
+    x = col("dictionary", "code", "standard", "string(aliases)", "sources", "confidence", "approved").unionByName(col("aliases", "supplier", "name", "code", "count", "confidence", "true"))
+    return x.unionByName(col("patterns", "supplier", "source", "target", "samples", "confidence", "active")).unionByName(col("history", "supplier", "raw", "code", "count", "confidence", "active"))
+
+
+@query(f"""WITH {SYNC} SELECT 'dictionary' AS kind, (SELECT count(*) FROM dictionary) AS before, (SELECT count(*) FROM di) AS after UNION ALL SELECT 'aliases', (SELECT count(*) FROM aliases), (SELECT count(*) FROM al)
+ UNION ALL SELECT 'patterns', (SELECT count(*) FROM patterns WHERE active), (SELECT count(*) FROM pa WHERE active) UNION ALL SELECT 'history', (SELECT count(*) FROM history WHERE active), (SELECT count(*) FROM hi WHERE active)""")
+def pst_learn_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    return H.dry_run(*learning_tables(spark, d))
+
+
+LOGGED = "e AS (SELECT supplier, target AS name, category AS product, confidence, success AS count, CASE WHEN id % 4 < 2 THEN id % 4 = 0 END AS auto, id AS used, id % 3 = 1 AS logged FROM learned_rules WHERE supplier IS NOT NULL)"
+
+
+@query(f"""WITH {LOGGED}, b AS (SELECT supplier, name, product, max(confidence) AS confidence, sum(count) AS count, coalesce(arg_max(auto, used) FILTER (auto IS NOT NULL), false) AS auto, max(used) AS used FROM e WHERE NOT logged GROUP BY 1, 2, 3),
+ a AS (SELECT *, 0 AS given FROM b UNION ALL SELECT supplier, name, product, CASE WHEN used % 5 > 0 THEN confidence END, CASE WHEN used % 2 = 0 THEN count ELSE 1 END, auto, used, 1 FROM e WHERE logged)
+ SELECT supplier, name, product, CAST(coalesce(max(confidence), 0) AS BIGINT) AS confidence, CAST(sum(count) AS BIGINT) AS count, coalesce(arg_max(auto, (given, used)) FILTER (auto IS NOT NULL), false) AS auto, max(used) AS used FROM a GROUP BY 1, 2, 3""")
 def er_learning_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return rules(spark, d).groupBy("supplier", "key").agg(F.count("*").alias("uses"), F.max("confidence").alias("confidence"))
+    """Confirmations over the entries that there are; some say nothing of confidence, count or automatic use."""
+    k = F.col("id")
+    e = learned_rules(spark, d).where("supplier IS NOT NULL").select("supplier", F.col("target").alias("name"), F.col("category").alias("product"), F.col("confidence").cast("long").alias("confidence"), F.col("success").cast("long").alias("count"), F.when(k % 4 < 2, k % 4 == 0).alias("auto"), k.alias("used"), (k % 3 == 1).alias("logged"))
+    keys = ["supplier", "name", "product"]
+    last = F.max_by("auto", F.when(F.col("auto").isNotNull(), F.col("used")))
+    entries = e.where("NOT logged").groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.sum("count").alias("count"), F.coalesce(last, F.lit(False)).alias("auto"), F.max("used").alias("used"))
+    log = e.where("logged").select(*keys, F.when(F.col("used") % 5 > 0, F.col("confidence")).alias("confidence"), F.when(F.col("used") % 2 == 0, F.col("count")).alias("count"), "auto", "used")
+    return H.confirmed(entries, log)
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_brand AS pattern, p_partkey AS at, p_size AS c, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part), r AS (SELECT pattern, k, CAST(c AS BIGINT) AS confidence FROM e WHERE k = 1 UNION ALL SELECT e.pattern, e.k, CAST(least(100, floor((r.confidence + e.c) / 2 + 0.5)) AS BIGINT) FROM r JOIN e ON e.pattern = r.pattern AND e.k = r.k + 1)
@@ -151,13 +210,6 @@ def er_dictionary_candidates(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(k.alias("id"), x.alias("x")).select("id", "x.*")
 
 
-@query(f"WITH {RULES}, staged AS (SELECT key, target, count(*) AS n, count(DISTINCT supplier) AS s, bool_or(supplier IS NULL) AS f FROM rules GROUP BY 1, 2), one AS (SELECT key FROM staged GROUP BY 1 HAVING count(*) = 1) SELECT key, target, n AS confirmations FROM staged SEMI JOIN one USING (key) WHERE f OR n >= 3 OR s >= 2")
-def pst_learn_sync(spark: SparkSession, d: str) -> DataFrame:
-    """Staged rules that are promoted: confirmed often enough and without another target."""
-    promoted = R.promotions(rules(spark, d))
-    return promoted.join(R.without_conflicts(rules(spark, d)).select("key"), "key", "left_semi").select("key", "target", "confirmations")
-
-
 @query("SELECT id, CASE WHEN contains(name, '오겹살') THEN '오겹살 냉장' WHEN contains(name, '가브릿살') THEN '가브리살' WHEN contains(name, '돼지갈비') THEN '돼지 갈비 냉동' WHEN contains(name, '미박 삼겹살') THEN '오겹살(국내)' ELSE name END AS name FROM goods")
 def er_alias_patterns(spark: SparkSession, d: str) -> DataFrame:
     return goods(spark, d).select("id", N.standard_aliases(F.col("name")).alias("name"))
