@@ -220,6 +220,20 @@ BELLY = "(?:삼겹|삼겸|삽겹)(?:살|쌀)?"
 BELLIES = ((f"^(?:미빅피|미박피|미밖피|미뱍피|미박|미빅|미밖|미백|미뱍|미){BELLY}$", "오겹살"), (f"^(?:박피|박펴|박파|박비|빅피|밖피){BELLY}$", "삼겹살"))
 
 
+#: Standard products by their names in ALIASES: code, category, cut, qualifier.
+STANDARDS = (
+    ("오겹살", "DICT-0001", "돼지고기", "삼겹", "미박"), ("미박 앞다리살", "DICT-0002", "돼지고기", "앞다리살", "미박"), ("미박 뒷다리살", "DICT-PORK-LEG-SKIN-ON", "돼지고기", "뒷다리", "미박"), ("이겹살", "DICT-PORK-BELLY-TWO-LAYER", "돼지고기", "이겹살", ""),
+    ("가브리살", "DICT-PORK-GABURI", "돼지고기", "가브리살", ""), ("돼지 갈비", "DICT-PORK-RIB", "돼지고기", "갈비", ""), ("삼겹살", "DICT-PORK-BELLY-SKINLESS", "돼지고기", "삼겹", ""),
+)
+
+
+def standard_product(name: Column, skin_state: Column) -> Column:
+    """(code, category, cut, qualifier) of the first standard product that a name holds, its variants replaced; plain belly only if the name says that it has no skin."""
+    of = lambda s: F.struct(*(F.lit(v).alias(k) for k, v in zip(("code", "category", "cut", "qualifier"), s[1:], strict=True)))
+    holds = lambda s: name.contains(s[0]) & (skin_state == "skinless") if s[0] == "삼겹살" else name.contains(s[0])
+    return F.coalesce(*(F.when(holds(s), of(s)) for s in STANDARDS))
+
+
 def contextual_typos(text: Column) -> Column:
     """A name with typing errors of skin-on cuts mended.
 

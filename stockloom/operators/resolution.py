@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.functions.names import HINTS, VENDOR, classified, clean, fingerprint, hinted_category, stated_category, storage_word, supplier_fingerprint
+from stockloom.functions.names import HINTS, VENDOR, classified, clean, fingerprint, hinted_category, standard_aliases, standard_product, stated_category, storage_word, supplier_fingerprint
 from stockloom.functions.scalars import similarity
 from stockloom.operators.neighbours import similar_pairs
 
@@ -77,6 +77,8 @@ def suggestions(names: DataFrame, dictionary: DataFrame, auto: float = 0.65, sur
 
 #: A learned name's target in full: rules that agree in it don't compete.
 IDENTITY = ("category", "storage", "print")
+#: What a rule says of a product, and how surely.
+RULE = ("target", "category", "storage", "confidence")
 
 
 def learning_rank(rule: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def learning_rank(rule: DataFrame) -> DataFrame:
     rank = F.col("priority").cast("long") * 1_000_000_000 + F.col("confidence") * 1_000_000 + F.least(F.col("success"), F.lit(999)) * 1000 + F.col("day")
     r = rule.withColumn("key", fingerprint(F.col("source"))).where("key <> ''").withColumn("print", fingerprint(F.col("target"))).withColumn("rank", rank)
     r = r.withColumn("said", storage_word(F.col("source")))
-    kept = ["source", "target", "category", "storage", "priority", "print", "said"]
+    kept = ["source", "target", "category", "storage", "priority", "print", "said", "confidence"]
     best = r.groupBy("supplier", "key").agg(F.max(F.struct("rank", *kept)).alias("r"))
     return best.select("supplier", "key", "r.*")
 
@@ -98,7 +100,7 @@ def top_two(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def vendor_prefixes(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, target) of names (id, supplier, name, key, hint) with a vendor's name behind the product's: the supplier's longest rule that begins the key.
+    """(id, *RULE) of names (id, supplier, name, key, hint) with a vendor's name behind the product's: the supplier's longest rule that begins the key.
 
     Rules of six letters or more count; shorter ones of four from a storage and category that name and hint
     don't contradict. No rule counts whose name states another storage, and none if a rule with another target is less than three letters shorter.
@@ -110,8 +112,8 @@ def vendor_prefixes(names: DataFrame, rules: DataFrame) -> DataFrame:
     agrees = lambda said: F.coalesce(said == F.col("category"), F.lit(True))
     short = F.col("storage").isin("냉장", "냉동") & F.col("category").isin(*(v for _, v in HINTS)) & F.coalesce(F.col("said_by_name") == F.col("storage"), F.lit(False)) & agrees(hinted_category(F.col("hint"))) & agrees(stated_category(F.col("name")))
     ok = met.where(((F.length("head") >= 6) | short) & F.coalesce(F.col("said_by_name") == F.col("said"), F.lit(True))).withColumn("size", F.length("head"))
-    two = top_two(ok.select("id", *IDENTITY, "size", "rank", "target"), list(IDENTITY), ["size", "rank"])
-    return two.where(F.col("rival").isNull() | (F.col("best.size") - F.col("rival.size") >= 3)).select("id", F.col("best.target").alias("target"))
+    two = top_two(ok.select("id", *IDENTITY, "size", "rank", "target", "confidence"), list(IDENTITY), ["size", "rank"])
+    return two.where(F.col("rival").isNull() | (F.col("best.size") - F.col("rival.size") >= 3)).select("id", *(F.col(f"best.{c}") for c in RULE))
 
 
 def least_similarity(size: Column) -> Column:
@@ -120,37 +122,65 @@ def least_similarity(size: Column) -> Column:
 
 
 def fuzzy_rules(names: DataFrame, rules: DataFrame, margin: float = 0.06) -> DataFrame:
-    """(id, target, by, similarity) of names (id, supplier, name, key): the most similar rule of the supplier or for all, unless one with another target comes as near as margin.
+    """(id, *RULE, by, similarity) of names (id, supplier, name, key): the most similar rule of the supplier or for all, unless one with another target comes as near as margin.
 
     An own rule is ahead of one for all by .03, and priority by up to .005. Names and rules that both state a storage must state the same.
     """
     pairs = similar_pairs(names.select(F.col("key").alias("a")), rules.select(F.col("key").alias("b")), least_similarity)
     met = names.withColumn("said_by_name", storage_word(F.col("name"))).join(pairs, F.col("key") == F.col("a")).drop("key", "a")
-    r = rules.select(F.col("supplier").alias("of"), F.col("key").alias("b"), "target", "print", "rank", "priority", "said")
+    r = rules.select(F.col("supplier").alias("of"), F.col("key").alias("b"), *RULE, "print", "rank", "priority", "said")
     met = met.join(r, "b").where((F.col("of").isNull() | (F.col("of") == F.col("supplier"))) & F.coalesce(F.col("said_by_name") == F.col("said"), F.lit(True)))
     score = F.round(F.col("similarity") + F.when(F.col("of").isNotNull(), 0.03).otherwise(0.0) + F.least(F.col("priority"), F.lit(500)) / 100000, 9)
-    scored = met.select("id", score.alias("score"), "rank", F.round("similarity", 9).alias("similarity"), "print", "target", F.when(F.col("of").isNotNull(), "supplier_fuzzy").otherwise("global_fuzzy").alias("by"))
+    scored = met.select("id", score.alias("score"), "rank", F.round("similarity", 9).alias("similarity"), "print", "target", F.when(F.col("of").isNotNull(), "supplier_fuzzy").otherwise("global_fuzzy").alias("by"), "category", "storage", "confidence")
     two = top_two(scored, ["print"], ["score", "rank"])
     apart = F.round(F.col("best.similarity") - F.col("rival.similarity"), 9) >= margin
-    return two.where(F.col("rival").isNull() | apart).select("id", "best.target", "best.by", "best.similarity")
+    return two.where(F.col("rival").isNull() | apart).select("id", *(F.col(f"best.{c}") for c in RULE), "best.by", "best.similarity")
 
 
 def found_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """The learned target of each name (id, supplier, name, hint), with by and similarity: the supplier's own rule, its rule before a vendor's name, a rule for all, the most similar rule; null without one.
+    """What is learned of each name (id, supplier, name, hint): RULE, by and similarity of the supplier's own rule, its rule before a vendor's name, a rule for all, or the most similar rule; null without one.
 
     Equi joins throughout: the similar ones meet by shared segments, and only names that nothing else finds are asked there.
     """
     r = learning_rank(rules)
     n = names.select("id", "supplier", "name", "hint").withColumn("key", fingerprint(F.col("name")))
-    own = r.where("supplier IS NOT NULL").select("supplier", "key", F.col("target").alias("own"))
-    every = r.where("supplier IS NULL").select("key", F.col("target").alias("every"))
-    prefix = vendor_prefixes(n, r).withColumnRenamed("target", "prefix")
+    rule = F.struct(*RULE)
+    own = r.where("supplier IS NOT NULL").select("supplier", "key", rule.alias("own"))
+    every = r.where("supplier IS NULL").select("key", rule.alias("every"))
+    prefix = vendor_prefixes(n, r).select("id", rule.alias("prefix"))
     x = n.join(own, ["supplier", "key"], "left").join(every, "key", "left").join(prefix, "id", "left")
     by = F.when(F.col("own").isNotNull(), "supplier_exact").when(F.col("prefix").isNotNull(), "supplier_prefix").when(F.col("every").isNotNull(), "global_exact")
-    x = x.select("id", "supplier", "name", "key", F.coalesce("own", "prefix", "every").alias("target"), by.alias("by"))
-    near = fuzzy_rules(x.where("by IS NULL AND key <> ''").select("id", "supplier", "name", "key"), r).select("id", F.col("target").alias("near"), F.col("by").alias("near_by"), "similarity")
+    x = x.select("id", "supplier", "name", "key", F.coalesce("own", "prefix", "every").alias("rule"), by.alias("by"))
+    near = fuzzy_rules(x.where("by IS NULL AND key <> ''").select("id", "supplier", "name", "key"), r).select("id", rule.alias("near"), F.col("by").alias("near_by"), "similarity")
     sure = F.when(F.col("by") == "supplier_prefix", 0.97).when(F.col("by").isNotNull(), 1.0)
-    return x.join(near, "id", "left").select("id", F.coalesce("target", "near").alias("target"), F.coalesce("by", "near_by").alias("by"), F.coalesce(sure, "similarity").alias("similarity"))
+    return x.join(near, "id", "left").select("id", F.coalesce("rule", "near").alias("r"), F.coalesce("by", "near_by").alias("by"), F.coalesce(sure, "similarity").alias("similarity")).select("id", "r.*", "by", "similarity")
+
+
+def classified_names(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, category, cut, qualifier, storage, confidence, code, by, key) of each name (id, supplier, name, hint): a standard product, else what is learned, else what the rules of cuts read.
+
+    A standard product counts unless name, hint or skin state another category. Cuts that two species have take the stated one.
+    The name's own storage goes before the learned one.
+    """
+    n = names.select("id", "name", "hint")
+    x = n.withColumn("x", classified(F.col("name"))).withColumn("print", fingerprint(F.col("name")))
+    declared = F.coalesce(stated_category(F.col("name")), hinted_category(F.col("hint")), F.when(F.col("x.skin") != "unknown", "돼지고기"))
+    x = x.withColumn("declared", declared).withColumn("standard", standard_product(standard_aliases(F.col("x.name")), F.col("x.skin")))
+    x = x.withColumn("standard", F.when(F.coalesce(F.col("standard.category") == F.col("declared"), F.lit(True)), F.col("standard")))
+    learned = found_rules(names, rules).select("id", F.when(F.col("target").isNotNull(), F.struct(*RULE)).alias("learned"), F.col("by").alias("how"))
+    x = x.join(learned, "id", "left")
+    shared = F.when(F.col("x.cut").rlike("^(안심|등심|사태|갈비)$"), F.coalesce("declared", "x.category")).otherwise(F.col("x.category"))
+    by = F.when(F.col("standard").isNotNull(), "standard").when(F.col("learned").isNotNull(), F.col("how")).when(F.col("x.cut").isNotNull(), "rule").otherwise("none")
+    category, cut = F.coalesce("standard.category", "learned.category", shared), F.coalesce("standard.cut", "learned.target", "x.cut")
+    sure = F.when(F.col("standard").isNotNull(), 100).when(F.col("learned").isNotNull(), F.least(F.lit(100), F.col("learned.confidence"))).when(F.col("x.cut").isNotNull(), F.col("x.confidence")).otherwise(60).cast("long")
+    stated = F.when(F.col("x.storage") != "미표기", F.col("x.storage"))
+    storage = F.coalesce(stated, F.when(F.col("learned.storage") != "", F.col("learned.storage")), F.lit("보관미상"))
+    x = x.select("id", "print", category.alias("category"), cut.alias("cut"), storage.alias("storage"), sure.alias("confidence"), F.col("standard.code").alias("code"), by.alias("by"), F.col("x.skin").alias("skin"), F.coalesce("standard.qualifier", F.when(F.col("learned").isNull(), F.col("x.qualifier")), F.lit("")).alias("own"))
+    pork = F.coalesce(F.col("category") == "돼지고기", F.lit(False))
+    qualifier = F.when(pork & (F.col("skin") == "skin_on"), "미박").when(pork & (F.col("skin") == "skinless") & (F.col("cut") != "삼겹"), "박피").otherwise(F.col("own"))
+    x = x.withColumn("qualifier", qualifier)
+    key = F.lower(F.concat_ws("|", F.coalesce("category", F.lit("미분류")), "storage", F.coalesce("cut", "print"), "qualifier"))
+    return x.select("id", "category", "cut", "qualifier", "storage", "confidence", "code", "by", key.alias("key"))
 
 
 def storage_inferred(text: Column, context: Column, moved: Column, expiry: Column, slaughter: Column, shelf_days: Column, known: Column) -> Column:

@@ -12,7 +12,7 @@ from stockloom.operators import resolution as R
 from stockloom.operators import stock as S
 from stockloom.sources.adapters import MARKS, PIECES, STORED, USES, asked_names, goods, invoice_lines, learned_rules, movements, page_tokens, picked, read, split_list
 
-from .name_queries import sql_mended, sql_print
+from .name_queries import CUT, SKIN, STORE, sql_canonical, sql_mended, sql_print
 from .registry import query
 
 #: A fixed dictionary for the names of parts: target, category, alias.
@@ -70,15 +70,15 @@ STORED_WORD = lambda x: f"CASE WHEN contains({sql_mended(x)}, '냉동') THEN '
 CASES = lambda x, rules: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{v}'" for p, v in rules) + " END"
 LEAST = "CASE WHEN least(length(n.key), length(r.key)) <= 4 THEN 0.95 WHEN least(length(n.key), length(r.key)) <= 7 THEN 0.86 ELSE 0.82 END"
 AGREE = "(n.said IS NULL OR r.said IS NULL OR n.said = r.said)"
-LEARNED = f"""r0 AS (SELECT supplier, {sql_print('source')} AS key, source, target, category, storage, priority, {sql_print('target')} AS print, {STORED_WORD('source')} AS said, priority * 1000000000 + confidence * 1000000 + least(success, 999) * 1000 + day AS rank FROM learned_rules),
+LEARNED = f"""r0 AS (SELECT supplier, {sql_print('source')} AS key, source, target, category, storage, priority, {sql_print('target')} AS print, {STORED_WORD('source')} AS said, priority * 1000000000 + confidence * 1000000 + least(success, 999) * 1000 + day AS rank, confidence FROM learned_rules),
  r AS (SELECT * FROM r0 WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY supplier, key ORDER BY rank DESC, source DESC, target DESC, category DESC, storage DESC, priority DESC, print DESC) = 1),
  n AS (SELECT id, supplier, name, {sql_print('name')} AS key, {STORED_WORD('name')} AS said, {CASES("coalesce(hint, '')", N.HINTS)} AS hinted, {CASES("replace(name, ' ', '')", N.STATED)} AS stated FROM asked_names),
- p0 AS (SELECT n.id, r.category, r.storage, r.print, r.target, length(r.key) AS size, r.rank FROM n JOIN r ON r.supplier = n.supplier AND starts_with(n.key, r.key) AND length(n.key) > length(r.key) AND length(r.key) >= 4
+ p0 AS (SELECT n.id, r.category, r.storage, r.print, r.target, length(r.key) AS size, r.rank, r.confidence FROM n JOIN r ON r.supplier = n.supplier AND starts_with(n.key, r.key) AND length(n.key) > length(r.key) AND length(r.key) >= 4
   WHERE regexp_matches(name, '주식회사|농협|엘피씨|도드람|유통회사|축산유통|미트유통') AND {AGREE} AND (length(r.key) >= 6 OR r.storage <> '' AND n.said = r.storage AND coalesce(hinted = r.category, true) AND coalesce(stated = r.category, true))),
  p1 AS (SELECT * FROM p0 QUALIFY row_number() OVER (PARTITION BY id, category, storage, print ORDER BY size DESC, rank DESC, category DESC, storage DESC, print DESC, target DESC) = 1),
- p AS (SELECT id, target FROM (SELECT *, row_number() OVER w AS k, lead(size) OVER w AS second FROM p1 WINDOW w AS (PARTITION BY id ORDER BY size DESC, rank DESC, category DESC, storage DESC, print DESC, target DESC)) WHERE k = 1 AND (second IS NULL OR size - second >= 3)),
- x AS (SELECT n.*, a.target AS own, p.target AS pre, g.target AS every FROM n LEFT JOIN r a ON a.supplier = n.supplier AND a.key = n.key LEFT JOIN p ON p.id = n.id LEFT JOIN r g ON g.supplier IS NULL AND g.key = n.key),
- f0 AS (SELECT n.id, r.supplier, r.print, r.target, r.rank, r.priority, round(1 - levenshtein({ascii_of('n.key')}, {ascii_of('r.key')}) / greatest(length(n.key), length(r.key)), 9) AS similarity FROM x n JOIN r ON (r.supplier IS NULL OR r.supplier = n.supplier) AND {AGREE} WHERE own IS NULL AND pre IS NULL AND every IS NULL AND round(1 - levenshtein({ascii_of('n.key')}, {ascii_of('r.key')}) / greatest(length(n.key), length(r.key)), 9) >= {LEAST}),
+ p AS (SELECT id, target, category, storage, confidence FROM (SELECT *, row_number() OVER w AS k, lead(size) OVER w AS second FROM p1 WINDOW w AS (PARTITION BY id ORDER BY size DESC, rank DESC, category DESC, storage DESC, print DESC, target DESC)) WHERE k = 1 AND (second IS NULL OR size - second >= 3)),
+ x AS (SELECT n.*, a.target AS own, p.target AS pre, g.target AS every, coalesce(a.category, p.category, g.category) AS lc, coalesce(a.storage, p.storage, g.storage) AS ls, coalesce(a.confidence, p.confidence, g.confidence) AS lq FROM n LEFT JOIN r a ON a.supplier = n.supplier AND a.key = n.key LEFT JOIN p ON p.id = n.id LEFT JOIN r g ON g.supplier IS NULL AND g.key = n.key),
+ f0 AS (SELECT n.id, r.supplier, r.print, r.target, r.category, r.storage, r.confidence, r.rank, r.priority, round(1 - levenshtein({ascii_of('n.key')}, {ascii_of('r.key')}) / greatest(length(n.key), length(r.key)), 9) AS similarity FROM x n JOIN r ON (r.supplier IS NULL OR r.supplier = n.supplier) AND {AGREE} WHERE own IS NULL AND pre IS NULL AND every IS NULL AND round(1 - levenshtein({ascii_of('n.key')}, {ascii_of('r.key')}) / greatest(length(n.key), length(r.key)), 9) >= {LEAST}),
  f1 AS (SELECT *, round(similarity + CASE WHEN supplier IS NULL THEN 0 ELSE 0.03::DOUBLE END + least(priority, 500) / 100000, 9) AS score, CASE WHEN supplier IS NULL THEN 'global_fuzzy' ELSE 'supplier_fuzzy' END AS way FROM f0),
  f2 AS (SELECT * FROM f1 QUALIFY row_number() OVER (PARTITION BY id, print ORDER BY score DESC, rank DESC, similarity DESC, print DESC, target DESC, way DESC) = 1),
  f AS (SELECT * FROM (SELECT *, row_number() OVER w AS k, lead(similarity) OVER w AS second FROM f2 WINDOW w AS (PARTITION BY id ORDER BY score DESC, rank DESC, similarity DESC, print DESC, target DESC, way DESC)) WHERE k = 1 AND (second IS NULL OR round(similarity - second, 9) >= 0.06))"""
@@ -87,7 +87,23 @@ LEARNED = f"""r0 AS (SELECT supplier, {sql_print('source')} AS key, source, targ
 @query(f"""WITH {LEARNED} SELECT x.id, coalesce(own, pre, every, f.target) AS target, CASE WHEN own IS NOT NULL THEN 'supplier_exact' WHEN pre IS NOT NULL THEN 'supplier_prefix' WHEN every IS NOT NULL THEN 'global_exact' ELSE f.way END AS "by",
  CASE WHEN own IS NULL AND pre IS NOT NULL THEN 0.97 WHEN coalesce(own, every) IS NOT NULL THEN 1 ELSE f.similarity END::DOUBLE AS similarity FROM x LEFT JOIN f ON f.id = x.id""")
 def er_find_learned(spark: SparkSession, d: str) -> DataFrame:
-    return R.found_rules(asked_names(spark, d), learned_rules(spark, d))
+    return R.found_rules(asked_names(spark, d), learned_rules(spark, d)).select("id", "target", "by", "similarity")
+
+
+STANDARD = "CASE " + " ".join(f"WHEN {'skin = ' + repr('skinless') + ' AND ' if s[0] == '삼겹살' else ''}(contains(c, '{s[0]}') OR regexp_matches(c, '(^|[\\s(])({a})($|[\\s()])')) THEN '{'|'.join(s[1:])}'" for s, (_, a) in zip(N.STANDARDS, N.ALIASES, strict=True)) + " END"
+
+
+@query(f"""WITH {LEARNED}, l AS (SELECT x.id, x.name, hinted, stated, x.key AS f, coalesce(own, pre, every, f.target) AS target, coalesce(lc, f.category) AS lc, coalesce(ls, f.storage) AS ls, coalesce(lq, f.confidence) AS lq, CASE WHEN own IS NOT NULL THEN 'supplier_exact' WHEN pre IS NOT NULL THEN 'supplier_prefix' WHEN every IS NOT NULL THEN 'global_exact' ELSE f.way END AS how FROM x LEFT JOIN f ON f.id = x.id),
+ c0 AS (SELECT *, {sql_canonical('name')} AS n, {SKIN} AS skin FROM l), c1 AS (SELECT *, n AS c, {CUT} AS rule, {STORE} AS stored FROM c0), c2 AS (SELECT *, {STANDARD} AS std, coalesce(stated, hinted, CASE WHEN skin <> 'unknown' THEN '돼지고기' END) AS declared FROM c1),
+ c3 AS (SELECT *, CASE WHEN coalesce(split_part(std, '|', 2) = declared, true) THEN std END AS s FROM c2),
+ c4 AS (SELECT id, f, skin, coalesce(split_part(s, '|', 2), CASE WHEN target IS NOT NULL THEN lc END, CASE WHEN split_part(rule, '|', 1) IN ('안심', '등심', '사태', '갈비') THEN coalesce(declared, split_part(rule, '|', 2)) ELSE split_part(rule, '|', 2) END) AS category, coalesce(split_part(s, '|', 3), target, split_part(rule, '|', 1)) AS cut,
+  CASE WHEN stored <> '미표기' THEN stored WHEN target IS NOT NULL AND ls <> '' THEN ls ELSE '보관미상' END AS storage, CAST(CASE WHEN s IS NOT NULL THEN 100 WHEN target IS NOT NULL THEN least(100, lq) WHEN rule IS NULL THEN 60 WHEN stored = '미표기' THEN 92 ELSE 96 END AS BIGINT) AS confidence, split_part(s, '|', 1) AS code,
+  CASE WHEN s IS NOT NULL THEN 'standard' WHEN target IS NOT NULL THEN how WHEN rule IS NOT NULL THEN 'rule' ELSE 'none' END AS "by", coalesce(split_part(s, '|', 4), CASE WHEN target IS NULL THEN CASE WHEN split_part(rule, '|', 2) = '돼지고기' AND skin = 'skin_on' THEN '미박' ELSE split_part(rule, '|', 3) END END, '') AS q FROM c3),
+ c5 AS (SELECT *, CASE WHEN category = '돼지고기' AND skin = 'skin_on' THEN '미박' WHEN category = '돼지고기' AND skin = 'skinless' AND cut <> '삼겹' THEN '박피' ELSE q END AS qualifier FROM c4)
+ SELECT id, category, cut, qualifier, storage, confidence, code, "by", lower(coalesce(category, '미분류') || '|' || storage || '|' || coalesce(cut, f) || '|' || qualifier) AS key FROM c5""")
+def er_classify_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Names by standard products, learned rules and the rules of cuts, in this order."""
+    return R.classified_names(asked_names(spark, d), learned_rules(spark, d))
 
 
 @query("SELECT id, CASE WHEN contains(name, '냉동') THEN '냉동' WHEN contains(name, '냉장') THEN '냉장' WHEN id % 7 = 0 THEN '냉동' WHEN id % 5 = 0 OR id % 3 = 0 AND size <= 30 THEN '냉장' WHEN id % 2 = 0 THEN '냉동' ELSE '보관미상' END AS storage, CASE WHEN contains(name, '냉동') OR contains(name, '냉장') THEN 'explicit_name' WHEN id % 7 = 0 THEN 'document_context' WHEN id % 5 = 0 THEN 'expiry_date' WHEN id % 3 = 0 AND size <= 30 THEN 'slaughter_age' WHEN id % 2 = 0 THEN 'learned_pattern' ELSE 'unknown' END AS source FROM goods")
