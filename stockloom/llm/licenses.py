@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +52,7 @@ TEMPLATES = (
 TEXTS = Path(__file__).parent / "license_texts"
 #: A passage has a whole text's licence from this cosine on: different licences share much of their wording.
 ALIKE = 0.8
-#: A block is so many adjoining paragraphs at most, as many as the longest notice has; longer licences are compared as whole texts.
+#: A block is so many adjoining paragraphs at most, as many as the longest notice has. Longer licences within a text are cut out by their title and number of paragraphs.
 BLOCK = 8
 CUE = r"(?i)licen[sc]|copyright|spdx|permission (?:is|to)|redistribution and use|public domain"
 #: A paragraph ends at a line without letters or digits, be it empty or a comment sign alone.
@@ -90,13 +92,30 @@ def identifier(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, " AND "))
 
 
+@cache
+def titles() -> dict[str, list[int]]:
+    """First lines of the whole licence texts of more than BLOCK paragraphs, as patterns, with these numbers of paragraphs."""
+    found: dict[str, list[int]] = {}
+    for f in sorted(TEXTS.glob("*.txt")):
+        parts = [x for x in re.split(r"\r?\n(?:[^\w\n]*\n)+", f.read_text()) if x.strip()]
+        if len(parts) > BLOCK:
+            line = next(x for x in f.read_text().splitlines() if x.strip()).split()
+            found.setdefault(r"(?im)^\W*" + r"\s+".join(map(re.escape, line)) + r"\W*$", []).append(len(parts))
+    return found
+
+
 def passages(text: Column) -> Column:
-    """The (level, text) that are compared: sentences or lines, blocks of paragraphs, the whole text."""
+    """The (level, text) that are compared: sentences or lines, blocks of paragraphs, whole licences from their title on, the whole text."""
 
     def blocks(x: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.get(x, i - 1).rlike(CUE))
         of = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.size(x) - i + 1)), lambda n: F.array_join(F.slice(x, i, n), "\n"))
-        return F.array_distinct(F.flatten(F.transform(starts, of)))
+
+        def long(title: str, n: int) -> Column:
+            return F.transform(F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.get(x, i - 1).rlike(title)), lambda i: F.array_join(F.slice(x, i, F.lit(n)), "\n"))
+
+        whole = [long(title, n) for title, sizes in titles().items() for n in sorted(set(sizes))]
+        return F.array_distinct(F.concat(F.flatten(F.transform(starts, of)), *whole, F.array().cast("array<string>")))
 
     def level(k: int, items: Column) -> Column:
         return F.transform(items, lambda x: F.struct(F.lit(k).alias("level"), x.alias("text")))
@@ -109,7 +128,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Co
     """One row for each row of df: id, path, license, similarity and origin ('file', 'header', 'inherited' or null).
 
     Passages of a text with a licensing cue are compared with the templates: its sentences or lines with the
-    cue, blocks of 1 to BLOCK adjoining paragraphs from each paragraph with it, and the whole text. A passage's
+    cue, blocks of 1 to BLOCK adjoining paragraphs from each paragraph with it, as many paragraphs as a whole licence has from its title
+    on, and the whole text. A passage's
     licence is that of the notice of the greatest TF-IDF cosine, if that is at least `least`, or that of a
     whole licence text from ALIKE on. A row's own licence is what its SPDX-License-Identifier lines say, as
     written and with similarity 1; else that of the passage most like a whole licence text; else that of its

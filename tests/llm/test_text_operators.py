@@ -8,9 +8,10 @@ import time
 from collections import Counter, defaultdict
 
 import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
-from stockloom.llm import chat, licenses, pii, quality_classifier, quality_rules, spotsigs
+from stockloom.llm import chat, licenses, pii, quality_classifier, quality_rules, registry, spotsigs
 from stockloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +103,11 @@ def test_quality_rules_keep_clean_rows(spark):
     assert share[1] > 0.99 and share[0] < 0.3
 
 
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op13_prefix_trie"])
+def test_same_rows_as_sql(spark, name):
+    same(spark, registry.queries()[name], registry.oracle_sql()[name], SF)
+
+
 def test_fingerprints(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()] + [(-5, None), (-4, "x")]
     order = sorted(rows)
@@ -378,6 +384,15 @@ def test_exchange_runs_both_ways(spark):
     assert len(report) == 2 and all(sum(r[f"text_{y}"] for y in ("bad", "good")) > 0 and sum(r[f"page_{y}"] for y in ("bad", "good")) > 0 for r in report)
 
 
+def test_whole_licences_within_longer_texts(spark):
+    full = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    prose = "\n\n".join(f"Paragraph {i} tells of rivers and of houses, and of nothing else at all that anyone could want to know." for i in range(60))
+    names = ["Apache-2.0", "GPL-2.0", "MPL-2.0", "LGPL-2.1"]
+    rows = [(i, f"{prose}\n\n{full[n]}\n\n{prose}") for i, n in enumerate(names)] + [(9, prose)]
+    got = {r.doc_id: r.license for r in licenses.scan(docs(spark, rows), path=F.concat(F.col("doc_id").cast("string"), F.lit("/x"))).collect()}
+    assert got == dict(enumerate(names)) | {9: None}
+
+
 def test_license_similarity_equals_brute_force(spark):
     rnd, words = random.Random(6), "licensed under the mit apache license version 2.0 gnu general public copyright of this program may not use file terms cc by 4.0".split()
     texts = ["license " + " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 14))) for _ in range(150)]
