@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from stockloom.sources.sinks import written
 
@@ -177,27 +178,29 @@ def first_scan(scans: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
-    """Folds each key's rows in order, as a stream over sorted partitions: only the last key's state is held, however many rows a key has.
+    """Folds each key's rows in order, as a stream of Arrow batches over sorted partitions: only the last key's state is held, however many rows a key has.
 
-    step(state, row) gives (state, output row); state is None at a key's first row. One key's rows go through one task, since each
-    outcome depends on the one before.
+    step(state, row) gives (state, output row or None); row is a tuple in the order of df's columns, and state is None at a key's first row.
+    One key's rows go through one task, since each outcome depends on the one before.
     """
-    names, at = df.columns, [df.columns.index(k) for k in keys]
+    at = [df.columns.index(k) for k in keys]
+    made_of = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for f in frames:
+        for b in batches:
             out = []
-            for row in f.itertuples(index=False, name=None):
-                mine = tuple(row[i] for i in at)
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                mine = [row[i] for i in at]
                 if mine != key:
                     key, state = mine, None
-                state, made = step(state, dict(zip(names, row, strict=True)))
+                state, made = step(state, row)
                 if made is not None:
                     out.append(made)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made_of, strict=True)], schema=made_of)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def till_sales(sales: DataFrame, stock: DataFrame) -> DataFrame:
@@ -206,13 +209,14 @@ def till_sales(sales: DataFrame, stock: DataFrame) -> DataFrame:
     s = sales.withColumn("again", k > 1).join(stock, ["store", "product"], "left")
     s = s.select("store", "product", "id", "sold_at", "again", F.col("quantity").cast("double").alias("quantity"), F.coalesce(F.col("available").cast("double"), F.lit(0.0)).alias("available"))
 
-    def step(left: float | None, r: dict) -> tuple[float, tuple]:
-        left = r["available"] if left is None else left
-        if r["again"]:
-            return left, (r["id"], "DUPLICATE_EVENT", left)
-        if r["quantity"] > left:
-            return left, (r["id"], "INSUFFICIENT_STOCK", left)
-        return left - r["quantity"], (r["id"], "SOLD", left - r["quantity"])
+    def step(left: float | None, r: tuple) -> tuple[float, tuple]:
+        _, _, i, _, again, quantity, available = r
+        left = available if left is None else left
+        if again:
+            return left, (i, "DUPLICATE_EVENT", left)
+        if quantity > left:
+            return left, (i, "INSUFFICIENT_STOCK", left)
+        return left - quantity, (i, "SOLD", left - quantity)
 
     return sorted_fold(s, ["store", "product"], ["sold_at", "id"], step, "id long, status string, left double")
 

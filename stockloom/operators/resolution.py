@@ -232,11 +232,12 @@ def halving_confidence(log: DataFrame, keys: list[str], order: list[str]) -> Dat
 
     rows = log.select(*keys, *order, "samples", "successes", "confidence")
 
-    def step(state: tuple | None, r: dict) -> tuple[tuple, tuple]:
+    def step(state: tuple | None, r: tuple) -> tuple[tuple, tuple]:
+        samples, successes, confidence = r[-3:]
         n, ok, sure = state or (0, 0, None)
-        sure = int(r["confidence"]) if sure is None else min(100, int((sure + r["confidence"]) / 2 + 0.5))
-        state = (n + int(r["samples"]), ok + int(r["successes"]), sure)
-        return state, (*(r[k] for k in keys), *state)
+        sure = int(confidence) if sure is None else min(100, int((sure + confidence) / 2 + 0.5))
+        state = (n + int(samples), ok + int(successes), sure)
+        return state, (*r[: len(keys)], *state)
 
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", samples long, successes long, confidence long"
     made = sorted_fold(rows, keys, order, step, schema)

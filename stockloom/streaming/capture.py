@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,14 +41,39 @@ def debounce_stream(stream: DataFrame, gap: float = 2.0) -> DataFrame:
 
 
 def debounce(rows: DataFrame, gap: float = 2.0) -> DataFrame:
-    """The batch twin: each code's scans in order of time, as a sorted stream; a dropped scan doesn't move the window."""
+    """The batch twin: each code's scans in order of time, as a sorted stream; a dropped scan doesn't move the window.
 
-    def step(last: float | None, r: dict) -> tuple[float, tuple | None]:
-        if last is not None and r["seconds"] - last < gap:
-            return last, None
-        return r["seconds"], (r["id"], r["code"], r["seconds"])
-
-    return sorted_fold(rows.select("code", "seconds", "id"), ["code"], ["seconds", "id"], step, "id long, code string, seconds double")
+    A scan at least `gap` behind the one before it is always accepted, whatever came of that one, so there a code's scans are cut into
+    sessions and dealt out by them; within a session the next accepted scan is sought by bisection.
+    """
+    w = Window.partitionBy("code").orderBy("seconds", "id")
+    cut = F.coalesce(F.col("seconds") - F.lag("seconds").over(w) >= gap, F.lit(True))
+    s = rows.select("code", "seconds", "id").withColumn("session", F.sum(cut.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, last = None, 0.0
+        for b in batches:
+            codes, numbers, times = b.column("code").to_pylist(), b.column("session").to_pylist(), b.column("seconds").to_numpy()
+            keep, i, n = [], 0, b.num_rows
+            while i < n:
+                mine, end = (codes[i], numbers[i]), i
+                while end < n and (codes[end], numbers[end]) == mine:
+                    end += 1
+                if mine != session:
+                    session, last = mine, times[i]
+                    keep.append(i)
+                    i += 1
+                while i < end:
+                    i += max(0, int(np.searchsorted(times[i:end], last + gap)) - 1)
+                    while i < end and times[i] - last < gap:
+                        i += 1
+                    if i < end:
+                        last = times[i]
+                        keep.append(i)
+                        i += 1
+            yield b.select(["id", "code", "seconds"]).take(pa.array(keep, pa.int64()))
+
+    return s.repartition("code", "session").sortWithinPartitions("code", "session", "seconds", "id").mapInArrow(run, "id long, code string, seconds double")
 
 
 def order_sessions(events: DataFrame, keys: list[str], idle_seconds: int) -> DataFrame:
@@ -112,11 +139,12 @@ def key_bursts(events: DataFrame, key: str, gap: float, most: float) -> DataFram
     Bursts typed too slowly for a scanner, over .08 seconds a character and half a second, are left out.
     """
 
-    def step(state: tuple | None, r: dict) -> tuple[tuple, tuple]:
-        first, last, burst = state or (r["seconds"], r["seconds"], r["id"])
-        if r["seconds"] - last > gap or r["seconds"] - first > most:
-            first, burst = r["seconds"], r["id"]
-        return (first, r["seconds"], burst), (r[key], burst, r["id"], r["seconds"], r["char"])
+    def step(state: tuple | None, r: tuple) -> tuple[tuple, tuple]:
+        mine, i, seconds, char = r
+        first, last, burst = state or (seconds, seconds, i)
+        if seconds - last > gap or seconds - first > most:
+            first, burst = seconds, i
+        return (first, seconds, burst), (mine, burst, i, seconds, char)
 
     rows = sorted_fold(events.select(key, "id", "seconds", "char"), [key], ["seconds", "id"], step, f"{key} long, burst long, id long, seconds double, char string")
     g = rows.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.struct("seconds", "id", "char"))).alias("c"), F.min("seconds").alias("a"), F.max("seconds").alias("b"))
