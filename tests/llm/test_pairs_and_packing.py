@@ -1,5 +1,6 @@
 """Near-duplicates, packing, token counts and mixing against brute force."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from oracle import same
+from pyspark.sql import functions as F
 from stockloom.llm import mixing, near_dedup, oracles, packing, tokens
 
 DOCS = "doc_id long, text string, source string, lang string, n_tokens int, keys string"
@@ -190,3 +192,39 @@ def test_mix_of_many_sizes(spark):
     for s in (0, 1):
         part = [r for r in got if r.doc_id % 2 == s]
         assert sum(r.taken for r in part) == pytest.approx(part[0].target, abs=2)
+
+
+def test_rates_are_the_entropy_optimum(spark):
+    """The dual's rates meet each target, and no small change that still meets it has less relative entropy to one copy within 0 and cap."""
+    rnd, cap = random.Random(12), 2.0
+    sizes = {sid: {rnd.randint(1, 400): rnd.randint(1, 30) for _ in range(25)} for sid in (1, 2, 3)}
+    words = {sid: sum(s * n for s, n in h.items()) for sid, h in sizes.items()}
+    target = {sid: words[sid] * part for sid, part in ((1, 0.4), (2, 1.3), (3, 1.9))}
+    mean = {sid: words[sid] / sum(h.values()) for sid, h in sizes.items()}
+    hist = spark.createDataFrame([(sid, s, n) for sid, h in sizes.items() for s, n in h.items()], "sid int, size long, n long")
+    goal = spark.createDataFrame([(sid, float(target[sid]), float(mean[sid])) for sid in sizes], "sid int, target double, mean double")
+    found = mixing.balance(hist, goal, cap)
+    rate = mixing.tilted(F.col("theta"), F.col("size"), F.col("mean"), cap)
+    got = {(r.sid, r.size): (r.n, r.rate) for r in hist.join(goal, "sid").join(found, "sid").select("sid", "size", "n", rate.alias("rate")).collect()}
+
+    def entropy(n, r):
+        return n * (r * math.log(r) + (cap - r) * math.log((cap - r) / (cap - 1)))
+
+    for sid, h in sizes.items():
+        assert sum(n * r * s for (i, s), (n, r) in got.items() if i == sid) == pytest.approx(target[sid], rel=2e-5)
+        for _ in range(200):
+            a, b = rnd.sample(sorted(h), 2)
+            (na, ra), (nb, rb) = got[sid, a], got[sid, b]
+            step = rnd.choice([-1, 1]) * 1e-3
+            other = -step * na * a / (nb * b)
+            if 0 < ra + step < cap and 0 < rb + other < cap:
+                assert entropy(na, ra + step) + entropy(nb, rb + other) >= entropy(na, ra) + entropy(nb, rb) - 1e-6
+
+
+def test_equal_documents_share_the_copies_evenly(spark):
+    rows = [(i, "w " * 10, "a") for i in range(1000)] + [(5000 + i, "w " * 7, "b") for i in range(300)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    for source in ("a", "b"):
+        mine = [r for r in got if (r.doc_id >= 5000) == (source == "b")]
+        copies = [r.copies for r in mine]
+        assert max(copies) - min(copies) <= 1 and sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=10)
