@@ -128,9 +128,25 @@ def header_columns(tokens: DataFrame, labels: tuple[tuple[str, str], ...]) -> Da
 
 
 def apart_boxes(boxes: DataFrame, overlap: Column, most: int = 3) -> DataFrame:
-    """A document's boxes of the least confidence, without any that overlaps another by .65 or more; overlap compares a box a with a box b."""
-    a, b = (boxes.select("doc", F.struct(*[c for c in boxes.columns if c != "doc"]).alias(n)) for n in "ab")
-    hit = a.join(b, "doc").where((F.col("a.id") != F.col("b.id")) & (overlap >= 0.65)).select("doc", F.col("a.id").alias("id")).distinct()
+    """A document's boxes of the least confidence, without any that overlaps another by .65 or more of the smaller one; overlap compares a box a with a box b.
+
+    Boxes at the same place are compared as one, which holds their least and greatest id. As more than half of the smaller box lies in
+    the other, its centre does; so boxes meet by cells: one as wide as the other's longer side, rounded up to a power of two, holds the centre.
+    """
+    place = ["doc", "x", "y", "w", "h"]
+    p = boxes.groupBy(*place).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("w > 0 AND h > 0")
+    level = F.ceil(F.log2(F.greatest("w", "h").cast("double"))).cast("int")
+    p = p.select("doc", F.struct(*place[1:], "low", "high").alias("b"), level.alias("level"))
+    cells = lambda s, d: F.sequence(F.floor(F.col(f"b.{s}") / F.pow(F.lit(2.0), "level")), F.floor((F.col(f"b.{s}") + F.col(f"b.{d}")) / F.pow(F.lit(2.0), "level")))
+    larger = p.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
+    levels = p.groupBy("doc").agg(F.collect_set("level").alias("levels"))
+    cell = lambda s, d: F.floor((F.col(f"a.{s}") + F.col(f"a.{d}") / 2) / F.pow(F.lit(2.0), "level"))
+    smaller = p.select("doc", F.col("b").alias("a")).join(levels, "doc").withColumn("level", F.explode("levels"))
+    smaller = smaller.select("doc", "a", "level", cell("x", "w").alias("cx"), cell("y", "h").alias("cy"))
+    met = smaller.join(larger, ["doc", "level", "cx", "cy"]).where(overlap >= 0.65)
+    sides = lambda own, other: met.select("doc", *(F.col(f"{own}.{c}").alias(c) for c in place[1:]), F.col(f"{other}.low").alias("low"), F.col(f"{other}.high").alias("high"))
+    near = sides("a", "b").unionByName(sides("b", "a")).groupBy(*place).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hit = boxes.join(near, place).where((F.col("id") != F.col("low")) | (F.col("id") != F.col("high"))).select("doc", "id").distinct()
     return best_rows(boxes.join(hit, ["doc", "id"], "left_anti"), ["doc"], [F.asc("confidence"), F.asc("id")], most)
 
 

@@ -16,6 +16,7 @@ from stockloom.operators import ledger as L
 from stockloom.operators import posting as P
 from stockloom.operators import resolution as E
 from stockloom.operators import stock as K
+from stockloom.operators import summaries as M
 from stockloom.operators.neighbours import similar_pairs
 from stockloom.sources import readers as R
 from stockloom.streaming import capture as C
@@ -258,3 +259,31 @@ def test_order_sessions(spark):
     rows = [(1, "a", at(0), "label"), (2, "a", at(1), "receipt"), (3, "a", at(2), "label"), (4, "a", at(3), "receipt"), (5, "a", at(4), "label"), (6, "a", at(30), "label")]
     df = spark.createDataFrame(rows, "id long, agent string, at timestamp, kind string")
     assert {r.id: r.order_id for r in C.order_sessions(df, ["agent"], 10).collect()} == {1: None, 2: 2, 3: 2, 4: 4, 5: 4, 6: None}
+
+
+def test_boxes_at_one_place_are_compared_once(spark):
+    r = random.Random(5)
+    rows = [(d, i, 100 * r.randrange(3), 100 * r.randrange(3), 110, 110, r.randrange(50)) for d in "ab" for i in range(150)]
+    rows += [("c", i, r.randrange(-60, 60), r.randrange(60), r.choice((1, 7, 20, 90)), r.choice((0, 2, 7, 33)), r.randrange(50)) for i in range(120)]
+    rows += [("d", 1, 0, 0, 5, 5, 1), ("d", 1, 0, 0, 5, 5, 1), ("d", 2, 9, 9, 5, 5, 1), ("d", 3, 9, 10, 5, 5, 1), ("d", 4, 0, 9, 5, 5, 1)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def share(a, b):
+        side = lambda p, s: max(0, min(a[p] + a[s], b[p] + b[s]) - max(a[p], b[p]))
+        least = min(a["w"] * a["h"], b["w"] * b["h"])
+        return side("x", "w") * side("y", "h") / least if least > 0 else 0.0
+
+    def counted(a, b):
+        calls.add(1)
+        return float(share(a, b))
+
+    names = ("doc", "id", "x", "y", "w", "h", "confidence")
+    boxes = [dict(zip(names, x, strict=True)) for x in rows]
+    want = set()
+    for d in "abcd":
+        own = [x for x in boxes if x["doc"] == d]
+        hit = {x["id"] for x in own for y in own if x["id"] != y["id"] and share(x, y) >= 0.65}
+        want |= {(d, x["id"]) for x in sorted((x for x in own if x["id"] not in hit), key=lambda x: (x["confidence"], x["id"]))[:3]}
+    df = spark.createDataFrame(rows, "doc string, id int, x int, y int, w int, h int, confidence int")
+    assert {(x.doc, x.id) for x in M.apart_boxes(df, F.udf(counted, "double")("a", "b")).collect()} == want and len(want) > 4
+    assert calls.value < len(rows) ** 2 / 10
