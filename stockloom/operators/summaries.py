@@ -80,10 +80,11 @@ def best_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int =
 
 
 def optional_alias(suppliers: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Suppliers with the alias whose key equals the key of their name, else of their code: two equi joins in place of an OR."""
-    by = lambda c, p: suppliers.join(aliases.select(F.col("key").alias(c), "alias"), c).select("id", "alias", F.lit(p).alias("place"))
-    found = best_rows(by("name_key", 0).unionByName(by("code_key", 1)), ["id"], [F.asc("place"), F.asc("alias")])
-    return suppliers.join(found, "id", "left")
+    """Suppliers with the alias whose key equals the key of their name, else of their code: two equi joins in place of an OR. A key stands for its least alias."""
+    least = aliases.groupBy("key").agg(F.min("alias").alias("alias"))
+    by = lambda c, p: suppliers.join(least.select(F.col("key").alias(c), "alias"), c).select("id", F.struct(F.lit(p).alias("place"), "alias").alias("x"))
+    found = by("name_key", 0).unionByName(by("code_key", 1)).groupBy("id").agg(F.min("x").alias("x"))
+    return suppliers.join(found.select("id", "x.alias"), "id", "left")
 
 
 def word_candidates(lines: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:

@@ -287,3 +287,11 @@ def test_boxes_at_one_place_are_compared_once(spark):
     df = spark.createDataFrame(rows, "doc string, id int, x int, y int, w int, h int, confidence int")
     assert {(x.doc, x.id) for x in M.apart_boxes(df, F.udf(counted, "double")("a", "b")).collect()} == want and len(want) > 4
     assert calls.value < len(rows) ** 2 / 10
+
+
+def test_a_key_stands_for_its_least_alias(spark):
+    suppliers = spark.createDataFrame([(1, "n1", "c1"), (2, "n2", "c1"), (3, "n3", "c9")], "id int, name_key string, code_key string")
+    aliases = spark.createDataFrame([("c1", None), ("c1", "B"), ("c1", "A"), ("n2", "Z")], "key string, alias string")
+    x = M.optional_alias(suppliers, aliases)
+    assert {r.id: r.alias for r in x.collect()} == {1: "A", 2: "Z", 3: None}
+    assert "Window" not in x._jdf.queryExecution().toString()
