@@ -242,7 +242,7 @@ def doc_tax_policy(spark: SparkSession, d: str) -> DataFrame:
     return goods(spark, d).select("id", t.alias("t")).select("id", "t.treatment", "t.amount", "t.review")
 
 
-@query("""SELECT id, substr(barcode, 2, 6) AS item, CASE id % 3 WHEN 0 THEN 25000.0 WHEN 1 THEN floor(a / 0.5 + 0.5) ELSE floor(9000 / 0.6 + 0.5) END::DOUBLE AS price_per_kg,
+@query("""SELECT id, substr(barcode, 2, 6) AS item, CASE id % 3 WHEN 0 THEN 25000.0 WHEN 1 THEN CASE WHEN a > 0 THEN floor(a / 0.5 + 0.5) END ELSE floor(9000 / 0.6 + 0.5) END::DOUBLE AS price_per_kg,
  CASE WHEN id % 3 < 2 THEN 'PRICE' WHEN a = 500 THEN 'WEIGHT' END AS embeds, id % 3 = 2 AND a <> 500 OR id % 2 = 1 AS review FROM (SELECT id, barcode, CAST(substr(barcode, 8, 5) AS BIGINT) AS a FROM sales)""")
 def bc_label_normalise(spark: SparkSession, d: str) -> DataFrame:
     s, k = sales(spark, d), F.col("id") % 3
