@@ -53,6 +53,11 @@ def banded(tokens: DataFrame, order: list[str], last_only: bool = False) -> Data
     return rows.mapInArrow(run, f"{kinds}, band long")
 
 
+def reading_order(tokens: DataFrame) -> list[str]:
+    """From top to bottom and left to right; equal ids are told apart by all else that a token says."""
+    return ["y", "x", "id", *(c for c in ("text", "w", "h", "confidence") if c in tokens.columns)]
+
+
 def header_tokens(tokens: DataFrame) -> DataFrame:
     """The surest token of each document for each column of HEADERS: tokens (doc, id, text, x, y, w, h, confidence), x and y the left and upper edges.
 
@@ -128,12 +133,12 @@ def line_clusters(tokens: DataFrame) -> DataFrame:
     """Tokens (doc, id, x, y, h) with their line's number, from top to bottom: a line goes on while the next centre y is near its running mean, within .75 of the document's median height, 12 at least."""
     middle = F.median(F.when(F.col("h") > 0, F.col("h"))).over(Window.partitionBy("doc")) * 0.75
     reach = F.greatest(F.lit(12.0), F.when(middle > 0, middle).otherwise(16.0))
-    return banded(tokens.withColumn("tolerance", reach), ["y", "x", "id"], last_only=True).withColumnRenamed("band", "line").drop("tolerance")
+    return banded(tokens.withColumn("tolerance", reach), reading_order(tokens), last_only=True).withColumnRenamed("band", "line").drop("tolerance")
 
 
 def grouped_lines(tokens: DataFrame) -> DataFrame:
     """Tokens (doc, id, x, y, h, text, confidence) as lines of text (doc, line, text, confidence): each token joins the first line whose mean y is within .7 of its height, 12 at least."""
-    t = banded(tokens.withColumn("tolerance", F.greatest(F.lit(12.0), F.col("h") * 0.7)), ["y", "x", "id"])
+    t = banded(tokens.withColumn("tolerance", F.greatest(F.lit(12.0), F.col("h") * 0.7)), reading_order(tokens))
     g = t.groupBy("doc", "band").agg(F.array_sort(F.collect_list(F.struct("x", "id", "text"))).alias("t"), F.avg("y").alias("y"), F.round(F.avg("confidence"), 2).alias("confidence"))
     row = F.row_number().over(Window.partitionBy("doc").orderBy("y", "band")).cast("long")
     return g.select("doc", row.alias("line"), F.trim(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("text"), "confidence")

@@ -292,7 +292,7 @@ def doc_trace_attach(spark: SparkSession, d: str) -> DataFrame:
     return Y.traces_of_lines(l.where("row % 2 = 1").select("doc", "row"), l.where("trace <> ''").select("doc", "row", "trace")).where(F.size("traces") > 0)
 
 
-@query("""WITH t AS (SELECT *, greatest(12, h * 0.7) AS reach, row_number() OVER (PARTITION BY doc ORDER BY y, x, id, text, w, h, confidence) AS k FROM page_tokens),
+@query("""WITH t AS (SELECT *, greatest(12, h * CAST(0.7 AS DOUBLE)) AS reach, row_number() OVER (PARTITION BY doc ORDER BY y, x, id, text, w, h, confidence) AS k FROM page_tokens),
  r AS (SELECT doc, k, CAST(1 AS BIGINT) AS band, [CAST(y AS DOUBLE)] AS s, [1] AS n FROM t WHERE k = 1 UNION ALL SELECT doc, k, coalesce(hit, len(s) + 1), CASE WHEN hit IS NULL THEN s || [CAST(y AS DOUBLE)] ELSE list_transform(range(1, len(s) + 1), lambda i: s[i] + CASE WHEN i = hit THEN y ELSE 0 END) END, CASE WHEN hit IS NULL THEN n || [1] ELSE list_transform(range(1, len(n) + 1), lambda i: n[i] + CASE WHEN i = hit THEN 1 ELSE 0 END) END
   FROM (SELECT t.doc, t.k, t.y, s, n, list_filter(range(1, len(s) + 1), lambda i: abs(s[i] / n[i] - t.y) <= reach)[1] AS hit FROM r JOIN t ON t.doc = r.doc AND t.k = r.k + 1)),
  g AS (SELECT t.doc, band, avg(t.y) AS y, string_agg(text, ' ' ORDER BY x, id, text) AS text, round(avg(confidence), 2) AS confidence FROM t JOIN r ON r.doc = t.doc AND r.k = t.k GROUP BY 1, 2)

@@ -27,3 +27,8 @@ def agrees(spark, name, folder):
 def test_labels_without_an_amount(spark, tmp_path):
     events = f"SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END AS value) FROM '{SF}/sf0.001/events.parquet'"
     agrees(spark, "bc_label_normalise", tables(tmp_path, events=events))
+
+
+def test_lines_that_a_tolerance_just_reaches(spark, tmp_path):
+    lines = f"SELECT * FROM '{SF}/sf0.1/lineitem.parquet' WHERE l_orderkey // 8 IN (1797, 4945, 12485, 15930)"
+    agrees(spark, "doc_line_grouping", tables(tmp_path, lineitem=lines))
