@@ -91,7 +91,8 @@ def pst_channel_sale(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {STOCK}, s AS (SELECT p_partkey AS id, p_partkey % 10 AS store, p_name AS product, CASE WHEN p_size % 7 > 0 THEN CAST(p_size % 7 * 100 AS DECIMAL(18,3)) END AS q, CASE WHEN p_partkey % 2 = 1 THEN CAST(round(p_retailprice, 2) AS DECIMAL(18,2)) END AS price, CASE WHEN p_partkey % 2 = 0 THEN CAST(round(p_retailprice, 2) AS DECIMAL(18,2)) END AS amount FROM part)
- SELECT id, CAST(coalesce(amount, q * coalesce(price, 0)) AS DOUBLE) AS amount, CAST(round(coalesce(CAST(price AS DOUBLE), coalesce(amount, q * coalesce(price, 0)) / q), 2) AS DOUBLE) AS price, CASE WHEN q IS NULL THEN 'QUANTITY_REQUIRED' END AS error, CASE WHEN q IS NOT NULL THEN coalesce(stock.q, 0) < s.q END AS low FROM s LEFT JOIN stock ON stock.store = s.store AND stock.product = s.product""".replace("q IS NULL THEN 'Q", "s.q IS NULL THEN 'Q").replace("WHEN q IS NOT NULL", "WHEN s.q IS NOT NULL").replace("amount, q * coalesce", "amount, s.q * coalesce").replace("0)) / q)", "0)) / s.q)"))
+ SELECT id, CAST(coalesce(s.amount, s.q * coalesce(s.price, 0)) AS DOUBLE) AS amount, coalesce(CAST(s.price AS DOUBLE), CASE WHEN s.q > 0 THEN (CAST(coalesce(s.amount, 0) * 100 AS BIGINT) * 2000 + CAST(s.q * 1000 AS BIGINT)) // (2 * CAST(s.q * 1000 AS BIGINT)) / 100 END) AS price,
+ CASE WHEN s.q IS NULL THEN 'QUANTITY_REQUIRED' END AS error, CASE WHEN s.q IS NOT NULL THEN coalesce(stock.q, 0) < s.q END AS low FROM s LEFT JOIN stock ON stock.store = s.store AND stock.product = s.product""")
 def pst_manual_sale(spark: SparkSession, d: str) -> DataFrame:
     """Sales typed in by hand, some without a quantity: what is missing follows from the rest, and low stock is told, not refused."""
     k, size, price = F.col("p_partkey"), F.col("p_size"), F.round("p_retailprice", 2).cast("decimal(18,2)")

@@ -32,3 +32,8 @@ def test_labels_without_an_amount(spark, tmp_path):
 def test_lines_that_a_tolerance_just_reaches(spark, tmp_path):
     lines = f"SELECT * FROM '{SF}/sf0.1/lineitem.parquet' WHERE l_orderkey // 8 IN (1797, 4945, 12485, 15930)"
     agrees(spark, "doc_line_grouping", tables(tmp_path, lineitem=lines))
+
+
+def test_prices_at_half_a_cent(spark, tmp_path):
+    part = f"SELECT * REPLACE (903.0 AS p_retailprice, 2 AS p_size) FROM '{SF}/sf0.001/part.parquet'"
+    agrees(spark, "pst_manual_sale", tables(tmp_path, part=part))
