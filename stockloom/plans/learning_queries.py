@@ -314,7 +314,12 @@ def doc_mobile_limits(spark: SparkSession, d: str) -> DataFrame:
     return l.select("doc", "row", Y.line_messages(F.col("quantity"), F.col("price"), F.col("amount"), F.col("trace"), F.col("quantity") * 3000, F.col("price") * 200).alias("messages"))
 
 
-FRESH = """m AS (SELECT product, CAST(sum(CASE WHEN kind = 'OUT' THEN -qty ELSE qty END) AS DOUBLE) AS on_hand, CAST(coalesce(sum(qty) FILTER (kind = 'IN' AND expiry <= DATE '1998-09-05'), 0) AS DOUBLE) AS waste FROM movements WHERE is_active GROUP BY 1),
+def printed(x: str, places: int) -> str:
+    """SQL that rounds a double as it is printed, half away from zero; DuckDB's own round multiplies first, which can cross a half."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), {places}) AS DOUBLE)"
+
+
+FRESH = f"""m AS (SELECT product, CAST(sum(CASE WHEN kind = 'OUT' THEN -qty ELSE qty END) AS DOUBLE) AS on_hand, CAST(coalesce(sum(qty) FILTER (kind = 'IN' AND expiry <= DATE '1998-09-05'), 0) AS DOUBLE) AS waste FROM movements WHERE is_active GROUP BY 1),
  dd AS (SELECT CAST(unnest(range(DATE '1998-09-02' - 55, DATE '1998-09-02' + 1, INTERVAL 1 DAY)) AS DATE) AS day), so AS (SELECT product, day, CAST(sum(qty) AS DOUBLE) AS s FROM movements WHERE is_active AND kind = 'OUT' AND day BETWEEN DATE '1998-09-02' - 55 AND DATE '1998-09-02' GROUP BY 1, 2),
  st AS (SELECT product, round(avg(sold) FILTER (day > DATE '1998-09-02' - 7) * 0.65 + avg(sold) * 0.35, 3) AS demand, round(stddev_samp(sold), 3) AS deviation, count(*) AS days, round(least(0.95, 0.25 + count(*) / 56), 2)::DOUBLE AS confidence FROM (SELECT c.product, dd.day, coalesce(s, 0) AS sold FROM (SELECT DISTINCT product FROM so) c CROSS JOIN dd LEFT JOIN so ON so.product = c.product AND so.day = dd.day) GROUP BY 1),
  yp AS (SELECT p_name AS product, greatest(0.78, least(0.96, (0.88 * 50 + sum(o) FILTER (ok)) / (50 + sum(i) FILTER (ok)))) AS r, count(*) FILTER (ok) AS n, sum(i) FILTER (ok) AS i FROM (SELECT p_name, p_size::DOUBLE AS i, p_size * 0.9::DOUBLE AS o, abs(p_size::DOUBLE - p_size * 0.9::DOUBLE - 0.5::DOUBLE) / p_size <= 0.1 AS ok FROM part WHERE p_size > 25) GROUP BY 1),
@@ -322,7 +327,7 @@ FRESH = """m AS (SELECT product, CAST(sum(CASE WHEN kind = 'OUT' THEN -qty ELSE
   FROM m FULL JOIN st ON st.product = m.product LEFT JOIN yp ON yp.product = coalesce(m.product, st.product) WHERE on_hand > 0 OR days IS NOT NULL),
  c AS (SELECT *, 1.28 * deviation AS safety, CASE WHEN demand > 0 THEN demand * 5 * 0.9 ELSE 'inf'::DOUBLE END AS cap, greatest(0, on_hand - waste) AS available FROM x), t AS (SELECT *, greatest(0, least(demand * 2 + safety, cap)) AS target FROM c),
  o AS (SELECT *, CASE WHEN target - available <= 0 THEN 0 ELSE ceil((target - available) / rate) END AS order_, least(0.98, confidence * 0.35 + 0.7 * 0.30 + known * 0.15) AS sure FROM t),
- f AS (SELECT product, on_hand, waste, available, round(safety + demand, 3) AS reorder_point, round(target, 3) AS target, round(order_, 3)::DOUBLE AS recommended, round(sure, 2)::DOUBLE AS sure, CASE WHEN sure < 0.55 OR days < 7 THEN 'REVIEW' WHEN waste > 0 OR available >= cap THEN 'REDUCE' WHEN order_ > 0 THEN 'ORDER' ELSE 'HOLD' END AS action,
+ f AS (SELECT product, on_hand, waste, available, {printed("safety + demand", 3)} AS reorder_point, {printed("target", 3)} AS target, {printed("order_", 3)} AS recommended, {printed("sure", 2)} AS sure, CASE WHEN sure < 0.55 OR days < 7 THEN 'REVIEW' WHEN waste > 0 OR available >= cap THEN 'REDUCE' WHEN order_ > 0 THEN 'ORDER' ELSE 'HOLD' END AS action,
   concat_ws(',', CASE WHEN days < 56 THEN 'DEMAND_HISTORY_SHORT' ELSE 'DEMAND_HISTORY_OK' END, 'INVENTORY_CHECK_REQUIRED', CASE WHEN waste > 0 THEN 'EXPIRY_RISK' ELSE 'EXPIRY_CLEAR' END, CASE WHEN rate < 1 AND known < 0.75 THEN 'YIELD_LEARNING' ELSE 'YIELD_READY' END) AS reasons FROM o)"""
 
 

@@ -37,3 +37,7 @@ def test_lines_that_a_tolerance_just_reaches(spark, tmp_path):
 def test_prices_at_half_a_cent(spark, tmp_path):
     part = f"SELECT * REPLACE (903.0 AS p_retailprice, 2 AS p_size) FROM '{SF}/sf0.001/part.parquet'"
     agrees(spark, "pst_manual_sale", tables(tmp_path, part=part))
+
+
+def test_targets_at_half_a_gram(spark):
+    agrees(spark, "an_fresh_stock", f"{SF}/sf0.01")
