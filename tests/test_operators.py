@@ -295,3 +295,13 @@ def test_a_key_stands_for_its_least_alias(spark):
     x = M.optional_alias(suppliers, aliases)
     assert {r.id: r.alias for r in x.collect()} == {1: "A", 2: "Z", 3: None}
     assert "Window" not in x._jdf.queryExecution().toString()
+
+
+def test_evidence_is_told_line_by_line(spark):
+    fields = [(n, "1" if n in D.CRITICAL[:5] else "x", "DERIVED" if n in D.DERIVABLE else "OBSERVED", "f") for n in D.REQUIRED if n != "traceOrImportNo"]
+    fields = [(n, "0" if n == "taxAmount" else v, s, f) for n, v, s, f in fields]
+    rows = [("a", 1, "EXEMPT", [*fields, ("traceOrImportNo", "L012345678901", "INFERRED", None)]), ("a", 2, "TAXABLE", [*fields, ("traceOrImportNo", None, "OBSERVED", None)])]
+    x = D.line_evidence(spark.createDataFrame(rows, "doc string, row int, treatment string, fields array<struct<field:string,value:string,status:string,formula:string>>"))
+    assert "Exchange" not in x._jdf.queryExecution().toString()
+    got = {r.row: (r.issues, r.proven) for r in x.collect()}
+    assert got == {1: (["CRITICAL_FIELD_INFERRED:traceOrImportNo"], 11), 2: (["REQUIRED_FIELD_MISSING:traceOrImportNo", "DERIVED_EVIDENCE_NOT_PROVEN:taxAmount"], 11)}
