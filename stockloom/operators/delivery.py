@@ -39,21 +39,26 @@ def with_values(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     return x.withColumn("product", F.col("map.product")).withColumn("mapped", F.col("map").isNotNull()).withColumn("qty", qty.cast("decimal(18,3)")).withColumn("worth", worth.cast("decimal(18,2)")).drop("map")
 
 
-def order_facts(orders: DataFrame, lines: DataFrame, mapping: DataFrame) -> DataFrame:
-    """A row for each line of an order's first request, and one for each order without lines or asked for again: values, the order's scale amount, and its first error, null where only stock can refuse it."""
-    o = orders.withColumnRenamed("amount", "total").withColumn("nth", F.row_number().over(Window.partitionBy("channel", "order_id").orderBy("at")))
-    v = with_values(o.join(lines.withColumn("nth", F.lit(1)), ["order_id", "nth"], "left"), mapping)
-    own = Window.partitionBy("order_id", "nth")
-    v = v.withColumn("lines", F.count("line_no").over(own))
-    head = (
+def order_heads(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each request for an order (order_id, store, at, total) with the first error that it shows without its lines' values, else null; the first of an id in time counts."""
+    n = lines.groupBy("order_id").agg(F.count("line_no").alias("lines"))
+    o = orders.withColumnRenamed("amount", "total").withColumn("nth", F.row_number().over(Window.partitionBy("channel", "order_id").orderBy("at"))).join(n, "order_id", "left")
+    error = (
         F.when(F.col("channel") != "COUPANG", "DELIVERY_CHANNEL_NOT_SUPPORTED").when(F.length(F.col("order_id").cast("string")) < 3, "DELIVERY_ORDER_ID_REQUIRED").when(~F.coalesce(F.col("total") > 0, F.lit(False)), "DELIVERY_ORDER_AMOUNT_REQUIRED")
-        .when(F.col("nth") > 1, "DUPLICATE_DELIVERY_ORDER").when(F.col("lines") < 1, "DELIVERY_LINES_REQUIRED").when(F.col("lines") > 50, "DELIVERY_LINE_COUNT_INVALID")
+        .when(F.col("nth") > 1, "DUPLICATE_DELIVERY_ORDER").when(F.coalesce("lines", F.lit(0)) < 1, "DELIVERY_LINES_REQUIRED").when(F.col("lines") > 50, "DELIVERY_LINE_COUNT_INVALID")
     )
+    return o.select("order_id", "store", "at", "total", error.alias("error"))
+
+
+def line_facts(sound: DataFrame, lines: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The lines of sound orders (order_id, store) with their values, and their order's error by its lines, null where only stock can refuse it."""
+    v = with_values(sound.select("order_id", "store").join(lines, "order_id"), mapping)
     wrong = F.when(~F.coalesce(F.col("barcode").rlike(BARCODE), F.lit(False)), "INVALID_BARCODE").when(~F.col("mapped"), "BARCODE_NOT_MAPPED").when(F.col("qty").isNull() | F.col("worth").isNull(), "SALE_VALUE_REQUIRED").when(F.col("qty") <= 0, "INVALID_QUANTITY")
-    first, scale = F.min(F.when(wrong.isNotNull(), F.struct("line_no", wrong.alias("code")))).over(own), F.sum("worth").over(own)
-    v = v.withColumn("first", first).withColumn("scale", scale)
-    line = F.when(F.col("first").isNotNull(), F.concat(F.col("first.code"), F.lit("_LINE_"), F.col("first.line_no"))).when(~F.coalesce(F.col("scale") > 0, F.lit(False)), "DELIVERY_SCALE_AMOUNT_REQUIRED")
-    return v.select("order_id", "nth", "store", "at", "total", "line_no", "product", "qty", "worth", F.coalesce(head, line).alias("error"))
+    v = v.select("order_id", "store", "line_no", "product", "qty", "worth", wrong.alias("wrong"))
+    own = Window.partitionBy("order_id")
+    v = v.withColumn("first", F.min(F.when(F.col("wrong").isNotNull(), F.struct("line_no", "wrong"))).over(own)).withColumn("scale", F.sum("worth").over(own))
+    error = F.when(F.col("first").isNotNull(), F.concat(F.col("first.wrong"), F.lit("_LINE_"), F.col("first.line_no"))).when(~F.coalesce(F.col("scale") > 0, F.lit(False)), "DELIVERY_SCALE_AMOUNT_REQUIRED")
+    return v.select("order_id", "store", "line_no", "product", "qty", "worth", error.alias("error"))
 
 
 def lacking_stock(rivals: DataFrame) -> DataFrame:
@@ -106,15 +111,20 @@ def fulfilled(orders: DataFrame, lines: DataFrame, mapping: DataFrame, stock: Da
     Only products of which the valid orders together ask for more than there is can refuse one, so only orders
     with such a product pass through the fold over a store; all others are settled by sums.
     """
-    facts = written(order_facts(orders, lines, mapping))
-    valid = facts.where("error IS NULL")
+    heads = written(order_heads(orders, lines))
+    sound = heads.where("error IS NULL").drop("error")
+    facts = written(line_facts(sound, lines, mapping))
+    valid = facts.where("error IS NULL").drop("error")
     asked = valid.groupBy("store", "product").agg(F.sum("qty").alias("asked")).join(stock, ["store", "product"], "left")
     scarce = asked.withColumn("available", F.coalesce("available", F.lit(0)).cast("decimal(18,3)")).where("asked > available").select("store", "product", "available")
-    refused = written(lacking_stock(valid.join(scarce, ["store", "product"])))
+    timed = lambda x: x.join(sound.select("order_id", "at", "total"), "order_id")
+    refused = written(lacking_stock(timed(valid.join(scarce, ["store", "product"]))))
     reason = F.concat(F.lit("INSUFFICIENT_STOCK_LINE_"), F.col("short"), F.lit("_AVAILABLE_"), F.col("left").cast("string"))
-    heads = facts.where(F.coalesce("line_no", F.lit(1)) == 1).select("order_id", "store", "at", "error")
-    o = heads.join(refused.withColumnRenamed("line_no", "short"), "order_id", "left").select("order_id", "store", "at", F.coalesce("error", reason).alias("error"))
-    done = allocate(valid.join(refused, "order_id", "left_anti"), "order_id", ["line_no"], "worth", "total")
+    by_line = facts.groupBy("order_id").agg(F.max("error").alias("line_error")).where("line_error IS NOT NULL")
+    by_stock = refused.select("order_id", F.col("line_no").alias("short"), "left")
+    settled = sound.select("order_id", "store", "at").join(by_line, "order_id", "left").join(by_stock, "order_id", "left").select("order_id", "store", "at", F.coalesce("line_error", reason).alias("error"))
+    o = heads.where("error IS NOT NULL").select("order_id", "store", "at", "error").unionByName(settled)
+    done = allocate(timed(valid.join(refused, "order_id", "left_anti")), "order_id", ["line_no"], "worth", "total")
     return o, done.select("order_id", "line_no", "store", "product", F.col("qty").cast("double").alias("quantity"), F.col("allocated").cast("double").alias("amount"), "at")
 
 

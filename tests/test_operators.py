@@ -305,3 +305,12 @@ def test_evidence_is_told_line_by_line(spark):
     assert "Exchange" not in x._jdf.queryExecution().toString()
     got = {r.row: (r.issues, r.proven) for r in x.collect()}
     assert got == {1: (["CRITICAL_FIELD_INFERRED:traceOrImportNo"], 11), 2: (["REQUIRED_FIELD_MISSING:traceOrImportNo", "DERIVED_EVIDENCE_NOT_PROVEN:taxAmount"], 11)}
+
+
+def test_an_order_without_a_first_line_is_told(spark):
+    orders = spark.createDataFrame([("ord-1", 7, "COUPANG", Decimal(100), 1)], "order_id string, store int, channel string, amount decimal(18,2), at int")
+    lines = spark.createDataFrame([("ord-1", 2, "000001", "000001", None, None), ("ord-1", 3, "000001", "000001", None, None)], "order_id string, line_no int, code string, barcode string, quantity decimal(18,3), amount decimal(18,2)")
+    stock = spark.createDataFrame([(7, "own2", Decimal(2))], "store int, product string, available decimal(18,3)")
+    o, done = V.fulfilled(orders, lines, mappings(spark), stock)
+    assert [(r.order_id, r.error) for r in o.collect()] == [("ord-1", None)]
+    assert sorted((r.line_no, r.amount) for r in done.collect()) == [(2, 50.0), (3, 50.0)]
