@@ -314,3 +314,10 @@ def test_an_order_without_a_first_line_is_told(spark):
     o, done = V.fulfilled(orders, lines, mappings(spark), stock)
     assert [(r.order_id, r.error) for r in o.collect()] == [("ord-1", None)]
     assert sorted((r.line_no, r.amount) for r in done.collect()) == [(2, 50.0), (3, 50.0)]
+
+
+def test_printed_lines_are_split_once(spark):
+    texts = [("P 7 3 box 1,000 3,000",), ("1 2 3 4",), ("a b 0 1 2",), ("a b",), (None,), ("a 2.5 10 25",)]
+    x = spark.createDataFrame(texts, "t string").select("t", F.inline(D.parsed_lines(F.col("t"))))
+    assert {r.t: tuple(r)[1:] for r in x.collect()} == {"P 7 3 box 1,000 3,000": ("P 7", 3.0, "box", 1000.0, 3000.0), "1 2 3 4": ("1", 2.0, "kg", 3.0, 4.0), "a 2.5 10 25": ("a", 2.5, "kg", 10.0, 25.0)}
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
