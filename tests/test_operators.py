@@ -321,3 +321,10 @@ def test_printed_lines_are_split_once(spark):
     x = spark.createDataFrame(texts, "t string").select("t", F.inline(D.parsed_lines(F.col("t"))))
     assert {r.t: tuple(r)[1:] for r in x.collect()} == {"P 7 3 box 1,000 3,000": ("P 7", 3.0, "box", 1000.0, 3000.0), "1 2 3 4": ("1", 2.0, "kg", 3.0, 4.0), "a 2.5 10 25": ("a", 2.5, "kg", 10.0, 25.0)}
     assert x._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_rows_of_a_run_need_one_order(spark):
+    df = spark.createDataFrame([("d", i, i, 1.0, 2.0, 2.0, "L", 0) for i in range(1, 5)], "doc string, pos int, row_no int, quantity double, unit_price double, supply double, trace string, printed int")
+    x = K.line_issues(df, "doc", ["pos"], "printed")
+    assert x.first().issues == ["ADJACENT_ROW_VALUE_DUPLICATE:1:2"]
+    assert x._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 2 and "run" not in x._jdf.queryExecution().optimizedPlan().toString()
