@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.names import HINTS, VENDOR, classified, clean, fingerprint, hinted_category, standard_aliases, standard_product, stated_category, storage_word, supplier_fingerprint
 from stockloom.functions.scalars import similarity
 from stockloom.operators.neighbours import similar_pairs
+from stockloom.sources.sinks import written
 
 
 def merge_rules(rules: DataFrame) -> DataFrame:
@@ -200,19 +203,26 @@ def matched(names: DataFrame, aliases: DataFrame, memory: DataFrame, least: floa
 
     An exact alias counts from a confidence of 90 on. A similar alias scores its similarity, a similar memory that times
     its own score, 99 at most; from 86 on it is for review, below a proposal for a new alias. Names that nothing resembles by `least`
-    are new without a proposal. Similar names meet by shared segments, so none is lost.
+    are new without a proposal. Similar names meet by shared segments, so none is lost. Of a key's memories of one product
+    the greatest score decides. Only names whose best score a similarity below .85 can still reach are compared further.
     """
-    n = names.select("name").distinct().withColumn("key", fingerprint(F.col("name")))
     a = aliases.groupBy("key").agg(F.max(F.struct("confidence", "product")).alias("a"))
     m = memory.groupBy("key").agg(F.max(F.struct("score", "product")).alias("m"))
-    x = n.join(a, "key", "left").join(m, "key", "left")
-    rated = aliases.select("key", "product", F.lit(100).alias("most"), F.lit(1).alias("kind")).unionByName(memory.select("key", "product", F.col("score").alias("most"), F.lit(0).alias("kind"))).distinct()
-    asked = x.where("a IS NULL AND m IS NULL").select(F.col("key").alias("a"))
-    pairs = similar_pairs(asked, rated.select(F.col("key").alias("b")), lambda size: F.lit(least))
-    near = pairs.join(rated.withColumnRenamed("key", "b"), "b")
-    s = F.floor(F.least(F.when(F.col("kind") == 1, 100).otherwise(99), F.round("similarity", 9) * F.col("most")) + 0.5).cast("long")
-    near = near.groupBy(F.col("a").alias("key")).agg(F.max(F.struct(s.alias("s"), "kind", F.col("product").alias("p"))).alias("c"))
-    x = x.join(near, "key", "left")
+    n = names.select("name").distinct().withColumn("key", fingerprint(F.col("name")))
+    x = written(n.join(a, "key", "left").join(m, "key", "left"))
+    rated = aliases.select("key", "product", F.lit(100).alias("most"), F.lit(1).alias("kind")).unionByName(memory.select("key", "product", F.col("score").alias("most"), F.lit(0).alias("kind")))
+    rated = written(rated.groupBy(F.col("key").alias("b"), "product", "kind").agg(F.max("most").alias("most")))
+    score = lambda most, alike: F.floor(F.least(most, alike) + 0.5).cast("long")
+    s = score(F.when(F.col("kind") == 1, 100).otherwise(99), F.round("similarity", 9) * F.col("most"))
+    asked, near = x.where("a IS NULL AND m IS NULL").select("key").distinct(), []
+    for step in sorted({max(0.85, least), least}, reverse=True):
+        pairs = similar_pairs(asked.select(F.col("key").alias("a")), rated.select("b"), lambda size, step=step: F.lit(step))
+        found = pairs.join(rated, "b").groupBy(F.col("a").alias("key")).agg(F.max(F.struct(s.alias("s"), "kind", F.col("product").alias("p"))).alias("c"))
+        best = written(found)
+        sure = F.lit(step == least) | (F.col("c.s") > score(F.lit(100), F.lit(100 * step)))
+        near.append(best.where(sure))
+        asked = asked.join(near[-1], "key", "left_anti")
+    x = x.join(reduce(DataFrame.unionByName, near), "key", "left")
     status = F.when(F.col("a").isNotNull(), F.when(F.col("a.confidence") >= 90, "matched").otherwise("needs_review")).when(F.col("m").isNotNull(), "learned_match").when(F.col("c.s") >= 86, "needs_review").otherwise("new_alias_candidate")
     score = F.coalesce("a.confidence", F.when(F.col("m").isNotNull(), F.least(F.lit(99), F.col("m.score"))), "c.s", F.lit(0)).cast("long")
     return x.select("name", F.coalesce("a.product", "m.product", "c.p").alias("product"), score.alias("score"), status.alias("status"))

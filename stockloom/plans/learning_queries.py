@@ -130,9 +130,10 @@ def er_storage_audit(spark: SparkSession, d: str) -> DataFrame:
  best AS (SELECT k, max((CAST(floor(least(CASE kind WHEN 1 THEN 100 ELSE 99 END, s * most) + 0.5) AS BIGINT), kind, product)) AS top FROM q JOIN t ON t.key = q.b WHERE s >= 0.7 GROUP BY 1)
  SELECT name, coalesce(a[2], m[2], top[3]) AS product, CAST(coalesce(a[1], CASE WHEN m IS NOT NULL THEN least(99, m[1]) END, top[1], 0) AS BIGINT) AS score, CASE WHEN a IS NOT NULL THEN CASE WHEN a[1] >= 90 THEN 'matched' ELSE 'needs_review' END WHEN m IS NOT NULL THEN 'learned_match' WHEN top[1] >= 86 THEN 'needs_review' ELSE 'new_alias_candidate' END AS status FROM x LEFT JOIN best ON best.k = x.key""")
 def er_match_alias(spark: SparkSession, d: str) -> DataFrame:
-    r = learned_rules(spark, d).withColumn("key", N.fingerprint(F.col("source")))
-    aliases = r.where("id % 3 = 1").select("key", "confidence", F.col("target").alias("product"))
-    memory = r.where("id % 3 = 2").select("key", F.col("confidence").alias("score"), F.col("target").alias("product"))
+    r = learned_rules(spark, d).groupBy("source", "target", (F.col("id") % 3).alias("part")).agg(F.max("confidence").alias("confidence"))  # few texts are left to be normalised
+    r = r.withColumn("key", N.fingerprint(F.col("source")))
+    aliases = r.where("part = 1").select("key", "confidence", F.col("target").alias("product"))
+    memory = r.where("part = 2").select("key", F.col("confidence").alias("score"), F.col("target").alias("product"))
     return R.matched(asked_names(spark, d), aliases, memory)
 
 

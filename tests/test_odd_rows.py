@@ -41,3 +41,7 @@ def test_prices_at_half_a_cent(spark, tmp_path):
 
 def test_targets_at_half_a_gram(spark):
     agrees(spark, "an_fresh_stock", f"{SF}/sf0.01")
+
+
+def test_aliases_among_many_similar_names(spark):
+    agrees(spark, "er_match_alias", f"{SF}/sf0.01")

@@ -158,6 +158,39 @@ def test_similar_pairs_lose_none(spark):
         assert {(r.a, r.b, round(r.similarity, 9)) for r in similar_pairs(a, b, least).collect()} == want and len(want) > 100
 
 
+def test_similar_pairs_are_dealt_out_and_told_by_letters_first(spark):
+    near = similar_pairs(spark.createDataFrame([("목살구이용12호",)], "a string"), spark.createDataFrame([("목살구이용13호",)], "b string"), lambda n: F.lit(0.7))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "bit_count" in plan  # a few bytes met in one task
+
+
+def test_best_of_similar_names_is_that_of_all_pairs(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("가나다라") for _ in range(rnd.randint(4, 14)))
+    known = [(word(), rnd.randint(70, 99), rnd.choice("PQR")) for _ in range(150)]
+    names = list({w[:i] + rnd.choice("가마") + w[i + 1 :] for w, *_ in known for i in (1, 3)})
+    aliases, memory = known[::2], known[1::2]
+
+    def best(name):
+        near = [(k, 100, 1, p) for k, _, p in aliases] + [(k, c, 0, p) for k, c, p in memory]
+        told = [(round(1 - edits(name, k) / max(len(name), len(k)), 9), most, kind, p) for k, most, kind, p in near]
+        return max(((int(min(100 - (not kind), s * most) + 0.5), kind, p) for s, most, kind, p in told if s >= 0.7), default=(0, 0, None))
+
+    exact = {k for k, *_ in known}
+    got = E.matched(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(aliases, "key string, confidence int, product string"), spark.createDataFrame(memory, "key string, score int, product string")).collect()
+    told = {r.name: (r.score, r.product) for r in got if r.name not in exact}
+    assert told == {n: best(n)[::2] for n in told} and len({x // 8 for x, _ in told.values()}) > 3
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_learned_names(spark):
     rules = spark.createDataFrame([
         (1, "A", "냉장 한돈 목살 구이용", "목살", "돼지고기", "냉장", 5, 90, 3, 1), (2, "A", "냉장 한돈 목살", "목심", "소고기", "냉장", 5, 90, 3, 1), (3, "A", "한우 등심", "등심", "소고기", "", 5, 90, 3, 1),
