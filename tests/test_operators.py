@@ -18,6 +18,7 @@ from stockloom.operators import resolution as E
 from stockloom.operators import stock as K
 from stockloom.operators import summaries as M
 from stockloom.operators.neighbours import similar_pairs
+from stockloom.plans.document_queries import readings
 from stockloom.sources import readers as R
 from stockloom.streaming import capture as C
 
@@ -191,6 +192,19 @@ def edits(a, b):
     return row[-1]
 
 
+def test_readings_are_merged_in_one_shuffle(spark):
+    plan = D.ensemble(readings(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_readings_are_merged_by_amount_then_place(spark):
+    first = [(1, 1, " a ", 2, 5, 11, 90, False), (1, 2, "b", 1, 7, 7, 95, False), (None, 1, "n", 1, 1, 2, 50, False)]
+    second = [(1, 1, "aa", 2, 5, 10, 91, True), (1, 3, " c ", 1, 7, 7, 60, True), (1, 2, "x", 1, 9, 9, 99, True), (None, 1, "nn", 2, 1, 2, 99, True), (2, 1, "only", 1, 1, 1, 1, True)]
+    lines = spark.createDataFrame(first + second, "doc int, row int, name string, quantity int, price int, amount int, confidence int, second boolean")
+    got = {tuple(r) for r in D.ensemble(lines).collect()}
+    assert got == {(1, 1, "aa", 2, 5, 10, 91), (1, 2, "b", 1, 7, 7, 95), (1, 3, " c ", 1, 7, 7, 60), (None, 1, "n", 1, 1, 2, 50), (None, 1, "nn", 2, 1, 2, 99), (2, 1, "only", 1, 1, 1, 1)}
+
+
 def test_learned_names(spark):
     rules = spark.createDataFrame([
         (1, "A", "냉장 한돈 목살 구이용", "목살", "돼지고기", "냉장", 5, 90, 3, 1), (2, "A", "냉장 한돈 목살", "목심", "소고기", "냉장", 5, 90, 3, 1), (3, "A", "한우 등심", "등심", "소고기", "", 5, 90, 3, 1),
