@@ -92,8 +92,10 @@ def word_candidates(lines: DataFrame, products: DataFrame, most: int = 5) -> Dat
 
     Equal texts are one, and a name stands for its `most` least products. A line's words are asked in rounds, the one that the
     fewest names have first. A name that none of the first r words has found shares at most the others with the line, so a line is done
-    once `most` products score above what that allows; frequent words are asked only by lines that need them.
+    once `most` products score above what that allows; frequent words are asked only by lines that need them. Few bytes of lines
+    find many names, so each round deals them out over all shuffle partitions, where their finds are sorted.
     """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")))
     asked = lines.select("line", words("text").alias("a"))
     named = products.select("product", words("name").alias("b")).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("product"))).where(F.col("k") <= most)
@@ -105,7 +107,7 @@ def word_candidates(lines: DataFrame, products: DataFrame, most: int = 5) -> Dat
     done, turn = [], 0
     while True:
         common = F.size(F.array_intersect("a", "b"))
-        new = open_.select("a", F.get("rare", F.lit(turn)).alias("word"), F.slice("rare", 1, turn).alias("before")).join(index, "word").where(~F.arrays_overlap("before", "b"))  # not found before
+        new = open_.repartition(parts, "a").select("a", F.get("rare", F.lit(turn)).alias("word"), F.slice("rare", 1, turn).alias("before")).join(index, "word").where(~F.arrays_overlap("before", "b"))  # not found before
         new = new.select("a", percent(common, F.size("a") + F.size("b") - common).alias("score"), F.explode("products").alias("product")).select("a", F.struct((-F.col("score")).alias("score"), F.col("product").cast("long").alias("product")).alias("x"))
         first = best_rows(new, ["a"], [F.asc("x")], most).groupBy("a").agg(F.collect_list("x").alias("new"))
         x = open_.join(first, "a", "left")
